@@ -26,13 +26,13 @@ NOT_AVAILABLE = "[Not Available]"
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``subject_id STRING, variant_key INT, allele DOUBLE`` (non-zero cells)."""
+    """``subject_id STRING, variant_key BIGINT, allele DOUBLE`` (non-zero cells)."""
     li = load(spark, sf_dir, "lineitem")
     dose = F.max(F.col("l_quantity").cast("int") % 3)
     return (li.groupBy("l_suppkey", "l_partkey").agg(dose.alias("d"))
             .where(F.col("d") > 0)
             .select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject_id"),
-                    F.col("l_partkey").cast("int").alias("variant_key"),
+                    F.col("l_partkey").cast("bigint").alias("variant_key"),
                     F.col("d").cast("double").alias("allele")))
 
 
@@ -48,7 +48,7 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (j.groupBy("l_suppkey", "l_partkey").agg(F.max(dose).alias("d"))
             .where(F.col("d") > 0)
             .select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject_id"),
-                    F.col("l_partkey").cast("int").alias("variant_key"),
+                    F.col("l_partkey").cast("bigint").alias("variant_key"),
                     F.col("d").cast("double").alias("allele")))
 
 
@@ -103,13 +103,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 F1_SQL = """flat AS (
-  select concat('S', cast(l_suppkey as varchar)) subject_id, cast(l_partkey as int) variant_key,
+  select concat('S', cast(l_suppkey as varchar)) subject_id, cast(l_partkey as bigint) variant_key,
          cast(max(cast(l_quantity as int) % 3) as double) allele
   from lineitem group by l_suppkey, l_partkey
   having max(cast(l_quantity as int) % 3) > 0)"""
 
 F8_SQL = """planted AS (
-  select concat('S', cast(l_suppkey as varchar)) subject_id, cast(l_partkey as int) variant_key,
+  select concat('S', cast(l_suppkey as varchar)) subject_id, cast(l_partkey as bigint) variant_key,
          cast(max(case when l_partkey % 40 = 0 then (n_regionkey + l_partkey) % 3
                        else cast(l_quantity as int) % 3 end) as double) allele
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
@@ -143,3 +143,26 @@ F7_SQL = """pairs AS (select doc_id, quality c1, toxic c2 from labels)"""
 def with_sql(*ctes: str) -> str:
     """Join fixture CTEs into one ``WITH`` prefix."""
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# Population codes for the panel: the phase-3 code list in its fixed order,
+# indexed by nation key (25 nations -> 25 of the 26 codes).
+def _pop_codes():
+    from allelo.functions.vocab import SUPER_POPULATION
+    return [p for _, pops in SUPER_POPULATION["phase3"] for p in pops]
+
+
+POP_CODES = _pop_codes()
+
+
+def panel_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel with a 1000-Genomes-style population code per sample."""
+    sup = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    codes = F.array(*[F.lit(c) for c in POP_CODES])
+    return sup.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sample"),
+                      F.element_at(codes, (F.col("s_nationkey") % len(POP_CODES) + 1).cast("int")).alias("pop"))
+
+
+CODES_SQL = ("codes AS (select concat('S', cast(s_suppkey as varchar)) sample, "
+             "([" + ", ".join(f"'{c}'" for c in POP_CODES) + f"])[s_nationkey % {len(POP_CODES)} + 1] pop "
+             "from supplier)")

@@ -132,7 +132,7 @@ def q_locus_sparse(spark, sf_dir):
 
 
 @register("subject_sparse_dedup", """
-with cells AS (select concat('S', cast(l_suppkey as varchar)) subject_id, cast(l_partkey as int) variant_key,
+with cells AS (select concat('S', cast(l_suppkey as varchar)) subject_id, cast(l_partkey as bigint) variant_key,
                       cast(cast(l_quantity as int) % 3 as double) allele from lineitem),
 d AS (select subject_id, variant_key, max(allele) allele from cells group by subject_id, variant_key)
 select subject_id, count(*) nnz, cast(sum(allele) as bigint) total,
@@ -143,7 +143,7 @@ def q_subject_sparse_dedup(spark, sf_dir):
     from allelo.tables import load
     li = load(spark, sf_dir, "lineitem")
     cells = li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject_id"),
-                      F.col("l_partkey").cast("int").alias("variant_key"),
+                      F.col("l_partkey").cast("bigint").alias("variant_key"),
                       (F.col("l_quantity").cast("int") % 3).cast("double").alias("allele"))
     d = mx.dedupe_cells(cells).where(F.col("allele") != 0)
     g = d.groupBy("subject_id").agg(F.count(F.lit(1)).alias("nnz"), F.sum("allele").cast("bigint").alias("total"),
@@ -161,7 +161,7 @@ def q_coo_roundtrip(spark, sf_dir):
 
 @register("validate_sparse", with_ctes(sql_indexed()) + f"""
 select subject_id, cast(floor(vi / {BLOCK}) as bigint) block, count(*) nnz, min(vi) min_index, max(vi) max_index,
-       min(allele) min_value, max(allele) max_value, 1 ok
+       min(allele) min_value, max(allele) max_value, cast(1 as bigint) ok
 from x join subj using (si) group by subject_id, floor(vi / {BLOCK})""")
 def q_validate_sparse(spark, sf_dir):
     """Sparse-vector validation report (size, lengths, index range, non-negative values)."""
@@ -221,7 +221,7 @@ def q_vcf_lines(spark, sf_dir):
     """F1 written as VCF text (two files) and parsed back."""
     data = _vcf_roundtrip(spark, sf_dir)
     cells = data.cells.where(F.col("allele") != 0)
-    return report(cells.select("subject_id", (F.col("pos") / 100).cast("int").alias("variant_key"), "allele"))
+    return report(cells.select("subject_id", (F.col("pos") / 100).cast("bigint").alias("variant_key"), "allele"))
 
 
 @register("vcf_samples", with_ctes(sql_indexed()) + "select si sample_pos, subject_id from subj")
@@ -261,7 +261,7 @@ def q_locus_range(spark, sf_dir):
     data = _vcf_roundtrip(spark, sf_dir)
     long = data.cells.where((F.col("contig") == "7") & F.col("pos").between(20000, 120000))
     return report(long.where(F.col("allele") != 0)
-                  .select("subject_id", (F.col("pos") / 100).cast("int").alias("variant_key"), "allele"))
+                  .select("subject_id", (F.col("pos") / 100).cast("bigint").alias("variant_key"), "allele"))
 
 
 @register("kmeans_assign", with_ctes(kmeans_sql("planted", FLAGSHIP_K, 0)) +
