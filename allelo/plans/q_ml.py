@@ -1 +1,206 @@
-"""Registered queries."""
+"""Registered queries: wide decision tree / forest, votes, importances."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from allelo import fixtures
+from allelo.operators import forest as fr
+from allelo.operators import metrics
+from allelo.operators.indexing import dense_index
+from allelo.plans import forest_sql as fsql
+from allelo.plans.common import indexed, sql_indexed, with_ctes
+from allelo.plans.registry import register, report
+from allelo.tables import load
+
+N_LABELS_SQL = 5          # region table: five super-populations
+TREE_DEPTH = 2
+TOP_DEPTH = 4
+LAB_SQL = """lab AS (select si, label from subj join panel on panel.sample = subj.subject_id join
+  (select super_pop, row_number() over (order by super_pop) - 1 label from (select distinct super_pop from panel) t) l
+  using (super_pop))"""
+
+
+def _base_sql():
+    return sql_indexed("planted") + [fixtures.F2_SQL, LAB_SQL]
+
+
+def _inputs(spark, sf_dir):
+    """Cells of F8 with dense sample indices and region labels (all subjects are labelled)."""
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    p = fixtures.panel(spark, sf_dir)
+    lab = dense_index(p.select("super_pop").distinct(), ["super_pop"], "label")
+    labels = (subjects.join(p, subjects.subject_id == p["sample"]).join(lab, "super_pop")
+              .select(F.col("subject_index").alias("sample_index"), "label"))
+    cells = x.select(F.col("subject_index").alias("sample_index"), "variant_index", "allele")
+    return cells, labels, lab.count(), variants
+
+
+def _root_scores(spark, sf_dir, kind="gini"):
+    cells, labels, L, variants = _inputs(spark, sf_dir)
+    x = fr.prepare_cells(cells)
+    labels = labels.checkpoint()
+    state = fr.root_state(labels)
+    totals = fr._node_totals(state, labels, L, kind)
+    return fr.split_scores(x, state, labels, totals, L, 1.0, 0, kind, labels.count()), totals
+
+
+@register("best_split", with_ctes(_base_sql() + ["s0 AS (select si, 1 node from lab)"] + fsql.level_sql(0, N_LABELS_SQL, "gini", 1)) + """
+select vi variable, threshold, round(weighted, 6) weighted from (
+  select *, row_number() over (partition by vi order by round(weighted, 12), threshold) rn from sc0) q where rn = 1""")
+def q_best_split(spark, sf_dir):
+    """Best threshold of every variable at the root (Gini, region labels, F8)."""
+    scores, _ = _root_scores(spark, sf_dir)
+    best = scores.groupBy("variant_index").agg(F.min(F.struct(F.round("weighted", 12).alias("r"), "threshold",
+                                                              "weighted")).alias("b"))
+    return report(best.select(F.col("variant_index").alias("variable"), F.col("b.threshold").alias("threshold"),
+                              F.col("b.weighted").alias("weighted")))
+
+
+def _best_all_sql(kind):
+    return with_ctes(_base_sql() + ["s0 AS (select si, 1 node from lab)"] + fsql.level_sql(0, N_LABELS_SQL, kind, 1)) + """
+select variable, threshold, majority, round(gain, 6) gain, round(impurity, 6) impurity, size from nd0"""
+
+
+def _best_all(spark, sf_dir, kind):
+    cells, labels, L, variants = _inputs(spark, sf_dir)
+    model = fr.fit(cells, labels, L, fr.ForestParams(n_trees=1, mtry_fraction=1.0, max_depth=1, bootstrap=False,
+                                                     impurity=kind))
+    root = model.nodes.where(F.col("node") == 1)
+    return report(root.select("variable", "threshold", "majority", "gain", "impurity", "size"))
+
+
+@register("best_split_all", _best_all_sql("gini"))
+def q_best_split_all(spark, sf_dir):
+    """M7: best split over all variables at the root, with gain, impurity and majority."""
+    return _best_all(spark, sf_dir, "gini")
+
+
+@register("entropy", _best_all_sql("entropy"))
+def q_entropy(spark, sf_dir):
+    """The same root split search with entropy impurity."""
+    return _best_all(spark, sf_dir, "entropy")
+
+
+def _tree(spark, sf_dir, depth):
+    cells, labels, L, variants = _inputs(spark, sf_dir)
+    model = fr.fit(cells, labels, L, fr.ForestParams(n_trees=1, mtry_fraction=1.0, max_depth=depth,
+                                                     bootstrap=False))
+    return model, cells, labels, variants
+
+
+TREE_SQL = with_ctes(_base_sql() + fsql.tree_sql(N_LABELS_SQL, "gini", TREE_DEPTH))
+
+
+@register("tree_nodes", TREE_SQL + """select node, depth, variable, threshold, majority, round(gain, 6) gain,
+  round(impurity, 6) impurity, size from nodes""")
+def q_tree_nodes(spark, sf_dir):
+    """Depth-2 wide decision tree (all variables tried, no bootstrap); the node listing."""
+    model, *_ = _tree(spark, sf_dir, TREE_DEPTH)
+    return report(model.nodes.select("node", "depth", "variable", "threshold", "majority", "gain", "impurity",
+                                     "size"))
+
+
+@register("tree_predict", with_ctes(_base_sql() + fsql.tree_sql(N_LABELS_SQL, "gini", TREE_DEPTH) +
+                                    fsql.predict_sql(TREE_DEPTH)) +
+          "select subject_id, prediction from pred join subj using (si)")
+def q_tree_predict(spark, sf_dir):
+    """M9: route every sample down the tree, looking up only split variables."""
+    model, cells, labels, variants = _tree(spark, sf_dir, TREE_DEPTH)
+    x = fr.prepare_cells(cells)
+    start = labels.select("sample_index", F.lit(0).cast("bigint").alias("tree"))
+    pred = fr.predict_trees(model.nodes, x, start)
+    long, subjects, _, _ = indexed(spark, sf_dir, "planted")
+    out = pred.join(subjects.select(F.col("subject_index").alias("sample_index"), "subject_id"), "sample_index")
+    return report(out.select("subject_id", F.col("prediction").cast("bigint").alias("prediction")))
+
+
+IMP_SQL = """imp AS (select p.variable, sum((p.size * p.impurity - (l.size * l.impurity + r.size * r.impurity))
+    / (select size from nodes where node = 1)) importance, count(*) n_splits
+  from nodes p join nodes l on l.node = 2 * p.node join nodes r on r.node = 2 * p.node + 1
+  where p.variable >= 0 group by p.variable)"""
+
+
+@register("importance", with_ctes(_base_sql() + fsql.tree_sql(N_LABELS_SQL, "gini", TREE_DEPTH) + [IMP_SQL]) +
+          "select variable, round(importance, 6) importance, n_splits from imp")
+def q_importance(spark, sf_dir):
+    """Gini variable importance of the grown tree."""
+    model, *_ = _tree(spark, sf_dir, TREE_DEPTH)
+    return report(fr.importance(model.nodes, 1))
+
+
+@register("importance_top", with_ctes(_base_sql() + fsql.tree_sql(N_LABELS_SQL, "gini", TOP_DEPTH) + [IMP_SQL]) +
+          """select variant_key, round(importance, 6) importance from (
+  select variable, importance, row_number() over (order by round(importance, 9) desc, variable) rk from imp) t
+  join var on var.vi = t.variable where rk <= 5""")
+def q_importance_top(spark, sf_dir):
+    """Top-5 importances of a depth-4 tree, named by variant key."""
+    model, cells, labels, variants = _tree(spark, sf_dir, TOP_DEPTH)
+    imp = fr.importance(model.nodes, 1)
+    top = imp.orderBy(F.round("importance", 9).desc(), "variable").limit(5)
+    named = top.join(variants, top.variable == variants.variant_index)
+    return report(named.select("variant_key", "importance"))
+
+
+@register("vote", """select l_suppkey sample, cast(arg_max(l_linenumber, n * 1000 + l_linenumber) as bigint) vote,
+  cast(sum(n) as bigint) n_votes from (select l_suppkey, l_linenumber, count(*) n from lineitem group by 1, 2) t
+group by l_suppkey""")
+def q_vote(spark, sf_dir):
+    """Majority vote per sample (here: most frequent line number per supplier, ties -> largest)."""
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample"),
+                                                F.col("l_linenumber").cast("bigint").alias("l_linenumber"))
+    return report(metrics.majority_vote(li, ["sample"], "l_linenumber"))
+
+
+# ---------------------------------------------------------------------------
+# Random (hash-seeded) forest operators: rows-only checks, invariants in tests
+# ---------------------------------------------------------------------------
+
+FOREST_TREES = 5
+
+
+def _forest(spark, sf_dir):
+    cells, labels, L, variants = _inputs(spark, sf_dir)
+    params = fr.ForestParams(n_trees=FOREST_TREES, mtry_fraction=0.3, max_depth=6, seed=11)
+    return fr.fit(cells, labels, L, params), cells, labels
+
+
+@register("forest_nodes")
+def q_forest_nodes(spark, sf_dir):
+    """5-tree wide random forest (bootstrap, 30% variables per node); node listing."""
+    model, *_ = _forest(spark, sf_dir)
+    return report(model.nodes)
+
+
+@register("oob_error")
+def q_oob_error(spark, sf_dir):
+    """Running out-of-bag error after each tree."""
+    model, cells, labels = _forest(spark, sf_dir)
+    per_tree, _ = fr.out_of_bag(model, fr.prepare_cells(cells), labels)
+    return report(per_tree)
+
+
+@register("forest_predict")
+def q_forest_predict(spark, sf_dir):
+    """Majority vote of the forest per sample, scored against the labels."""
+    model, cells, labels = _forest(spark, sf_dir)
+    pred = fr.forest_predict(model, fr.prepare_cells(cells), labels)
+    return report(pred.join(labels, "sample_index"))
+
+
+@register("bootstrap")
+def q_bootstrap(spark, sf_dir):
+    """Hash-seeded bootstrap multiplicities per (tree, sample); weights sum to n per tree."""
+    cells, labels, L, variants = _inputs(spark, sf_dir)
+    n = labels.count()
+    return report(fr.bootstrap(labels, n, FOREST_TREES, 11))
+
+
+@register("oob_samples")
+def q_oob_samples(spark, sf_dir):
+    """Out-of-bag samples per tree (all samples minus the in-bag set)."""
+    cells, labels, L, variants = _inputs(spark, sf_dir)
+    n = labels.count()
+    bag = fr.bootstrap(labels, n, FOREST_TREES, 11)
+    trees = labels.select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(FOREST_TREES - 1))).alias("tree"))
+    return report(trees.join(bag, ["tree", "sample_index"], "left_anti"))
