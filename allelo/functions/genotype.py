@@ -29,8 +29,12 @@ def dosage(gt, missing: float = 0.0) -> Column:
     ``./.``, ``0``, ``10|1`` -> ``missing``.
     """
     call = F.substring_index(_c(gt), ":", 1)
-    both = F.substring(call, 1, 1).cast("double") + F.substring(call, 3, 1).cast("double")
-    return F.when(call.rlike(DIPLOID_CALL), both).otherwise(F.lit(float(missing)))
+    a0, sep, a1 = F.substring(call, 1, 1), F.substring(call, 2, 1), F.substring(call, 3, 1)
+    digit = lambda c: (c >= F.lit("0")) & (c <= F.lit("9"))
+    # same test as DIPLOID_CALL, written as character checks (no regex per cell)
+    ok = (F.length(call) == 3) & digit(a0) & digit(a1) & ((sep == "|") | (sep == "/"))
+    both = a0.cast("double") + a1.cast("double")
+    return F.when(ok, both).otherwise(F.lit(float(missing)))
 
 
 def dosage_sqrt(gt) -> Column:

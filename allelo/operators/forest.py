@@ -189,19 +189,17 @@ def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams
     x = prepare_cells(cells)
     labels = labels.select("sample_index", F.col("label").cast("int").alias("label")).checkpoint()
     n = labels.count()
-    if n_variables is None:
-        n_variables = x.select("variant_index").distinct().count()
     frac = params.mtry_fraction
     if frac is None or (isinstance(frac, float) and math.isnan(frac)):
+        if n_variables is None:
+            n_variables = x.select("variant_index").distinct().count()
         frac = math.sqrt(n_variables) / n_variables if n_variables else 1.0
     bag = bootstrap(labels.select("sample_index"), n, params.n_trees, params.seed, params.bootstrap).checkpoint()
     state = bag.select("tree", "sample_index", F.lit(1).cast("bigint").alias("node"), "w")
     state_rows = n * params.n_trees
     levels = []
     for depth in range(params.max_depth + 1):
-        if state.isEmpty():
-            break
-        totals = _node_totals(state, labels, n_labels, params.impurity).checkpoint()
+        totals = _node_totals(state, labels, n_labels, params.impurity).persist()
         if depth < params.max_depth:
             best = best_splits(x, state, labels, totals, n_labels, frac, params.seed + 7919 * (depth + 1),
                                params.impurity, state_rows)
@@ -221,6 +219,7 @@ def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams
             F.col("majority").cast("bigint").alias("majority"),
             F.when(split, gain).otherwise(F.lit(0.0)).alias("gain"),
             "impurity", "size").checkpoint()
+        totals.unpersist()
         levels.append(level)
         splits = level.where(F.col("variable") >= 0)
         if splits.isEmpty():

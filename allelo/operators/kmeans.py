@@ -116,7 +116,7 @@ def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int,
     optional wide centre table ``(variant_index, c)`` to continue from.
     """
     x = prepare(long_idx)
-    subjects = subjects.select("subject_index").checkpoint()
+    subjects = subjects.select("subject_index")
     n = subjects.count()
     centres = (init_centres if init_centres is not None else initial_centres(x, k)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -135,7 +135,6 @@ def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int,
         else:
             centres.unpersist()
             centres = new_centres
-    centres = centres.checkpoint()
     assignment = assign(x, centres, subjects, k, n)
     return KMeansResult(centres=centres, assignment=assignment, iterations=done)
 

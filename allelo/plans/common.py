@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from allelo.operators.matrix import index_long
 def indexed(spark: SparkSession, sf_dir: str, source: str = "flat"):
     """(long, subjects, variants, long_idx) for fixture ``flat`` (F1) or ``planted`` (F8)."""
     long = fixtures.flat(spark, sf_dir) if source == "flat" else fixtures.planted(spark, sf_dir)
-    long = long.checkpoint()
+    # short lineage back to parquet: a cache is enough (recomputed if an executor is lost)
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)
     subjects = subject_dictionary(long)
     variants = variant_dictionary(long)
     return long, subjects, variants, index_long(long, subjects, variants)

@@ -209,18 +209,18 @@ def q_locus_key(spark, sf_dir):
                                                     F.col("variant_key") * 100).alias("locus")))
 
 
-def _vcf_roundtrip(spark, sf_dir):
+def _vcf_roundtrip(spark, sf_dir, keep_zero=False):
     long, subjects, variants, x = indexed(spark, sf_dir)
     path = scratch_path(spark, "vcf")
     paths = vcf.write_vcf(x.select("subject_index", "variant_key", "allele"), subjects, subjects.count(), path)
-    return vcf.read_vcf(spark, ",".join(paths), keep_zero=True)
+    return vcf.read_vcf(spark, ",".join(paths), keep_zero=keep_zero)
 
 
 @register("vcf_lines", with_ctes([fixtures.F1_SQL]) + "select subject_id, variant_key, allele from flat")
 def q_vcf_lines(spark, sf_dir):
     """F1 written as VCF text (two files) and parsed back."""
     data = _vcf_roundtrip(spark, sf_dir)
-    cells = data.cells.where(F.col("allele") != 0)
+    cells = data.cells
     return report(cells.select("subject_id", (F.col("pos") / 100).cast("bigint").alias("variant_key"), "allele"))
 
 
@@ -238,7 +238,7 @@ select gt, allele dosage, count(*) n from calls group by gt, allele
 union all select '0|0', 0.0, zeros from tot""")
 def q_dosage(spark, sf_dir):
     """Dosage of every genotype string in the VCF text, counted by distinct call."""
-    data = _vcf_roundtrip(spark, sf_dir)
+    data = _vcf_roundtrip(spark, sf_dir, keep_zero=True)
     return report(data.cells.groupBy("gt").agg(F.first("allele").alias("dosage"), F.count(F.lit(1)).alias("n")))
 
 
@@ -248,7 +248,7 @@ where allele = 2 or variant_key % 2 = 1 group by subject_id""")
 def q_dosage_sqrt(spark, sf_dir):
     """Legacy square-root dosage, phased calls only, summed per subject."""
     from allelo.functions.genotype import dosage_sqrt
-    data = _vcf_roundtrip(spark, sf_dir)
+    data = _vcf_roundtrip(spark, sf_dir, keep_zero=True)
     s = data.cells.select("subject_id", dosage_sqrt("gt").alias("d")).where(F.col("d").isNotNull() & (F.col("d") > 0))
     return report(s.groupBy("subject_id").agg(F.sum("d").alias("sqrt_dosage"), F.count(F.lit(1)).alias("n_phased")))
 
