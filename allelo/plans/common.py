@@ -52,13 +52,15 @@ def subject_rows(subjects: DataFrame) -> DataFrame:
     return subjects.select("subject_index")
 
 
-def kmeans_sql(source: str, k: int, rounds: int) -> list[str]:
-    """CTEs for ``rounds`` wide k-means updates followed by a final assignment ``a{rounds}``."""
+def kmeans_sql(source: str, k: int, rounds: int, c0_sql: list[str] | None = None) -> list[str]:
+    """CTEs for ``rounds`` wide k-means updates followed by a final assignment ``a{rounds}``.
+
+    ``c0_sql`` optionally replaces the initial centres (CTEs ending in ``c0(cl, vi, c)``).
+    """
     parts = sql_indexed(source) + [
         "x2 AS (select si, sum(allele * allele) x2 from x group by si)",
         f"ks AS (select range cl from range({k}))",
-        f"c0 AS (select si cl, vi, allele c from x where si < {k})",
-    ]
+    ] + (c0_sql if c0_sql else [f"c0 AS (select si cl, vi, allele c from x where si < {k})"])
     for r in range(rounds + 1):
         parts.append(f"""a{r} AS (select si, cl, dist from (
   select s.si, ks.cl,
