@@ -162,11 +162,16 @@ def best_splits(x: DataFrame, state: DataFrame, labels: DataFrame, totals: DataF
                        F.col("b.threshold").alias("threshold"), F.col("b.weighted").alias("weighted"))
 
 
-def _route(x: DataFrame, state: DataFrame, splits: DataFrame) -> DataFrame:
-    """Move samples of split nodes to their children (missing cell = dosage 0)."""
+def _route(x: DataFrame, state: DataFrame, splits: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Move samples of split nodes to their children (missing cell = dosage 0).
+
+    The chosen variables of a level number at most the split nodes, which is
+    bounded by the state size (``bound``); only those variables' cells are
+    read from X (semi-join reduction).
+    """
     sv = state.join(splits.select("tree", "node", "variable", "threshold"), ["tree", "node"])
     chosen = splits.select(F.col("variable").alias("variant_index")).distinct()
-    xv = x.join(F.broadcast(chosen), "variant_index", "left_semi") \
+    xv = x.join(_small(chosen, bound), "variant_index", "left_semi") \
         .select(F.col("variant_index").alias("variable"), "sample_index", "allele")
     routed = sv.join(xv, ["variable", "sample_index"], "left")
     go_right = (F.coalesce(F.col("allele"), F.lit(0.0)) > F.col("threshold")).cast("bigint")
@@ -224,7 +229,7 @@ def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams
         splits = level.where(F.col("variable") >= 0)
         if splits.isEmpty():
             break
-        state = _route(x, state, splits).checkpoint()
+        state = _route(x, state, splits, state_rows).checkpoint()
     nodes = levels[0]
     for lv in levels[1:]:
         nodes = nodes.unionByName(lv)

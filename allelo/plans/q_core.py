@@ -135,18 +135,19 @@ def q_locus_sparse(spark, sf_dir):
 with cells AS (select concat('S', cast(l_suppkey as varchar)) subject_id, cast(l_partkey as bigint) variant_key,
                       cast(cast(l_quantity as int) % 3 as double) allele from lineitem),
 d AS (select subject_id, variant_key, max(allele) allele from cells group by subject_id, variant_key)
-select subject_id, count(*) nnz, cast(sum(allele) as bigint) total,
+select subject_id, variant_key // 512 block, count(*) nnz, cast(sum(allele) as bigint) total,
        string_agg(cast(variant_key as varchar), ',' order by variant_key) keys
-from d where allele <> 0 group by subject_id""")
+from d where allele <> 0 group by subject_id, variant_key // 512""")
 def q_subject_sparse_dedup(spark, sf_dir):
-    """Duplicate (subject, variant) cells resolved by max, zeros dropped, grouped per subject."""
+    """Duplicate (subject, variant) cells resolved by max, zeros dropped, grouped per (subject, block)."""
     from allelo.tables import load
     li = load(spark, sf_dir, "lineitem")
     cells = li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("subject_id"),
                       F.col("l_partkey").cast("bigint").alias("variant_key"),
                       (F.col("l_quantity").cast("int") % 3).cast("double").alias("allele"))
     d = mx.dedupe_cells(cells).where(F.col("allele") != 0)
-    g = d.groupBy("subject_id").agg(F.count(F.lit(1)).alias("nnz"), F.sum("allele").cast("bigint").alias("total"),
+    g = d.groupBy("subject_id", (F.col("variant_key") / 512).cast("bigint").alias("block")).agg(
+        F.count(F.lit(1)).alias("nnz"), F.sum("allele").cast("bigint").alias("total"),
                                     F.array_join(F.array_sort(F.collect_list("variant_key")), ",").alias("keys"))
     return report(g)
 

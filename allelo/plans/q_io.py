@@ -159,16 +159,18 @@ def q_cluster_members(spark, sf_dir):
     return report(lines.select("cluster", "line"))
 
 
-@register("json_export", with_ctes([fixtures.F1_SQL]) + """select subject_id, count(*) n_variants,
-  sum(allele) total from flat group by subject_id""")
+@register("json_export", with_ctes([fixtures.F1_SQL]) + """select subject_id, variant_key // 512 block,
+  count(*) n_variants, sum(allele) total from flat group by subject_id, variant_key // 512""")
 def q_json_export(spark, sf_dir):
-    """Per-subject genotype records written as JSON lines and read back."""
+    """Per-subject genotype records (blocks of 512 variant keys) written as JSON lines and read back."""
     f = fixtures.flat(spark, sf_dir)
-    recs = f.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("variant_key", "allele"))).alias("calls"))
+    recs = f.groupBy("subject_id", (F.col("variant_key") / 512).cast("bigint").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("variant_key", "allele"))).alias("calls"))
     path = scratch_path(spark, "json")
     tio.json_lines(recs).write.text(path)
-    back = spark.read.schema("subject_id STRING, calls ARRAY<STRUCT<variant_key: BIGINT, allele: DOUBLE>>").json(path)
-    return report(back.select("subject_id", F.size("calls").alias("n_variants"),
+    back = spark.read.schema("subject_id STRING, block BIGINT, "
+                             "calls ARRAY<STRUCT<variant_key: BIGINT, allele: DOUBLE>>").json(path)
+    return report(back.select("subject_id", "block", F.size("calls").alias("n_variants"),
                               F.aggregate("calls", F.lit(0.0), lambda a, c: a + c["allele"]).alias("total")))
 
 

@@ -80,3 +80,20 @@ def test_forest_invariants(spark):
     per_tree, summary = forest.out_of_bag(model, forest.prepare_cells(cells), labels)
     s = summary.first()
     assert 0.0 <= s.oob_error <= 1.0
+
+
+def test_vcf_stream_ingest(spark):
+    import tempfile
+
+    from allelo.plans.common import indexed
+    from allelo.sources import vcf as v
+    from allelo.streaming.ingest import vcf_stream
+
+    long, subjects, variants, x = indexed(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="allelo-stream-")
+    paths = v.write_vcf(x.select("subject_index", "variant_key", "allele"), subjects, subjects.count(), root + "/vcf")
+    q = vcf_stream(spark, paths[1], paths[0], root + "/out", root + "/ckpt")
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(root + "/out").count()
+    assert got == long.count()
