@@ -266,3 +266,10 @@ def q_sample_variants(spark, sf_dir):
     """Genome-wide hash sample of 10% of the variants (whole variants kept)."""
     f = fixtures.flat(spark, sf_dir)
     return report(sampling.sample_variants(f, "variant_key", 0.1, seed=9))
+
+
+@register("subsample")
+def q_subsample(spark, sf_dir):
+    """Exactly 20 subjects chosen by hash order (error if fewer exist)."""
+    s = fixtures.flat(spark, sf_dir).select("subject_id").distinct()
+    return report(sampling.subsample(s, "subject_id", size=20, seed=8))

@@ -238,3 +238,18 @@ def q_cosine_mae(spark, sf_dir):
     j = exact.join(approx, ["i", "j"], "left").fillna(0.0, ["approx"])
     return report(j.agg(F.avg(F.abs(F.col("cosine") - F.col("approx"))).alias("mae"),
                         F.count(F.lit(1)).alias("n_pairs")))
+
+
+@register("param_grid")
+def q_param_grid(spark, sf_dir):
+    """maxDepth x maxBins grid for the tall forest, selected by 3-fold cross-validation."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+    data = _tall(spark, sf_dir)
+    rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=5, seed=3)
+    grid = tall.param_grid(rf, depths=(2, 4), bins=(16, 32))
+    ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, numFolds=3, seed=4).fit(data)
+    rows = [(int(p[rf.maxDepth]), int(p[rf.maxBins]), float(m)) for p, m in zip(grid, cv.avgMetrics)]
+    return report(spark.createDataFrame(rows, "max_depth int, max_bins int, accuracy double"))
