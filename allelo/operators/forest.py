@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelo.session import checkpoint_dir
+from allelo.session import checkpoint_partitioned
 
 BROADCAST_ROWS = 2_000_000
 HASH_SPACE = 1 << 30
@@ -78,10 +78,9 @@ def _impurity(counts: list[Column], n: Column, kind: str) -> Column:
 
 def prepare_cells(cells: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = cells.sparkSession
-    checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (cells.select("sample_index", "variant_index", F.col("allele").cast("double").alias("allele"))
-            .repartition(parts, "variant_index").checkpoint())
+    c = cells.select("sample_index", "variant_index", F.col("allele").cast("double").alias("allele"))
+    return checkpoint_partitioned(c, parts, "variant_index")
 
 
 def bootstrap(samples: DataFrame, n: int, n_trees: int, seed: int, with_replacement: bool = True) -> DataFrame:

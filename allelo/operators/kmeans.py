@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelo.session import checkpoint_dir
+from allelo.session import checkpoint_partitioned
 
 # cohort-sized tables up to this many rows are broadcast explicitly
 BROADCAST_ROWS = 2_000_000
@@ -39,10 +39,9 @@ class KMeansResult:
 def prepare(long_idx: DataFrame, partitions: int | None = None) -> DataFrame:
     """Partition the cells by variant and pin them with a reliable checkpoint."""
     spark = long_idx.sparkSession
-    checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (long_idx.select("subject_index", "variant_index", F.col("allele").cast("double").alias("allele"))
-            .repartition(parts, "variant_index").checkpoint())
+    cells = long_idx.select("subject_index", "variant_index", F.col("allele").cast("double").alias("allele"))
+    return checkpoint_partitioned(cells, parts, "variant_index")
 
 
 def _small(df: DataFrame, n_rows: int) -> DataFrame:

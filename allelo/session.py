@@ -64,3 +64,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     root = checkpoint_dir(spark)
     return os.path.join(root, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def checkpoint_partitioned(df, partitions: int, *cols: str):
+    """Hash-partition ``df`` by ``cols`` and checkpoint it *keeping* that partitioning.
+
+    Under adaptive execution the checkpointed relation reports an unknown
+    partitioning, so every later join/aggregation on ``cols`` would shuffle
+    the data again.  Planning this one materialisation non-adaptively lets the
+    checkpoint record ``hashpartitioning(cols, partitions)``; iterative
+    operators then join and aggregate on ``cols`` without an exchange of it.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.repartition(partitions, *cols).checkpoint()
+    finally:
+        spark.conf.set(key, before)
