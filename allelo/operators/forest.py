@@ -121,7 +121,18 @@ def _node_totals(state: DataFrame, labels: DataFrame, n_labels: int, kind: str)
 
 def split_scores(x: DataFrame, state: DataFrame, labels: DataFrame, totals: DataFrame, n_labels: int,
                  fraction: float, seed: int, kind: str, state_rows: int) -> DataFrame:
-    """Weighted impurity of every (tree, node, variable, threshold) candidate."""
+    """Weighted impurity of every (tree, node, variable, threshold) candidate.
+
+    Dosages are non-negative and zero cells are absent, so for a threshold
+    ``t`` the right side holds the non-zero values ``> t``: a suffix sum over
+    the distinct non-zero values of each (tree, node, variable), taken with one
+    window whose partition keys contain ``variant_index`` (X's partitioning, so
+    no exchange).  Candidate ``t = 0`` (zeros left, every non-zero right) comes
+    from the smallest value's row; the left side is the node total minus the
+    right side.
+    """
+    from pyspark.sql import Window
+
     sl = state.join(labels, "sample_index").select("tree", "node", "sample_index", "label", "w")
     cells = x.join(_small(sl, state_rows), "sample_index")
     if fraction < 1.0:
@@ -129,25 +140,35 @@ def split_scores(x: DataFrame, state: DataFrame, labels: DataFrame, totals: Data
     cnt = [F.sum(F.when(F.col("label") == l, F.col("w")).otherwise(0)).cast("bigint").alias(f"c{l}")
            for l in range(n_labels)]
     nz = cells.groupBy("tree", "node", "variant_index", "allele").agg(*cnt)
-    nzs = nz.groupBy("tree", "node", "variant_index").agg(
-        *[F.sum(f"c{l}").alias(f"s{l}") for l in range(n_labels)])
-    zero = nzs.join(totals.select("tree", "node", *[f"t{l}" for l in range(n_labels)]), ["tree", "node"]) \
-        .select("tree", "node", "variant_index", F.lit(0.0).alias("allele"),
-                *[(F.col(f"t{l}") - F.col(f"s{l}")).cast("bigint").alias(f"c{l}") for l in range(n_labels)])
-    rows = nz.unionByName(zero)
-    from pyspark.sql import Window
-    w = Window.partitionBy("tree", "node", "variant_index").orderBy("allele") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = rows.select("tree", "node", "variant_index", "allele",
-                      *[F.sum(f"c{l}").over(w).alias(f"l{l}") for l in range(n_labels)])
-    cum = cum.join(totals.select("tree", "node", "size", *[f"t{l}" for l in range(n_labels)]), ["tree", "node"])
-    left = [F.col(f"l{l}") for l in range(n_labels)]
-    right = [F.col(f"t{l}") - F.col(f"l{l}") for l in range(n_labels)]
-    nl = sum(left[1:], left[0])
-    nr = F.col("size") - nl
+    part = Window.partitionBy("tree", "node", "variant_index")
+    desc = part.orderBy(F.col("allele").desc())
+    above = [F.coalesce(F.sum(f"c{l}").over(desc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+             for l in range(n_labels)]
+    every = [F.sum(f"c{l}").over(part) for l in range(n_labels)]
+    is_min = F.col("allele") == F.min("allele").over(part)
+
+    win = nz.select("tree", "node", "variant_index", "allele", is_min.alias("is_min"),
+                    *[a.alias(f"a{l}") for l, a in enumerate(above)],
+                    *[e.alias(f"e{l}") for l, e in enumerate(every)])
+
+    def cand(t, prefix):
+        return F.struct(t.cast("double").alias("threshold"),
+                        *[F.col(f"{prefix}{l}").cast("bigint").alias(f"r{l}") for l in range(n_labels)])
+
+    at_value = cand(F.col("allele"), "a")
+    at_zero = cand(F.lit(0.0), "e")
+    rows = win.select("tree", "node", "variant_index",
+                      F.explode(F.when(F.col("is_min"), F.array(at_value, at_zero))
+                                .otherwise(F.array(at_value))).alias("k"))
+    cand_rows = rows.select("tree", "node", "variant_index", "k.*").join(
+        F.broadcast(totals.select("tree", "node", "size", *[f"t{l}" for l in range(n_labels)])), ["tree", "node"])
+    right = [F.col(f"r{l}") for l in range(n_labels)]
+    left = [F.col(f"t{l}") - F.col(f"r{l}") for l in range(n_labels)]
+    nr = sum(right[1:], right[0])
+    nl = F.col("size") - nr
     weighted = (_impurity(left, nl, kind) * nl + _impurity(right, nr, kind) * nr) / F.col("size").cast("double")
-    return cum.where(nr > 0).select("tree", "node", "variant_index", F.col("allele").alias("threshold"),
-                                    weighted.alias("weighted"))
+    return cand_rows.where((nr > 0) & (nl > 0)).select("tree", "node", "variant_index", "threshold",
+                                                       weighted.alias("weighted"))
 
 
 def best_splits(x: DataFrame, state: DataFrame, labels: DataFrame, totals: DataFrame, n_labels: int,

@@ -132,10 +132,10 @@ CHI2_SQL = with_ctes(sql_indexed("planted") + [fixtures.F2_SQL, """lab AS (selec
 
 
 def _chi2(spark, sf_dir):
-    from allelo.operators.indexing import dense_index
+    from allelo.operators.indexing import class_index
     long, subjects, variants, x = indexed(spark, sf_dir, "planted")
     p = fixtures.panel(spark, sf_dir)
-    lab = dense_index(p.select("super_pop").distinct(), ["super_pop"], "label")
+    lab = class_index(p, "super_pop", "label")
     labels = (subjects.join(p, subjects.subject_id == p["sample"]).join(lab, "super_pop")
               .select(F.col("subject_index").alias("sample_index"), "label"))
     cells = x.select(F.col("subject_index").alias("sample_index"), "variant_index", "allele")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from allelo import fixtures
 from allelo.operators import forest as fr
 from allelo.operators import metrics
-from allelo.operators.indexing import dense_index
+from allelo.operators.indexing import class_index, dense_index
 from allelo.plans import forest_sql as fsql
 from allelo.plans.common import indexed, sql_indexed, with_ctes
 from allelo.plans.registry import register, report
@@ -29,7 +29,7 @@ def _inputs(spark, sf_dir):
     """Cells of F8 with dense sample indices and region labels (all subjects are labelled)."""
     long, subjects, variants, x = indexed(spark, sf_dir, "planted")
     p = fixtures.panel(spark, sf_dir)
-    lab = dense_index(p.select("super_pop").distinct(), ["super_pop"], "label")
+    lab = class_index(p, "super_pop", "label")
     labels = (subjects.join(p, subjects.subject_id == p["sample"]).join(lab, "super_pop")
               .select(F.col("subject_index").alias("sample_index"), "label"))
     cells = x.select(F.col("subject_index").alias("sample_index"), "variant_index", "allele")

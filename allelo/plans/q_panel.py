@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from allelo import fixtures
 from allelo.functions import genotype as gt
 from allelo.operators import metrics
-from allelo.operators.indexing import dense_index, running_removed
+from allelo.operators.indexing import class_index, dense_index, running_removed
 from allelo.plans.common import indexed, sql_ari, sql_indexed, with_ctes
 from allelo.plans.registry import register, report
 from allelo.session import scratch_path
@@ -207,7 +207,7 @@ def q_labelled_subjects(spark, sf_dir):
     """Keep subjects present in the label map and attach the label ordinal in one join."""
     long, subjects, variants, x = indexed(spark, sf_dir)
     p = fixtures.panel(spark, sf_dir)
-    lab = dense_index(p.select("super_pop").distinct(), ["super_pop"], "label")
+    lab = class_index(p, "super_pop", "label")
     labels = p.join(lab, "super_pop").select(F.col("sample").alias("subject_id"), "label")
     return report(subjects.join(labels, "subject_id").select("subject_id", "label"))
 
@@ -229,7 +229,7 @@ def q_label_or_unknown(spark, sf_dir):
     """Every sample's label ordinal, unknown samples get ``labelCount``."""
     long, subjects, variants, x = indexed(spark, sf_dir)
     p = _partial_panel(spark, sf_dir)
-    lab = dense_index(p.select("super_pop").distinct(), ["super_pop"], "label")
+    lab = class_index(p, "super_pop", "label")
     n_labels = lab.count()
     lp = p.join(lab, "super_pop").select(F.col("sample").alias("subject_id"), "label")
     out = subjects.join(lp, "subject_id", "left").select(

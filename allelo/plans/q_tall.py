@@ -10,7 +10,7 @@ from allelo.operators import kmeans as km
 from allelo.operators import matrix as mx
 from allelo.operators import metrics, sampling
 from allelo.operators import select as sel
-from allelo.operators.indexing import dense_index
+from allelo.operators.indexing import class_index, dense_index
 from allelo.plans import tall
 from allelo.plans.common import indexed, kmeans_sql, with_ctes
 from allelo.plans.registry import register, report
@@ -22,7 +22,7 @@ N_SELECT = 100
 def _labelled(spark, sf_dir):
     long, subjects, variants, x = indexed(spark, sf_dir, "planted")
     p = fixtures.panel(spark, sf_dir)
-    lab = dense_index(p.select("super_pop").distinct(), ["super_pop"], "label")
+    lab = class_index(p, "super_pop", "label")
     labels = (subjects.join(p, subjects.subject_id == p["sample"]).join(lab, "super_pop")
               .select(F.col("subject_index").alias("sample_index"), "subject_id", "super_pop",
                       F.col("label").cast("double").alias("label")))
@@ -189,7 +189,7 @@ def q_cluster_vs_panel(spark, sf_dir):
     long, subjects, variants, x = indexed(spark, sf_dir, "planted")
     res = km.fit(x, subjects, 5, 2)
     p = fixtures.panel(spark, sf_dir)
-    lab = dense_index(p.select("super_pop").distinct(), ["super_pop"], "label")
+    lab = class_index(p, "super_pop", "label")
     out = (res.assignment.join(subjects, "subject_index")
            .join(p, F.col("subject_id") == p["sample"]).join(lab, "super_pop")
            .select("subject_id", "cluster", "super_pop", "label").orderBy("cluster", "subject_id"))
