@@ -49,13 +49,32 @@ def variant_dictionary(long: DataFrame, key_cols: list[str] | None = None) -> Da
     return dense_index(long.select(*key_cols).distinct(), key_cols, "variant_index")
 
 
-def running_removed(df: DataFrame, index_col: str, removed: Column, name: str = "shift") -> DataFrame:
-    """Running count of removed entries up to and including each index.
+def prefix_sum(df: DataFrame, order_col: str, value: Column, name: str,
+               partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` in ``order_col`` order, without a single-task window.
 
-    The frame is a running sum over the sample dictionary (cohort-sized).
+    Rows are range-partitioned and checkpointed; a window *within* each range
+    partition gives the local running sum and a prefix sum over the
+    per-partition totals (one row per partition, broadcast) gives the offset.
     """
-    w = Window.orderBy(index_col).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(removed.cast("bigint")).over(w))
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.withColumn("_v", value.cast("bigint")).repartitionByRange(n_parts, order_col)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    local = ranged.withColumn("_loc", F.sum("_v").over(
+        Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = ranged.groupBy("_pid").agg(F.sum("_v").alias("_t"))
+    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, (F.col("_off") + F.col("_loc")).cast("bigint"))
+            .drop("_v", "_pid", "_loc", "_off"))
+
+
+def running_removed(df: DataFrame, index_col: str, removed: Column, name: str = "shift") -> DataFrame:
+    """Running count of removed entries up to and including each index (distributed prefix sum)."""
+    return prefix_sum(df, index_col, removed, name)
 
 
 def label_ordinal(df: DataFrame, label_col: str, name: str = "label_index") -> DataFrame:

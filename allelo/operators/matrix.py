@@ -95,7 +95,11 @@ def burden(long: DataFrame, subject_col: str = "subject_id", value: str = "allel
 # ---------------------------------------------------------------------------
 
 def _gram_tiles(tile: int, chunk: int):
-    """mapInPandas body: dense products of variant chunks for each subject-tile pair."""
+    """mapInPandas body: dense products of variant chunks for each subject-tile pair.
+
+    Works on one partition (sized by the partition count) at a time; memory is
+    one ``tile x tile`` accumulator plus a ``chunk x tile`` block per side.
+    """
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -112,7 +116,6 @@ def _gram_tiles(tile: int, chunk: int):
             acc = np.zeros((tile, tile), dtype=np.float64)
             for start in range(0, len(uv), chunk):
                 m = (vloc >= start) & (vloc < start + chunk)
-                rows = vloc[m] - start
                 xi = np.zeros((min(chunk, len(uv) - start), tile))
                 mi = m & (t == ti)
                 xi[vloc[mi] - start, s[mi] - ti * tile] = a[mi]
@@ -122,7 +125,6 @@ def _gram_tiles(tile: int, chunk: int):
                     xj = np.zeros_like(xi)
                     mj = m & (t == tj)
                     xj[vloc[mj] - start, s[mj] - tj * tile] = a[mj]
-                del rows
                 acc += xi.T @ xj
             ii, jj = np.nonzero(acc)
             gi, gj = ii + ti * tile, jj + tj * tile
@@ -160,6 +162,11 @@ def gram(long_idx: DataFrame, n_subjects: int, tile: int = 2048, chunk: int = 40
     return partial.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
+def tile_for(n_subjects: int, cap: int = 2048) -> int:
+    """Tile edge: two tiles for small cohorts (exercises the tiling), at most ``cap``."""
+    return int(min(cap, max(64, -(-int(n_subjects) // 2))))
+
+
 def cosine_similarity(gram_df: DataFrame) -> DataFrame:
     """``G[i,j] / sqrt(G[i,i] * G[j,j])`` from an upper-triangular Gram table."""
     diag = gram_df.where(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.col("g").alias("d"))

@@ -47,6 +47,7 @@ def q_kmeans_ari(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from allelo.operators import matrix as mx  # noqa: E402
+_tile = mx.tile_for
 from allelo.operators.indexing import dense_index  # noqa: E402
 from allelo.plans.common import sql_indexed  # noqa: E402
 from allelo.session import scratch_path  # noqa: E402
@@ -185,7 +186,7 @@ group by a.si, b.si""")
 def q_gram(spark, sf_dir):
     """Gram matrix over subjects (upper triangle) by tiled dense block products."""
     _, subjects, variants, x = indexed(spark, sf_dir)
-    return report(mx.gram(x, subjects.count(), tile=64))
+    return report(mx.gram(x, subjects.count(), tile=_tile(subjects.count())))
 
 
 @register("cosine_exact", with_ctes(sql_indexed()) + """,
@@ -196,7 +197,7 @@ select g.i, g.j, round(g.g / sqrt(di.d * dj.d), 6) cosine from g join d di on di
 def q_cosine_exact(spark, sf_dir):
     """Exact cosine similarity between subject columns."""
     _, subjects, variants, x = indexed(spark, sf_dir)
-    return report(mx.cosine_similarity(mx.gram(x, subjects.count(), tile=64)))
+    return report(mx.cosine_similarity(mx.gram(x, subjects.count(), tile=_tile(subjects.count()))))
 
 
 @register("locus_key", with_ctes([fixtures.F1_SQL]) + """

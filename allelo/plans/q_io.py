@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from allelo import fixtures
 from allelo.operators import kmeans as km
 from allelo.operators import matrix as mx
+_tile = mx.tile_for
 from allelo.plans.common import indexed, kmeans_sql, sql_indexed, with_ctes
 from allelo.plans.registry import register, report
 from allelo.session import scratch_path
@@ -137,7 +138,7 @@ def q_gram_export(spark, sf_dir):
     """Gram matrix rows as dense CSV lines, re-read and summarised per row."""
     long, subjects, variants, x = indexed(spark, sf_dir)
     n = subjects.count()
-    lines = tio.gram_lines(mx.gram(x, n, tile=64), n)
+    lines = tio.gram_lines(mx.gram(x, n, tile=_tile(n)), n)
     path = scratch_path(spark, "gram")
     lines.select(F.concat_ws(":", F.col("i").cast("string"), "value").alias("value")).write.text(path)
     back = spark.read.text(path).select(F.split("value", ":").alias("p"))

@@ -8,6 +8,7 @@ from allelo import fixtures
 from allelo.operators import forest as fr
 from allelo.operators import kmeans as km
 from allelo.operators import matrix as mx
+_tile = mx.tile_for
 from allelo.operators import metrics, sampling
 from allelo.operators import select as sel
 from allelo.operators.indexing import class_index, dense_index
@@ -146,7 +147,7 @@ def q_cv_ari(spark, sf_dir):
 
 @register("model_io")
 def q_model_io(spark, sf_dir):
-    """Save a fitted pipeline model and wide k-means centres; reload both and predict."""
+    """Save a fitted pipeline model, reload it and predict."""
     from pyspark.ml import PipelineModel
     data = _tall(spark, sf_dir)
     model = tall.rf_classifier(data, n_trees=5, max_depth=3, seed=3)
@@ -232,9 +233,9 @@ def q_cosine_mae(spark, sf_dir):
     """Sampled (variant-subsampled, rescaled) cosine similarities vs exact; mean absolute error."""
     long, subjects, variants, x = indexed(spark, sf_dir)
     n = subjects.count()
-    exact = mx.cosine_similarity(mx.gram(x, n, tile=64))
+    exact = mx.cosine_similarity(mx.gram(x, n, tile=_tile(n)))
     sampled_x = sampling.sample_variants(x, "variant_index", 0.5, seed=13)
-    approx = mx.cosine_similarity(mx.gram(sampled_x, n, tile=64)).withColumnRenamed("cosine", "approx")
+    approx = mx.cosine_similarity(mx.gram(sampled_x, n, tile=_tile(n))).withColumnRenamed("cosine", "approx")
     j = exact.join(approx, ["i", "j"], "left").fillna(0.0, ["approx"])
     return report(j.agg(F.avg(F.abs(F.col("cosine") - F.col("approx"))).alias("mae"),
                         F.count(F.lit(1)).alias("n_pairs")))
