@@ -11,14 +11,25 @@ from allelo.operators.indexing import subject_dictionary, variant_dictionary
 from allelo.operators.matrix import index_long
 
 
-def indexed(spark: SparkSession, sf_dir: str, source: str = "flat"):
-    """(long, subjects, variants, long_idx) for fixture ``flat`` (F1) or ``planted`` (F8)."""
+def indexed(spark: SparkSession, sf_dir: str, source: str = "flat", dense_variants: bool = True):
+    """(long, subjects, variants, long_idx) for fixture ``flat`` (F1) or ``planted`` (F8).
+
+    ``dense_variants=False`` keeps ``variant_index = variant_key``: algorithms that
+    only need a unique, ordered variant id (k-means, chi-square, Gram, the VCF
+    writer) then skip the distributed dense index and the shuffle join of every
+    cell with the variant dictionary; order-based tie rules are unchanged
+    because the dense index is monotone in the key.
+    """
     long = fixtures.flat(spark, sf_dir) if source == "flat" else fixtures.planted(spark, sf_dir)
     # short lineage back to parquet: a cache is enough (recomputed if an executor is lost)
     long = long.persist(StorageLevel.MEMORY_AND_DISK)
     subjects = subject_dictionary(long)
-    variants = variant_dictionary(long)
-    return long, subjects, variants, index_long(long, subjects, variants)
+    if dense_variants:
+        variants = variant_dictionary(long)
+        return long, subjects, variants, index_long(long, subjects, variants)
+    variants = long.select("variant_key").distinct().withColumn("variant_index", F.col("variant_key"))
+    x = long.join(subjects, "subject_id").withColumn("variant_index", F.col("variant_key"))
+    return long, subjects, variants, x
 
 
 def sql_indexed(source: str = "flat") -> list[str]:

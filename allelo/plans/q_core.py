@@ -15,7 +15,7 @@ FLAGSHIP_ROUNDS = 2
 
 
 def _kmeans(spark, sf_dir, k=FLAGSHIP_K, rounds=FLAGSHIP_ROUNDS, source="planted"):
-    long, subjects, variants, x = indexed(spark, sf_dir, source)
+    long, subjects, variants, x = indexed(spark, sf_dir, source, dense_variants=False)
     res = km.fit(x, subjects, k, rounds)
     return subjects, res
 
@@ -185,7 +185,7 @@ select a.si i, b.si j, sum(a.allele * b.allele) g from x a join x b on a.vi = b.
 group by a.si, b.si""")
 def q_gram(spark, sf_dir):
     """Gram matrix over subjects (upper triangle) by tiled dense block products."""
-    _, subjects, variants, x = indexed(spark, sf_dir)
+    _, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
     return report(mx.gram(x, subjects.count(), tile=_tile(subjects.count())))
 
 
@@ -196,7 +196,7 @@ d AS (select i k, g d from g where i = j)
 select g.i, g.j, round(g.g / sqrt(di.d * dj.d), 6) cosine from g join d di on di.k = g.i join d dj on dj.k = g.j""")
 def q_cosine_exact(spark, sf_dir):
     """Exact cosine similarity between subject columns."""
-    _, subjects, variants, x = indexed(spark, sf_dir)
+    _, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
     return report(mx.cosine_similarity(mx.gram(x, subjects.count(), tile=_tile(subjects.count()))))
 
 
@@ -212,7 +212,7 @@ def q_locus_key(spark, sf_dir):
 
 
 def _vcf_roundtrip(spark, sf_dir, keep_zero=False):
-    long, subjects, variants, x = indexed(spark, sf_dir)
+    long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
     path = scratch_path(spark, "vcf")
     paths = vcf.write_vcf(x.select("subject_index", "variant_key", "allele"), subjects, subjects.count(), path)
     return vcf.read_vcf(spark, ",".join(paths), keep_zero=keep_zero)
@@ -270,7 +270,7 @@ def q_locus_range(spark, sf_dir):
           "select subject_id, cast(cl as bigint) cluster, round(dist, 6) distance from a0 join subj using (si)")
 def q_kmeans_assign(spark, sf_dir):
     """M4: assignment to the initial centres (samples 0..k-1) without any update round."""
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     xp = km.prepare(x)
     n = subjects.count()
     a = km.assign(xp, km.initial_centres(xp, FLAGSHIP_K), subjects.select("subject_index"), FLAGSHIP_K, n)
@@ -289,7 +289,7 @@ def q_cluster_sizes(spark, sf_dir):
 select round(sum(dist), 4) wssse, count(*) n from a0""")
 def q_wssse(spark, sf_dir):
     """M2: within-cluster sum of squared distances for the initial-centre assignment."""
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     xp = km.prepare(x)
     n = subjects.count()
     c = km.initial_centres(xp, FLAGSHIP_K)

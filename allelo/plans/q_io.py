@@ -100,7 +100,7 @@ def q_subject_dict_io(spark, sf_dir):
           "select subject_id subject, cast(cl as bigint) cluster from a0 join subj using (si)")
 def q_assignments_io(spark, sf_dir):
     """Cluster assignment CSV sink / source."""
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     xp = km.prepare(x)
     a = km.assign(xp, km.initial_centres(xp, 5), subjects.select("subject_index"), 5, subjects.count())
     out = a.join(subjects, "subject_index").select(F.col("subject_id").alias("subject"), "cluster")
@@ -136,7 +136,7 @@ def q_wide_export(spark, sf_dir):
 select i row_index, cast(sum(g) as bigint) row_sum, count(*) nonzero from g group by i""")
 def q_gram_export(spark, sf_dir):
     """Gram matrix rows as dense CSV lines, re-read and summarised per row."""
-    long, subjects, variants, x = indexed(spark, sf_dir)
+    long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
     n = subjects.count()
     lines = tio.gram_lines(mx.gram(x, n, tile=_tile(n)), n)
     path = scratch_path(spark, "gram")
@@ -153,7 +153,7 @@ def q_gram_export(spark, sf_dir):
   from a2 join subj using (si) group by cl""")
 def q_cluster_members(spark, sf_dir):
     """Cluster membership listing lines (members in chunks of 1000 per line)."""
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     res = km.fit(x, subjects, 5, 2)
     a = res.assignment.join(subjects, "subject_index")
     lines = tio.cluster_member_lines(a, chunk=1000)
@@ -179,7 +179,7 @@ def q_json_export(spark, sf_dir):
   'C' || cast(cl as varchar) target from a2 join subj using (si)""")
 def q_sif_export(spark, sf_dir):
     """Predictions as a SIF edge list (source, relation, target), written as text and parsed back."""
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     res = km.fit(x, subjects, 5, 2)
     a = res.assignment.join(subjects, "subject_index").select(
         "subject_id", F.lit("in_cluster").alias("rel"), F.concat(F.lit("C"), F.col("cluster").cast("string")).alias("c"))

@@ -131,9 +131,9 @@ CHI2_SQL = with_ctes(sql_indexed("planted") + [fixtures.F2_SQL, """lab AS (selec
   from a join r using (vi, allele) join ct using (label) group by a.vi)"""])
 
 
-def _chi2(spark, sf_dir):
+def _chi2(spark, sf_dir, dense_variants=True):
     from allelo.operators.indexing import class_index
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=dense_variants)
     p = fixtures.panel(spark, sf_dir)
     lab = class_index(p, "super_pop", "label")
     labels = (subjects.join(p, subjects.subject_id == p["sample"]).join(lab, "super_pop")
@@ -155,7 +155,7 @@ def q_chi2_scores(spark, sf_dir):
   join var using (vi) where rk <= {CHI2_TOP}""")
 def q_chi2_select(spark, sf_dir):
     """Top-20 variants by chi-square (distributed top-k), named by key."""
-    scores, variants = _chi2(spark, sf_dir)
+    scores, variants = _chi2(spark, sf_dir, dense_variants=False)
     top = sel.select_top(scores, CHI2_TOP)
     return report(top.join(variants, "variant_index").select("variant_key", "statistic"))
 

@@ -21,7 +21,7 @@ N_SELECT = 100
 
 
 def _labelled(spark, sf_dir):
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     p = fixtures.panel(spark, sf_dir)
     lab = class_index(p, "super_pop", "label")
     labels = (subjects.join(p, subjects.subject_id == p["sample"]).join(lab, "super_pop")
@@ -187,7 +187,7 @@ def q_kmeans_warm(spark, sf_dir):
         from (select distinct super_pop from panel) t) l using (super_pop)""")
 def q_cluster_vs_panel(spark, sf_dir):
     """Predictions joined to the panel by individual and to the label dictionary."""
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     res = km.fit(x, subjects, 5, 2)
     p = fixtures.panel(spark, sf_dir)
     lab = class_index(p, "super_pop", "label")
@@ -203,7 +203,7 @@ def q_cluster_vs_panel(spark, sf_dir):
   group by a2.cl, panel.pop) t group by cl""")
 def q_cluster_populations(spark, sf_dir):
     """Cluster members mapped to pedigree populations, counted per (cluster, population)."""
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     res = km.fit(x, subjects, 5, 2)
     p = fixtures.panel(spark, sf_dir).select(F.col("sample").alias("subject_id"), "pop")
     c = (res.assignment.join(subjects, "subject_index").join(p, "subject_id")
@@ -231,7 +231,7 @@ def q_importance_stability(spark, sf_dir):
 @register("cosine_mae")
 def q_cosine_mae(spark, sf_dir):
     """Sampled (variant-subsampled, rescaled) cosine similarities vs exact; mean absolute error."""
-    long, subjects, variants, x = indexed(spark, sf_dir)
+    long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
     n = subjects.count()
     exact = mx.cosine_similarity(mx.gram(x, n, tile=_tile(n)))
     sampled_x = sampling.sample_variants(x, "variant_index", 0.5, seed=13)
