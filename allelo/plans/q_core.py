@@ -296,3 +296,17 @@ def q_wssse(spark, sf_dir):
     a = km.assign(xp, c, subjects.select("subject_index"), FLAGSHIP_K, n)
     w = metrics.wssse(xp, a.select("subject_index", "cluster"), km.centres_to_long(c))
     return report(w.select(F.round("wssse", 4).alias("wssse"), "n"))
+
+
+@register("locus_range_parquet", with_ctes([fixtures.F1_SQL]) + """
+select subject_id, variant_key, allele from flat where variant_key between 200 and 1200""")
+def q_locus_range_parquet(spark, sf_dir):
+    """Position-window filter on the flat Parquet table, pushed into the scan.
+
+    The table is written sorted by key within files, so row-group statistics
+    let the reader skip everything outside the window (``PushedFilters``).
+    """
+    from allelo.sources import tables_io as tio
+    path = tio.write_parquet(fixtures.flat(spark, sf_dir).repartitionByRange(8, "variant_key"),
+                             scratch_path(spark, "flat"), cluster_by="variant_key")
+    return report(spark.read.parquet(path).where(F.col("variant_key").between(200, 1200)))

@@ -97,3 +97,31 @@ def test_vcf_stream_ingest(spark):
     q.stop()
     got = spark.read.parquet(root + "/out").count()
     assert got == long.count()
+
+
+def test_vcf_header_mismatch_raises(spark):
+    import tempfile
+
+    import pytest
+
+    from allelo.sources import vcf as v
+
+    root = tempfile.mkdtemp(prefix="allelo-vcf-")
+    a = ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2", "1\t100\t.\tA\tC\t.\tPASS\t.\tGT\t0|1\t1|1"]
+    b = ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS2\tS1", "1\t200\t.\tA\tC\t.\tPASS\t.\tGT\t0|0\t1/1"]
+    for name, lines in (("a.vcf", a), ("b.vcf", b)):
+        with open(f"{root}/{name}", "w") as fh:
+            fh.write("\n".join(lines) + "\n")
+    with pytest.raises(ValueError):
+        v.read_vcf(spark, f"{root}/a.vcf,{root}/b.vcf")
+    one = v.read_vcf(spark, f"{root}/a.vcf").cells.collect()
+    assert sorted((r.subject_id, r.allele) for r in one) == [("S1", 1.0), ("S2", 2.0)]
+
+
+def test_parquet_filter_is_pushed(spark):
+    from allelo.plans.q_core import q_locus_range_parquet
+    from tests.conftest import SF_SMALL as sf
+
+    df = q_locus_range_parquet(spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(variant_key), GreaterThanOrEqual(variant_key,200)" in plan
