@@ -134,8 +134,10 @@ def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int,
         else:
             centres.unpersist()
             centres = new_centres
-    assignment = assign(x, centres, subjects, k, n)
-    return KMeansResult(centres=centres, assignment=assignment, iterations=done)
+    final = centres.checkpoint()
+    centres.unpersist()
+    assignment = assign(x, final, subjects, k, n)
+    return KMeansResult(centres=final, assignment=assignment, iterations=done)
 
 
 def tall_kmeans(vectors: DataFrame, k: int, max_iter: int = 300, init_mode: str = "random",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +20,9 @@ def indexed(spark: SparkSession, sf_dir: str, source: str = "flat", dense_varian
     because the dense index is monotone in the key.
     """
     long = fixtures.flat(spark, sf_dir) if source == "flat" else fixtures.planted(spark, sf_dir)
-    # short lineage back to parquet: a cache is enough (recomputed if an executor is lost)
-    long = long.persist(StorageLevel.MEMORY_AND_DISK)
+    # reused by both dictionaries and the index join: pin it once as a checkpoint (a plan leaf;
+    # cached plans would stay in the session's cache manager after the query)
+    long = long.checkpoint()
     subjects = subject_dictionary(long)
     if dense_variants:
         variants = variant_dictionary(long)

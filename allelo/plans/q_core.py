@@ -48,7 +48,6 @@ def q_kmeans_ari(spark, sf_dir):
 
 from allelo.operators import matrix as mx  # noqa: E402
 _tile = mx.tile_for
-from allelo.operators.indexing import dense_index  # noqa: E402
 from allelo.plans.common import sql_indexed  # noqa: E402
 from allelo.session import scratch_path  # noqa: E402
 from allelo.sources import vcf  # noqa: E402

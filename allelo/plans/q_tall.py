@@ -37,8 +37,7 @@ def _tall(spark, sf_dir):
     scores = sel.chi2_scores(cells, labels.select("sample_index", F.col("label").cast("int").alias("label")))
     top = sel.select_top(scores, N_SELECT)
     vec, d = tall.tall_vectors(cells, top)
-    data = labels.join(vec, "sample_index").persist()
-    return data
+    return labels.join(vec, "sample_index").checkpoint()
 
 
 @register("label_index", with_ctes([fixtures.F2_SQL]) + """select super_pop, cast(row_number() over
@@ -132,7 +131,7 @@ def q_cv_ari(spark, sf_dir):
     """10-fold cross-validation of logistic regression scored by ARI and error."""
     data = _tall(spark, sf_dir)
     f = sampling.folds(data.select("subject_id"), "subject_id", 10, seed=5)
-    d = data.join(f, "subject_id").persist()
+    d = data.join(f, "subject_id").checkpoint()
     preds = None
     for k in range(10):
         train, test = sampling.train_test(d, "fold", k)

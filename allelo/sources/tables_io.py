@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelo.functions.dense import dense_text
 from allelo.functions.genotype import round_half_up
 
 # Column ordinals of the mutation table (0-based) and the first
@@ -47,12 +48,12 @@ def mutation_features(events: DataFrame, keep_msi: str = "MSS") -> DataFrame:
     """Per (person, gene) mutation counts with gene index and metadata.
 
     Counting is a partial+final hash aggregate; the gene dictionary (distinct
-    genes, dense index in name order) and the person table are joined after.
+    genes coded in name order) and the person table are joined after.
     """
-    from allelo.operators.indexing import dense_index
+    from allelo.operators.indexing import class_index
 
     counts = events.groupBy("individual", "gene").agg(F.count(F.lit(1)).alias("n"))
-    genes = dense_index(events.select("gene").distinct(), ["gene"], "gene_index")
+    genes = class_index(events, "gene", "gene_index")   # a gene vocabulary is bounded (~2e4 names)
     persons = events.select("individual", "msi_status", "bmi", "bmi_cat").dropDuplicates(["individual"])
     return (counts.join(genes, "gene").join(persons, "individual")
             .where(F.col("msi_status") == keep_msi)
@@ -137,10 +138,9 @@ def wide_export_lines(long_idx: DataFrame, labels: DataFrame, n_samples: int) ->
     """
     lab = labels.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_index", "label"))),
                                               lambda s: s["label"].cast("string")), ",").alias("value"))
-    per = long_idx.groupBy("variant_index").agg(
-        F.map_from_entries(F.collect_list(F.struct("sample_index", F.col("allele").cast("int")))).alias("m"))
-    vals = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)))
-    body = per.select("variant_index", F.array_join(vals, ",").alias("value"))
+    per = long_idx.groupBy("variant_index").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("sample_index").alias("i"), F.col("allele").cast("int").cast("string").alias("v")))).alias("e"))
+    body = per.select("variant_index", dense_text("e", n_samples, "0").alias("value"))
     return lab, body
 
 
@@ -148,9 +148,9 @@ def gram_lines(gram_df: DataFrame, n: int) -> DataFrame:
     """Dense rows of a symmetric Gram matrix from its upper triangle, one line per row."""
     full = gram_df.unionByName(gram_df.where(F.col("i") != F.col("j"))
                                .select(F.col("j").alias("i"), F.col("i").alias("j"), "g"))
-    per = full.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", F.col("g").cast("bigint")))).alias("m"))
-    vals = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(F.col("m")[j], F.lit(0).cast("bigint")))
-    return per.select("i", F.array_join(vals, ",").alias("value"))
+    per = full.groupBy("i").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("j").alias("i"), F.col("g").cast("bigint").cast("string").alias("v")))).alias("e"))
+    return per.select("i", dense_text("e", n, "0").alias("value"))
 
 
 def cluster_member_lines(assign: DataFrame, chunk: int = 1000) -> DataFrame:

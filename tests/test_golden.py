@@ -119,3 +119,19 @@ def test_gini_and_majority(spark):
     got = {r.g: (r.majority, r.impurity, r.size) for r in metrics.gini(df, ["g"], "label").collect()}
     assert got[1][0] == 1 and got[1][1] == pytest.approx(0.5) and got[1][2] == 4
     assert got[2] == (3, 0.0, 1)
+
+
+def test_dense_values_and_text(spark):
+    from allelo.functions.dense import dense_text, dense_values
+
+    df = spark.createDataFrame([(1, [(0, 5), (3, 7)]), (2, []), (3, [(4, 1)])],
+                               "r int, e array<struct<i: int, v: int>>")
+    got = {r.r: (r.d, r.t) for r in df.select(
+        "r", dense_values("e", 5, 0).alias("d"),
+        F.array_join(
+            F.transform(dense_values("e", 5, 0), lambda x: x.cast("string")), ",").alias("t")).collect()}
+    assert got[1] == ([5, 0, 0, 7, 0], "5,0,0,7,0")
+    assert got[2] == ([0, 0, 0, 0, 0], "0,0,0,0,0")
+    assert got[3] == ([0, 0, 0, 0, 1], "0,0,0,0,1")
+    s = spark.createDataFrame([([(1, "2")],)], "e array<struct<i: int, v: string>>")
+    assert s.select(dense_text("e", 3).alias("t")).first().t == "0,2,0"
