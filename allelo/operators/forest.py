@@ -106,8 +106,12 @@ def variable_pick(seed: int, fraction: float) -> Column:
     return h < F.lit(int(fraction * HASH_SPACE))
 
 
+def _with_labels(state: DataFrame, labels: DataFrame) -> DataFrame:
+    return state if "label" in state.columns else state.join(labels, "sample_index")
+
+
 def _node_totals(state: DataFrame, labels: DataFrame, n_labels: int, kind: str) -> DataFrame:
-    sl = state.join(labels, "sample_index")
+    sl = _with_labels(state, labels)
     tots = [F.sum(F.when(F.col("label") == l, F.col("w")).otherwise(0)).cast("bigint").alias(f"t{l}")
             for l in range(n_labels)]
     t = sl.groupBy("tree", "node").agg(*tots)
@@ -133,7 +137,7 @@ def split_scores(x: DataFrame, state: DataFrame, labels: DataFrame, totals: Data
     """
     from pyspark.sql import Window
 
-    sl = state.join(labels, "sample_index").select("tree", "node", "sample_index", "label", "w")
+    sl = _with_labels(state, labels).select("tree", "node", "sample_index", "label", "w")
     cells = x.join(_small(sl, state_rows), "sample_index")
     if fraction < 1.0:
         cells = cells.where(variable_pick(seed, fraction))
@@ -195,7 +199,8 @@ def _route(x: DataFrame, state: DataFrame, splits: DataFrame, bound: int = BROAD
         .select(F.col("variant_index").alias("variable"), "sample_index", "allele")
     routed = sv.join(xv, ["variable", "sample_index"], "left")
     go_right = (F.coalesce(F.col("allele"), F.lit(0.0)) > F.col("threshold")).cast("bigint")
-    return routed.select("tree", "sample_index", (F.col("node") * 2 + go_right).alias("node"), "w")
+    carried = [c for c in state.columns if c not in ("tree", "sample_index", "node")]
+    return routed.select("tree", "sample_index", (F.col("node") * 2 + go_right).alias("node"), *carried)
 
 
 def root_state(labels: DataFrame) -> DataFrame:
@@ -220,7 +225,9 @@ def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams
             n_variables = x.select("variant_index").distinct().count()
         frac = math.sqrt(n_variables) / n_variables if n_variables else 1.0
     bag = bootstrap(labels.select("sample_index"), n, params.n_trees, params.seed, params.bootstrap).checkpoint()
-    state = bag.select("tree", "sample_index", F.lit(1).cast("bigint").alias("node"), "w")
+    # the state carries each sample's label, joined once, so levels never re-join the labels
+    state = bag.join(labels, "sample_index").select(
+        "tree", "sample_index", F.lit(1).cast("bigint").alias("node"), "w", "label").checkpoint()
     state_rows = n * params.n_trees
     levels = []
     for depth in range(params.max_depth + 1):
