@@ -125,3 +125,19 @@ def test_parquet_filter_is_pushed(spark):
     df = q_locus_range_parquet(spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(variant_key), GreaterThanOrEqual(variant_key,200)" in plan
+
+
+def test_vcf_gzip_by_extension(spark):
+    import gzip
+    import tempfile
+
+    from allelo.sources import vcf as v
+
+    root = tempfile.mkdtemp(prefix="allelo-vcfgz-")
+    lines = ["##fileformat=VCFv4.1", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\tC",
+             "2\t50\t.\tG\tT\t.\tPASS\t.\tGT\t1|1\t0|0\t0/1", "2\t70\t.\tG\tA\t.\tPASS\t.\tGT:DP\t./.:3\t1|0:9\t0|0:1"]
+    with gzip.open(f"{root}/chr2.vcf.gz", "wt") as fh:
+        fh.write("\n".join(lines) + "\n")
+    cells = v.read_vcf(spark, f"{root}/chr2.vcf.gz").cells
+    got = sorted((r.subject_id, r.pos, r.allele) for r in cells.collect())
+    assert got == [("A", 50, 2.0), ("B", 70, 1.0), ("C", 50, 1.0)]
