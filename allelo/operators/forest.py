@@ -210,7 +210,7 @@ def root_state(labels: DataFrame) -> DataFrame:
 
 
 def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams,
-        n_variables: int | None = None) -> ForestModel:
+        n_variables: int | None = None, bag: DataFrame | None = None) -> ForestModel:
     """M8 (one tree) / M10 (forest): grow all trees level by level.
 
     ``cells(sample_index, variant_index, allele)`` with dense sample indices
@@ -224,7 +224,9 @@ def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams
         if n_variables is None:
             n_variables = x.select("variant_index").distinct().count()
         frac = math.sqrt(n_variables) / n_variables if n_variables else 1.0
-    bag = bootstrap(labels.select("sample_index"), n, params.n_trees, params.seed, params.bootstrap).checkpoint()
+    if bag is None:
+        bag = bootstrap(labels.select("sample_index"), n, params.n_trees, params.seed, params.bootstrap)
+    bag = bag.select("tree", "sample_index", F.col("w").cast("bigint").alias("w")).checkpoint()
     # the state carries each sample's label, joined once, so levels never re-join the labels
     state = bag.join(labels, "sample_index").select(
         "tree", "sample_index", F.lit(1).cast("bigint").alias("node"), "w", "label").checkpoint()

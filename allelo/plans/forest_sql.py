@@ -18,18 +18,21 @@ def impurity_sql(cols: list[str], n: str, kind: str) -> str:
     return f"(case when {n} > 0 then log2({n}) - ({sl}) / cast({n} as double) else 0.0 end)"
 
 
-def level_sql(d: int, L: int, kind: str, max_depth: int) -> list[str]:
-    """CTEs for level ``d`` given ``s{d}(si, node)``, ``lab(si, label)``, ``x(si, vi, allele)``."""
+def level_sql(d: int, L: int, kind: str, max_depth: int, p: str = "") -> list[str]:
+    """CTEs for level ``d`` given ``{p}s{d}(si, node, w)``, ``lab(si, label)``, ``x(si, vi, allele)``.
+
+    ``p`` prefixes every CTE name so several trees can be unrolled in one query.
+    """
     tl = [f"t{l}" for l in range(L)]
-    tot_cols = ", ".join(f"cast(sum(case when label = {l} then 1 else 0 end) as bigint) t{l}" for l in range(L))
+    tot_cols = ", ".join(f"cast(sum(case when label = {l} then w else 0 end) as bigint) t{l}" for l in range(L))
     size = "(" + " + ".join(tl) + ")"
     maj = "case " + " ".join(
         f"when {' and '.join(f't{l} > t{m}' if m > l else f't{l} >= t{m}' for m in range(L) if m != l)} then {l}"
         for l in reversed(range(L))) + " end"
-    parts = [f"tot{d} AS (select node, {tot_cols} from s{d} join lab using (si) group by node)",
-             f"tt{d} AS (select *, {size} size, {maj} majority, {impurity_sql(tl, size, kind)} imp from tot{d})"]
+    parts = [f"{p}tot{d} AS (select node, {tot_cols} from {p}s{d} join lab using (si) group by node)",
+             f"{p}tt{d} AS (select *, {size} size, {maj} majority, {impurity_sql(tl, size, kind)} imp from {p}tot{d})"]
     if d < max_depth:
-        cnt = ", ".join(f"cast(sum(case when label = {l} then 1 else 0 end) as bigint) c{l}" for l in range(L))
+        cnt = ", ".join(f"cast(sum(case when label = {l} then s.w else 0 end) as bigint) c{l}" for l in range(L))
         zc = ", ".join(f"t.t{l} - sum(nz.c{l}) c{l}" for l in range(L))
         grp = ", ".join(f"t.t{l}" for l in range(L))
         cum = ", ".join(f"sum(c{l}) over (partition by node, vi order by allele "
@@ -40,48 +43,49 @@ def level_sql(d: int, L: int, kind: str, max_depth: int) -> list[str]:
         nr = f"(size - {nl})"
         weighted = f"(({impurity_sql(ll, nl, kind)}) * {nl} + ({impurity_sql(rr, nr, kind)}) * {nr}) / cast(size as double)"
         parts += [
-            f"nz{d} AS (select s.node, x.vi, x.allele, {cnt} from s{d} s join lab using (si) join x using (si) "
+            f"{p}nz{d} AS (select s.node, x.vi, x.allele, {cnt} from {p}s{d} s join lab using (si) join x using (si) "
             f"group by s.node, x.vi, x.allele)",
-            f"zs{d} AS (select nz.node, nz.vi, cast(0.0 as double) allele, {zc} from nz{d} nz join tot{d} t using (node) "
+            f"{p}zs{d} AS (select nz.node, nz.vi, cast(0.0 as double) allele, {zc} from {p}nz{d} nz join {p}tot{d} t using (node) "
             f"group by nz.node, nz.vi, {grp})",
-            f"cu{d} AS (select node, vi, allele, {cum} from (select * from nz{d} union all select * from zs{d}) u)",
-            f"sc{d} AS (select node, vi, allele threshold, {weighted} weighted from cu{d} join tt{d} using (node) "
+            f"{p}cu{d} AS (select node, vi, allele, {cum} from (select * from {p}nz{d} union all select * from {p}zs{d}) u)",
+            f"{p}sc{d} AS (select node, vi, allele threshold, {weighted} weighted from {p}cu{d} join {p}tt{d} using (node) "
             f"where {nr} > 0)",
-            f"bs{d} AS (select node, vi, threshold, weighted from (select *, row_number() over (partition by node "
-            f"order by round(weighted, 12), vi, threshold) rn from sc{d}) q where rn = 1)",
-            f"nd{d} AS (select cast(tt.node as bigint) node, cast({d} as bigint) depth, case when bs.vi is not null and tt.imp - bs.weighted > 1e-12 "
+            f"{p}bs{d} AS (select node, vi, threshold, weighted from (select *, row_number() over (partition by node "
+            f"order by round(weighted, 12), vi, threshold) rn from {p}sc{d}) q where rn = 1)",
+            f"{p}nd{d} AS (select cast(tt.node as bigint) node, cast({d} as bigint) depth, case when bs.vi is not null and tt.imp - bs.weighted > 1e-12 "
             f"then bs.vi else -1 end variable, case when bs.vi is not null and tt.imp - bs.weighted > 1e-12 "
             f"then bs.threshold else 0.0 end threshold, cast(tt.majority as bigint) majority, case when bs.vi is not null and "
             f"tt.imp - bs.weighted > 1e-12 then tt.imp - bs.weighted else 0.0 end gain, tt.imp impurity, tt.size "
-            f"from tt{d} tt left join bs{d} bs using (node))",
-            f"s{d + 1} AS (select s.si, 2 * s.node + case when coalesce(x.allele, 0) > n.threshold then 1 else 0 end "
-            f"node from s{d} s join nd{d} n on n.node = s.node and n.variable >= 0 "
+            f"from {p}tt{d} tt left join {p}bs{d} bs using (node))",
+            f"{p}s{d + 1} AS (select s.si, 2 * s.node + case when coalesce(x.allele, 0) > n.threshold then 1 else 0 end "
+            f"node, s.w from {p}s{d} s join {p}nd{d} n on n.node = s.node and n.variable >= 0 "
             f"left join x on x.si = s.si and x.vi = n.variable)",
         ]
     else:
-        parts.append(f"nd{d} AS (select cast(node as bigint) node, cast({d} as bigint) depth, cast(-1 as bigint) variable, "
+        parts.append(f"{p}nd{d} AS (select cast(node as bigint) node, cast({d} as bigint) depth, cast(-1 as bigint) variable, "
                      f"cast(0.0 as double) threshold, cast(majority as bigint) majority, "
-                     f"cast(0.0 as double) gain, imp impurity, size from tt{d})")
+                     f"cast(0.0 as double) gain, imp impurity, size from {p}tt{d})")
     return parts
 
 
-def tree_sql(L: int, kind: str, max_depth: int) -> list[str]:
-    parts = ["s0 AS (select si, 1 node from lab)"]
+def tree_sql(L: int, kind: str, max_depth: int, p: str = "", s0: str | None = None) -> list[str]:
+    """Unrolled tree; ``s0`` optionally gives the root state ``(si, node, w)`` (default: every sample, w = 1)."""
+    parts = [f"{p}s0 AS ({s0 or 'select si, 1 node, 1 w from lab'})"]
     for d in range(max_depth + 1):
-        parts += level_sql(d, L, kind, max_depth)
-    parts.append("nodes AS (" + " union all ".join(f"select * from nd{d}" for d in range(max_depth + 1)) + ")")
+        parts += level_sql(d, L, kind, max_depth, p)
+    parts.append(f"{p}nodes AS (" + " union all ".join(f"select * from {p}nd{d}" for d in range(max_depth + 1)) + ")")
     return parts
 
 
-def predict_sql(max_depth: int) -> list[str]:
-    """CTEs walking every labelled sample down ``nodes``; result CTE ``pred(si, prediction)``."""
-    parts = ["p0 AS (select si, 1 node from lab)"]
+def predict_sql(max_depth: int, p: str = "") -> list[str]:
+    """CTEs walking every labelled sample down ``{p}nodes``; result CTE ``{p}pred(si, prediction)``."""
+    parts = [f"{p}p0 AS (select si, 1 node from lab)"]
     for d in range(max_depth + 1):
-        parts.append(f"q{d} AS (select p.si, p.node, n.variable, n.threshold, n.majority from p{d} p "
-                     f"join nodes n on n.node = p.node)")
-        parts.append(f"p{d + 1} AS (select q.si, 2 * q.node + case when coalesce(x.allele, 0) > q.threshold "
-                     f"then 1 else 0 end node from q{d} q left join x on x.si = q.si and x.vi = q.variable "
+        parts.append(f"{p}q{d} AS (select p.si, p.node, n.variable, n.threshold, n.majority from {p}p{d} p "
+                     f"join {p}nodes n on n.node = p.node)")
+        parts.append(f"{p}p{d + 1} AS (select q.si, 2 * q.node + case when coalesce(x.allele, 0) > q.threshold "
+                     f"then 1 else 0 end node from {p}q{d} q left join x on x.si = q.si and x.vi = q.variable "
                      f"where q.variable >= 0)")
-    parts.append("pred AS (" + " union all ".join(
-        f"select si, majority prediction from q{d} where variable < 0" for d in range(max_depth + 1)) + ")")
+    parts.append(f"{p}pred AS (" + " union all ".join(
+        f"select si, majority prediction from {p}q{d} where variable < 0" for d in range(max_depth + 1)) + ")")
     return parts

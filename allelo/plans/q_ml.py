@@ -45,7 +45,7 @@ def _root_scores(spark, sf_dir, kind="gini"):
     return fr.split_scores(x, state, labels, totals, L, 1.0, 0, kind, labels.count()), totals
 
 
-@register("best_split", with_ctes(_base_sql() + ["s0 AS (select si, 1 node from lab)"] + fsql.level_sql(0, N_LABELS_SQL, "gini", 1)) + """
+@register("best_split", with_ctes(_base_sql() + ["s0 AS (select si, 1 node, 1 w from lab)"] + fsql.level_sql(0, N_LABELS_SQL, "gini", 1)) + """
 select vi variable, threshold, round(weighted, 6) weighted from (
   select *, row_number() over (partition by vi order by round(weighted, 12), threshold) rn from sc0) q where rn = 1""")
 def q_best_split(spark, sf_dir):
@@ -58,7 +58,7 @@ def q_best_split(spark, sf_dir):
 
 
 def _best_all_sql(kind):
-    return with_ctes(_base_sql() + ["s0 AS (select si, 1 node from lab)"] + fsql.level_sql(0, N_LABELS_SQL, kind, 1)) + """
+    return with_ctes(_base_sql() + ["s0 AS (select si, 1 node, 1 w from lab)"] + fsql.level_sql(0, N_LABELS_SQL, kind, 1)) + """
 select variable, threshold, majority, round(gain, 6) gain, round(impurity, 6) impurity, size from nd0"""
 
 
@@ -204,3 +204,58 @@ def q_oob_samples(spark, sf_dir):
     bag = fr.bootstrap(labels, n, FOREST_TREES, 11)
     trees = labels.select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(FOREST_TREES - 1))).alias("tree"))
     return report(trees.join(bag, ["tree", "sample_index"], "left_anti"))
+
+
+# ---------------------------------------------------------------------------
+# Forest with a given bag: every sample in every tree, multiplicity 1..3 by a
+# fixed rule, so the whole forest (and its vote) has an exact SQL oracle.
+# ---------------------------------------------------------------------------
+
+BAG_TREES = 3
+BAG_DEPTH = 2
+
+
+def _bag_rule(sample, tree):
+    return 1 + (sample + tree) % 3
+
+
+def _bag_forest(spark, sf_dir):
+    cells, labels, L, variants = _inputs(spark, sf_dir)
+    bag = labels.select(F.explode(F.sequence(F.lit(0), F.lit(BAG_TREES - 1))).alias("tree"), "sample_index") \
+        .select("tree", "sample_index", _bag_rule(F.col("sample_index"), F.col("tree")).cast("bigint").alias("w"))
+    params = fr.ForestParams(n_trees=BAG_TREES, mtry_fraction=1.0, max_depth=BAG_DEPTH, bootstrap=False)
+    return fr.fit(cells, labels, L, params, bag=bag), cells, labels
+
+
+def _bag_sql(with_predict: bool) -> list[str]:
+    parts = _base_sql()
+    for t in range(BAG_TREES):
+        parts += fsql.tree_sql(N_LABELS_SQL, "gini", BAG_DEPTH, p=f"f{t}_",
+                               s0=f"select si, 1 node, 1 + (si + {t}) % 3 w from lab")
+        if with_predict:
+            parts += fsql.predict_sql(BAG_DEPTH, p=f"f{t}_")
+    return parts
+
+
+@register("forest_given_bag", with_ctes(_bag_sql(False)) + " union all ".join(
+    f"""select cast({t} as bigint) tree, node, depth, variable, threshold, majority, round(gain, 6) gain,
+  round(impurity, 6) impurity, size from f{t}_nodes""" for t in range(BAG_TREES)))
+def q_forest_given_bag(spark, sf_dir):
+    """3-tree wide forest grown level-wise from a given bag (sample multiplicities)."""
+    model, cells, labels = _bag_forest(spark, sf_dir)
+    return report(model.nodes.select("tree", "node", "depth", "variable", "threshold", "majority", "gain",
+                                     "impurity", "size"))
+
+
+@register("forest_vote", with_ctes(_bag_sql(True)) + """, v AS (""" + " union all ".join(
+    f"select si, prediction from f{t}_pred" for t in range(BAG_TREES)) + """),
+c AS (select si, prediction, count(*) n from v group by si, prediction)
+select subject_id, cast(arg_max(prediction, n * 10 + prediction) as bigint) vote, cast(sum(n) as bigint) n_votes
+from c join subj using (si) group by subject_id""")
+def q_forest_vote(spark, sf_dir):
+    """Majority vote of the given-bag forest per sample (ties -> largest label)."""
+    model, cells, labels = _bag_forest(spark, sf_dir)
+    pred = fr.forest_predict(model, fr.prepare_cells(cells), labels)
+    long, subjects, _, _ = indexed(spark, sf_dir, "planted", dense_variants=False)
+    out = pred.join(subjects.select(F.col("subject_index").alias("sample_index"), "subject_id"), "sample_index")
+    return report(out.select("subject_id", F.col("vote").cast("bigint").alias("vote"), "n_votes"))
