@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 from allelo.operators.indexing import subject_dictionary, variant_dictionary
 
 DEFAULT_BLOCK = 4096
+# subject dictionaries up to this many rows (ids of a few dozen bytes) are broadcast
+SUBJECT_BROADCAST_ROWS = 5_000_000
+
+
+def join_subjects(long: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Attach ``subject_index``; the cohort-sized dictionary is broadcast below a checked row bound.
+
+    Broadcasting keeps a subject that carries a large share of all cells from
+    turning into one hot shuffle partition; above the bound the join falls back
+    to a shuffle join that AQE's skew handling splits.
+    """
+    n = subjects.count()          # the dictionary is a checkpoint: a cheap count
+    side = F.broadcast(subjects) if n <= SUBJECT_BROADCAST_ROWS else subjects
+    return long.join(side, "subject_id")
 
 
 def dedupe_cells(long: DataFrame, row: str = "subject_id", col: str = "variant_key",
@@ -32,7 +46,7 @@ def index_long(long: DataFrame, subjects: DataFrame | None = None,
     """
     subjects = subjects if subjects is not None else subject_dictionary(long)
     variants = variants if variants is not None else variant_dictionary(long)
-    return long.join(subjects, "subject_id").join(variants, "variant_key")
+    return join_subjects(long, subjects).join(variants, "variant_key")
 
 
 def matrix_dim(long_idx: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from allelo import fixtures
 from allelo.operators.indexing import subject_dictionary, variant_dictionary
-from allelo.operators.matrix import index_long
+from allelo.operators.matrix import index_long, join_subjects
 
 
 def indexed(spark: SparkSession, sf_dir: str, source: str = "flat", dense_variants: bool = True):
@@ -28,7 +28,7 @@ def indexed(spark: SparkSession, sf_dir: str, source: str = "flat", dense_varian
         variants = variant_dictionary(long)
         return long, subjects, variants, index_long(long, subjects, variants)
     variants = long.select("variant_key").distinct().withColumn("variant_index", F.col("variant_key"))
-    x = long.join(subjects, "subject_id").withColumn("variant_index", F.col("variant_key"))
+    x = join_subjects(long, subjects).withColumn("variant_index", F.col("variant_key"))
     return long, subjects, variants, x
 
 
