@@ -25,9 +25,12 @@ def _base_sql():
     return sql_indexed("planted") + [fixtures.F2_SQL, LAB_SQL]
 
 
-def _inputs(spark, sf_dir):
-    """Cells of F8 with dense sample indices and region labels (all subjects are labelled)."""
-    long, subjects, variants, x = indexed(spark, sf_dir, "planted")
+def _inputs(spark, sf_dir, dense_variants=True):
+    """Cells of F8 with dense sample indices and region labels (all subjects are labelled).
+
+    ``dense_variants=False`` identifies variables by variant key (same order, no dictionary).
+    """
+    long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=dense_variants)
     p = fixtures.panel(spark, sf_dir)
     lab = class_index(p, "super_pop", "label")
     labels = (subjects.join(p, subjects.subject_id == p["sample"]).join(lab, "super_pop")
@@ -160,7 +163,7 @@ FOREST_TREES = 5
 
 
 def _forest(spark, sf_dir):
-    cells, labels, L, variants = _inputs(spark, sf_dir)
+    cells, labels, L, variants = _inputs(spark, sf_dir, dense_variants=False)
     params = fr.ForestParams(n_trees=FOREST_TREES, mtry_fraction=0.3, max_depth=6, seed=11)
     return fr.fit(cells, labels, L, params), cells, labels
 
