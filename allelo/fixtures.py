@@ -140,11 +140,6 @@ F6_SQL = """wide AS (
 F7_SQL = """pairs AS (select doc_id, quality c1, toxic c2 from labels)"""
 
 
-def with_sql(*ctes: str) -> str:
-    """Join fixture CTEs into one ``WITH`` prefix."""
-    return "WITH " + ",\n".join(ctes) + "\n"
-
-
 # Population codes for the panel: the phase-3 code list in its fixed order,
 # indexed by nation key (25 nations -> 25 of the 26 codes).
 def _pop_codes():

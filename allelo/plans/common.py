@@ -59,10 +59,6 @@ def with_ctes(parts: list[str]) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def subject_rows(subjects: DataFrame) -> DataFrame:
-    return subjects.select("subject_index")
-
-
 def kmeans_sql(source: str, k: int, rounds: int, c0_sql: list[str] | None = None) -> list[str]:
     """CTEs for ``rounds`` wide k-means updates followed by a final assignment ``a{rounds}``.
 

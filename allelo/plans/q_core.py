@@ -309,3 +309,13 @@ def q_locus_range_parquet(spark, sf_dir):
     path = tio.write_parquet(fixtures.flat(spark, sf_dir).repartitionByRange(8, "variant_key"),
                              scratch_path(spark, "flat"), cluster_by="variant_key")
     return report(spark.read.parquet(path).where(F.col("variant_key").between(200, 1200)))
+
+
+@register("vcf_variant_index", with_ctes([fixtures.F1_SQL]) + """select cast(variant_key % 22 + 1 as varchar) contig,
+  variant_key * 100 pos, row_number() over (order by variant_key % 22 + 1, variant_key * 100) - 1 variant_index
+from (select distinct variant_key from flat) v""")
+def q_vcf_variant_index(spark, sf_dir):
+    """Variant index of the parsed VCF in genomic order (numeric contigs, then position)."""
+    data = _vcf_roundtrip(spark, sf_dir)
+    d = vcf.variant_dictionary(data.cells)
+    return report(d.select("contig", "pos", "variant_index"))
