@@ -354,3 +354,25 @@ def importance_stability(importances: DataFrame, top_n: int) -> DataFrame:
     top = importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return top.groupBy("variable").agg(F.count(F.lit(1)).alias("n_models"),
                                        F.sum("importance").alias("total_importance"))
+
+
+def fit_batched(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams,
+                trees_per_batch: int, n_variables: int | None = None) -> ForestModel:
+    """M10 for large forests: grow ``trees_per_batch`` trees at a time.
+
+    The per-level state and split candidates scale with the number of trees
+    grown together; batching bounds them (state = batch x samples rows, so it
+    stays broadcastable) while every batch still scans X once per level.  Tree
+    ids and bootstrap draws are the same as in a single ``fit``.
+    """
+    n = labels.count()
+    bag_all = bootstrap(labels.select("sample_index"), n, params.n_trees, params.seed, params.bootstrap) \
+        .checkpoint()
+    nodes, bags = None, None
+    for start in range(0, params.n_trees, trees_per_batch):
+        stop = min(params.n_trees, start + trees_per_batch)
+        part = bag_all.where((F.col("tree") >= start) & (F.col("tree") < stop))
+        m = fit(cells, labels, n_labels, params, n_variables=n_variables, bag=part)
+        nodes = m.nodes if nodes is None else nodes.unionByName(m.nodes)
+        bags = m.bag if bags is None else bags.unionByName(m.bag)
+    return ForestModel(nodes=nodes, n_trees=params.n_trees, n_labels=n_labels, bag=bags)

@@ -141,3 +141,16 @@ def test_vcf_gzip_by_extension(spark):
     cells = v.read_vcf(spark, f"{root}/chr2.vcf.gz").cells
     got = sorted((r.subject_id, r.pos, r.allele) for r in cells.collect())
     assert got == [("A", 50, 2.0), ("B", 70, 1.0), ("C", 50, 1.0)]
+
+
+def test_forest_batches_equal_single_fit(spark):
+    subjects, x = _cells(spark)
+    cells = x.select(F.col("subject_index").alias("sample_index"), "variant_index", "allele")
+    labels = subjects.select(F.col("subject_index").alias("sample_index"),
+                             (F.col("subject_index") % 2).cast("int").alias("label"))
+    p = forest.ForestParams(n_trees=4, mtry_fraction=0.5, max_depth=3, seed=9)
+    one = forest.fit(cells, labels, 2, p).nodes
+    two = forest.fit_batched(cells, labels, 2, p, trees_per_batch=2).nodes
+    cols = ["tree", "node", "variable", "threshold", "majority", "size"]
+    assert one.select(cols).exceptAll(two.select(cols)).count() == 0
+    assert two.select(cols).exceptAll(one.select(cols)).count() == 0
