@@ -19,7 +19,7 @@ SUBSET = ["kmeans_ari", "kmeans_wide", "variant_index", "subject_sparse", "gram"
           "panel_load", "group_filter", "label_or_unknown", "drop_unlabelled", "mutation_features",
           "wide_csv_binary", "flat_roundtrip", "cluster_members", "ari", "precision_recall", "chi2_select",
           "mann_whitney", "rbo", "annotate_gene", "tree_nodes", "tree_predict", "importance", "vote",
-          "kmeans_warm", "label_index"]
+          "kmeans_warm", "label_index", "forest_given_bag", "forest_vote", "vcf_variant_index"]
 ALL = os.environ.get("ALLELO_ORACLE_ALL") == "1"
 
 
