@@ -301,9 +301,11 @@ def forest_predict(model: ForestModel, x: DataFrame, samples: DataFrame) -> Data
 def out_of_bag(model: ForestModel, x: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Out-of-bag votes and error.
 
-    Returns ``(per_tree, summary)``: ``per_tree(tree, error)`` is the running
-    error after each tree over samples holding at least one vote, and
-    ``summary`` has the final OOB error and the mean of the running errors.
+    Returns ``(per_tree, summary)``.  ``per_tree.error`` is the running error
+    after each tree over samples holding at least one vote; ``error_all`` is
+    the original definition (all samples, unvoted ones predicted as the
+    highest label).  ``summary`` has the final OOB error, the mean of the
+    running errors and the original forest error (mean of ``error_all``).
     """
     from pyspark.sql import Window
 
@@ -324,10 +326,25 @@ def out_of_bag(model: ForestModel, x: DataFrame, labels: DataFrame) -> tuple[Dat
         F.max(F.struct("cv", "prediction")).alias("b"))
     scored = best.join(labels, "sample_index").select(
         "t", (F.col("b.prediction") != F.col("label")).cast("double").alias("wrong"))
-    per_tree = scored.groupBy(F.col("t").alias("tree")).agg(F.avg("wrong").alias("error"),
-                                                             F.count(F.lit(1)).alias("n_voted"))
+    voted = scored.groupBy(F.col("t").alias("tree")).agg(F.sum("wrong").alias("wrong"),
+                                                          F.count(F.lit(1)).alias("n_voted"))
+    # original definition: every sample counts after every tree; a sample with no vote yet
+    # is predicted as the highest label.  Unvoted samples at tree t are those whose first
+    # vote comes after t (or never): one row per (sample, tree before its first vote).
+    n_total = labels.count()
+    first = votes.groupBy("sample_index").agg(F.min("tree").alias("first"))
+    unvoted = (labels.join(first, "sample_index", "left")
+               .select("label", F.coalesce("first", F.lit(model.n_trees)).alias("first"))
+               .where(F.col("first") > 0)
+               .select("label", F.explode(F.sequence(F.lit(0), F.col("first") - 1)).alias("tree"))
+               .groupBy("tree").agg(F.sum((F.col("label") != model.n_labels - 1).cast("bigint")).alias("u_wrong")))
+    per_tree = (voted.join(unvoted, "tree", "full").fillna(0, ["wrong", "n_voted", "u_wrong"])
+                .select("tree", F.when(F.col("n_voted") > 0, F.col("wrong") / F.col("n_voted")).alias("error"),
+                        "n_voted",
+                        ((F.col("wrong") + F.col("u_wrong")) / F.lit(float(n_total))).alias("error_all")))
     summary = per_tree.agg(F.max_by("error", "tree").alias("oob_error"),
-                           F.avg("error").alias("mean_running_error"))
+                           F.avg("error").alias("mean_running_error"),
+                           F.avg("error_all").alias("original_forest_error"))
     return per_tree, summary
 
 

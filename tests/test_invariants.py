@@ -154,3 +154,17 @@ def test_forest_batches_equal_single_fit(spark):
     cols = ["tree", "node", "variable", "threshold", "majority", "size"]
     assert one.select(cols).exceptAll(two.select(cols)).count() == 0
     assert two.select(cols).exceptAll(one.select(cols)).count() == 0
+
+
+def test_oob_original_definition_bounds(spark):
+    subjects, x = _cells(spark)
+    cells = x.select(F.col("subject_index").alias("sample_index"), "variant_index", "allele")
+    labels = subjects.select(F.col("subject_index").alias("sample_index"),
+                             (F.col("subject_index") % 3).cast("int").alias("label"))
+    model = forest.fit(cells, labels, 3, forest.ForestParams(n_trees=3, mtry_fraction=0.5, max_depth=3, seed=2))
+    per_tree, summary = forest.out_of_bag(model, forest.prepare_cells(cells), labels)
+    rows = per_tree.collect()
+    assert sorted(r.tree for r in rows) == [0, 1, 2]
+    assert all(0.0 <= r.error_all <= 1.0 for r in rows)
+    s = summary.first()
+    assert 0.0 <= s.original_forest_error <= 1.0
