@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelo.llm import langid, licenses, quality
+from allelo.llm import langid, licenses, mixing, packing, quality
 from allelo.llm.common import held_out
 from allelo.tables import load
 
@@ -43,3 +43,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document: base phrases and matched template blocks."""
     return licenses.report(licenses.scan(load(spark, sf_dir, "documents")))
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all documents into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(mixing.ORACLE)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document: weights 3, 1, 2, 150% of all words, at most 2 epochs."""
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target",
+                        (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
