@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelo.llm import langid, licenses, mixing, packing, quality
+from allelo.llm import jaccard, langid, licenses, mixing, packing, quality
 from allelo.llm.common import held_out
 from allelo.tables import load
 
@@ -59,3 +59,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(load(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target",
                         (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+
+
+@query()
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    joined = jaccard.join(load(spark, sf_dir, "documents"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
