@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelo.llm import jaccard, langid, licenses, mixing, packing, quality
+from allelo.llm import jaccard, langid, licenses, mixing, packing, quality, suffixes
 from allelo.llm.common import held_out
 from allelo.tables import load
 
@@ -66,3 +66,9 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     joined = jaccard.join(load(spark, sf_dir, "documents"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query()
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings that start in a smaller one too."""
+    return suffixes.report(load(spark, sf_dir, "documents"))
