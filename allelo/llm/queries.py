@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelo.llm import jaccard, langid, licenses, mixing, packing, quality, suffixes
+from allelo.llm import jaccard, langid, licenses, mixing, packing, quality, scoring, suffixes, urls
 from allelo.llm.common import held_out
 from allelo.tables import load
 
@@ -72,3 +72,16 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 50-byte strings that start in a smaller one too."""
     return suffixes.report(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: the longest fitting rule, else the character models' ratio."""
+    return urls.judge(load(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document between the target and the background model."""
+    texts = scoring.marked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scoring.score(texts, scoring.fit(texts))
