@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelo.llm import jaccard, langid, licenses, mixing, packing, quality, scoring, suffixes, urls
+from allelo.llm import jaccard, langid, licenses, mixing, neighbours, packing, quality, scoring, suffixes, urls
 from allelo.llm.common import held_out
 from allelo.tables import load
 
@@ -85,3 +85,10 @@ def op9_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document between the target and the background model."""
     texts = scoring.marked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return scoring.score(texts, scoring.fit(texts))
+
+
+@query()
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every vector whose id is divisible by 20."""
+    index = neighbours.Index(load(spark, sf_dir, "embeddings"))
+    return index.search(F.col("vec_id") % 20 == 0)
