@@ -322,3 +322,15 @@ def join(docs: DataFrame, size: int = SHINGLE, numerator: int = NUMERATOR, denom
          doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n, c, component`` of every document: set size, class and component."""
     return Join(docs, size, numerator, denominator, doc_id, text).classes()
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
+                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of one document a component: the one with the smallest id.
+
+    Repeated rows stay once; rows with a null id stay.
+    """
+    kept = (join(docs, size, numerator, denominator, doc_id, text).where("doc_id = component")
+            .select(F.col("doc_id").alias("_kept")).distinct())
+    named = docs.join(kept, F.col(f"`{doc_id}`") == F.col("_kept"), "left_semi").dropDuplicates([doc_id, text])
+    return named.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

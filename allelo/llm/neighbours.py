@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from allelo.llm.common import Scratch, bounded_sample, narrow
 
-SAMPLE, BRANCH, LEAF_ROWS, LEAF_SAMPLE, ROUNDS = 20_000, 8, 128, 12, 8
-CALIBRATE, RECALL = 100, 0.97
+SAMPLE, BRANCH, LEAF_ROWS, LEAF_SAMPLE, ROUNDS = 20_000, 8, 512, 12, 8
+CALIBRATE, RECALL = 100, 0.95
 BLOCK, QUERY_PART = 8192, 2048
 
 
