@@ -106,20 +106,15 @@ class Parser:
         self.table = np.concatenate(tables).reshape(-1)
         if self.table.max() < 2**31:
             self.table = self.table.astype(np.int32)
-        lower = np.zeros(0x110000, dtype=np.uint16)
-        for cp in range(0x110000):
-            if cp in self.codes:
-                lower[cp] = self.codes[cp]
-        self.lookup = lower
+        # code of every code point: an unseen letter's is 0, that of all else 1
+        self.lookup = np.array([not chr(cp).isalpha() for cp in range(0x110000)], dtype=np.uint16)
+        for cp, code in self.codes.items():
+            self.lookup[cp] = code
 
     def encode(self, text: str) -> np.ndarray:
         """Letter codes with runs of blanks joined."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
         codes = self.lookup[points]
-        ascii_other = (points < 128) & (codes == 0)
-        for i in np.flatnonzero((points >= 128) & (codes == 0)):
-            ascii_other[i] = not chr(points[i]).isalpha()
-        codes[ascii_other] = 1
         blank = codes == 1
         blank[1:] &= blank[:-1]
         blank[:1] = False
