@@ -27,13 +27,14 @@ documents of their own; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelo.llm.common import Scratch, arrow_map, narrow
@@ -41,10 +42,12 @@ from allelo.llm.common import Scratch, arrow_map, narrow
 CAPACITY = 2048
 END_ID = 0
 RANGE_ROWS = 100_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+GROUP_WORDS = 200_000
 
 # white space of the tokenizer and of str.split() differ in these; from U+0300 on normal forms matter
 _ODD = re.compile("[\x1c-\x1fİ̀-\U0010ffff]")
+_TAIL = ".,;:!?"
 _WORKER: dict = {}
 
 
@@ -52,35 +55,72 @@ class WordCache:
     """Ids of whole texts as little-endian 32-bit bytes, through a bounded cache of words.
 
     The tokenizer treats white-space separated words independently, so a text's
-    ids are its words' ids in a row.  Texts with characters for which that could
-    fail are encoded whole.
+    ids are its words' ids in a row.  Words of letters alone are encoded many at
+    a time, as each gives one run of ids up to a token that ends a word.  Texts
+    with characters for which this could fail are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
+        """Add words to the cache; beyond its bound the older half goes first."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = list(words)
-        for word, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.encode(text)
-        words = text.lower().split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            self.learn({w for w in words if w not in self.known})
-            return b"".join([self.known.get(w) or self.encode(w) for w in words])
+            self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2, None))
+        letters, tailed = set(), []
+        for word in words:
+            if word.isalpha():
+                letters.add(word)
+            elif (core := word.rstrip(_TAIL)).isalpha():
+                tailed.append((word, core, word[len(core):]))
+                letters.add(core)
+            else:
+                self.known[word] = self.encode(word)
+        fresh = [w for w in letters if w not in self.known]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends, raw, at = 4 * (np.flatnonzero(self.ends[ids]) + 1), ids.tobytes(), 0
+        for word, end in zip(fresh, ends.tolist(), strict=True):
+            self.known[word] = raw[at:end]
+            at = end
+        for word, core, tail in tailed:
+            if tail not in self.known:
+                self.known[tail] = self.encode(tail)
+            self.known[word] = self.known[core] + self.known[tail]
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of every text; the new words of about ``GROUP_WORDS`` words are learned together."""
+        group, size = [], 0
+        for text in texts:
+            words = None if _ODD.search(text) else text.lower().split()
+            group.append((text, words))
+            size += len(words or ())
+            if size >= GROUP_WORDS:
+                yield from self.of(group)
+                group, size = [], 0
+        yield from self.of(group)
+
+    def of(self, group: list[tuple[str, list[str] | None]]) -> Iterator[bytes]:
+        known = self.known
+        if fresh := {w for _, words in group if words for w in words if w not in known}:
+            self.learn(fresh)
+        for text, words in group:
+            if words is None:
+                yield self.encode(text)
+            else:
+                try:
+                    yield b"".join([self.known[w] for w in words])
+                except KeyError:  # went with the older half
+                    yield b"".join([self.known.get(w) or self.encode(w) for w in words])
 
 
 def _worker(path: str) -> WordCache:
@@ -96,8 +136,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
     def run(keys, texts) -> Iterator[tuple]:
         cache = _worker(tokenizer)
-        for key, body in zip(keys, texts, strict=True):
-            ids = cache.ids(body or "") + closing
+        for key, ids in zip(keys, cache.many([t or "" for t in texts]), strict=True):
+            ids += closing
             for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                 cut = ids[at: at + 4 * capacity]
                 yield (key, n, at // 4, len(cut) // 4, zlib.crc32(cut), *([cut] if with_ids else []))
@@ -196,72 +236,88 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
     rest = items.where(F.col("length") * 2 <= capacity).select("item", "length")
     gaps = (big.where(F.col("length") < capacity)
             .select(F.col("item").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap")))
-    opened, stuck = 0, True
+    left, words, shortest = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length")).first()
+    opened, full = 0, False  # full: no piece left fits any gap left
     for turn in itertools.count():
-        left = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length")).first()
-        if not left[0]:
+        if not left:
             break
-        gaps = gaps.where(F.col("gap") >= left[2])  # smaller ones are closed for good
-        free = gaps.agg(F.count("*"), F.coalesce(F.sum("gap"), F.lit(0))).first()
-        new = 0
-        if stuck:
-            new = max(-(-(left[1] - (free[1] if turn == 0 else 0)) // capacity), int(turn > 0), int(not free[0]))
-            gaps = gaps.unionByName(spark.range(new).select(
-                (-F.col("id") - 1 - opened).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
-            opened += new
-        ranges = 1 + (left[0] + free[0] + new) // RANGE_ROWS
+        gaps = gaps.where(F.col("gap") >= shortest)  # smaller ones are closed for good
+        free, space = gaps.agg(F.count("*"), F.coalesce(F.sum("gap"), F.lit(0))).first()
+        new = -(-words // capacity) if full else max(-(-(words - space) // capacity), int(not free), 0)
+        gaps = gaps.unionByName(spark.range(new).select(
+            (-F.col("id") - 1 - opened).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
+        opened += new
+        ranges = -(-(left + free + new) // RANGE_ROWS)
         swept = scratch.write(_sorted_sweep(gaps, rest, ranges), f"sweep{turn}")
-        summary = (swept.where("tag in ('i', 'g')").groupBy("range")
-                   .agg(F.sum(F.expr("int(tag = 'i')")), F.max("length"), F.sum(F.expr("int(tag = 'g')")),
-                        F.min(F.when(F.col("tag") == "g", F.col("gap")))).collect())
-        runs = match_runs([tuple(x or 0 for x in r) for r in summary])
-        after = scratch.write(_settle(spark, swept, runs, capacity), f"round{turn}")
-        scratch.drop(f"sweep{turn}")
-        placed.append(after.where("tag = 'p'").select("item", F.col("seq").alias("sequence_id"), "offset"))
-        rest = after.where("tag = 'i'").select("item", "length")
-        gaps = after.where("tag = 'g'").select("seq", "gap")
-        stuck = not after.where("tag = 'p'").limit(1).count()
+        summary = _by_range(swept)
+        runs = match_runs([(where, items["n"], items["longest"], gaps["n"], gaps["least"])
+                           for where, (items, gaps) in summary["left"].items()])
+        met = swept.where("tag = 'm'")
+        placed.append(met.select("item", F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset")))
+        count, table = summary["placed"], swept
+        if runs:
+            table = scratch.write(_settle(spark, swept, runs, capacity), f"round{turn}")
+            placed.append(table.where("tag = 'p'").select("item", F.col("seq").alias("sequence_id"), "offset"))
+            count += sum(end - first for _, first, end, *_ in runs)
+        rest = table.where("tag = 'i'").select("item", "length")
+        gaps = table.where("tag in ('g', 'u')").select("seq", "gap")
+        left, words, shortest = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length")).first()
+        full = ranges == 1 or not count
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _by_range(swept: DataFrame) -> dict:
+    """What a sweep left: per range its pieces and gaps (three rows a range reach the driver), and how many it placed."""
+    rows = swept.groupBy("range", "tag").agg(F.count("*").alias("n"), F.max("length").alias("longest"),
+                                             F.min("gap").alias("least")).collect()
+    none = {"n": 0, "longest": 0, "least": 0}
+    left: dict[int, list] = {}
+    for r in rows:
+        if r["tag"] in "ig":
+            left.setdefault(r["range"], [none, none])["ig".index(r["tag"])] = r.asDict()
+    return {"left": left, "placed": sum(r["n"] for r in rows if r["tag"] == "m")}
+
+
 def _sorted_sweep(gaps: DataFrame, rest: DataFrame, ranges: int) -> DataFrame:
     both = (gaps.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key"))
             .unionByName(rest.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("item").alias("key"))))
     order = [F.desc("size"), F.asc("kind"), F.asc("key")]
-    return _sweep(both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-                  .withColumn("range", F.spark_partition_id()))
+    dealt = both.repartitionByRange(ranges, *order) if ranges > 1 else both.coalesce(1)  # at most RANGE_ROWS rows
+    return _sweep(dealt.sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
 
 
 def _settle(spark: SparkSession, swept: DataFrame, runs: list[tuple], capacity: int) -> DataFrame:
-    """Placements, pieces left and shrunken gaps after a round, as one table."""
+    """Matches between ranges (p), pieces left (i) and gaps left (g) after a round, as one table."""
     intervals = F.broadcast(spark.createDataFrame(  # at most two rows a range
-        runs, "range int, first long, end long, gap_range int, top long, per long"))
-    items, free = swept.where("tag = 'i'"), swept.where("tag = 'g'")
-    aimed = (items.join(intervals.withColumnRenamed("range", "r"),
-                        (F.col("range") == F.col("r")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")),
-                        "left")
-             .select("item", "length", "gap_range",
-                     F.expr("top - (rank - first) div per").alias("gap_rank")))
-    slots = free.select("seq", "gap", F.col("range").alias("gap_range"), F.col("rank").alias("gap_rank"))
-    met = aimed.where("gap_range is not null").join(slots, ["gap_range", "gap_rank"])
-    own = Window.partitionBy("seq").orderBy(F.desc("length"), "item")
-    before = F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = met.select("item", "seq", "length", "gap", before.alias("before"),
-                     F.sum("length").over(Window.partitionBy("seq")).alias("took"))
-    near = swept.where("tag = 'm'")
+        runs, "r int, first long, end long, gap_range int, top long, per long"))
+    inside = (F.col("range") == F.col("r")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
+    aimed = (swept.where("tag = 'i'").join(intervals, inside, "left")
+             .select("item", "length", "gap_range", F.expr("top - (rank - first) div per").alias("gap_rank"),
+                     F.expr("(rank - first) % per").alias("turn")))
+    slots = (swept.where("tag in ('g', 'u')")
+             .select("seq", "gap", F.when(F.col("tag") == "g", F.col("range")).alias("gap_range"),
+                     F.col("rank").alias("gap_rank")))
+    taken = (aimed.where("gap_range is not null").groupBy("gap_range", "gap_rank")  # at most gap / longest pieces
+             .agg(F.array_sort(F.collect_list(F.struct("turn", "item", "length"))).alias("pieces")))
+    both = slots.join(taken, ["gap_range", "gap_rank"], "left")
+    zero = F.lit(0).cast("long")
+    took = F.coalesce(F.aggregate("pieces", zero, lambda a, x: a + x["length"]), zero)
+    # every gap gives one row for what is left of it and one for each piece it took
     none = F.lit(None).cast("long")
-    shape = lambda df, tag, **c: df.select(
-        F.lit(tag).alias("tag"), *[c.get(n, none).alias(n) for n in ("item", "length", "seq", "gap", "offset")])
-    item, length, seq, gap = map(F.col, ("item", "length", "seq", "gap"))
-    return (shape(near, "p", item=item, seq=seq, offset=F.lit(capacity) - gap)
-            .unionByName(shape(met, "p", item=item, seq=seq, offset=F.lit(capacity) - gap + F.col("before")))
-            .unionByName(shape(aimed.where("gap_range is null"), "i", item=item, length=length))
-            .unionByName(shape(swept.where("tag = 'u'"), "g", seq=seq, gap=gap))
-            .unionByName(shape(met.where("before = 0 and gap > took"), "g", seq=seq, gap=gap - F.col("took")))
-            .unionByName(shape(free.join(met.select("seq").distinct(), "seq", "left_anti"), "g", seq=seq, gap=gap)))
+    own = F.array(F.struct(F.lit("g").alias("tag"), none.alias("item"), none.alias("length"),
+                           (F.col("gap") - took).alias("gap"), none.alias("offset")))
+    before = lambda i: F.aggregate(F.slice("pieces", 1, i), zero, lambda a, x: a + x["length"])
+    each = F.transform("pieces", lambda x, i: F.struct(
+        F.lit("p").alias("tag"), x["item"].alias("item"), x["length"].alias("length"), none.alias("gap"),
+        (F.lit(capacity) - F.col("gap") + before(i)).alias("offset")))
+    rows = both.select("seq", F.explode(F.concat(own, F.coalesce(each, F.slice(own, 1, 0)))).alias("x")).select(
+        "x.tag", "x.item", "x.length", "seq", "x.gap", "x.offset").where("tag = 'p' or gap > 0")
+    over = aimed.where("gap_range is null").select(F.lit("i").alias("tag"), "item", "length", none.alias("seq"),
+                                                   none.alias("gap"), none.alias("offset"))
+    return rows.unionByName(over)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False,
