@@ -159,9 +159,10 @@ def training_sequences(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     """Line features of at most ``sample`` labelled documents a class, chosen by a seeded hash."""
     known = narrow(labels, doc_id="doc_id", quality="quality").where("quality in (0, 1) and doc_id is not null")
     chosen = bounded_sample(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), "quality", "doc_id", sample)
-    texts = narrow(docs, doc_id="doc_id", text="text").where(F.length("text") > 0).dropDuplicates(["doc_id"])
-    rows = (texts.join(F.broadcast(chosen), "doc_id")
-            .select("quality", F.slice(F.split("text", "\n"), 1, SAMPLE_LINES).alias("lines")).collect())
+    texts = narrow(docs, doc_id="doc_id", text="text").where(F.length("text") > 0)
+    rows = (texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+            .groupBy("doc_id", "quality").agg(F.min(F.slice(F.split("text", "\n"), 1, SAMPLE_LINES)).alias("lines"))
+            .select("quality", "lines").collect())
     out = []
     for quality, lines in sorted((r["quality"], r["lines"]) for r in rows):
         kept = [line.encode("utf-8", "replace") for line in lines if line.strip(" \t\n\r\x0b\x0c")]
