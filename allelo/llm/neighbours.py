@@ -130,15 +130,23 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.add.reduce(rows * query, axis=1)
 
 
-def best(query: np.ndarray, rough: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact scores of the ``k`` best rows by (score, smaller id); ``rough``: -inf takes no part."""
-    open_ = np.flatnonzero(rough > -np.inf)
-    if len(open_) > k:
-        edge = np.partition(rough[open_], len(open_) - k)[len(open_) - k]
-        open_ = open_[rough[open_] >= edge - 1e-9 * (1 + abs(edge))]
-    score = exact(query, rows[open_])
-    order = np.lexsort((ids[open_], -score))[:k]
-    return open_[order], score[order]
+def best(query: np.ndarray, rough: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int,
+         repeated: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the ``k`` best ids by (score, smaller id).
+
+    ``rough``: products that choose the candidates; ``repeated``: how many rows repeat another's id.
+    """
+    near = np.arange(len(ids))
+    if len(ids) > k + repeated:
+        edge = np.partition(rough, len(ids) - k - repeated)[len(ids) - k - repeated]
+        near = np.flatnonzero(rough >= edge - 1e-9 * (1 + abs(edge)))
+    score = exact(query, rows[near])
+    order = np.lexsort((ids[near], -score))
+    if repeated:
+        _, first = np.unique(ids[near][order], return_index=True)
+        order = order[np.sort(first)]
+    order = order[:k]
+    return near[order], score[order]
 
 
 class Index:
@@ -153,7 +161,7 @@ class Index:
         self.dim = widths["d"] if widths else 0
         self.size = widths["count"] if widths else 0
         rows = rows.where(F.size("v") == self.dim)
-        picked = bounded_sample(rows.withColumn("all", F.lit(0)), "all", "vec_id", sample).select("vec_id", "v").toArrow()
+        picked = bounded_sample(rows.withColumn("all", F.lit("")), "all", "vec_id", sample).select("vec_id", "v").toArrow()
         points = matrix(picked.column("v").combine_chunks(), self.dim) if self.size else np.zeros((0, 0))
         order = np.argsort(picked.column("vec_id").to_numpy(), kind="stable")
         points = points[order]
@@ -289,6 +297,7 @@ class Index:
             x, q = vectors(offered), vectors(asked)
             ids, leaf = offered.column("vec_id").to_numpy(), offered.column("leaf").to_numpy()
             by_leaf = {int(v): np.flatnonzero(leaf == v) for v in np.unique(leaf)}
+            repeated = len(ids) - len(np.unique(ids))
             out = [[], [], []]
             for i, (key, leaves) in enumerate(zip(asked.column("query_id").to_pylist(),
                                                   asked.column("leaves").to_pylist(), strict=True)):
@@ -296,7 +305,7 @@ class Index:
                 at = at[ids[at] != key]
                 if len(at):
                     near = x[at]
-                    some, score = best(q[i], near @ q[i], near, ids[at], k)
+                    some, score = best(q[i], near @ q[i], near, ids[at], k, repeated)
                     out[0] += [key] * len(some)
                     out[1] += ids[at[some]].tolist()
                     out[2] += score.tolist()
