@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from allelo.session import checkpoint_dir, scratch_path
 
 #: rows of one output Arrow batch; bounds what a task holds besides its input batch
 OUT_ROWS = 20_000
+MAX_GROUPS = 1000
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
@@ -85,24 +87,35 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+    def release(self) -> None:
+        """Let Spark free the shuffle files of finished steps now, not at the driver's next garbage collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves remainder 0 by 5; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, group: str, key: str, most: int, seed: int = 7,
-                   salts: int = 64) -> DataFrame:
-    """At most ``most`` rows of each group, those with the smallest seeded hash of ``key``.
+def bounded_sample(df: DataFrame, group: str, key: str, most: int, seed: int = 7) -> DataFrame:
+    """At most ``most`` rows of each group, with the smallest seeded hashes of ``key``.
 
-    Two steps, so that a group holding a third of all rows is first cut in
-    ``salts`` parts in parallel; only ``salts * most`` of its rows meet again.
+    Groups are counted first and rows beyond a hash threshold, set for somewhat
+    more than ``most`` rows, dropped in the scan: what meets to be ranked is in
+    proportion to ``most``, however large a group is.  Groups are few (``MAX_GROUPS``).
     """
     from pyspark.sql import Window
 
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    out = df.withColumn("_h", h).withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)),
-                                                            F.lit(salts)))
-    for part in ([group, "_salt"], [group]):
-        w = Window.partitionBy(*part).orderBy("_h", key)
-        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
-    return out.drop("_h", "_salt", "_r")
+    counts = df.groupBy(group).count().limit(MAX_GROUPS + 1).collect()
+    if len(counts) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to sample from by {group}")
+    large = {r[group]: (1.2 * most + 100) / r["count"] for r in counts
+             if r[group] is not None and r["count"] > 1.2 * most + 100}
+    share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    out = df.withColumn("_h", share)
+    if large:
+        limits = F.create_map(*[F.lit(x) for pair in sorted(large.items()) for x in pair])
+        out = out.where(F.col("_h") <= F.coalesce(F.element_at(limits, F.col(group)), F.lit(1.0)))
+    first = Window.partitionBy(group).orderBy("_h", key)
+    return out.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).drop("_h", "_r")

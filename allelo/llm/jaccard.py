@@ -6,23 +6,26 @@ one band or in neighbours; every set takes part under its own band and the one
 below.  Under a band two linked sets differ in at most ``k`` shingles.
 
 Signatures: the hash domain is cut in ``n1 = k div 2 + 1 + slack`` first-level
-parts of two second-level halves each.  Two sets that differ in at most ``k``
-shingles have ``1 + slack`` parts with at most one difference, so one half of
-each of these is the same in both: enumerating the one-half subsets of every
-part gives linked sets a shared signature.  A set with at most ``slack`` empty
-halves leaves those out, which keeps the guarantee; others keep them.
+parts of ``n2`` (2 or 3) second-level pieces each.  Two sets that differ in at
+most ``k`` shingles have ``1 + slack`` parts with at most one difference;
+enumerating the subsets of ``n2 - 1`` pieces of every part, one of them is the
+same in both for each of these parts, and is their shared signature.  A set
+with at most ``slack`` empty subsets leaves those out, which keeps the
+guarantee; others keep them.  With ``e`` empty subsets a set shares at least
+``1 + slack - e`` signatures with a linked one; classes that share fewer are out.
 
 Copies with equal sets are one class from the start.  Signatures that two or
 more classes share give candidates, and only connectivity is asked for:
 
-1. every class is compared with one class it shares a signature with (the
-   smallest), links are verified on whole sets and components are formed;
-2. one class of every component met under a signature is compared with the
-   signature's smallest class, and components are formed again;
-3. what is left are pairs across components under a signature.  A parity
-   sketch of the sets (each differing shingle flips one of its bits, so sketches
-   differ in no more bits than the sets in shingles) drops those that cannot
-   link inside the join; the others are verified.
+1. every class is compared with the smallest class of each signature it holds,
+   links are verified on whole sets and components are formed;
+2. what is left are pairs across components under a signature; those that may
+   link are verified too, and components are formed for good.
+
+Before sets are compared, a parity sketch of them (each differing shingle flips
+one of its bits, so sketches differ in no more bits than the sets in shingles)
+drops pairs that cannot link, in step 2 inside the join.  Whole sets are made
+again from the texts of the classes that are left, a small part of all.
 
 So a group of copies costs a number of rows in proportion to its size, and
 no link between different texts is lost.
@@ -36,6 +39,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +53,7 @@ from allelo.llm.common import Scratch, narrow
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
 SKETCH = 16  # words of 64 bits
+FIRST = 4
 
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -108,31 +113,54 @@ def bands(numerator: int, denominator: int, largest: int = 1 << 40) -> list[int]
 
 
 @lru_cache(maxsize=512)
-def parts_of(band: int, numerator: int, denominator: int) -> tuple[int, np.ndarray]:
-    """(slack, lower hash ends of the halves) under a band."""
-    k = bands(numerator, denominator)[band] * (denominator - numerator) // numerator
-    slack = 3 + k // 50 if k else 0
-    halves = 2 * (k // 2 + 1 + slack)
-    ends = (np.arange(halves, dtype=object) * (1 << 64) // halves).astype(np.uint64)
-    return slack, ends
+def parts_of(band: int, numerator: int, denominator: int) -> tuple[int, int, np.ndarray]:
+    """(slack, pieces a part, lower hash ends of the pieces) under a band."""
+    ends = bands(numerator, denominator)
+    k = ends[band] * (denominator - numerator) // numerator
+    least = ends[band - 1] + 1 if band else 1
+    cuts = 2 if 5 * (denominator - numerator) <= numerator else 3  # larger subsets where thresholds are low
+    slack = 0
+    for _ in range(40 if k else 0):  # enough for the subsets that the band's smallest sets leave empty, as a rule
+        parts = k // 2 + 1 + slack
+        empty = parts * cuts * math.exp(-least * (cuts - 1) / (parts * cuts))
+        enough = math.ceil(empty + 3 * math.sqrt(empty) + 1)
+        if enough <= slack:
+            break
+        if enough > k // 2:  # more parts leave still more of them empty
+            slack = 3 + k // 50
+            break
+        slack = enough
+    pieces = (k // 2 + 1 + slack) * cuts
+    return slack, cuts, (np.arange(pieces, dtype=object) * (1 << 64) // pieces).astype(np.uint64)
 
 
-def signatures(s: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> np.ndarray:
-    """The PartEnum signatures of a non-empty set (sorted 64-bit hashes), under its two bands."""
+def signatures(s: np.ndarray, numerator: int = NUMERATOR,
+               denominator: int = DENOMINATOR) -> tuple[np.ndarray, list[int]]:
+    """The PartEnum signatures of a non-empty set (sorted 64-bit hashes), under its two bands.
+
+    A signature's lowest bit is its band's parity.  Second: how many signatures of
+    an even and of an odd band a linked set shares at least (0: no such band).
+    """
     own = int(np.searchsorted(bands(numerator, denominator), len(s)))
     sums = np.zeros(len(s) + 1, dtype=np.uint64)
     np.cumsum(mix(s + _U(0xA0761D6478BD642F)), out=sums[1:])
-    out = []
+    out, least = [], [0, 0]
     for band in {own, max(own - 1, 0)}:
-        slack, ends = parts_of(band, numerator, denominator)
-        cuts = np.append(np.searchsorted(s, ends), len(s))
-        full = np.diff(cuts) > 0
-        if len(full) - int(full.sum()) > slack:
+        slack, cuts, ends = parts_of(band, numerator, denominator)
+        at = np.append(np.searchsorted(s, ends), len(s))
+        content = (sums[at[1:]] - sums[at[:-1]]).reshape(-1, cuts)
+        count = np.diff(at).reshape(-1, cuts)
+        # every subset of a part's pieces that leaves one piece out
+        subsets = (content.sum(axis=1, dtype=np.uint64)[:, None] - content).reshape(-1)
+        full = ((count.sum(axis=1)[:, None] - count) > 0).reshape(-1)
+        empty = len(full) - int(full.sum())
+        least[band & 1] = max(1 + slack - empty, 1)
+        if empty > slack:
             full[:] = True
-        half = np.flatnonzero(full).astype(np.uint64)
-        content = sums[cuts[1:]] - sums[cuts[:-1]]
-        out.append(mix(content[full] * _U(0xE7037ED1A0B428DB) + half * _U(0x8EBC6AF09C88C6E3) + _U(band + 1)))
-    return np.concatenate(out)
+        name = np.flatnonzero(full).astype(np.uint64)
+        sig = mix(subsets[full] * _U(0xE7037ED1A0B428DB) + name * _U(0x8EBC6AF09C88C6E3) + _U(band + 1))
+        out.append(sig & ~_U(1) | _U(band & 1))
+    return np.concatenate(out), least
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -145,27 +173,41 @@ def sketch(s: np.ndarray) -> np.ndarray:
 _LONGS = pa.list_(pa.int64())
 
 
-def _signed(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """``doc_id, n, c, sketch, sigs`` of every document."""
+def _members(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """``doc_id, n, c, sketch, least`` of every document."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, cs, sketches, sigs = [], [], [], []
+            ns, cs, sketches, least = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, size)
                 ns.append(len(s))
-                if len(s):
-                    cs.append(class_of(s))
-                    sketches.append(sketch(s))
-                    sigs.append(signatures(s, numerator, denominator).view(np.int64))
-                else:
-                    cs.append(None)
-                    sketches.append(np.zeros(0, dtype=np.int64))
-                    sigs.append(np.zeros(0, dtype=np.int64))
+                cs.append(class_of(s) if len(s) else None)
+                sketches.append(sketch(s) if len(s) else np.zeros(0, dtype=np.int64))
+                least.append(signatures(s, numerator, denominator)[1] if len(s) else [0, 0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, type=pa.int64()), pa.array(cs, type=pa.int64()),
-                 _lists(sketches), _lists(sigs)], names=["doc_id", "n", "c", "sketch", "sigs"])
+                [batch.column(0), pa.array(ns, type=pa.int64()), pa.array(cs, type=pa.int64()), _lists(sketches),
+                 pa.array(least, type=pa.list_(pa.int32()))], names=["doc_id", "n", "c", "sketch", "least"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, sketch array<long>, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, c long, sketch array<long>, least array<int>")
+
+
+def _signed(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """``sig, c``: the signatures of every document."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for at in range(0, len(texts), 500):
+                sigs, cs = [], []
+                for text in texts[at: at + 500]:
+                    s = shingle_set(text, size)
+                    if len(s):
+                        sigs.append(signatures(s, numerator, denominator)[0].view(np.int64))
+                        cs.append(np.full(len(sigs[-1]), class_of(s), dtype=np.int64))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(cs))],
+                                                     names=["sig", "c"])
+
+    return docs.select("text").mapInArrow(run, "sig long, c long")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -176,11 +218,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """``c, items`` from ``c, text``."""
+    """``c, items`` from ``c, text`` where the text is of class ``c``."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [shingle_set(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(items)], names=["c", "items"])
+            cs, items = [], []
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle_set(text, size)
+                if len(s) and class_of(s) == c:  # another text under the same id is another class
+                    cs.append(c)
+                    items.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cs, type=pa.int64()), _lists(items)], names=["c", "items"])
 
     return texts.mapInArrow(run, "c long, items array<long>")
 
@@ -202,51 +249,60 @@ class Join:
     def classes(self) -> DataFrame:
         """``doc_id, n, c, component``: the class of every document, and the component's smallest doc_id."""
         scratch = self.scratch
-        signed = scratch.write(_signed(self.docs, self.size, self.num, self.den), "signed")
-        members = signed.select("doc_id", "n", "c")
-        shared = scratch.write(self.shared(signed), "shared")
-        about = scratch.write(self.about(signed, shared), "about")
-        members = scratch.write(members, "members")
-        scratch.drop("signed")
-        sets = scratch.write(self.sets(about), "sets")
-        found = scratch.write(self.verified(self.first_pairs(shared), about, sets), "links1")
+        every = scratch.write(_members(self.docs, self.size, self.num, self.den), "members")
+        members = every.select("doc_id", "n", "c")
+        held = scratch.write(self.held(_signed(self.docs, self.size, self.num, self.den)), "held")
+        scratch.release()
+        shared = scratch.write(self.shared(held, every), "shared")
+        about = scratch.write(self.about(every, shared), "about")
+        scratch.drop("held")
+        scratch.release()
+        found = scratch.write(self.verified(self.first_pairs(shared), about, "1"), "links1")
         label = scratch.write(components(found, scratch, "a"), "label1")
-        found = scratch.write(found.unionByName(
-            self.verified(self.second_pairs(shared, label), about, sets)), "links2")
-        label = scratch.write(components(found, scratch, "b"), "label2")
-        found = scratch.write(found.unionByName(
-            self.verified(self.last_pairs(shared, label, about), about, sets)), "links3")
-        label = components(found, scratch, "c")
-        return named(members, label)
-
-    def shared(self, signed: DataFrame) -> DataFrame:
-        """``sig, c, low``: the classes of every signature that two or more hold, and its smallest class."""
-        rows = signed.select(F.explode("sigs").alias("sig"), "c")
+        scratch.release()
+        found = scratch.write(found.unionByName(self.verified(self.last_pairs(shared, label, about), about, "2")), "links2")
+        return named(members, components(found, scratch, "b"))
+
+    def held(self, signed: DataFrame) -> DataFrame:
+        """``sig, c``: the classes of every signature that two or more hold."""
         per = Window.partitionBy("sig")
-        return (rows.withColumn("low", F.min("c").over(per)).withColumn("high", F.max("c").over(per))
-                .where("low < high").select("sig", "c", "low").distinct())
+        return (signed.withColumn("low", F.min("c").over(per)).withColumn("high", F.max("c").over(per))
+                .where("low < high").select("sig", "c").distinct())
+
+    def shared(self, held: DataFrame, every: DataFrame) -> DataFrame:
+        """``sig, c, low``: the same without classes that share fewer signatures than a linked one would."""
+        odd = F.col("sig").bitwiseAND(1).cast("int")
+        least = every.groupBy("c").agg(F.max("least").alias("least"))
+        enough = (held.groupBy("c", odd.alias("odd")).agg(F.count("*").alias("k")).join(least, "c")
+                  .where(F.col("k") >= F.element_at("least", F.col("odd") + 1)).select("c", "odd"))
+        per = Window.partitionBy("sig")
+        return (held.withColumn("odd", odd).join(enough, ["c", "odd"], "left_semi")
+                .withColumn("low", F.min("c").over(per)).withColumn("high", F.max("c").over(per))
+                .where("low < high").select("sig", "c", "low"))
 
-    def about(self, signed: DataFrame, shared: DataFrame) -> DataFrame:
+    def about(self, every: DataFrame, shared: DataFrame) -> DataFrame:
         """``c, n, doc_id, s0..``: a document and the sketch of every class with candidates."""
         wanted = shared.select("c").distinct()
-        one = signed.join(wanted, "c", "left_semi").groupBy("c").agg(
+        one = every.join(wanted, "c", "left_semi").groupBy("c").agg(
             F.min_by(F.struct("doc_id", "n", "sketch"), F.coalesce(F.col("doc_id"), F.lit(1 << 62))).alias("x"))
         return one.select("c", "x.n", "x.doc_id", *[F.col("x.sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
 
-    def sets(self, about: DataFrame) -> DataFrame:
-        texts = self.docs.join(about.select("c", F.col("doc_id").alias("id")),
-                               F.col("doc_id").eqNullSafe(F.col("id"))).select("c", "text")
-        return _sets(texts, self.size)
+    def sets(self, about: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """``c, items`` of the classes in ``pairs``, from one document's text each."""
+        wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+        ids = self.scratch.write(about.join(wanted, "c", "left_semi").select("c", F.col("doc_id").alias("id")),
+                                 f"ids{name}")
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("c", "text")
+        return _sets(texts, self.size).dropDuplicates(["c"])
 
-    def near(self, left: str, right: str) -> Column:
+    def near(self, left: str, right: str, words: list[str]) -> Column:
         """Whether the sketches allow a link: differing bits against the most shingles that may differ."""
-        bits = sum((F.bit_count(F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))) for i in range(1, SKETCH)),
-                   F.bit_count(F.col(f"{left}.s0").bitwiseXOR(F.col(f"{right}.s0"))))
+        bits = [F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in words]
         total = F.col(f"{left}.n") + F.col(f"{right}.n")
-        return (self.num + self.den) * bits <= (self.den - self.num) * total
+        return (self.num + self.den) * sum(bits[1:], bits[0]) <= (self.den - self.num) * total
 
     def first_pairs(self, shared: DataFrame) -> DataFrame:
-        return shared.where("low < c").groupBy(F.col("c").alias("b")).agg(F.min("low").alias("a"))
+        return shared.where("low < c").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct()
 
     def labelled(self, shared: DataFrame, label: DataFrame) -> DataFrame:
         """The shared signatures whose classes are not all in one component: ``sig, c, comp``."""
@@ -255,25 +311,32 @@ class Join:
                 .withColumn("lo", F.min("comp").over(per)).withColumn("hi", F.max("comp").over(per))
                 .where("lo < hi").select("sig", "c", "comp", "lo"))
 
-    def second_pairs(self, shared: DataFrame, label: DataFrame) -> DataFrame:
-        met = self.labelled(shared, label).groupBy("sig", "comp").agg(F.min("c").alias("c"))
-        first = F.min("c").over(Window.partitionBy("sig"))
-        return (met.withColumn("p", first).where("p < c")
-                .select(F.col("p").alias("a"), F.col("c").alias("b")).distinct())
-
     def last_pairs(self, shared: DataFrame, label: DataFrame, about: DataFrame) -> DataFrame:
-        rows = self.labelled(shared, label).join(about.drop("doc_id"), "c")
+        """All pairs across components under a signature whose sketches allow a link.
+
+        A pair is left out where a smaller signature brings it too, as far as the
+        ``FIRST`` smallest signatures of both classes tell: most pairs come once.
+        """
+        rows = self.labelled(shared, label)
+        few = rows.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST).alias("few"))
+        # folding a sketch in half joins buckets in pairs: still no more bits than differing shingles
+        half = [F.col(f"s{i}").bitwiseXOR(F.col(f"s{i + SKETCH // 2}")).alias(f"h{i}") for i in range(SKETCH // 2)]
+        rows = (rows.join(few.join(about.select("c", "n", *half), "c"), "c")
+                .withColumn("smaller", F.filter("few", lambda x: x < F.col("sig"))).drop("few", "lo"))
         a, b = rows.alias("a"), rows.alias("b")
         pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.c") < F.col("b.c"))
-                       & (F.col("a.comp") != F.col("b.comp")) & self.near("a", "b"))
+                       & (F.col("a.comp") != F.col("b.comp")) & self.near("a", "b", [f"h{i}" for i in range(SKETCH // 2)])
+                       & ~F.arrays_overlap(F.col("a.smaller"), F.col("b.smaller")))
         return pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
-    def verified(self, pairs: DataFrame, about: DataFrame, sets: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, about: DataFrame, name: str) -> DataFrame:
         """The pairs ``a, b`` that link: the sketches first, then the whole sets."""
         facts = about.drop("doc_id")
         close = (pairs.join(facts.withColumnRenamed("c", "a").alias("x"), "a")
-                 .join(facts.withColumnRenamed("c", "b").alias("y"), "b").where(self.near("x", "y"))
+                 .join(facts.withColumnRenamed("c", "b").alias("y"), "b").where(self.near("x", "y", [f"s{i}" for i in range(SKETCH)]))
                  .select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")))
+        close = self.scratch.write(close, f"close{name}")
+        sets = self.scratch.write(self.sets(about, close, name), f"sets{name}")
         both = F.size(F.array_intersect("items_a", "items_b"))
         return (close.join(sets.select(F.col("c").alias("b"), F.col("items").alias("items_b")), "b")
                 .join(sets.select(F.col("c").alias("a"), F.col("items").alias("items_a")), "a")
