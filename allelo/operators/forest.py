@@ -21,28 +21,37 @@ One level for *all* trees and nodes at once:
    and move to child ``2n`` (allele <= threshold) or ``2n + 1``.
 
 Nodes use heap numbering (root 1).  A node is a leaf when no candidate
-variable exists, the best gain is <= ``min_gain`` or ``max_depth`` is reached.
+variable exists, the best gain is <= ``min_gain`` or the optional ``max_depth``
+is reached; without one trees grow until no node gains.  Heap numbers have room
+for ``MAX_PATH`` levels; a tree that would need more is reported as an error,
+never cut.
+
+X is partitioned once per fit and carried by the model for prediction.  Forests
+whose state would exceed the broadcast bound are grown in batches of trees that
+share this X.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelo.session import checkpoint_partitioned
+from allelo.functions.hashing import below, mixed
+from allelo.session import checkpoint_partitioned, pinned
 
 BROADCAST_ROWS = 2_000_000
-HASH_SPACE = 1 << 30
+MAX_PATH = 61
 
 
 @dataclass
 class ForestParams:
     n_trees: int = 1
     mtry_fraction: float | None = None   # None -> sqrt(V)/V; 1.0 -> every variable
-    max_depth: int = 30
+    max_depth: int | None = None         # None -> grow until no node gains
     min_gain: float = 1e-12
     bootstrap: bool = True
     impurity: str = "gini"               # or "entropy"
@@ -55,6 +64,7 @@ class ForestModel:
     n_trees: int
     n_labels: int
     bag: DataFrame          # tree, sample_index, w
+    x: DataFrame | None = None  # the partitioned cells it was grown on
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -86,8 +96,7 @@ def prepare_cells(cells: DataFrame, partitions: int | None = None) -> DataFrame:
 def bootstrap(samples: DataFrame, n: int, n_trees: int, seed: int, with_replacement: bool = True) -> DataFrame:
     """Per tree, ``n`` draws with replacement -> ``(tree, sample_index, w)`` multiplicities.
 
-    Draw ``d`` of tree ``t`` picks sample ``pmod(xxhash64(seed, t, d), n)``; the
-    draw table is ``n_trees * n`` rows generated in parallel.  Requires dense
+    Draw ``d`` of tree ``t`` picks sample ``mixed(seed, t, d) % n``; the draw table is ``n_trees * n`` rows generated in parallel.  Requires dense
     sample indices ``0..n-1``.
     """
     spark = samples.sparkSession
@@ -96,14 +105,13 @@ def bootstrap(samples: DataFrame, n: int, n_trees: int, seed: int, with_replacem
             .select("tree", "sample_index", F.lit(1).cast("bigint").alias("w"))
     draws = spark.range(n_trees * n).select((F.col("id") / n).cast("bigint").alias("tree"),
                                             (F.col("id") % n).alias("draw"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col("draw")), F.lit(n))
+    pick = mixed(seed, F.col("tree"), F.col("draw")) % F.lit(n).cast("bigint")
     return draws.groupBy("tree", pick.alias("sample_index")).agg(F.count(F.lit(1)).alias("w"))
 
 
 def variable_pick(seed: int, fraction: float) -> Column:
     """Bernoulli(fraction) choice of a variable per (tree, node), as a hash predicate."""
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col("node"), F.col("variant_index")), F.lit(HASH_SPACE))
-    return h < F.lit(int(fraction * HASH_SPACE))
+    return mixed(seed, F.col("tree"), F.col("node"), F.col("variant_index")) < below(fraction)
 
 
 def _with_labels(state: DataFrame, labels: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ def _node_totals(state: DataFrame, labels: DataFrame, n_labels: int, kind: str)
 
 
 def split_scores(x: DataFrame, state: DataFrame, labels: DataFrame, totals: DataFrame, n_labels: int,
-                 fraction: float, seed: int, kind: str, state_rows: int) -> DataFrame:
+                 fraction: float, seed: int, kind: str, state_rows: int, n_nodes: int = 1) -> DataFrame:
     """Weighted impurity of every (tree, node, variable, threshold) candidate.
 
     Dosages are non-negative and zero cells are absent, so for a threshold
@@ -165,7 +173,7 @@ def split_scores(x: DataFrame, state: DataFrame, labels: DataFrame, totals: Data
                       F.explode(F.when(F.col("is_min"), F.array(at_value, at_zero))
                                 .otherwise(F.array(at_value))).alias("k"))
     cand_rows = rows.select("tree", "node", "variant_index", "k.*").join(
-        F.broadcast(totals.select("tree", "node", "size", *[f"t{l}" for l in range(n_labels)])), ["tree", "node"])
+        _small(totals.select("tree", "node", "size", *[f"t{l}" for l in range(n_labels)]), n_nodes), ["tree", "node"])
     right = [F.col(f"r{l}") for l in range(n_labels)]
     left = [F.col(f"t{l}") - F.col(f"r{l}") for l in range(n_labels)]
     nr = sum(right[1:], right[0])
@@ -176,9 +184,9 @@ def split_scores(x: DataFrame, state: DataFrame, labels: DataFrame, totals: Data
 
 
 def best_splits(x: DataFrame, state: DataFrame, labels: DataFrame, totals: DataFrame, n_labels: int,
-                fraction: float, seed: int, kind: str, state_rows: int) -> DataFrame:
+                fraction: float, seed: int, kind: str, state_rows: int, n_nodes: int = 1) -> DataFrame:
     """M7: best (variable, threshold, weighted impurity) per (tree, node)."""
-    scored = split_scores(x, state, labels, totals, n_labels, fraction, seed, kind, state_rows)
+    scored = split_scores(x, state, labels, totals, n_labels, fraction, seed, kind, state_rows, n_nodes)
     best = scored.groupBy("tree", "node").agg(F.min(F.struct(
         F.round("weighted", 12).alias("wr"), F.col("variant_index").alias("variable"), "threshold",
         "weighted")).alias("b"))
@@ -186,16 +194,15 @@ def best_splits(x: DataFrame, state: DataFrame, labels: DataFrame, totals: DataF
                        F.col("b.threshold").alias("threshold"), F.col("b.weighted").alias("weighted"))
 
 
-def _route(x: DataFrame, state: DataFrame, splits: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def _route(x: DataFrame, state: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
     """Move samples of split nodes to their children (missing cell = dosage 0).
 
-    The chosen variables of a level number at most the split nodes, which is
-    bounded by the state size (``bound``); only those variables' cells are
-    read from X (semi-join reduction).
+    The chosen variables of a level number at most its ``n_splits`` split nodes;
+    only those variables' cells are read from X (semi-join reduction).
     """
     sv = state.join(splits.select("tree", "node", "variable", "threshold"), ["tree", "node"])
     chosen = splits.select(F.col("variable").alias("variant_index")).distinct()
-    xv = x.join(_small(chosen, bound), "variant_index", "left_semi") \
+    xv = x.join(_small(chosen, n_splits), "variant_index", "left_semi") \
         .select(F.col("variant_index").alias("variable"), "sample_index", "allele")
     routed = sv.join(xv, ["variable", "sample_index"], "left")
     go_right = (F.coalesce(F.col("allele"), F.lit(0.0)) > F.col("threshold")).cast("bigint")
@@ -210,11 +217,14 @@ def root_state(labels: DataFrame) -> DataFrame:
 
 
 def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams,
-        n_variables: int | None = None, bag: DataFrame | None = None) -> ForestModel:
-    """M8 (one tree) / M10 (forest): grow all trees level by level.
+        n_variables: int | None = None, bag: DataFrame | None = None,
+        trees_per_batch: int | None = None) -> ForestModel:
+    """M8 (one tree) / M10 (forest): grow trees level by level, as many at a time as the state bound allows.
 
     ``cells(sample_index, variant_index, allele)`` with dense sample indices
     ``0..n-1`` for exactly the labelled samples ``labels(sample_index, label)``.
+    ``trees_per_batch`` bounds the state (batch x samples rows); trees do not
+    depend on it.
     """
     x = prepare_cells(cells)
     labels = labels.select("sample_index", F.col("label").cast("int").alias("label")).checkpoint()
@@ -227,16 +237,30 @@ def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams
     if bag is None:
         bag = bootstrap(labels.select("sample_index"), n, params.n_trees, params.seed, params.bootstrap)
     bag = bag.select("tree", "sample_index", F.col("w").cast("bigint").alias("w")).checkpoint()
-    # the state carries each sample's label, joined once, so levels never re-join the labels
-    state = bag.join(labels, "sample_index").select(
-        "tree", "sample_index", F.lit(1).cast("bigint").alias("node"), "w", "label").checkpoint()
-    state_rows = n * params.n_trees
+    batch = trees_per_batch or max(1, BROADCAST_ROWS // max(n, 1))
     levels = []
-    for depth in range(params.max_depth + 1):
+    for start in range(0, params.n_trees, batch):
+        part = bag if batch >= params.n_trees else \
+            bag.where((F.col("tree") >= start) & (F.col("tree") < start + batch))
+        levels += _grow(x, labels, part, n_labels, params, frac, n * min(batch, params.n_trees - start))
+    nodes = levels[0]
+    for lv in levels[1:]:
+        nodes = nodes.unionByName(lv)
+    return ForestModel(nodes=nodes, n_trees=params.n_trees, n_labels=n_labels, bag=bag, x=x)
+
+
+def _grow(x: DataFrame, labels: DataFrame, bag: DataFrame, n_labels: int, params: ForestParams, frac: float,
+          state_rows: int) -> list[DataFrame]:
+    """The node tables of every level of the bag's trees."""
+    # the state carries each sample's label, joined once, so levels never re-join the labels
+    state = pinned(bag.join(labels, "sample_index").select(
+        "tree", "sample_index", F.lit(1).cast("bigint").alias("node"), "w", "label"), "state")
+    levels, n_nodes = [], params.n_trees
+    for depth in itertools.count():
         totals = _node_totals(state, labels, n_labels, params.impurity).persist()
-        if depth < params.max_depth:
+        if depth != params.max_depth:
             best = best_splits(x, state, labels, totals, n_labels, frac, params.seed + 7919 * (depth + 1),
-                               params.impurity, state_rows)
+                               params.impurity, state_rows, n_nodes)
             level = totals.join(best, ["tree", "node"], "left")
             gain = F.col("impurity") - F.col("weighted")
             split = F.col("variable").isNotNull() & (gain > params.min_gain)
@@ -246,43 +270,44 @@ def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams
                                   F.lit(None).cast("double").alias("weighted"))
             gain = F.lit(0.0)
             split = F.lit(False)
-        level = level.select(
+        level = pinned(level.select(
             "tree", "node", F.lit(depth).alias("depth"),
             F.when(split, F.col("variable")).otherwise(F.lit(-1)).cast("bigint").alias("variable"),
             F.when(split, F.col("threshold")).otherwise(F.lit(0.0)).alias("threshold"),
             F.col("majority").cast("bigint").alias("majority"),
             F.when(split, gain).otherwise(F.lit(0.0)).alias("gain"),
-            "impurity", "size").checkpoint()
+            "impurity", "size"), "level")
         totals.unpersist()
         levels.append(level)
         splits = level.where(F.col("variable") >= 0)
-        if splits.isEmpty():
-            break
-        state = _route(x, state, splits, state_rows).checkpoint()
-    nodes = levels[0]
-    for lv in levels[1:]:
-        nodes = nodes.unionByName(lv)
-    return ForestModel(nodes=nodes, n_trees=params.n_trees, n_labels=n_labels, bag=bag)
+        n_splits = splits.count()
+        if not n_splits:
+            return levels
+        if depth == MAX_PATH:
+            raise ValueError(f"a tree needs more than {MAX_PATH} levels; set max_depth")
+        n_nodes = 2 * n_splits
+        state = pinned(_route(x, state, splits, n_splits), "state")
 
 
-def predict_trees(nodes: DataFrame, x: DataFrame, start: DataFrame, max_levels: int = 64) -> DataFrame:
+def predict_trees(nodes: DataFrame, x: DataFrame, start: DataFrame) -> DataFrame:
     """M9: route ``start(tree, sample_index)`` rows down each tree -> ``(tree, sample_index, prediction)``.
 
-    Per level only the split variables of that level are looked up in X
+    Goes on until every row stands in a leaf.  Per level only the split variables of that level are looked up in X
     (semi-join reduced), never whole vectors.
     """
     state = start.select("tree", "sample_index", F.lit(1).cast("bigint").alias("node"), F.lit(1).alias("w"))
     outs = []
-    for _ in range(max_levels):
+    while True:
         at = state.join(nodes.select("tree", "node", "variable", "threshold", "majority"), ["tree", "node"])
-        at = at.checkpoint()
+        at = pinned(at, "walk")
         outs.append(at.where(F.col("variable") < 0).select("tree", "sample_index",
                                                            F.col("majority").alias("prediction")))
         splits = at.where(F.col("variable") >= 0)
-        if splits.isEmpty():
+        taken = splits.select("tree", "node", "variable", "threshold").distinct()
+        n_taken = taken.count()
+        if not n_taken:
             break
-        sv = splits.select("tree", "sample_index", "node", "w")
-        state = _route(x, sv, splits.select("tree", "node", "variable", "threshold").distinct()).checkpoint()
+        state = _route(x, splits.select("tree", "sample_index", "node", "w"), taken, n_taken)
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
@@ -348,8 +373,11 @@ def out_of_bag(model: ForestModel, x: DataFrame, labels: DataFrame) -> tuple[Dat
     return per_tree, summary
 
 
-def importance(nodes: DataFrame, n_trees: int) -> DataFrame:
-    """``sum over trees of (n G - n_l G_l - n_r G_r) / n_root``, divided by the tree count."""
+def importance(nodes: DataFrame, n_trees: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``sum over trees of (n G - n_l G_l - n_r G_r) / n_root``, divided by the tree count.
+
+    ``by=("tree",)`` gives the importances of every tree in one aggregate.
+    """
     split = nodes.where(F.col("variable") >= 0).select(
         "tree", "node", "variable", "size", "impurity",
         (F.col("node") * 2).alias("ln"), (F.col("node") * 2 + 1).alias("rn"))
@@ -359,7 +387,7 @@ def importance(nodes: DataFrame, n_trees: int) -> DataFrame:
     j = split.join(left, ["tree", "ln"]).join(right, ["tree", "rn"]).join(root, "tree")
     contrib = (F.col("size") * F.col("impurity") - (F.col("ls") * F.col("li") + F.col("rs") * F.col("ri"))) \
         / F.col("root_size")
-    return j.groupBy("variable").agg((F.sum(contrib) / F.lit(float(n_trees))).alias("importance"),
+    return j.groupBy(*by, "variable").agg((F.sum(contrib) / F.lit(float(n_trees))).alias("importance"),
                                      F.count(F.lit(1)).alias("n_splits"))
 
 
@@ -367,29 +395,7 @@ def importance_stability(importances: DataFrame, top_n: int) -> DataFrame:
     """How often each variable is in a model's top ``top_n`` across ``model_id``s."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("model_id").orderBy(F.col("importance").desc(), F.col("variable"))
+    w = Window.partitionBy("model_id").orderBy(F.round("importance", 9).desc(), F.col("variable"))
     top = importances.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return top.groupBy("variable").agg(F.count(F.lit(1)).alias("n_models"),
                                        F.sum("importance").alias("total_importance"))
-
-
-def fit_batched(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams,
-                trees_per_batch: int, n_variables: int | None = None) -> ForestModel:
-    """M10 for large forests: grow ``trees_per_batch`` trees at a time.
-
-    The per-level state and split candidates scale with the number of trees
-    grown together; batching bounds them (state = batch x samples rows, so it
-    stays broadcastable) while every batch still scans X once per level.  Tree
-    ids and bootstrap draws are the same as in a single ``fit``.
-    """
-    n = labels.count()
-    bag_all = bootstrap(labels.select("sample_index"), n, params.n_trees, params.seed, params.bootstrap) \
-        .checkpoint()
-    nodes, bags = None, None
-    for start in range(0, params.n_trees, trees_per_batch):
-        stop = min(params.n_trees, start + trees_per_batch)
-        part = bag_all.where((F.col("tree") >= start) & (F.col("tree") < stop))
-        m = fit(cells, labels, n_labels, params, n_variables=n_variables, bag=part)
-        nodes = m.nodes if nodes is None else nodes.unionByName(m.nodes)
-        bags = m.bag if bags is None else bags.unionByName(m.bag)
-    return ForestModel(nodes=nodes, n_trees=params.n_trees, n_labels=n_labels, bag=bags)

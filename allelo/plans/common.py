@@ -32,6 +32,11 @@ def indexed(spark: SparkSession, sf_dir: str, source: str = "flat", dense_varian
     return long, subjects, variants, x
 
 
+def subject_index(spark: SparkSession, sf_dir: str, source: str = "flat") -> DataFrame:
+    """``(subject_id, subject_index)`` alone: distinct ids straight from the scan, no cell is kept."""
+    return subject_dictionary(fixtures.flat(spark, sf_dir) if source == "flat" else fixtures.planted(spark, sf_dir))
+
+
 def sql_indexed(source: str = "flat") -> list[str]:
     """CTEs ``subj(subject_id, si)``, ``var(variant_key, vi)``, ``x(si, vi, allele)`` over a fixture."""
     base = fixtures.F1_SQL if source == "flat" else fixtures.F8_SQL

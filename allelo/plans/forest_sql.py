@@ -8,6 +8,8 @@ node (ties to smallest variable, then threshold), then routing.
 
 from __future__ import annotations
 
+from allelo.functions.hashing import below, mixed_sql
+
 
 def impurity_sql(cols: list[str], n: str, kind: str) -> str:
     n = f"({n})"
@@ -68,24 +70,68 @@ def level_sql(d: int, L: int, kind: str, max_depth: int, p: str = "") -> list[st
     return parts
 
 
-def tree_sql(L: int, kind: str, max_depth: int, p: str = "", s0: str | None = None) -> list[str]:
-    """Unrolled tree; ``s0`` optionally gives the root state ``(si, node, w)`` (default: every sample, w = 1)."""
-    parts = [f"{p}s0 AS ({s0 or 'select si, 1 node, 1 w from lab'})"]
-    for d in range(max_depth + 1):
-        parts += level_sql(d, L, kind, max_depth, p)
-    parts.append(f"{p}nodes AS (" + " union all ".join(f"select * from {p}nd{d}" for d in range(max_depth + 1)) + ")")
+def forest_sql(L: int, kind: str, levels: int, trees: int, bag: str, seed: int, fraction: float) -> list[str]:
+    """A random forest unrolled by level, all trees at once; result CTEs ``nodes`` and ``walk{d}``.
+
+    ``bag`` gives ``(tree, si, w)``.  A variable is tried in a node if its hash under the
+    level's seed lies below ``fraction``.  ``levels`` must reach the deepest leaf: nodes still
+    impure there come out as leaves and would differ from trees grown to the end.
+    """
+    tl = [f"t{l}" for l in range(L)]
+    size = "(" + " + ".join(tl) + ")"
+    maj = "case " + " ".join(
+        f"when {' and '.join(f't{l} > t{m}' if m > l else f't{l} >= t{m}' for m in range(L) if m != l)} then {l}"
+        for l in reversed(range(L))) + " end"
+    tot = ", ".join(f"cast(sum(case when label = {l} then w else 0 end) as bigint) t{l}" for l in range(L))
+    cnt = ", ".join(f"cast(sum(case when label = {l} then s.w else 0 end) as bigint) c{l}" for l in range(L))
+    zero = ", ".join(f"any_value(t.t{l}) - sum(nz.c{l}) c{l}" for l in range(L))
+    cum = ", ".join(f"sum(c{l}) over (partition by tree, node, vi order by allele "
+                    f"rows between unbounded preceding and current row) l{l}" for l in range(L))
+    ll, rr = [f"l{l}" for l in range(L)], [f"(t{l} - l{l})" for l in range(L)]
+    nl = "(" + " + ".join(ll) + ")"
+    nr = f"(size - {nl})"
+    weighted = f"(({impurity_sql(ll, nl, kind)}) * {nl} + ({impurity_sql(rr, nr, kind)}) * {nr}) / cast(size as double)"
+    split = "bs.vi is not null and tt.imp - bs.weighted > 1e-12"
+    parts = [f"bag AS MATERIALIZED ({bag})",
+             "s0 AS MATERIALIZED (select tree, si, cast(1 as bigint) node, w from bag)"]
+    for d in range(levels):
+        pick = f"{mixed_sql(seed + 7919 * (d + 1), 's.tree', 's.node', 'x.vi')} < {below(fraction)}" if fraction < 1 else "true"
+        parts += [
+            f"tt{d} AS MATERIALIZED (select *, {size} size, {maj} majority, {impurity_sql(tl, size, kind)} imp from "
+            f"(select tree, node, {tot} from s{d} join lab using (si) group by tree, node) q)",
+            f"nz{d} AS MATERIALIZED (select s.tree, s.node, x.vi, x.allele, {cnt} from s{d} s join lab using (si) "
+            f"join x using (si) where {pick} group by s.tree, s.node, x.vi, x.allele)",
+            f"sc{d} AS MATERIALIZED (select tree, node, vi, allele threshold, {weighted} weighted from (select tree, node, vi, "
+            f"allele, {cum} from (select * from nz{d} union all select nz.tree, nz.node, nz.vi, cast(0.0 as double) allele, "
+            f"{zero} from nz{d} nz join tt{d} t using (tree, node) group by nz.tree, nz.node, nz.vi) u) c "
+            f"join tt{d} using (tree, node) where {nr} > 0 and {nl} > 0)",
+            f"nd{d} AS MATERIALIZED (select tt.tree, tt.node, cast({d} as bigint) depth, "
+            f"case when {split} then bs.vi else -1 end variable, case when {split} then bs.threshold else 0.0 end threshold, "
+            f"cast(tt.majority as bigint) majority, case when {split} then tt.imp - bs.weighted else 0.0 end gain, "
+            f"tt.imp impurity, tt.size from tt{d} tt left join (select * from (select *, row_number() over "
+            f"(partition by tree, node order by round(weighted, 12), vi, threshold) rn from sc{d}) q where rn = 1) bs "
+            f"using (tree, node))",
+            f"s{d + 1} AS MATERIALIZED (select s.tree, s.si, 2 * s.node + case when coalesce(x.allele, 0) > n.threshold "
+            f"then 1 else 0 end node, s.w from s{d} s join nd{d} n on n.tree = s.tree and n.node = s.node and n.variable >= 0 "
+            f"left join x on x.si = s.si and x.vi = n.variable)"]
+    parts.append("nodes AS MATERIALIZED (" + " union all ".join(f"select * from nd{d}" for d in range(levels)) + ")")
     return parts
 
 
-def predict_sql(max_depth: int, p: str = "") -> list[str]:
-    """CTEs walking every labelled sample down ``{p}nodes``; result CTE ``{p}pred(si, prediction)``."""
-    parts = [f"{p}p0 AS (select si, 1 node from lab)"]
-    for d in range(max_depth + 1):
-        parts.append(f"{p}q{d} AS (select p.si, p.node, n.variable, n.threshold, n.majority from {p}p{d} p "
-                     f"join {p}nodes n on n.node = p.node)")
-        parts.append(f"{p}p{d + 1} AS (select q.si, 2 * q.node + case when coalesce(x.allele, 0) > q.threshold "
-                     f"then 1 else 0 end node from {p}q{d} q left join x on x.si = q.si and x.vi = q.variable "
-                     f"where q.variable >= 0)")
-    parts.append(f"{p}pred AS (" + " union all ".join(
-        f"select si, majority prediction from {p}q{d} where variable < 0" for d in range(max_depth + 1)) + ")")
+def walk_sql(levels: int, start: str) -> list[str]:
+    """Rows of ``start(tree, si)`` walked down ``nodes``; result CTE ``pred(tree, si, prediction)``."""
+    parts = [f"p0 AS MATERIALIZED (select tree, si, cast(1 as bigint) node from ({start}) q)"]
+    for d in range(levels):
+        parts += [f"q{d} AS MATERIALIZED (select p.*, n.variable, n.threshold, n.majority from p{d} p join nodes n "
+                  "on n.tree = p.tree and n.node = p.node)",
+                  f"p{d + 1} AS MATERIALIZED (select q.tree, q.si, 2 * q.node + case when coalesce(x.allele, 0) > q.threshold "
+                  f"then 1 else 0 end node from q{d} q left join x on x.si = q.si and x.vi = q.variable where q.variable >= 0)"]
+    parts.append("pred AS MATERIALIZED (" + " union all ".join(
+        f"select tree, si, majority prediction from q{d} where variable < 0" for d in range(levels)) + ")")
     return parts
+
+
+def bootstrap_sql(trees: int, seed: int) -> str:
+    """``(tree, si, w)``: as many draws with replacement as there are samples, for every tree."""
+    return (f"select tree, {mixed_sql(seed, 'tree', 'draw')} % n si, count(*) w from range({trees}) t(tree), "
+            "(select count(*) n from lab) c, range(c.n) d(draw) group by 1, 2")

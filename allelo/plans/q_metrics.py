@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from allelo import fixtures
 from allelo.functions.genotype import encode
+from allelo.functions.hashing import below, mixed_sql, text_key_sql
 from allelo.operators import annotate, metrics, sampling
 from allelo.operators import select as sel
 from allelo.plans.common import indexed, sql_ari, sql_indexed, with_ctes
@@ -240,35 +241,48 @@ def q_annotate_gene(spark, sf_dir):
 
 # ---------------------------------------------------------------- sampling (R)
 
-@register("split_hash")
+SUBJECTS_SQL = [fixtures.F1_SQL, "subjects AS (select distinct subject_id from flat)"]
+
+
+def _subject_hash_sql(seed) -> str:
+    return mixed_sql(seed, text_key_sql("subject_id"))
+
+
+@register("split_hash", with_ctes(SUBJECTS_SQL) + f"""select subject_id,
+  cast(case when {_subject_hash_sql(3)} < {below(0.8)} then 0 else 1 end as bigint) split from subjects""")
 def q_split_hash(spark, sf_dir):
     """Stable 80/20 split of subjects by hash."""
     s = fixtures.flat(spark, sf_dir).select("subject_id").distinct()
     return report(sampling.split_hash(s, "subject_id", [0.8, 0.2], seed=3))
 
 
-@register("split_repeated")
+@register("split_repeated", with_ctes(SUBJECTS_SQL) + f"""select subject_id, cast(run_id as bigint) run_id,
+  cast(case when {_subject_hash_sql("run_id")} < {below(0.75)} then 0 else 1 end as bigint) split
+  from subjects, range(10) r(run_id)""")
 def q_split_repeated(spark, sf_dir):
     """R2: ten seeded 75/25 splits as a run_id column."""
     s = fixtures.flat(spark, sf_dir).select("subject_id").distinct()
     return report(sampling.split_repeated(s, "subject_id", [0.75, 0.25], 10))
 
 
-@register("folds")
+@register("folds", with_ctes(SUBJECTS_SQL) + f"""select subject_id,
+  cast((row_number() over (order by {_subject_hash_sql(5)}, subject_id) - 1) % 10 as bigint) fold from subjects""")
 def q_folds(spark, sf_dir):
     """10 folds of subjects with sizes differing by at most one."""
     s = fixtures.flat(spark, sf_dir).select("subject_id").distinct()
     return report(sampling.folds(s, "subject_id", 10, seed=5))
 
 
-@register("sample_variants")
+@register("sample_variants", with_ctes([fixtures.F1_SQL]) +
+          f"select * from flat where {mixed_sql(9, 'variant_key')} < {below(0.1)}")
 def q_sample_variants(spark, sf_dir):
     """Genome-wide hash sample of 10% of the variants (whole variants kept)."""
     f = fixtures.flat(spark, sf_dir)
     return report(sampling.sample_variants(f, "variant_key", 0.1, seed=9))
 
 
-@register("subsample")
+@register("subsample", with_ctes(SUBJECTS_SQL) +
+          f"select subject_id from subjects order by {_subject_hash_sql(8)}, subject_id limit 20")
 def q_subsample(spark, sf_dir):
     """Exactly 20 subjects chosen by hash order (error if fewer exist)."""
     s = fixtures.flat(spark, sf_dir).select("subject_id").distinct()

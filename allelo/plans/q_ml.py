@@ -9,13 +9,12 @@ from allelo.operators import forest as fr
 from allelo.operators import metrics
 from allelo.operators.indexing import class_index
 from allelo.plans import forest_sql as fsql
-from allelo.plans.common import indexed, sql_indexed, with_ctes
+from allelo.plans.common import indexed, sql_indexed, subject_index, with_ctes
 from allelo.plans.registry import register, report
 from allelo.tables import load
 
 N_LABELS_SQL = 5          # region table: five super-populations
-TREE_DEPTH = 2
-TOP_DEPTH = 4
+LEVELS_SQL = 24           # levels the oracles unroll; trees grow until no node gains
 LAB_SQL = """lab AS (select si, label from subj join panel on panel.sample = subj.subject_id join
   (select super_pop, row_number() over (order by super_pop) - 1 label from (select distinct super_pop from panel) t) l
   using (super_pop))"""
@@ -85,35 +84,33 @@ def q_entropy(spark, sf_dir):
     return _best_all(spark, sf_dir, "entropy")
 
 
-def _tree(spark, sf_dir, depth):
+def _tree(spark, sf_dir):
     cells, labels, L, variants = _inputs(spark, sf_dir)
-    model = fr.fit(cells, labels, L, fr.ForestParams(n_trees=1, mtry_fraction=1.0, max_depth=depth,
-                                                     bootstrap=False))
-    return model, cells, labels, variants
+    model = fr.fit(cells, labels, L, fr.ForestParams(n_trees=1, mtry_fraction=1.0, bootstrap=False))
+    return model, labels, variants
 
 
-TREE_SQL = with_ctes(_base_sql() + fsql.tree_sql(N_LABELS_SQL, "gini", TREE_DEPTH))
+TREE_CTES = _base_sql() + fsql.forest_sql(N_LABELS_SQL, "gini", LEVELS_SQL, 1, "select 0 tree, si, 1 w from lab", 0, 1.0)
+TREE_SQL = with_ctes(TREE_CTES)
 
 
 @register("tree_nodes", TREE_SQL + """select node, depth, variable, threshold, majority, round(gain, 6) gain,
   round(impurity, 6) impurity, size from nodes""")
 def q_tree_nodes(spark, sf_dir):
-    """Depth-2 wide decision tree (all variables tried, no bootstrap); the node listing."""
-    model, *_ = _tree(spark, sf_dir, TREE_DEPTH)
+    """Wide decision tree grown to the end (all variables tried, no bootstrap); the node listing."""
+    model, *_ = _tree(spark, sf_dir)
     return report(model.nodes.select("node", "depth", "variable", "threshold", "majority", "gain", "impurity",
                                      "size"))
 
 
-@register("tree_predict", with_ctes(_base_sql() + fsql.tree_sql(N_LABELS_SQL, "gini", TREE_DEPTH) +
-                                    fsql.predict_sql(TREE_DEPTH)) +
+@register("tree_predict", with_ctes(TREE_CTES + fsql.walk_sql(LEVELS_SQL, "select 0 tree, si from lab")) +
           "select subject_id, prediction from pred join subj using (si)")
 def q_tree_predict(spark, sf_dir):
     """M9: route every sample down the tree, looking up only split variables."""
-    model, cells, labels, variants = _tree(spark, sf_dir, TREE_DEPTH)
-    x = fr.prepare_cells(cells)
+    model, labels, variants = _tree(spark, sf_dir)
     start = labels.select("sample_index", F.lit(0).cast("bigint").alias("tree"))
-    pred = fr.predict_trees(model.nodes, x, start)
-    long, subjects, _, _ = indexed(spark, sf_dir, "planted")
+    pred = fr.predict_trees(model.nodes, model.x, start)
+    subjects = subject_index(spark, sf_dir, "planted")
     out = pred.join(subjects.select(F.col("subject_index").alias("sample_index"), "subject_id"), "sample_index")
     return report(out.select("subject_id", F.col("prediction").cast("bigint").alias("prediction")))
 
@@ -124,21 +121,21 @@ IMP_SQL = """imp AS (select p.variable, sum((p.size * p.impurity - (l.size * l.i
   where p.variable >= 0 group by p.variable)"""
 
 
-@register("importance", with_ctes(_base_sql() + fsql.tree_sql(N_LABELS_SQL, "gini", TREE_DEPTH) + [IMP_SQL]) +
+@register("importance", with_ctes(TREE_CTES + [IMP_SQL]) +
           "select variable, round(importance, 6) importance, n_splits from imp")
 def q_importance(spark, sf_dir):
     """Gini variable importance of the grown tree."""
-    model, *_ = _tree(spark, sf_dir, TREE_DEPTH)
+    model, *_ = _tree(spark, sf_dir)
     return report(fr.importance(model.nodes, 1))
 
 
-@register("importance_top", with_ctes(_base_sql() + fsql.tree_sql(N_LABELS_SQL, "gini", TOP_DEPTH) + [IMP_SQL]) +
+@register("importance_top", with_ctes(TREE_CTES + [IMP_SQL]) +
           """select variant_key, round(importance, 6) importance from (
   select variable, importance, row_number() over (order by round(importance, 9) desc, variable) rk from imp) t
   join var on var.vi = t.variable where rk <= 5""")
 def q_importance_top(spark, sf_dir):
-    """Top-5 importances of a depth-4 tree, named by variant key."""
-    model, cells, labels, variants = _tree(spark, sf_dir, TOP_DEPTH)
+    """Top-5 importances of the tree, named by variant key."""
+    model, labels, variants = _tree(spark, sf_dir)
     imp = fr.importance(model.nodes, 1)
     top = imp.orderBy(F.round("importance", 9).desc(), "variable").limit(5)
     named = top.join(variants, top.variable == variants.variant_index)
@@ -156,56 +153,87 @@ def q_vote(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# Random (hash-seeded) forest operators: rows-only checks, invariants in tests
+# Random (hash-seeded) forests: the hash is plain integer arithmetic, so the
+# bootstrap, the variables tried per node and the whole forest have SQL twins
 # ---------------------------------------------------------------------------
 
-FOREST_TREES = 5
+FOREST_TREES, FOREST_SEED, FOREST_MTRY = 5, 11, 0.3
+KEYED_SQL = [fixtures.F8_SQL, "subj AS MATERIALIZED (select subject_id, row_number() over (order by subject_id) - 1 si "
+             "from (select distinct subject_id from planted) d)",
+             "x AS MATERIALIZED (select si, variant_key vi, allele from planted join subj using (subject_id))",
+             fixtures.F2_SQL, LAB_SQL]
+
+
+def random_forest_sql(trees: int, seed: int) -> list[str]:
+    """The seeded forest over variant keys: CTEs ``bag`` and ``nodes``."""
+    return KEYED_SQL + fsql.forest_sql(N_LABELS_SQL, "gini", LEVELS_SQL, trees, fsql.bootstrap_sql(trees, seed), seed,
+                                       FOREST_MTRY)
+
+
+NODES_SELECT = """select cast(tree as bigint) tree, node, depth, variable, threshold, majority, round(gain, 6) gain,
+  round(impurity, 6) impurity, size from nodes"""
+EVERY_SQL = f"select tree, si from lab, range({FOREST_TREES}) t(tree)"
 
 
 def _forest(spark, sf_dir):
     cells, labels, L, variants = _inputs(spark, sf_dir, dense_variants=False)
-    params = fr.ForestParams(n_trees=FOREST_TREES, mtry_fraction=0.3, max_depth=6, seed=11)
-    return fr.fit(cells, labels, L, params), cells, labels
+    params = fr.ForestParams(n_trees=FOREST_TREES, mtry_fraction=FOREST_MTRY, seed=FOREST_SEED)
+    return fr.fit(cells, labels, L, params), labels
 
 
-@register("forest_nodes")
+@register("forest_nodes", with_ctes(random_forest_sql(FOREST_TREES, FOREST_SEED)) + NODES_SELECT)
 def q_forest_nodes(spark, sf_dir):
-    """5-tree wide random forest (bootstrap, 30% variables per node); node listing."""
-    model, *_ = _forest(spark, sf_dir)
+    """5-tree wide random forest (bootstrap, 30% variables per node) grown to the end; node listing."""
+    model, _ = _forest(spark, sf_dir)
     return report(model.nodes)
 
 
-@register("oob_error")
+@register("oob_error", with_ctes(random_forest_sql(FOREST_TREES, FOREST_SEED) + fsql.walk_sql(
+    LEVELS_SQL, EVERY_SQL + " where not exists (select 1 from bag b where b.tree = t.tree and b.si = lab.si)") + [
+    f"cum AS (select t.tree, p.si, p.prediction, count(*) cv from pred p join range({FOREST_TREES}) t(tree) "
+    "on p.tree <= t.tree group by 1, 2, 3)",
+    "top AS (select tree, si, arg_max(prediction, cv * 100 + prediction) vote from cum group by tree, si)"]) + f"""
+select cast(t.tree as bigint) tree, round(avg(case when v.vote is null then null when v.vote <> lab.label then 1.0 else 0.0 end), 6) error,
+  count(v.vote) n_voted, round(avg(case when coalesce(v.vote, {N_LABELS_SQL - 1}) <> lab.label then 1.0 else 0.0 end), 6) error_all
+from range({FOREST_TREES}) t(tree) cross join lab left join top v on v.tree = t.tree and v.si = lab.si group by t.tree""")
 def q_oob_error(spark, sf_dir):
     """Running out-of-bag error after each tree."""
-    model, cells, labels = _forest(spark, sf_dir)
-    per_tree, _ = fr.out_of_bag(model, fr.prepare_cells(cells), labels)
+    model, labels = _forest(spark, sf_dir)
+    per_tree, _ = fr.out_of_bag(model, model.x, labels)
     return report(per_tree)
 
 
-@register("forest_predict")
+@register("forest_predict", with_ctes(random_forest_sql(FOREST_TREES, FOREST_SEED) + fsql.walk_sql(LEVELS_SQL, EVERY_SQL)) + """
+select cast(si as bigint) sample_index, cast(vote as bigint) vote, cast(n_votes as bigint) n_votes, cast(label as bigint) label
+from (select si, arg_max(prediction, n * 100 + prediction) vote, sum(n) n_votes from
+  (select si, prediction, count(*) n from pred group by 1, 2) c group by si) v join lab using (si)""")
 def q_forest_predict(spark, sf_dir):
-    """Majority vote of the forest per sample, scored against the labels."""
-    model, cells, labels = _forest(spark, sf_dir)
-    pred = fr.forest_predict(model, fr.prepare_cells(cells), labels)
+    """Majority vote of the forest per sample, next to the labels."""
+    model, labels = _forest(spark, sf_dir)
+    pred = fr.forest_predict(model, model.x, labels)
     return report(pred.join(labels, "sample_index"))
 
 
-@register("bootstrap")
+def _samples(spark, sf_dir):
+    return subject_index(spark, sf_dir, "planted").select(F.col("subject_index").alias("sample_index"))
+
+
+@register("bootstrap", with_ctes(KEYED_SQL + [f"bag AS ({fsql.bootstrap_sql(FOREST_TREES, FOREST_SEED)})"]) +
+          "select cast(tree as bigint) tree, cast(si as bigint) sample_index, w from bag")
 def q_bootstrap(spark, sf_dir):
     """Hash-seeded bootstrap multiplicities per (tree, sample); weights sum to n per tree."""
-    cells, labels, L, variants = _inputs(spark, sf_dir)
-    n = labels.count()
-    return report(fr.bootstrap(labels, n, FOREST_TREES, 11))
+    samples = _samples(spark, sf_dir)
+    return report(fr.bootstrap(samples, samples.count(), FOREST_TREES, FOREST_SEED))
 
 
-@register("oob_samples")
+@register("oob_samples", with_ctes(KEYED_SQL + [f"bag AS ({fsql.bootstrap_sql(FOREST_TREES, FOREST_SEED)})"]) + f"""
+select cast(t.tree as bigint) tree, cast(lab.si as bigint) sample_index from lab cross join range({FOREST_TREES}) t(tree)
+where not exists (select 1 from bag b where b.tree = t.tree and b.si = lab.si)""")
 def q_oob_samples(spark, sf_dir):
     """Out-of-bag samples per tree (all samples minus the in-bag set)."""
-    cells, labels, L, variants = _inputs(spark, sf_dir)
-    n = labels.count()
-    bag = fr.bootstrap(labels, n, FOREST_TREES, 11)
-    trees = labels.select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(FOREST_TREES - 1))).alias("tree"))
+    samples = _samples(spark, sf_dir)
+    bag = fr.bootstrap(samples, samples.count(), FOREST_TREES, FOREST_SEED)
+    trees = samples.select("sample_index", F.explode(F.sequence(F.lit(0), F.lit(FOREST_TREES - 1))).alias("tree"))
     return report(trees.join(bag, ["tree", "sample_index"], "left_anti"))
 
 
@@ -215,7 +243,9 @@ def q_oob_samples(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 BAG_TREES = 3
-BAG_DEPTH = 2
+BAG_SQL = KEYED_SQL + fsql.forest_sql(
+    N_LABELS_SQL, "gini", LEVELS_SQL, BAG_TREES,
+    f"select tree, si, 1 + (si + tree) % 3 w from lab, range({BAG_TREES}) t(tree)", 0, 1.0)
 
 
 def _bag_rule(sample, tree):
@@ -223,42 +253,30 @@ def _bag_rule(sample, tree):
 
 
 def _bag_forest(spark, sf_dir):
-    cells, labels, L, variants = _inputs(spark, sf_dir)
+    cells, labels, L, variants = _inputs(spark, sf_dir, dense_variants=False)
     bag = labels.select(F.explode(F.sequence(F.lit(0), F.lit(BAG_TREES - 1))).alias("tree"), "sample_index") \
         .select("tree", "sample_index", _bag_rule(F.col("sample_index"), F.col("tree")).cast("bigint").alias("w"))
-    params = fr.ForestParams(n_trees=BAG_TREES, mtry_fraction=1.0, max_depth=BAG_DEPTH, bootstrap=False)
-    return fr.fit(cells, labels, L, params, bag=bag), cells, labels
-
-
-def _bag_sql(with_predict: bool) -> list[str]:
-    parts = _base_sql()
-    for t in range(BAG_TREES):
-        parts += fsql.tree_sql(N_LABELS_SQL, "gini", BAG_DEPTH, p=f"f{t}_",
-                               s0=f"select si, 1 node, 1 + (si + {t}) % 3 w from lab")
-        if with_predict:
-            parts += fsql.predict_sql(BAG_DEPTH, p=f"f{t}_")
-    return parts
+    params = fr.ForestParams(n_trees=BAG_TREES, mtry_fraction=1.0, bootstrap=False)
+    return fr.fit(cells, labels, L, params, bag=bag), labels
 
 
-@register("forest_given_bag", with_ctes(_bag_sql(False)) + " union all ".join(
-    f"""select cast({t} as bigint) tree, node, depth, variable, threshold, majority, round(gain, 6) gain,
-  round(impurity, 6) impurity, size from f{t}_nodes""" for t in range(BAG_TREES)))
+@register("forest_given_bag", with_ctes(BAG_SQL) + NODES_SELECT)
 def q_forest_given_bag(spark, sf_dir):
     """3-tree wide forest grown level-wise from a given bag (sample multiplicities)."""
-    model, cells, labels = _bag_forest(spark, sf_dir)
+    model, labels = _bag_forest(spark, sf_dir)
     return report(model.nodes.select("tree", "node", "depth", "variable", "threshold", "majority", "gain",
                                      "impurity", "size"))
 
 
-@register("forest_vote", with_ctes(_bag_sql(True)) + """, v AS (""" + " union all ".join(
-    f"select si, prediction from f{t}_pred" for t in range(BAG_TREES)) + """),
-c AS (select si, prediction, count(*) n from v group by si, prediction)
+@register("forest_vote", with_ctes(BAG_SQL + fsql.walk_sql(
+    LEVELS_SQL, f"select tree, si from lab, range({BAG_TREES}) t(tree)") + [
+    "c AS (select si, prediction, count(*) n from pred group by si, prediction)"]) + """
 select subject_id, cast(arg_max(prediction, n * 10 + prediction) as bigint) vote, cast(sum(n) as bigint) n_votes
 from c join subj using (si) group by subject_id""")
 def q_forest_vote(spark, sf_dir):
     """Majority vote of the given-bag forest per sample (ties -> largest label)."""
-    model, cells, labels = _bag_forest(spark, sf_dir)
-    pred = fr.forest_predict(model, fr.prepare_cells(cells), labels)
-    long, subjects, _, _ = indexed(spark, sf_dir, "planted", dense_variants=False)
+    model, labels = _bag_forest(spark, sf_dir)
+    pred = fr.forest_predict(model, model.x, labels)
+    subjects = subject_index(spark, sf_dir, "planted")
     out = pred.join(subjects.select(F.col("subject_index").alias("sample_index"), "subject_id"), "sample_index")
     return report(out.select("subject_id", F.col("vote").cast("bigint").alias("vote"), "n_votes"))

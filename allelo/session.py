@@ -67,6 +67,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def pinned(df, name: str):
+    """``df`` written below the shared checkpoint folder and read back: a plan leaf without history.
+
+    A checkpoint keeps the constraints Catalyst inferred for its plan, and every
+    round of an iterative operator adds more until planning them takes longer
+    than the work; a written table has none.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_partitioned(df, partitions: int, *cols: str):
     """Hash-partition ``df`` by ``cols`` and checkpoint it *keeping* that partitioning.
 

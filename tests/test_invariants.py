@@ -150,7 +150,7 @@ def test_forest_batches_equal_single_fit(spark):
                              (F.col("subject_index") % 2).cast("int").alias("label"))
     p = forest.ForestParams(n_trees=4, mtry_fraction=0.5, max_depth=3, seed=9)
     one = forest.fit(cells, labels, 2, p).nodes
-    two = forest.fit_batched(cells, labels, 2, p, trees_per_batch=2).nodes
+    two = forest.fit(cells, labels, 2, p, trees_per_batch=2).nodes
     cols = ["tree", "node", "variable", "threshold", "majority", "size"]
     assert one.select(cols).exceptAll(two.select(cols)).count() == 0
     assert two.select(cols).exceptAll(one.select(cols)).count() == 0
