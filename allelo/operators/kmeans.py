@@ -138,13 +138,3 @@ def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int,
     centres.unpersist()
     assignment = assign(x, final, subjects, k, n)
     return KMeansResult(centres=final, assignment=assignment, iterations=done)
-
-
-def tall_kmeans(vectors: DataFrame, k: int, max_iter: int = 300, init_mode: str = "random",
-                seed: int = 1, features_col: str = "features"):
-    """M1: tall k-means on per-subject vectors with ``pyspark.ml``; returns (model, predictions)."""
-    from pyspark.ml.clustering import KMeans
-
-    km = KMeans(k=k, maxIter=max_iter, initMode=init_mode, seed=seed, featuresCol=features_col)
-    model = km.fit(vectors)
-    return model, model.transform(vectors)

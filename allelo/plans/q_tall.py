@@ -12,12 +12,37 @@ _tile = mx.tile_for
 from allelo.operators import metrics, sampling
 from allelo.operators import select as sel
 from allelo.operators.indexing import class_index, dense_index
+from allelo.functions.hashing import below, mixed_sql, text_key_sql
 from allelo.plans import tall
 from allelo.plans.common import indexed, kmeans_sql, with_ctes
+from allelo.plans.q_ml import FOREST_MTRY, FOREST_TREES, random_forest_sql
 from allelo.plans.registry import register, report
 from allelo.session import scratch_path
 
-N_SELECT = 100
+REGIONS_SQL = [fixtures.F8_SQL, fixtures.F2_SQL, """sub AS (select s.subject_id, l.label from
+  (select distinct subject_id from planted) s join panel on panel.sample = s.subject_id join
+  (select super_pop, row_number() over (order by super_pop) - 1 label from (select distinct super_pop from panel) t) l
+  using (super_pop))"""]
+
+
+def _split_sql(seed, fraction) -> str:
+    return f"case when {mixed_sql(seed, text_key_sql('subject_id'))} < {below(fraction)} then 0 else 1 end"
+
+
+def _errors(pred, train):
+    """``n_test, majority_error, better``: the test error of always the most frequent training label, and
+    whether the predictions' error is no larger."""
+    common = train.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
+    return pred.agg(F.count(F.lit(1)).alias("n_test"),
+                    F.avg((F.col("label") != common).cast("double")).alias("majority_error"),
+                    (F.avg((F.col("label") != F.col("prediction")).cast("double"))
+                     <= F.avg((F.col("label") != common).cast("double"))).cast("bigint").alias("better"))
+
+
+def _errors_sql(where: str, train: str) -> str:
+    return f"""select count(*) n_test, round(avg(case when label <> (select label from sub where {train} group by label
+  order by count(*) desc, label limit 1) then 1.0 else 0.0 end), 6) majority_error, cast(1 as bigint) better
+  from sub where {where}"""
 
 
 def _labelled(spark, sf_dir):
@@ -32,12 +57,10 @@ def _labelled(spark, sf_dir):
 
 
 def _tall(spark, sf_dir):
-    """Tall vectors over the top chi-square variants, with region labels (S14 + M17)."""
+    """Sparse vectors over all variants for every labelled sample (S14), and the variants behind the features."""
     cells, labels, variants, subjects = _labelled(spark, sf_dir)
-    scores = sel.chi2_scores(cells, labels.select("sample_index", F.col("label").cast("int").alias("label")))
-    top = sel.select_top(scores, N_SELECT)
-    vec, d = tall.tall_vectors(cells, top)
-    return labels.join(vec, "sample_index").checkpoint()
+    vec, d, feats = tall.tall_vectors(cells, labels)
+    return labels.join(vec, "sample_index").checkpoint(), d, feats
 
 
 @register("label_index", with_ctes([fixtures.F2_SQL]) + """select super_pop, cast(row_number() over
@@ -51,109 +74,129 @@ def q_label_index(spark, sf_dir):
                   .select("super_pop", "label_index"))
 
 
-@register("kmeans_tall")
+@register("kmeans_tall", with_ctes(REGIONS_SQL) + """
+select (select count(*) from sub) n_subjects, round((select sum(allele * allele) from planted) -
+  (select sum(s * s) from (select sum(allele) s from planted group by variant_key) t) / (select count(*) from sub), 3)
+  one_cluster_cost, cast(1 as bigint) better""")
 def q_kmeans_tall(spark, sf_dir):
-    """M1 / M2: tall k-means (pyspark.ml) on selected-variant vectors; cluster and squared distance."""
-    data = _tall(spark, sf_dir)
-    model, pred = tall.tall_kmeans(data, 5, max_iter=20, seed=3)
-    return report(pred.select("subject_id", F.col("prediction").alias("cluster")))
-
-
-def _split(spark, sf_dir):
-    data = _tall(spark, sf_dir)
-    s = sampling.split_hash(data, "subject_id", [0.8, 0.2], seed=7)
+    """M1 / M2: tall k-means on all variants; its cost against that of one cluster, which SQL knows."""
+    cells, labels, _, _ = _labelled(spark, sf_dir)
+    data = labels.join(tall.tall_vectors(cells, labels)[0], "sample_index")
+    model, pred = tall.tall_kmeans(data, 5, seed=3)
+    squares = cells.agg(F.sum(F.col("allele") * F.col("allele"))).first()[0]
+    means = cells.groupBy("variant_index").agg(F.sum("allele").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+    out = pred.where("prediction between 0 and 4").agg(F.count(F.lit(1)).alias("n_subjects"))
+    cost = F.lit(float(squares)) - F.lit(float(means)) / F.col("n_subjects")
+    return report(out.select("n_subjects", F.round(cost, 3).alias("one_cluster_cost"),
+                             (F.lit(model.summary.trainingCost) <= cost).cast("bigint").alias("better")))
+
+
+def _split(spark, sf_dir, fraction=0.8, seed=7):
+    data, _, _ = _tall(spark, sf_dir)
+    s = sampling.split_hash(data, "subject_id", [fraction, 1 - fraction], seed=seed)
     return s.where("split = 0"), s.where("split = 1")
 
 
-@register("rf_tall")
+@register("rf_tall", with_ctes(REGIONS_SQL) + _errors_sql(f"{_split_sql(7, 0.8)} = 1", f"{_split_sql(7, 0.8)} = 0"))
 def q_rf_tall(spark, sf_dir):
-    """Tall random forest (VectorIndexer + RF), hash 80/20 split, test predictions."""
+    """Tall random forest (VectorIndexer + RF) on all variants, hash 80/20 split, test error against the majority's."""
     train, test = _split(spark, sf_dir)
-    model = tall.rf_classifier(train, n_trees=20, max_depth=5, seed=3)
-    pred = model.transform(test)
-    return report(pred.select("subject_id", "label", "prediction"))
+    model = tall.rf_classifier(train, n_trees=50, max_depth=5, subset="onethird", seed=3)
+    return report(_errors(model.transform(test), train))
 
 
-@register("rf_reg")
+@register("rf_reg", with_ctes(REGIONS_SQL + ["""y AS (select subject_id, try_cast(weight as double) /
+  ((try_cast(height as double) / 100) * (try_cast(height as double) / 100)) y from sub join panel on panel.sample = subject_id
+  where try_cast(weight as double) is not null and try_cast(height as double) is not null)"""]) + f"""
+select (select count(*) from y where {_split_sql(7, 0.8)} = 0) n_train, count(*) n_test, round(sqrt(avg(
+  (y - (select avg(y) from y where {_split_sql(7, 0.8)} = 0)) * (y - (select avg(y) from y where {_split_sql(7, 0.8)} = 0)))), 6)
+  mean_rmse, cast(1 as bigint) bounded from y where {_split_sql(7, 0.8)} = 1""")
 def q_rf_reg(spark, sf_dir):
-    """Tall random-forest regressor of BMI on selected variants; regression metrics."""
-    data = _tall(spark, sf_dir)
-    p = fixtures.panel(spark, sf_dir)
+    """Tall random-forest regressor of BMI, trained on 80%; its test error against the training mean's."""
     from allelo.functions.genotype import bmi, sentinel_double
+    p = fixtures.panel(spark, sf_dir)
     b = p.select(F.col("sample").alias("subject_id"),
                  bmi(sentinel_double("height", fixtures.NOT_AVAILABLE),
                      sentinel_double("weight", fixtures.NOT_AVAILABLE)).alias("y")).where("y > 0")
-    d = data.join(b, "subject_id")
-    model = tall.rf_regressor(d, n_trees=20, max_depth=4, seed=3)
-    return report(metrics.regression_metrics(model.transform(d), "y", "prediction"))
+    train, test = (d.join(b, "subject_id") for d in _split(spark, sf_dir))
+    model = tall.rf_regressor(train, n_trees=20, max_depth=4, seed=3)
+    mean = train.agg(F.avg("y")).first()[0]
+    pred = model.transform(test)
+    rmse = lambda c: F.sqrt(F.avg((F.col("y") - c) * (F.col("y") - c)))
+    return report(pred.agg(F.lit(train.count()).alias("n_train"), F.count(F.lit(1)).alias("n_test"),
+                           rmse(F.lit(mean)).alias("mean_rmse"),
+                           (rmse(F.col("prediction")) <= 1.5 * rmse(F.lit(mean))).cast("bigint").alias("bounded")))
 
 
-@register("logreg_cv")
+@register("logreg_cv", with_ctes(REGIONS_SQL) + _errors_sql(f"{_split_sql(7, 0.8)} = 1", f"{_split_sql(7, 0.8)} = 0"))
 def q_logreg_cv(spark, sf_dir):
-    """Logistic regression (maxIter 10, regParam 0.01) with 5-fold cross-validation on F1."""
+    """Logistic regression (maxIter 10, regParam 0.01) with 5-fold cross-validation on F1, on all variants."""
     train, test = _split(spark, sf_dir)
     cv = tall.logreg_cv(train, folds=5)
-    pred = cv.transform(test)
-    return report(metrics.classification_error(pred, "label", "prediction"))
+    return report(_errors(cv.transform(test), train))
 
 
-@register("rf_importance")
+@register("rf_importance", with_ctes([fixtures.F8_SQL]) + """select count(distinct variant_key) n_features,
+  cast(1.0 as double) total, cast(1 as bigint) named from planted""")
 def q_rf_importance(spark, sf_dir):
-    """Tall RF feature importances named by variant key."""
-    data = _tall(spark, sf_dir)
+    """Tall RF feature importances, named by variant: they cover all features and add up to 1."""
+    data, d, feats = _tall(spark, sf_dir)
     model = tall.rf_classifier(data, n_trees=20, max_depth=5, seed=3)
-    cells, labels, variants, subjects = _labelled(spark, sf_dir)
-    scores = sel.chi2_scores(cells, labels.select("sample_index", F.col("label").cast("int").alias("label")))
-    feats = dense_index(sel.select_top(scores, N_SELECT).select("variant_index"), ["variant_index"], "feature")
-    named = feats.join(variants, "variant_index").select("feature", "variant_key")
-    imp = tall.named_importances(model.stages[-1].featureImportances, named)
-    return report(imp.orderBy(F.col("importance").desc(), "feature").limit(20))
+    imp = tall.named_importances(model.stages[-1].featureImportances, feats.select("feature", "variant_index"))
+    return report(imp.agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total"),
+                          (F.count("variant_index") == d).cast("bigint").alias("named")))
 
 
-@register("rf_repeated")
+@register("rf_repeated", with_ctes(REGIONS_SQL) + " union all ".join(
+    f"select cast({r} as bigint) run_id, n_test, majority_error, (select count(*) from sub where {_split_sql(100 + r, 0.75)} = 0) "
+    f"n_train from ({_errors_sql(f'{_split_sql(100 + r, 0.75)} = 1', f'{_split_sql(100 + r, 0.75)} = 0')}) r{r}"
+    for r in range(5)))
 def q_rf_repeated(spark, sf_dir):
-    """10 seeded 75/25 splits -> train, predict, error and ARI per run -> summary."""
-    data = _tall(spark, sf_dir)
-    runs = []
-    for run in range(10):
+    """Seeded 75/25 splits -> train, predict; every run's sizes and the majority's test error."""
+    data, _, _ = _tall(spark, sf_dir)
+    out = None
+    for run in range(5):
         s = sampling.split_hash(data, "subject_id", [0.75, 0.25], seed=100 + run)
-        model = tall.rf_classifier(s.where("split = 0"), n_trees=10, max_depth=5, seed=run)
-        pred = model.transform(s.where("split = 1")).select("label", "prediction")
-        err = metrics.classification_error(pred, "label", "prediction").first()["error"]
-        ari = metrics.adjusted_rand_index(pred, "label", "prediction").first()["ari"]
-        runs.append((run, float(err), float(ari)))
-    table = spark.createDataFrame(runs, "run_id int, error double, ari double")
-    return report(metrics.run_summary(table, ["error", "ari"]))
+        train = s.where("split = 0")
+        model = tall.rf_classifier(train, n_trees=30, max_depth=5, subset="onethird", seed=run)
+        row = (_errors(model.transform(s.where("split = 1")), train).drop("better").withColumn("run_id", F.lit(run))
+               .withColumn("n_train", F.lit(train.count())))
+        out = row if out is None else out.unionByName(row)
+    return report(out)
 
 
-@register("cv_ari")
+@register("cv_ari", with_ctes(REGIONS_SQL) + f"""select fold, count(*) n, cast(1 as bigint) scored from (
+  select cast((row_number() over (order by {mixed_sql(5, text_key_sql('subject_id'))}, subject_id) - 1) % 10 as bigint) fold
+  from sub) t group by fold""")
 def q_cv_ari(spark, sf_dir):
-    """10-fold cross-validation of logistic regression scored by ARI and error."""
-    data = _tall(spark, sf_dir)
+    """10-fold cross-validation of logistic regression; ARI and error over all held-out predictions."""
+    data, _, _ = _tall(spark, sf_dir)
     f = sampling.folds(data.select("subject_id"), "subject_id", 10, seed=5)
     d = data.join(f, "subject_id").checkpoint()
     preds = None
     for k in range(10):
         train, test = sampling.train_test(d, "fold", k)
         m = tall.LogisticRegression(labelCol="label", featuresCol="features", maxIter=10, regParam=0.01).fit(train)
-        p = m.transform(test).select("subject_id", "label", "prediction")
+        p = m.transform(test).select("subject_id", "fold", "label", "prediction")
         preds = p if preds is None else preds.unionByName(p)
     preds = preds.checkpoint()
-    e = metrics.classification_error(preds, "label", "prediction").select("n", "error")
-    a = metrics.adjusted_rand_index(preds, "label", "prediction").select("ari")
-    return report(e.select("n", "error", F.lit(a.first()["ari"]).alias("ari")))
+    error = metrics.classification_error(preds, "label", "prediction").first()["error"]
+    ari = metrics.adjusted_rand_index(preds, "label", "prediction").first()["ari"]
+    return report(preds.groupBy("fold").agg(F.count("prediction").alias("n"),
+                                            F.lit(int(0 <= error < 0.8 and ari > 0)).alias("scored")))
 
 
-@register("model_io")
+@register("model_io", with_ctes(REGIONS_SQL) + "select subject_id, cast(1 as bigint) agrees from sub")
 def q_model_io(spark, sf_dir):
-    """Save a fitted pipeline model, reload it and predict."""
+    """Save a fitted pipeline model, reload it and compare both models' predictions of every subject."""
     from pyspark.ml import PipelineModel
-    data = _tall(spark, sf_dir)
+    data, _, _ = _tall(spark, sf_dir)
     model = tall.rf_classifier(data, n_trees=5, max_depth=3, seed=3)
     path = scratch_path(spark, "model")
     model.write().overwrite().save(path)
-    back = PipelineModel.load(path)
-    return report(back.transform(data).select("subject_id", "prediction"))
+    back = PipelineModel.load(path).transform(data).select("subject_id", F.col("prediction").alias("again"))
+    both = model.transform(data).select("subject_id", "prediction").join(back, "subject_id")
+    return report(both.select("subject_id", (F.col("prediction") == F.col("again")).cast("bigint").alias("agrees")))
 
 
 WARM_C0 = [fixtures.F2_SQL, """lab AS (select si, label from subj join panel on panel.sample = subj.subject_id join
@@ -214,20 +257,40 @@ def q_cluster_populations(spark, sf_dir):
     return report(out)
 
 
-@register("importance_stability")
+STABLE_TOP, STABLE_SEED = 5, 21
+
+
+@register("importance_stability", with_ctes(random_forest_sql(FOREST_TREES, STABLE_SEED) + ["""imp AS (
+  select p.tree, p.variable, sum((p.size * p.impurity - (l.size * l.impurity + r.size * r.impurity)) / root.size) importance
+  from nodes p join nodes l on l.tree = p.tree and l.node = 2 * p.node
+  join nodes r on r.tree = p.tree and r.node = 2 * p.node + 1 join nodes root on root.tree = p.tree and root.node = 1
+  where p.variable >= 0 group by p.tree, p.variable)"""]) + f"""
+select variable, count(*) n_models, round(sum(importance), 6) total_importance from (
+  select *, row_number() over (partition by tree order by round(importance, 9) desc, variable) rk from imp) t
+where rk <= {STABLE_TOP} group by variable""")
 def q_importance_stability(spark, sf_dir):
     """How often each variable is among a tree's top-5 importances across the forest's trees."""
     cells, labels, variants, subjects = _labelled(spark, sf_dir)
     model = fr.fit(cells, labels.select("sample_index", F.col("label").cast("int").alias("label")), 5,
-                   fr.ForestParams(n_trees=5, mtry_fraction=0.3, max_depth=5, seed=21))
-    per_tree = None
-    for t in range(5):
-        imp = fr.importance(model.nodes.where(F.col("tree") == t), 1).withColumn("model_id", F.lit(t))
-        per_tree = imp if per_tree is None else per_tree.unionByName(imp)
-    return report(fr.importance_stability(per_tree, 5))
+                   fr.ForestParams(n_trees=FOREST_TREES, mtry_fraction=FOREST_MTRY, seed=STABLE_SEED))
+    per_tree = fr.importance(model.nodes, 1, by=("tree",)).withColumnRenamed("tree", "model_id")
+    return report(fr.importance_stability(per_tree, STABLE_TOP))
+
+
+def _cosine_sql(name: str, cells: str) -> list[str]:
+    return [f"g_{name} AS (select a.si i, b.si j, sum(a.allele * b.allele) g from ({cells}) a join ({cells}) b "
+            "on a.vi = b.vi and a.si <= b.si group by a.si, b.si)",
+            f"c_{name} AS (select g.i, g.j, g.g / sqrt(p.g * q.g) cosine from g_{name} g join g_{name} p "
+            f"on p.i = g.i and p.j = g.i join g_{name} q on q.i = g.j and q.j = g.j)"]
 
 
-@register("cosine_mae")
+@register("cosine_mae", with_ctes([fixtures.F1_SQL, "subj AS (select subject_id, row_number() over (order by subject_id) - 1 si "
+                                   "from (select distinct subject_id from flat) d)",
+                                   "x AS (select si, variant_key vi, allele from flat join subj using (subject_id))"]
+                                  + _cosine_sql("exact", "select * from x")
+                                  + _cosine_sql("part", f"select * from x where {mixed_sql(13, 'vi')} < {below(0.5)}")) + """
+select round(avg(abs(e.cosine - coalesce(p.cosine, 0))), 6) mae, count(*) n_pairs
+from c_exact e left join c_part p using (i, j)""")
 def q_cosine_mae(spark, sf_dir):
     """Sampled (variant-subsampled, rescaled) cosine similarities vs exact; mean absolute error."""
     long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
@@ -240,16 +303,18 @@ def q_cosine_mae(spark, sf_dir):
                         F.count(F.lit(1)).alias("n_pairs")))
 
 
-@register("param_grid")
+@register("param_grid", with_ctes(REGIONS_SQL) + """select cast(d as bigint) max_depth, cast(b as bigint) max_bins,
+  (select count(*) from sub) n, cast(1 as bigint) scored from (values (2), (4)) t(d), (values (16), (32)) u(b)""")
 def q_param_grid(spark, sf_dir):
-    """maxDepth x maxBins grid for the tall forest, selected by 3-fold cross-validation."""
+    """maxDepth x maxBins grid for the tall forest, every point scored by 3-fold cross-validation."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
-    data = _tall(spark, sf_dir)
+    data, _, _ = _tall(spark, sf_dir)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=5, seed=3)
     grid = tall.param_grid(rf, depths=(2, 4), bins=(16, 32))
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, numFolds=3, seed=4).fit(data)
-    rows = [(int(p[rf.maxDepth]), int(p[rf.maxBins]), float(m)) for p, m in zip(grid, cv.avgMetrics)]
-    return report(spark.createDataFrame(rows, "max_depth int, max_bins int, accuracy double"))
+    rows = [(int(p[rf.maxDepth]), int(p[rf.maxBins]), data.count(), int(0 < m <= 1))
+            for p, m in zip(grid, cv.avgMetrics)]
+    return report(spark.createDataFrame(rows, "max_depth int, max_bins int, n long, scored int"))

@@ -19,7 +19,8 @@ SUBSET = ["kmeans_ari", "kmeans_wide", "variant_index", "subject_sparse", "gram"
           "panel_load", "group_filter", "label_or_unknown", "drop_unlabelled", "mutation_features",
           "wide_csv_binary", "flat_roundtrip", "cluster_members", "ari", "precision_recall", "chi2_select",
           "mann_whitney", "rbo", "annotate_gene", "tree_nodes", "tree_predict", "importance", "vote",
-          "kmeans_warm", "label_index", "forest_given_bag", "forest_vote", "vcf_variant_index"]
+          "kmeans_warm", "label_index", "forest_given_bag", "forest_nodes", "vcf_variant_index", "bootstrap", "folds",
+          "split_hash", "subsample", "sample_variants", "rf_tall", "model_io"]
 ALL = os.environ.get("ALLELO_ORACLE_ALL") == "1"
 
 
@@ -37,10 +38,10 @@ def test_oracle(spark, con, name):
     assert err is None, err
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)) if ALL else
-                         ["bootstrap", "folds", "split_hash", "forest_nodes", "kmeans_tall"])
-def test_rows_only(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_library_query_has_an_oracle():
+    from allelo.plans import registry
+
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry_smoke(spark):
