@@ -67,14 +67,20 @@ def centres_to_long(centres: DataFrame) -> DataFrame:
             .select(F.col("cluster").cast("bigint").alias("cluster"), "variant_index", "c"))
 
 
-def assign(x: DataFrame, centres: DataFrame, subjects: DataFrame, k: int, n_subjects: int) -> DataFrame:
+def squared_norms(x: DataFrame) -> DataFrame:
+    """``(subject_index, x2)``: constant over all rounds, so ``fit`` computes it once."""
+    return x.groupBy("subject_index").agg(F.sum(F.col("allele") * F.col("allele")).alias("x2"))
+
+
+def assign(x: DataFrame, centres: DataFrame, subjects: DataFrame, k: int, n_subjects: int,
+           x2: DataFrame | None = None) -> DataFrame:
     """Nearest centre per subject.
 
     ``subjects(subject_index)`` lists every sample (all-zero ones included).
     """
     c2 = centres.agg(*[F.sum(F.col("c")[j] * F.col("c")[j]).alias(f"c{j}") for j in range(k)]).first()
     c2 = [float(c2[j] or 0.0) for j in range(k)]
-    x2 = x.groupBy("subject_index").agg(F.sum(F.col("allele") * F.col("allele")).alias("x2"))
+    x2 = squared_norms(x) if x2 is None else x2
     dot = (x.join(centres, "variant_index")
            .groupBy("subject_index")
            .agg(F.array(*[F.sum(F.col("allele") * F.col("c")[j]) for j in range(k)]).alias("dot")))
@@ -117,11 +123,12 @@ def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int,
     x = prepare(long_idx)
     subjects = subjects.select("subject_index")
     n = subjects.count()
+    x2 = squared_norms(x).checkpoint()
     centres = (init_centres if init_centres is not None else initial_centres(x, k)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     done = 0
     for _ in range(iterations):
-        assignment = assign(x, centres, subjects, k, n).checkpoint()
+        assignment = assign(x, centres, subjects, k, n, x2).checkpoint()
         new_centres, _sizes = update(x, assignment, k, n)
         new_centres = new_centres.persist(StorageLevel.MEMORY_AND_DISK)
         done += 1
@@ -136,5 +143,5 @@ def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int,
             centres = new_centres
     final = centres.checkpoint()
     centres.unpersist()
-    assignment = assign(x, final, subjects, k, n)
+    assignment = assign(x, final, subjects, k, n, x2)
     return KMeansResult(centres=final, assignment=assignment, iterations=done)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 2_000_000
+
 
 def chi2_scores(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Pearson chi-square of (dosage value x label) per variant.
@@ -18,15 +20,17 @@ def chi2_scores(cells: DataFrame, labels: DataFrame) -> DataFrame:
     n = labels.count()
     col_tot = labels.groupBy("label").agg(F.count(F.lit(1)).alias("C"))
     classes = [(r["label"], r["C"]) for r in col_tot.collect()]   # one row per class
-    o = (cells.join(labels, "sample_index")
-         .groupBy("variant_index", "allele", "label").agg(F.count(F.lit(1)).alias("O")))
-    r = o.groupBy("variant_index", "allele").agg(F.sum("O").alias("R"))
-    t = o.join(r, ["variant_index", "allele"]).join(F.broadcast(col_tot), "label")
-    s = t.groupBy("variant_index").agg(
-        F.sum(F.col("O").cast("double") * F.col("O") / (F.col("R").cast("double") * F.col("C"))).alias("q_nz"),
-        F.sum("O").alias("r_nz"), F.count_distinct("allele").alias("v_nz"),
-        *[F.sum(F.when(F.col("label") == lab, F.col("O")).otherwise(0)).alias(f"nz{i}")
-          for i, (lab, _) in enumerate(classes)])
+    known = labels.select("sample_index", "label")
+    known = F.broadcast(known) if n <= BROADCAST_ROWS else known
+    # one count column a class: one aggregate by (variant, value), one by variant
+    o = (cells.join(known, "sample_index").groupBy("variant_index", "allele")
+         .agg(F.count(F.lit(1)).alias("R"), *[F.count(F.when(F.col("label") == lab, 1)).alias(f"o{i}")
+                                              for i, (lab, _) in enumerate(classes)]))
+    q_value = sum((F.col(f"o{i}").cast("double") * F.col(f"o{i}") / (F.col("R").cast("double") * F.lit(float(c)))
+                   for i, (_, c) in enumerate(classes)), F.lit(0.0))
+    s = o.groupBy("variant_index").agg(
+        F.sum(q_value).alias("q_nz"), F.sum("R").alias("r_nz"), F.count(F.lit(1)).alias("v_nz"),
+        *[F.sum(f"o{i}").alias(f"nz{i}") for i in range(len(classes))])
     r0 = F.lit(n) - F.col("r_nz")
     q_zero = sum((F.pow(F.lit(float(c)) - F.col(f"nz{i}"), 2) / (r0.cast("double") * F.lit(float(c)))
                   for i, (_, c) in enumerate(classes)), F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from allelo import fixtures
 from allelo.operators import kmeans as km
 from allelo.operators import metrics
-from allelo.plans.common import indexed, kmeans_sql, sql_ari, with_ctes
+from allelo.plans.common import indexed, kmeans_sql, sql_ari, subject_index, with_ctes
 from allelo.plans.registry import register, report
 
 FLAGSHIP_K = 5
@@ -68,8 +68,7 @@ def q_variant_index(spark, sf_dir):
           "select subject_id, cast(si as bigint) subject_index from subj")
 def q_subject_dict(spark, sf_dir):
     """Subject dictionary ``(subject_id, subject_index)``."""
-    _, subjects, _, _ = indexed(spark, sf_dir)
-    return report(subjects)
+    return report(subject_index(spark, sf_dir))
 
 
 @register("rare_filter", with_ctes([fixtures.F1_SQL]) + f"""

@@ -8,7 +8,7 @@ from allelo import fixtures
 from allelo.operators import kmeans as km
 from allelo.operators import matrix as mx
 _tile = mx.tile_for
-from allelo.plans.common import indexed, kmeans_sql, sql_indexed, with_ctes
+from allelo.plans.common import subject_index, indexed, kmeans_sql, sql_indexed, with_ctes
 from allelo.plans.registry import register, report
 from allelo.session import scratch_path
 from allelo.sources import tables_io as tio
@@ -91,7 +91,7 @@ def q_locus_sparse_parquet(spark, sf_dir):
 @register("subject_dict_io", with_ctes(sql_indexed()) + "select subject_id, si subject_index from subj")
 def q_subject_dict_io(spark, sf_dir):
     """Subject dictionary side file (own sub-path, CSV) written and read back."""
-    _, subjects, _, _ = indexed(spark, sf_dir)
+    subjects = subject_index(spark, sf_dir)
     path = tio.write_csv(subjects.select("subject_id", "subject_index"), scratch_path(spark, "subjects"))
     return report(spark.read.schema("subject_id STRING, subject_index BIGINT").csv(path))
 

@@ -8,7 +8,7 @@ from allelo import fixtures
 from allelo.functions import genotype as gt
 from allelo.operators import metrics
 from allelo.operators.indexing import class_index, dense_index, running_removed
-from allelo.plans.common import indexed, sql_ari, sql_indexed, with_ctes
+from allelo.plans.common import subject_index, indexed, sql_ari, sql_indexed, with_ctes
 from allelo.plans.registry import register, report
 from allelo.session import scratch_path
 from allelo.sources import panel as pn
@@ -205,7 +205,7 @@ def _label_dict_sql():
 select subject_id, label from subj join panel on panel.sample = subj.subject_id join lab using (super_pop)""")
 def q_labelled_subjects(spark, sf_dir):
     """Keep subjects present in the label map and attach the label ordinal in one join."""
-    long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
+    subjects = subject_index(spark, sf_dir)
     p = fixtures.panel(spark, sf_dir)
     lab = class_index(p, "super_pop", "label")
     labels = p.join(lab, "super_pop").select(F.col("sample").alias("subject_id"), "label")
@@ -227,7 +227,7 @@ PARTIAL_SQL = "pp AS (select * from panel where pop not in ('NATION_6', 'NATION_
 from subj left join pp on pp.sample = subj.subject_id left join lab using (super_pop)""")
 def q_label_or_unknown(spark, sf_dir):
     """Every sample's label ordinal, unknown samples get ``labelCount``."""
-    long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
+    subjects = subject_index(spark, sf_dir)
     p = _partial_panel(spark, sf_dir)
     lab = class_index(p, "super_pop", "label")
     n_labels = lab.count()
@@ -242,7 +242,7 @@ def q_label_or_unknown(spark, sf_dir):
 select count(*) n_unlabelled from subj left join pp on pp.sample = subj.subject_id where pp.sample is null""")
 def q_unlabelled_count(spark, sf_dir):
     """Samples without a known label."""
-    long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
+    subjects = subject_index(spark, sf_dir)
     p = _partial_panel(spark, sf_dir).select(F.col("sample").alias("subject_id"))
     return report(subjects.join(p, "subject_id", "left_anti").agg(F.count(F.lit(1)).alias("n_unlabelled")))
 
@@ -257,7 +257,7 @@ UNLAB_SQL = with_ctes(sql_indexed() + [fixtures.F2_SQL, PARTIAL_SQL, """flag AS
 @register("index_corrections", UNLAB_SQL + "select si sample_index, removed, shift from corr")
 def q_index_corrections(spark, sf_dir):
     """Running count of removed (unlabelled) samples per sample index."""
-    long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
+    subjects = subject_index(spark, sf_dir)
     p = _partial_panel(spark, sf_dir).select(F.col("sample").alias("subject_id"), F.lit(0).alias("known"))
     flags = subjects.join(p, "subject_id", "left").select(
         F.col("subject_index").alias("sample_index"), F.col("known").isNull().cast("bigint").alias("removed"))
