@@ -7,7 +7,7 @@ dataset next to the body instead of funnelling the body through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelo.functions.dense import dense_text
@@ -81,25 +81,38 @@ def write_wide_csv(long: DataFrame, path: str, label_name: str = "aBeta", numeri
     return [f"{path}/header", f"{path}/body"]
 
 
+def csv_fields(line: Column) -> Column:
+    """The fields of a CSV line as an array: quoted fields may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]++|"")*+"|[^,]*)'), F.lit(1))
+    return F.transform(raw, lambda x: F.when(
+        x.startswith('"') & x.endswith('"') & (F.length(x) > 1),
+        F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
 def read_wide_csv(spark: SparkSession, paths, numeric: bool = False) -> tuple[DataFrame, DataFrame]:
     """Wide labelled CSV -> (features dictionary, long cells).
 
     Returns ``features(feature_index, name)`` and
     ``cells(id, label, feature_index, x)``; binary labels are rounded half-up.
+    All files must share one header line.
     """
     if isinstance(paths, str):
         paths = paths.split(",")
     lines = spark.read.text(paths)
     is_header = F.col("value").startswith('"y",') if numeric else F.col("value").startswith('"",')
-    header = lines.where(is_header)
+    header = lines.where(is_header).distinct()
+    if header.limit(2).count() > 1:
+        raise ValueError("the files have different header lines")
     skip = 1 if numeric else 2
-    features = header.select(F.posexplode(F.slice(F.split("value", ","), skip + 1, 1 << 30))
-                             .alias("feature_index", "name")).select(F.col("feature_index").cast("bigint"), "name")
-    body = lines.where(~is_header).select(F.split("value", ",").alias("f"))
+    rest = lambda f, k: F.slice(f, k + 1, F.greatest(F.size(f) - k, F.lit(0)))
+    features = header.select(csv_fields(F.col("value")).alias("f")).select(
+        F.posexplode(rest(F.col("f"), skip)).alias("feature_index", "name")).select(
+        F.col("feature_index").cast("bigint"), "name")
+    body = lines.where(~is_header).select(csv_fields(F.col("value")).alias("f"))
     label = F.col("f")[1].cast("double") if numeric else round_half_up(F.col("f")[1])
     cells = body.select(F.col("f")[0].alias("id"), label.alias("label"),
-                        F.posexplode(F.slice("f", 3, 1 << 30)).alias("feature_index", "x")) \
-        .select("id", "label", F.col("feature_index").cast("bigint"), F.col("x").cast("double"))
+                        F.posexplode(rest(F.col("f"), 2)).alias("feature_index", "x")) \
+        .select("id", "label", F.col("feature_index").cast("bigint"), F.col("x").try_cast("double"))
     return features, cells
 
 

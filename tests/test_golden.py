@@ -135,3 +135,18 @@ def test_dense_values_and_text(spark):
     assert got[3] == ([0, 0, 0, 0, 1], "0,0,0,0,1")
     s = spark.createDataFrame([([(1, "2")],)], "e array<struct<i: int, v: string>>")
     assert s.select(dense_text("e", 3).alias("t")).first().t == "0,2,0"
+
+
+def test_wide_csv_with_quotes(spark, tmp_path):
+    from allelo.sources import tables_io
+
+    (tmp_path / "a.csv").write_text('"","aBeta","f1","f,2","say ""x"""\n"s,1",0.6,1,2,3\n')
+    (tmp_path / "b.csv").write_text('"","aBeta","f1","f,2","say ""x"""\ns2,0.4,,5,6\n')
+    features, cells = tables_io.read_wide_csv(spark, f"{tmp_path}/a.csv,{tmp_path}/b.csv")
+    assert [r["name"] for r in features.orderBy("feature_index").collect()] == ["f1", "f,2", 'say "x"']
+    rows = sorted((r["id"], r["feature_index"], r["x"]) for r in cells.where("x is not null").collect())
+    assert rows == [("s,1", 0, 1.0), ("s,1", 1, 2.0), ("s,1", 2, 3.0), ("s2", 1, 5.0), ("s2", 2, 6.0)]
+    assert tables_io.feature_by_name(features, "f1").count() == 1
+    (tmp_path / "c.csv").write_text('"","aBeta","other"\n')
+    with pytest.raises(ValueError):
+        tables_io.read_wide_csv(spark, f"{tmp_path}/a.csv,{tmp_path}/c.csv")
