@@ -152,11 +152,11 @@ def q_gram_export(spark, sf_dir):
   'Cluster Id : ' || cast(cl as varchar) || '-------> Samples : ' || string_agg(subject_id, ',' order by si) line
   from a2 join subj using (si) group by cl""")
 def q_cluster_members(spark, sf_dir):
-    """Cluster membership listing lines (members in chunks of 1000 per line)."""
+    """Cluster membership listing, one line a cluster."""
     long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
     res = km.fit(x, subjects, 5, 2)
     a = res.assignment.join(subjects, "subject_index")
-    lines = tio.cluster_member_lines(a, chunk=1000)
+    lines = tio.cluster_member_lines(a)
     return report(lines.select("cluster", "line"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from allelo import fixtures
 from allelo.functions import genotype as gt
+from allelo.functions import vocab
 from allelo.operators import metrics
 from allelo.operators.indexing import class_index, dense_index, running_removed
 from allelo.plans.common import subject_index, indexed, sql_ari, sql_indexed, with_ctes
@@ -140,15 +141,27 @@ def _case_sql(expr, pairs, default="NULL"):
     return "case " + expr + " " + " ".join(f"when '{k}' then '{v}'" for k, v in pairs) + f" else {default} end"
 
 
-_P3 = [(p, sup) for sup, pops in __import__("allelo.functions.vocab", fromlist=["x"]).SUPER_POPULATION["phase3"]
-       for p in pops]
+def _groups(name):
+    """(population, group) pairs of a vocabulary."""
+    return [(p, sup) for sup, pops in vocab.SUPER_POPULATION[name] for p in pops]
 
 
-@register("super_pop", with_ctes([fixtures.CODES_SQL]) + f"select sample, pop, {_case_sql('pop', _P3)} grp from codes")
+_P3 = _groups("phase3")
+COUNTRY_SQL = """countries AS (select concat('S', cast(s_suppkey as varchar)) sample,
+  upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) country from supplier join nation on s_nationkey = n_nationkey)"""
+
+
+@register("super_pop", with_ctes([fixtures.CODES_SQL, COUNTRY_SQL]) + f"""select sample, pop, {_case_sql('pop', _P3)} grp,
+  {_case_sql('pop', _groups('phase1'))} phase1, country, {_case_sql('country', _groups('survey'))} survey
+  from codes join countries using (sample)""")
 def q_super_pop(spark, sf_dir):
-    """Population code -> super-population (phase-3 vocabulary), unmatched NULL."""
-    p = fixtures.panel_codes(spark, sf_dir)
-    return report(p.select("sample", "pop", gt.super_population("pop", "phase3").alias("grp")))
+    """Population code or country -> super-population under all three vocabularies, unmatched NULL."""
+    name = F.concat(F.upper(F.substring("pop", 1, 1)), F.lower(F.expr("substring(pop, 2)")))
+    country = fixtures.panel(spark, sf_dir).select("sample", name.alias("country"))
+    p = fixtures.panel_codes(spark, sf_dir).join(country, "sample")
+    return report(p.select("sample", "pop", gt.super_population("pop", "phase3").alias("grp"),
+                           gt.super_population("pop", "phase1").alias("phase1"), "country",
+                           gt.super_population("country", "survey").alias("survey")))
 
 
 @register("label_code", with_ctes([fixtures.CODES_SQL]) + f"""select sample,

@@ -166,17 +166,16 @@ def gram_lines(gram_df: DataFrame, n: int) -> DataFrame:
     return per.select("i", dense_text("e", n, "0").alias("value"))
 
 
-def cluster_member_lines(assign: DataFrame, chunk: int = 1000) -> DataFrame:
-    """``Cluster Id : c-------> Samples : a,b,c`` lines.
+def cluster_member_lines(assign: DataFrame) -> DataFrame:
+    """One ``Cluster Id : c-------> Samples : a,b,c`` line a cluster, members in index order.
 
-    Members are listed in chunks of at most ``chunk`` subjects per line so a
-    large cluster never becomes a single unbounded row.
+    The line wording is a fixed value.  A line holds all names of its cluster, as the format asks.
     """
-    g = assign.groupBy("cluster", (F.col("subject_index") / chunk).cast("bigint").alias("chunk")).agg(
+    g = assign.groupBy("cluster").agg(
         F.array_sort(F.collect_list(F.struct("subject_index", "subject_id"))).alias("m"))
     names = F.array_join(F.transform("m", lambda s: s["subject_id"]), ",")
-    return g.select("cluster", "chunk", F.concat(F.lit("Cluster Id : "), F.col("cluster").cast("string"),
-                                                 F.lit("-------> Samples : "), names).alias("line"))
+    return g.select("cluster", F.concat(F.lit("Cluster Id : "), F.col("cluster").cast("string"),
+                                        F.lit("-------> Samples : "), names).alias("line"))
 
 
 def json_lines(df: DataFrame) -> DataFrame:
