@@ -42,12 +42,21 @@ from allelo.llm.common import Scratch, arrow_map, narrow
 CAPACITY = 2048
 END_ID = 0
 RANGE_ROWS = 100_000
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 GROUP_WORDS = 200_000
 
 # white space of the tokenizer and of str.split() differ in these; from U+0300 on normal forms matter
 _ODD = re.compile("[\x1c-\x1fİ̀-\U0010ffff]")
 _TAIL = ".,;:!?"
+
+
+def odd(text: str) -> bool:
+    """Whether the word cache could fail on the text."""
+    if text.isascii():
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _ODD.search(text) is not None
+
+
 _WORKER: dict = {}
 
 
@@ -62,13 +71,18 @@ class WordCache:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        # lower-case words of letters need no normaliser and no splitting pattern, only the bytes' characters
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.characters: dict[int, str] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -87,7 +101,7 @@ class WordCache:
             else:
                 self.known[word] = self.encode(word)
         fresh = [w for w in letters if w not in self.known]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = self.run_of(fresh)
         ends, raw, at = 4 * (np.flatnonzero(self.ends[ids]) + 1), ids.tobytes(), 0
         for word, end in zip(fresh, ends.tolist(), strict=True):
             self.known[word] = raw[at:end]
@@ -97,30 +111,35 @@ class WordCache:
                 self.known[tail] = self.encode(tail)
             self.known[word] = self.known[core] + self.known[tail]
 
+    def run_of(self, words: list[str]) -> np.ndarray:
+        """Ids of lower-case words of letters, one after the other."""
+        joined = " ".join(words)
+        for c in set(joined) - {" "}:
+            if ord(c) not in self.characters:
+                self.characters[ord(c)] = self.bytes.pre_tokenize_str(c)[0][0]
+        ids = self.plain.encode_batch_fast([joined.translate(self.characters)], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype="<u4")
+
     def many(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of every text; the new words of about ``GROUP_WORDS`` words are learned together."""
         group, size = [], 0
         for text in texts:
-            words = None if _ODD.search(text) else text.lower().split()
-            group.append((text, words))
+            words = None if odd(text) else text.lower().split()
+            group.append((text, words, list(map(self.known.get, words or ()))))
             size += len(words or ())
             if size >= GROUP_WORDS:
                 yield from self.of(group)
                 group, size = [], 0
         yield from self.of(group)
 
-    def of(self, group: list[tuple[str, list[str] | None]]) -> Iterator[bytes]:
-        known = self.known
-        if fresh := {w for _, words in group if words for w in words if w not in known}:
+    def of(self, group: list[tuple[str, list[str] | None, list[bytes | None]]]) -> Iterator[bytes]:
+        gaps = [[i for i, ids in enumerate(found) if ids is None] for _, _, found in group]
+        if fresh := {words[i] for (_, words, _), missing in zip(group, gaps, strict=True) for i in missing}:
             self.learn(fresh)
-        for text, words in group:
-            if words is None:
-                yield self.encode(text)
-            else:
-                try:
-                    yield b"".join([self.known[w] for w in words])
-                except KeyError:  # went with the older half
-                    yield b"".join([self.known.get(w) or self.encode(w) for w in words])
+        for (text, words, found), missing in zip(group, gaps, strict=True):
+            for i in missing:
+                found[i] = self.known[words[i]]
+            yield self.encode(text) if words is None else b"".join(found)
 
 
 def _worker(path: str) -> WordCache:
