@@ -58,7 +58,7 @@ FIRST = 4
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS: dict[bytes, int] = {}
-_WORDS_MOST = 400_000
+_WORDS_MOST = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -187,6 +187,7 @@ def _members(docs: DataFrame, size: int, numerator: int, denominator: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, type=pa.int64()), pa.array(cs, type=pa.int64()), _lists(sketches),
                  pa.array(least, type=pa.list_(pa.int32()))], names=["doc_id", "n", "c", "sketch", "least"])
+        _WORDS.clear()  # a worker serves other operators after this task
 
     return docs.mapInArrow(run, "doc_id long, n long, c long, sketch array<long>, least array<int>")
 
@@ -206,6 +207,7 @@ def _signed(docs: DataFrame, size: int, numerator: int, denominator: int) -> Dat
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(cs))],
                                                      names=["sig", "c"])
+        _WORDS.clear()
 
     return docs.select("text").mapInArrow(run, "sig long, c long")
 

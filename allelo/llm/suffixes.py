@@ -45,7 +45,7 @@ from allelo.llm.common import Scratch, narrow
 
 LENGTH, K = 50, 16
 WINDOW = LENGTH - K + 1  # anchors a window can choose from; also the inductions, with the first order
-PIECE = 1 << 20  # bytes handled at a time
+PIECE = 1 << 19  # bytes handled at a time
 QUEUE_ROWS = 400_000
 BLOCK_ROWS = 100_000
 
