@@ -18,9 +18,10 @@ background's counts are scaled to the target's number of tokens.  A document's
 own counts are taken off the models that counted it before it is scored, so
 documents inside and outside the target are measured alike.
 
-The target documents are a bounded sample, ``TARGET`` by a seeded hash, of those
-with ``labels.quality = 1`` outside the held-out fold; rows that share an id are
-counted each.  Vocabulary and background cover all documents.
+The target documents are all with ``labels.quality = 1`` outside the held-out
+fold; rows that share an id are counted each.  Vocabulary and background cover
+all documents.  Up to ``BROADCAST_IDS`` labelled ids travel to the texts; more
+meet them in a shuffle.
 
 Defined results: null or empty text has no tokens, null losses and score 0;
 without target documents the target model is the smoothing alone; repeated
@@ -38,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelo.llm.common import bounded_sample, held_out, narrow
+from allelo.llm.common import held_out, narrow
 
 VOCABULARY = 1024
-TARGET = 20_000
+BROADCAST_IDS = 5_000_000  # labelled ids sent to every executor at most; none is dropped
 MASS = 8.0
 START, UNKNOWN = 0, 1  # ids before the words': what stands before a document, and every other word
 FLUSH_WORDS = 300_000  # distinct words that a counting task holds at most
@@ -123,11 +124,11 @@ def gather(texts: DataFrame, vocab: list[bytes]) -> DataFrame:
 
 
 def marked(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-           most: int = TARGET) -> DataFrame:
-    """``doc_id, text, target`` of all documents; at most ``most`` labelled ids are the target."""
+           broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """``doc_id, text, target`` of all documents; every labelled id outside the held-out fold is the target."""
     good = (narrow(labels, doc_id="doc_id", quality="quality").where("quality = 1 and doc_id is not null")
-            .where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("good"), F.lit("").alias("all")).distinct())
-    chosen = F.broadcast(bounded_sample(good, "all", "good", most).drop("all"))  # at most ``most`` ids
+            .where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("good")).distinct())
+    chosen = F.broadcast(good) if good.count() <= broadcast_ids else good.hint("merge")
     return (narrow(docs, doc_id=doc_id, text=text).join(chosen, F.col("doc_id") == F.col("good"), "left")
             .select("doc_id", "text", F.col("good").isNotNull().alias("target")))
 

@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from allelo.llm import langid, licenses, quality, queries, scoring
+from allelo.llm.common import held_out
 
 from .conftest import table
 
@@ -254,3 +256,13 @@ def test_scores_rank_labelled_documents(spark):
 def test_scores_empty(spark, no_docs):
     texts = scoring.marked(no_docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert scoring.score(texts, scoring.fit(texts)).count() == 0
+
+
+def test_every_labelled_document_is_target(spark):
+    many = spark.range(30_000).selectExpr("id doc_id", "'a b' text")
+    labels = spark.range(30_000).selectExpr("id doc_id", "1 quality")
+    want = many.where(~held_out(F.col("doc_id"))).count()
+    assert want > 20_000
+    for ids in (scoring.BROADCAST_IDS, 10):  # sent to the texts, and met in a shuffle
+        marked = scoring.marked(many, labels, broadcast_ids=ids)
+        assert marked.count() == 30_000 and marked.where("target").count() == want
