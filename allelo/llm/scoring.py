@@ -4,15 +4,28 @@ Two interpolated bigram models over one vocabulary, a target model of the good
 documents and a background model of all documents, score every document by the
 mean difference of their losses per token: positive scores read like the target.
 
-The shared vocabulary holds the ``VOCABULARY`` most frequent words of all
-documents (ties: the smaller word); other words are one unknown word.  Words
-and bigrams of every document are counted, pre-aggregated per task and summed by
-a shuffle on the word or the bigram.  The tables are bounded by the vocabulary,
-``(VOCABULARY + 2) ** 2`` counts a model, so they travel with the scoring tasks.
+The shared vocabulary is every word that all documents hold ``LEAST`` times or
+more, so it grows with the corpus; rarer words are one unknown word.  Every
+bigram counts.  Words go by 64-bit ids, and the vocabulary's ids travel with the
+tasks, 8 bytes a word.  The ``HOT`` most frequent words (ties: the smaller word)
+and the unknown word only decide where counting is done:
+
+1. bigrams of two hot words, and hot words' own counts, are counted per task,
+   summed by a shuffle and sent to the tasks as a table of ``(HOT + 3) ** 2`` counts;
+2. all other bigrams are dealt to buckets by their cold word (the second word, or
+   the first if the second is hot), one entry for each document and distinct
+   bigram.  A bucket then holds every occurrence of its words and their bigrams,
+   so it counts them and scores the entries at once; sums go back by document.
+   A cold word is rarer than the ``HOT`` most frequent, so no bucket is hot.
+
+Entries travel as packed blocks of many.  There are as many buckets as the
+corpus's tokens need.  A caller may cut the vocabulary to ``size`` words; then
+nothing is dealt.
 
     p(w) = (c(w) + 1) / (n + V)
     p(w | v) = (c(v w) + MASS * p(w)) / (c(v) + MASS)
 
+``V`` is the number of the vocabulary's words and 2.
 Both models are matched: the same vocabulary, smoothing and order, and the
 background's counts are scaled to the target's number of tokens.  A document's
 own counts are taken off the models that counted it before it is scored, so
@@ -31,21 +44,29 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelo.llm.common import held_out, narrow
+from allelo.llm.common import Scratch, held_out, narrow
 
-VOCABULARY = 1024
+HOT = 1024
+LEAST = 10  # a word that all documents together hold less often is the unknown word
 BROADCAST_IDS = 5_000_000  # labelled ids sent to every executor at most; none is dropped
 MASS = 8.0
 START, UNKNOWN = 0, 1  # ids before the words': what stands before a document, and every other word
 FLUSH_WORDS = 300_000  # distinct words that a counting task holds at most
+GROUP_TOKENS = 200_000  # tokens that are handled at a time
+FLUSH_ENTRIES = 1_000_000  # entries that a dealing task holds at most
+BUCKET_TOKENS = 250_000  # tokens of the corpus for each bucket
+COLD = 1 << 62  # ids from here on are cold words'
+AFTER = 1 << 12  # an entry's other word is the hot word after its cold word; else the word before it
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -54,8 +75,8 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` most frequent words of all documents."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, n`` of every word of all documents."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for batch in batches:
@@ -71,8 +92,49 @@ def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         return pa.RecordBatch.from_arrays([pa.array(held.keys(), type=pa.binary()),
                                            pa.array(held.values(), type=pa.int64())], names=["word", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def cold_id(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") % COLD | COLD
+
+
+def vocabulary(texts: DataFrame, size: int | None, hot: int, least: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, and the sorted ids of the vocabulary's other words (none if ``size`` cuts it)."""
+    scratch = Scratch(texts.sparkSession, "scoring")
+    counts = word_counts(texts)
+    if size is not None:
+        return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()], np.zeros(0, "i8")
+    counts = scratch.write(counts.where(F.col("n") >= least), "words")
+    first = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(hot).collect()]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        skip = set(first)
+        for batch in batches:
+            ids = [cold_id(w) for w in batch.column(0).to_pylist() if w not in skip]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64())], names=["id"])
+
+    ids = counts.select("word").mapInArrow(run, "id long").toArrow().column("id").to_numpy()
+    scratch.drop("words")
+    return first, np.unique(ids)
+
+
+class Ids(dict):
+    """Word -> id: of the hot words, of the vocabulary's other words, else ``UNKNOWN``."""
+
+    def __init__(self, index: dict[bytes, int], known: np.ndarray):
+        super().__init__(index)
+        self.known, self.most = known, len(index) + FLUSH_WORDS
+
+    def __missing__(self, word: bytes) -> int:
+        if not len(self.known):
+            return UNKNOWN
+        h = cold_id(word)
+        at = int(self.known.searchsorted(h))
+        h = h if at < len(self.known) and self.known[at] == h else UNKNOWN
+        if len(self) < self.most:
+            self[word] = h
+        return h
 
 
 class Counts:
@@ -94,20 +156,21 @@ def previous(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([[START], ids[:-1]])
 
 
-def encode(text: str | None, index: dict[bytes, int]) -> np.ndarray:
+def encode(text: str | None, index: Ids) -> np.ndarray:
     """Ids of the text's words."""
-    known = index.get
-    return np.array([known(w, UNKNOWN) for w in words(text)], dtype=np.int64)
+    return np.array([index[w] for w in words(text)], dtype=np.int64)
 
 
-def gather(texts: DataFrame, vocab: list[bytes]) -> DataFrame:
-    """``kind, bucket, n, target_n`` summed over all ``marked`` documents."""
+def gather(texts: DataFrame, vocab: list[bytes], known: np.ndarray) -> DataFrame:
+    """``kind, bucket, n, target_n`` summed over all ``marked`` documents; cold words count as one, the last id."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        index = {w: i + 2 for i, w in enumerate(vocab)}
-        every, target = Counts(len(vocab) + 2), Counts(len(vocab) + 2)
+        index, cold = Ids({w: i + 2 for i, w in enumerate(vocab)}, shared.value), len(vocab) + 2
+        every, target = Counts(cold + 1), Counts(cold + 1)
         for batch in batches:
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text, index)
+                ids = np.minimum(encode(text, index), cold)
                 if len(ids):
                     every.add(ids)
                     if good:
@@ -134,75 +197,234 @@ def marked(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 class Models:
-    """The shared vocabulary with the background and the target counts."""
+    """The hot words with the background and the target counts, and the ids of the ``known`` cold words."""
 
-    def __init__(self, vocab: list[bytes], background: Counts, target: Counts):
+    def __init__(self, vocab: list[bytes], known: np.ndarray, background: Counts, target: Counts):
         self.index = {w: i + 2 for i, w in enumerate(vocab)}
-        self.background, self.target = background, target
+        self.known, self.background, self.target = known, background, target
         self.n, self.n_target = int(background.words.sum()), int(target.words.sum())
         self.scale = self.n_target / self.n if self.n else 1.0
+        self.size = len(vocab) + len(known) + 2
+
+    def pair_logs(self, n, k, kw, good, word, pair, target_word, target_pair) -> np.ndarray:
+        """(target, background) sums of log2(c(v w) + MASS * p(w)) over a document's ``k`` equal bigrams.
+
+        The document's own counts, ``k`` of the bigram, ``kw`` of the word and
+        ``n`` of all, come off; the background is scaled to the target's size,
+        so that smoothing weighs alike.
+        """
+        def logs(total, c_word, c_pair, own, scale):
+            p = (scale * (c_word - own * kw) + 1) / (scale * (total - own * n) + self.size)
+            return k * np.log2(scale * (c_pair - own * k) + MASS * p)
+
+        return np.stack([logs(self.n_target, target_word, target_pair, good, 1.0),
+                         logs(self.n, word, pair, 1, self.scale)])
 
-    def losses(self, ids: np.ndarray, good: bool) -> tuple[float, float]:
-        """(target, background) loss of a document; ``good``: the target counted it."""
-        return (mean_loss(self.target, self.n_target, ids, good, 1.0),
-                mean_loss(self.background, self.n, ids, True, self.scale))
+    def context_logs(self, k, good, context, target_context) -> np.ndarray:
+        """(target, background) sums of log2(c(v) + MASS) over a document's ``k`` words after v."""
+        return np.stack([k * np.log2(target_context - good * k + MASS),
+                         k * np.log2(self.scale * (context - k) + MASS)])
 
 
-def fit(texts: DataFrame, size: int = VOCABULARY) -> Models:
-    """The models of ``marked`` documents; the driver gets a row a word and bigram of the vocabulary at most."""
-    vocab = vocabulary(texts, size)
-    rows = gather(texts, vocab).toArrow()
+def fit(texts: DataFrame, size: int | None = None, hot: int = HOT, least: int = LEAST) -> Models:
+    """The models of ``marked`` documents over the words held ``least`` times, or only the ``size`` most frequent.
+
+    The driver gets an id a word, and a row a word and bigram of the hot words at most.
+    """
+    vocab, known = vocabulary(texts, size, hot, least)
+    rows = gather(texts, vocab, known).toArrow()
     kind, bucket = rows.column("kind").to_numpy(), rows.column("bucket").to_numpy()
     models = []
     for column in ("n", "target_n"):
-        counts, n = Counts(len(vocab) + 2), rows.column(column).to_numpy()
+        counts, n = Counts(len(vocab) + 3), rows.column(column).to_numpy()
         for k, name in enumerate(("words", "contexts", "pairs")):
             getattr(counts, name)[bucket[kind == k]] = n[kind == k]
         models.append(counts)
-    return Models(vocab, *models)
-
-
-def mean_loss(counts: Counts, total: int, ids: np.ndarray, own: bool, scale: float) -> float:
-    """Mean negative log2-probability per token.
-
-    ``own``: the counts hold the document, which is taken off; ``scale`` brings
-    the counts to the size of the smaller model, so that smoothing weighs alike.
-    """
-    before = previous(ids)
-    pair = before * counts.size + ids
-    c_word, c_context, c_pair = counts.words[ids], counts.contexts[before], counts.pairs[pair]
-    if own:
-        total -= len(ids)
-        c_word, c_context, c_pair = c_word - times(ids), c_context - times(before), c_pair - times(pair)
-    p = (scale * c_word + 1) / (scale * total + counts.size)
-    return float(-np.log2((scale * c_pair + MASS * p) / (scale * c_context + MASS)).mean())
-
-
-def times(values: np.ndarray) -> np.ndarray:
-    """How often each value stands in the array, at every place."""
-    _, inverse, n = np.unique(values, return_inverse=True, return_counts=True)
-    return n[inverse]
-
-
-def score(texts: DataFrame, models: Models) -> DataFrame:
+    return Models(vocab, known, *models)
+
+
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by the keys, the first most, and in that order the number of each place's group)."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    return order, np.cumsum(new)
+
+
+ENTRY = [("word", "i8"), ("other", "i8"), ("uid", "i8"), ("n", "i4"), ("k", "i4"), ("kw", "i4"), ("flags", "u1")]
+GOOD, LAST = 1, 2  # flags: the target counted the document; the cold word is its last
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Entries in one block: each column's bytes by their place in the number, compressed."""
+    raw = b"".join(np.ascontiguousarray(c, dtype=t).view("u1").reshape(len(c), -1).T.tobytes()
+                   for c, (_, t) in zip(columns, ENTRY, strict=True))
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, rows: int) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for _, t in ENTRY]
+    raw = np.frombuffer(pa.decompress(data, rows * sum(widths), codec="zstd", asbytes=True), dtype="u1")
+    out, at = [], 0
+    for width, (_, t) in zip(widths, ENTRY, strict=True):
+        out.append(np.ascontiguousarray(raw[at: at + rows * width].reshape(width, rows).T).view(t).ravel())
+        at += rows * width
+    return out
+
+
+def of_group(m: Models, docs: list[tuple[int, np.ndarray, bool]]):
+    """(target, background) sums of the hot part of each document, and the entries of the rest."""
+    n = np.array([len(ids) for _, ids, _ in docs])
+    if not n.sum():
+        return np.zeros((2, len(docs))), [np.zeros(0, dtype=t) for _, t in ENTRY]
+    uid, good = np.array([u for u, _, _ in docs]), np.array([g for _, _, g in docs]).astype(np.int64)
+    word = np.concatenate([ids for _, ids, _ in docs])
+    before = np.concatenate([previous(ids) if len(ids) else ids for _, ids, _ in docs])
+    doc = np.repeat(np.arange(len(docs)), n)
+    b, t, side = m.background, m.target, m.background.size
+    sums = np.zeros((2, len(docs)))
+
+    def add(at, logs):
+        for i in (0, 1):
+            sums[i] += np.bincount(at, logs[i], minlength=len(docs))
+
+    order, group = groups(doc, before)  # hot contexts
+    first = order[np.flatnonzero(np.diff(group, prepend=-1))]
+    k = np.bincount(group)
+    hot = before[first] < COLD
+    at, v, k = doc[first][hot], before[first][hot], k[hot]
+    add(at, m.context_logs(k, good[at], b.contexts[v], t.contexts[v]))
+
+    order, group = groups(doc, word, before)  # distinct bigrams
+    start = np.flatnonzero(np.diff(group, prepend=-1))
+    first, k = order[start], np.bincount(group)
+    at, w, v = doc[first], word[first], before[first]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (w[1:] != w[:-1])])
+    same = np.cumsum(new) - 1
+    kw = np.bincount(same, k).astype(np.int64)[same]
+    hot = (w < COLD) & (v < COLD)
+    a, x, y = at[hot], w[hot], v[hot] * side + w[hot]
+    add(a, -m.pair_logs(n[a], k[hot], kw[hot], good[a], b.words[x], b.pairs[y], t.words[x], t.pairs[y]))
+
+    ends = np.where(n > 0, word[np.minimum(np.cumsum(n), len(word)) - 1], -1)
+    after = w < COLD  # the hot word after a cold one; else the cold word after any
+    key = np.where(after, v, w)
+    flags = good[at] * GOOD + (ends[at] == key) * LAST
+    return sums, [c[~hot] for c in (key, np.where(after, w + AFTER, v), uid[at], n[at], k, kw, flags)]
+
+
+def of_bucket(m: Models, word, other, uid, n, k, kw, flags) -> tuple[np.ndarray, np.ndarray]:
+    """(document, (target, background) sums) of a bucket that holds every entry of its words."""
+    order, pair = groups(word, other)
+    word, other, uid, n, k, kw, flags = (c[order] for c in (word, other, uid, n, k, kw, flags))
+    n, k, kw, good = n.astype(np.int64), k.astype(np.int64), kw.astype(np.int64), (flags & GOOD).astype(np.int64)
+    cold = np.cumsum(np.concatenate([[False], word[1:] != word[:-1]]))
+    after = (other >= AFTER) & (other < COLD)
+    total = lambda at, x: np.bincount(at, x).astype(np.int64)  # noqa: E731  counts are whole and below 2 ** 53
+    c_pair, t_pair = total(pair, k)[pair], total(pair, k * good)[pair]
+    c_word, t_word = total(cold, k * ~after), total(cold, k * good * ~after)
+    hot = np.where(after, other - AFTER, 0)
+    own, target_own = (np.where(after, x.words[hot], y[cold]) for x, y in ((m.background, c_word), (m.target, t_word)))
+    logs = -m.pair_logs(n, k, kw, good, own, c_pair, target_own, t_pair)
+
+    at = np.flatnonzero(~after)  # every document of a cold word has an entry of what stands before it
+    order, group = groups(cold[at], uid[at])
+    first = at[order[np.flatnonzero(np.diff(group, prepend=-1))]]
+    last = (flags[first] & LAST) // LAST
+    contexts, t_contexts = ((x - np.bincount(cold[first], last * y, minlength=len(x)).astype(np.int64))[cold[first]]
+                            for x, y in ((c_word, 1), (t_word, good[first])))
+    more = m.context_logs(kw[first] - last, good[first], contexts, t_contexts)
+
+    docs, at = np.unique(np.concatenate([uid, uid[first]]), return_inverse=True)
+    both = np.concatenate([logs, more], axis=1)
+    return docs, np.stack([np.bincount(at, x, minlength=len(docs)) for x in both])
+
+
+DEALT = ["bucket int, rows int, data binary", "uid long, doc_id long, n_tokens long, target double, background double"]
+
+
+def score(texts: DataFrame, models: Models, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of every ``marked`` document."""
-    shared = texts.sparkSession.sparkContext.broadcast(models)  # bounded by the vocabulary
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(models)  # the hot words' counts and 8 bytes a word
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), models.n // (4 * bucket_tokens) + 1)
+    buckets = 4 * parts
+
+    def deal(batches) -> Iterator[pa.RecordBatch]:
+        """A row for each document, and blocks of entries by bucket."""
+        m, row, held, entries = shared.value, TaskContext.get().partitionId() << 40, [], 0
+        index = Ids(m.index, m.known)
         for batch in batches:
-            sizes, goal, back, scores = [], [], [], []
-            for body, good in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = encode(body, m.index)
-                sizes.append(len(ids))
-                t, b = m.losses(ids, good) if len(ids) else (None, None)
-                goal.append(t)
-                back.append(b)
-                scores.append(b - t if len(ids) else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, type=pa.int64()),
-                 *[pa.array(x, type=pa.float64()) for x in (goal, back, scores)]],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return texts.mapInArrow(
-        run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            group, size, start = [], 0, 0
+            bodies, goods = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, (body, good) in enumerate(zip(bodies, goods, strict=True)):
+                group.append((row, encode(body, index), good))
+                row, size = row + 1, size + len(group[-1][1])
+                if size >= GROUP_TOKENS or i + 1 == len(bodies):
+                    sums, more = of_group(m, group)
+                    yield documents(batch.column(0).slice(start, len(group)), group, sums)
+                    held.append(more)
+                    entries += len(more[0])
+                    group, size, start = [], 0, i + 1
+                    if entries >= FLUSH_ENTRIES:
+                        yield from blocks(held)
+                        held, entries = [], 0
+        if entries:
+            yield from blocks(held)
+
+    def documents(keys: pa.Array, group: list, sums: np.ndarray) -> pa.RecordBatch:
+        uid = np.array([u for u, _, _ in group])
+        nulls = [pa.nulls(len(group), t) for t in (pa.int32(), pa.binary())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array((uid % buckets).astype(np.int32)), *nulls, pa.array(uid), keys,
+             pa.array([len(ids) for _, ids, _ in group], type=pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
+            names=["bucket", "rows", "data", "uid", "doc_id", "n_tokens", "target", "background"])
+
+    def blocks(held: list) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        bucket = columns[0] % buckets
+        order = np.argsort(bucket, kind="stable")
+        columns, bucket = [c[order] for c in columns], bucket[order]
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(first[1:], len(bucket))
+        data = [packed([c[a:b] for c in columns]) for a, b in zip(first, ends, strict=True)]
+        nulls = [pa.nulls(len(first), t) for t in (pa.int64(),) * 3 + (pa.float64(),) * 2]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[first].astype(np.int32)), pa.array((ends - first).astype(np.int32)),
+             pa.array(data, type=pa.binary()), *nulls],
+            names=["bucket", "rows", "data", "uid", "doc_id", "n_tokens", "target", "background"])
+
+    def settle(batches) -> Iterator[pa.RecordBatch]:
+        """Rows of documents as they are, and the sums of each bucket's entries."""
+        m, held, at = shared.value, [], None
+        for batch in batches:
+            plain = batch.filter(batch.column(2).is_null())
+            if plain.num_rows:
+                yield plain.select(["uid", "doc_id", "n_tokens", "target", "background"])
+            full = batch.filter(batch.column(2).is_valid())
+            for bucket, rows, data in zip(*[full.column(i).to_pylist() for i in range(3)], strict=True):
+                if held and bucket != at:
+                    yield sums_of(m, held)
+                    held = []
+                at = bucket
+                held.append((data, rows))
+        if held:
+            yield sums_of(m, held)
+
+    def sums_of(m: Models, held: list) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*[unpacked(*x) for x in held], strict=True)]
+        docs, (target, background) = of_bucket(m, *columns)
+        nulls = [pa.nulls(len(docs), pa.int64())] * 2
+        return pa.RecordBatch.from_arrays([pa.array(docs), *nulls, pa.array(target), pa.array(background)],
+                                          names=["uid", "doc_id", "n_tokens", "target", "background"])
+
+    dealt = texts.select("doc_id", "text", "target").mapInArrow(deal, ", ".join(DEALT))
+    sums = (dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, DEALT[1])
+            .groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
+                                F.sum("target").alias("target"), F.sum("background").alias("background")))
+    loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    return sums.select("doc_id", "n_tokens", loss("target").alias("target_loss"),
+                       loss("background").alias("background_loss")).withColumn(
+        "score", F.coalesce(F.col("background_loss") - F.col("target_loss"), F.lit(0.0)))

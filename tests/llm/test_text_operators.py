@@ -266,3 +266,51 @@ def test_every_labelled_document_is_target(spark):
     for ids in (scoring.BROADCAST_IDS, 10):  # sent to the texts, and met in a shuffle
         marked = scoring.marked(many, labels, broadcast_ids=ids)
         assert marked.count() == 30_000 and marked.where("target").count() == want
+
+
+@pytest.mark.parametrize(("hot", "least"), [(1024, 1), (30, 2), (0, 1)])
+def test_scores_of_the_whole_vocabulary_by_brute_force(spark, odd_docs, hot, least):
+    labels = spark.createDataFrame([(1, 1), (3, 1), (8, 1), (12, 1), (13, 0), (None, 1)], "doc_id long, quality int")
+    rare = spark.createDataFrame([(20, " ".join(f"w{i} w{i * i} w{i}" for i in range(3000))), (21, "w7 w49 the w7 w49 w7")],
+                                 "doc_id long, text string")
+    texts = scoring.marked(odd_docs.select("doc_id", "text").unionByName(rare), labels)
+    rows = [(r["doc_id"], scoring.words(r["text"]), r["target"]) for r in texts.collect()]
+    often = Counter(w for _, ws, _ in rows for w in ws)
+    rows = [(key, [w if often[w] >= least else "rare" for w in ws], target) for key, ws, target in rows]
+    tables = []
+    for only in (False, True):
+        uni, ctx, bi = Counter(), Counter(), Counter()
+        for _, ws, target in rows:
+            if target or not only:
+                uni.update(ws)
+                ctx.update([None, *ws][:-1] if ws else [])
+                bi.update(zip([None, *ws], ws, strict=False))
+        tables.append((uni, ctx, bi))
+    n, n_target = (sum(t[0].values()) for t in tables)
+    size = sum(n >= least for n in often.values()) + 2
+    assert size > 1024 + 2
+
+    def loss(tab, total, ws, own, scale):
+        uni, ctx, bi = Counter(), Counter(), Counter()
+        if own:
+            uni.update(ws)
+            ctx.update([None, *ws][:-1])
+            bi.update(zip([None, *ws], ws, strict=False))
+            total -= len(ws)
+        out = 0.0
+        for v, w in zip([None, *ws], ws, strict=False):
+            p = (scale * (tab[0][w] - uni[w]) + 1) / (scale * total + size)
+            out -= np.log2((scale * (tab[2][v, w] - bi[v, w]) + scoring.MASS * p)
+                           / (scale * (tab[1][v] - ctx[v]) + scoring.MASS))
+        return out / len(ws)
+
+    want = []
+    for key, ws, target in rows:
+        t, b = ((loss(tables[1], n_target, ws, target, 1.0), loss(tables[0], n, ws, True, n_target / n))
+                if ws else (None, None))
+        want.append((key, len(ws), t, b, b - t if ws else 0.0))
+    got = [tuple(r) for r in scoring.score(texts, scoring.fit(texts, hot=hot, least=least), bucket_tokens=5000).collect()]
+    assert len(got) == len(want)
+    by = lambda r: (str(r[0]), r[1], -1.0 if r[2] is None else round(r[2], 5))
+    for a, b in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
+        assert a[:2] == b[:2] and list(a[2:]) == pytest.approx(list(b[2:]), abs=1e-9)
