@@ -2,7 +2,10 @@
 
 A text block is one line of a document; a line of more than ``BLOCK`` words
 gives overlapping blocks of ``BLOCK`` words, one every ``BLOCK / 2``, so a
-notice stays whole and a long line does not match by its length.  A block
+notice stays whole and a long line does not match by its length.  The same
+blocks over the whole word sequence of a document find notices that run over
+line ends: such a block counts for a template of more than ``SHORT`` words where
+it holds more of it than every line's block within its reach.  A block
 matches a template when it holds at least ``containment`` of the template's
 distinct tokens.  Tokens are
 ordered globally by their frequency over all documents (rare first).  The join
@@ -58,6 +61,7 @@ TEMPLATES = [
 
 CONTAINMENT = 0.8
 BLOCK = 64
+SHORT = 3  # templates of so few words match within a line only
 
 # lower-cases A-Z; keeps 0-9, a-z and all non-ASCII bytes; everything else separates words
 _CLASS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122
@@ -116,16 +120,30 @@ def matches(flat: bytes, everything: set[bytes], prepared: list[dict], rare: fro
                and overlap(t["tokens"], everything, t["need"])]
     if not chances:
         return
+    found: list[tuple[int, int, int, float]] = []  # (first word, end, template, containment)
     for at, line in blocks_of(flat):
-        block = set(line)
-        for i, t in chances:
-            if len(block) >= t["need"] and not t["prefix"].isdisjoint(block):
-                if n := overlap(t["tokens"], block, t["need"]):
-                    yield at, i, n / len(t["tokens"])
+        for i, share in held(set(line), chances):
+            found.append((at, at + len(line), i, share))
+            yield at, i, share
+    chances = [(i, t) for i, t in chances if len(t["tokens"]) > SHORT]
+    if not chances or b"\n" not in flat:
+        return
+    for at, block in blocks_of(flat.replace(b"\n", b" ")):
+        for i, share in held(set(block), chances):
+            if all(share > s for a, b, j, s in found if j == i and a < at + len(block) and at < b):
+                yield at, i, share
+
+
+def held(block: set[bytes], chances: list[tuple[int, dict]]) -> Iterator[tuple[int, float]]:
+    """(template index, containment) of the templates that the block matches."""
+    for i, t in chances:
+        if len(block) >= t["need"] and not t["prefix"].isdisjoint(block):
+            if n := overlap(t["tokens"], block, t["need"]):
+                yield i, n / len(t["tokens"])
 
 
 def blocks_of(flat: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """(position of the first word, words) of every block."""
+    """(position of the first word, words) of every block of the lines."""
     at = 0
     for line in flat.split(b"\n"):
         ws = line.split()

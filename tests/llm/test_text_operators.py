@@ -314,3 +314,20 @@ def test_scores_of_the_whole_vocabulary_by_brute_force(spark, odd_docs, hot, lea
     by = lambda r: (str(r[0]), r[1], -1.0 if r[2] is None else round(r[2], 5))
     for a, b in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
         assert a[:2] == b[:2] and list(a[2:]) == pytest.approx(list(b[2:]), abs=1e-9)
+
+
+def test_license_notices_over_line_ends(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU "
+           "General Public License")
+    pad = "\n".join(f"v{i} u{i}" for i in range(90))
+    rows = [(1, bsd), (2, gpl), (3, f"{pad}\n{bsd}\n{pad}\n{gpl}\n{pad}"), (4, gpl.replace(" ", "\n")), (5, pad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = {r["doc_id"]: r["labels"] for r in licenses.report(licenses.scan(docs)).collect()}
+    for key, text in rows:
+        ws = LICENSE_WORD.findall(text.lower())
+        windows = [set(ws[i:i + 64]) for i in range(0, len(ws), 32)]
+        want = {label for label, body in licenses.TEMPLATES for w in windows
+                if len(w & set(body.split())) >= 0.8 * len(set(body.split()))}
+        assert labels[key] == ",".join(sorted(want))
+    assert labels == {1: "bsd", 2: "gpl-3", 3: "bsd,gpl-3", 4: "gpl-3", 5: ""}
