@@ -180,40 +180,24 @@ def _runs_of(tagged: DataFrame) -> DataFrame:
     return tagged.where("doc_id is not null").mapInArrow(run, "h long, f long, doc long, run long")
 
 
-def _compare(met: DataFrame) -> DataFrame:
-    """``open, doc, run`` from rows sorted by h, f, doc: settled repeats (false) and runs to compare (true).
+def _compare(found: DataFrame) -> DataFrame:
+    """``open, doc, run`` of all runs: settled repeats (false) and runs to compare (true).
 
     Settled: a smaller document has the same run.  To compare: the smallest
     document's occurrences of every run, where an anchor has several runs and documents.
+    Both come from aggregates that combine in each task; runs stream past the
+    smallest document of their class, so no task holds the rows of an anchor.
     """
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns])
-            rows = rows if held is None else np.concatenate([held, rows], axis=1)
-            change = np.flatnonzero(rows[0, 1:] != rows[0, :-1])
-            cut = int(change[-1]) + 1 if len(change) else 0
-            held = rows[:, cut:]
-            if cut:
-                yield decide(rows[:, :cut])
-        if held is not None and held.shape[1]:
-            yield decide(held)
-
-    def decide(rows: np.ndarray) -> pa.RecordBatch:
-        h, f, doc, packed = rows
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new_c = new_h | np.concatenate([[True], f[1:] != f[:-1]])
-        first = np.flatnonzero(new_c)
-        least = doc[first]  # sorted by doc within a class
-        mine = least[np.cumsum(new_c) - 1]
-        group = np.flatnonzero(new_h[first])
-        several = np.minimum.reduceat(least, group) < np.maximum.reduceat(least, group)
-        compare = several[np.cumsum(new_h) - 1] & (doc == mine)
-        keep = compare | (doc > mine)
-        return pa.RecordBatch.from_arrays([pa.array(compare[keep]), pa.array(doc[keep]), pa.array(packed[keep])],
-                                          names=["open", "doc", "run"])
-
-    return met.mapInArrow(run, "open boolean, doc long, run long")
+    classes = found.groupBy("h", "f").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    several = (classes.groupBy("h").agg(F.min("least").alias("low"), F.max("least").alias("high"))
+               .where("low < high").select(F.col("h").alias("shared")))
+    wanted = (classes.join(several, F.col("h") == F.col("shared"), "left")
+              .select(F.col("h").alias("class_h"), F.col("f").alias("class_f"), "least", "most",
+                      F.col("shared").isNotNull().alias("several"))
+              .where("several or least < most"))
+    return (found.join(wanted, (F.col("h") == F.col("class_h")) & (F.col("f") == F.col("class_f")))
+            .where("several or doc > least")
+            .select((F.col("several") & (F.col("doc") == F.col("least"))).alias("open"), "doc", "run"))
 
 
 def _around(tagged: DataFrame, compare: DataFrame) -> DataFrame:
@@ -441,8 +425,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """``doc, tag, spans array<long>``: repeated strings as ``start << 32 | length``, overlapping and unsorted."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     tagged = _tagged(docs, doc_id, text)
-    met = _runs_of(tagged).repartition("h").sortWithinPartitions("h", "f", "doc")
-    compared = scratch.write(_compare(met), "compared")
+    compared = scratch.write(_compare(_runs_of(tagged)), "compared")
     found = scratch.write(_shards(_around(tagged, compared.where("open").select("doc", "run"))), "found")
     anchor, left, more, tag = unpack_columns()
     settled = compared.where("not open").select(

@@ -349,3 +349,20 @@ def test_large_leaves_and_many_queries_are_split(spark, monkeypatch):
     assert got[0] == dict(enumerate(want[0], 1)) and set(got) == set(want)
     same = sum(len(set(got[q].values()) & set(want[q])) for q in want)
     assert same >= 0.95 * 20 * len(want)
+
+
+def test_runs_of_an_anchor_need_not_meet(spark):
+    """Rows of one anchor in any order and partition, a hot run among them, give the same verdicts."""
+    rows = [(1, 10, 5, 100), (1, 10, 3, 101), (1, 11, 4, 102), (2, 20, 1, 103), (2, 20, 1, 104), (3, 30, 2, 105)]
+    rows += [(1, 10, 9, 200 + i) for i in range(3000)] + [(4, 40, 7, 1), (4, 41, 7, 2), (1, 11, 4, 106)]
+    random.Random(5).shuffle(rows)
+    met = spark.createDataFrame(rows, "h long, f long, doc long, run long").repartition(7)
+    got = sorted((r["open"], r["doc"], r["run"]) for r in suffixes._compare(met).collect())
+    want = [(False, 5, 100), (True, 3, 101), (True, 4, 102), (True, 4, 106)] + [(False, 9, 200 + i) for i in range(3000)]
+    assert got == sorted(want)
+
+
+def test_text_of_one_byte(spark):
+    rows = [(1, "-" * 4000), (2, "x" + "-" * 3000 + "y"), (3, "-" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in suffixes.report(docs).collect()), key=str) == brute_removed(rows)
