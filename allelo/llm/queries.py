@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelo.llm import jaccard, langid, licenses, mixing, neighbours, packing, quality, scoring, suffixes, urls
+from allelo.llm import (bpe, jaccard, langid, licenses, mixing, neighbours, packing, quality, resampling, scoring, search,
+                        suffixes, urls)
 from allelo.llm.common import held_out
 from allelo.tables import load
 
@@ -92,3 +93,27 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product of every vector whose id is divisible by 20."""
     index = neighbours.Index(load(spark, sf_dir, "embeddings"))
     return index.search(F.col("vec_id") % 20 == 0)
+
+
+@query(resampling.ORACLE)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance resampling of documents towards the benchmark's words; 10% of the longer ones are drawn."""
+    out = resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return out.drop("n_words")
+
+
+@query()
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text, and the text they decode to, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(load(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query(search.ORACLE)
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
