@@ -41,9 +41,11 @@ from allelo.llm.common import arrow_map, narrow
 #: bytes up to which a word is merged in the rank array
 SHORT = 64
 #: words and pieces a worker keeps
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: pieces looked up together, characters of a segment, ids decoded together
-GROUP_PIECES, SEGMENT, RUN = 300_000, 1 << 20, 1 << 20
+GROUP_PIECES, SEGMENT, RUN = 100_000, 1 << 20, 1 << 20
+#: rows that a task handles at once
+ROWS = 500
 
 #: fixed value: the pattern of byte-level pre-tokenizers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -280,7 +282,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             yield k, len(ids) // 4, ids
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(narrow(docs, key=key, text=text), run, f"`{key}` {kind}, n_tokens long, ids binary")
+    return arrow_map(narrow(docs, key=key, text=text), run, f"`{key}` {kind}, n_tokens long, ids binary", ROWS)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -291,4 +293,4 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     kind = encoded.schema[key].dataType.simpleString()
     return arrow_map(narrow(encoded, key=key, ids=ids), run,
-                     f"`{key}` {kind}, n_tokens long, ids binary, decoded string")
+                     f"`{key}` {kind}, n_tokens long, ids binary, decoded string", ROWS)

@@ -22,11 +22,12 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in columns.items()])
 
 
-def arrow_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str, rows_at_once: int | None = None) -> DataFrame:
     """Run ``fn(*columns as lists) -> iterable of row tuples`` on every Arrow batch.
 
     Output rows are flushed every ``OUT_ROWS`` rows, so memory per task is one
-    input batch plus one output batch.
+    input batch plus one output batch.  ``rows_at_once`` cuts both for rows with
+    long values: batches go to ``fn`` in slices of that many rows.
     """
     spark = df.sparkSession
     struct = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else \
@@ -35,12 +36,15 @@ def arrow_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for batch in batches:
-            for row in fn(*[c.to_pylist() for c in batch.columns]):
-                rows.append(row)
-                if len(rows) >= OUT_ROWS:
-                    yield _batch(rows, names, types)
-                    rows = []
+        flush = rows_at_once or OUT_ROWS
+        for whole in batches:
+            step = rows_at_once or max(whole.num_rows, 1)
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                for row in fn(*[c.to_pylist() for c in batch.columns]):
+                    rows.append(row)
+                    if len(rows) >= flush:
+                        yield _batch(rows, names, types)
+                        rows = []
         if rows:
             yield _batch(rows, names, types)
 
