@@ -33,6 +33,8 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -41,15 +43,18 @@ from allelo.llm.common import arrow_map, narrow
 #: bytes up to which a word is merged in the rank array
 SHORT = 64
 #: words and pieces a worker keeps
-CACHE_WORDS = 150_000
-#: pieces looked up together, characters of a segment, ids decoded together
-GROUP_PIECES, SEGMENT, RUN = 100_000, 1 << 20, 1 << 20
+CACHE_WORDS = 400_000
+#: characters worked on together and of a segment, ids decoded together
+GROUP, SEGMENT, RUN = 2 << 20, 1 << 20, 1 << 20
 #: rows that a task handles at once
 ROWS = 500
 
 #: fixed value: the pattern of byte-level pre-tokenizers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: fixed value: marks that end a piece and are words of their own there
+_MARKS = ".,;:!?"
+
 _NONE = np.iinfo(np.int32).max
 # where a space does not start a piece of its own
 _ODD_SPACE = re.compile(r"\s |^ ")
@@ -86,6 +91,8 @@ class Codec:
         self.keys = keys[self.order]
         self.joined = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
         self.rank = {k: r for r, k in enumerate(keys.tolist())}
+        # ranks of two bytes, where every word starts
+        self.first_ranks = self.ranks(np.repeat(self.first, 256), np.tile(self.first, 256)).astype(np.int32)
         back = {c: b for b, c in enumerate(characters)}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocabulary.items()}
         self.added = {t["content"]: t["id"] for t in added}
@@ -101,6 +108,8 @@ class Codec:
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of every pair of ids, infinite where the pair never merges (or an id is -1)."""
         key = left << 32 | right
+        if not len(self.keys):
+            return np.full(np.shape(key), _NONE)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (right >= 0) & (left >= 0), self.order[at], _NONE)
 
@@ -108,12 +117,15 @@ class Codec:
         """Ids of words of at most ``SHORT`` bytes, all rows of the rank array in lockstep."""
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max())
-        flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+        inside = np.arange(width) < lengths[:, None]
+        raw = np.zeros((len(words), width), dtype=np.int64)
+        raw[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
         parts = np.full((len(words), width + 1), -1, dtype=np.int64)  # one column of padding ends every row
-        parts[np.arange(width + 1) < lengths[:, None]] = self.first[flat]
+        parts[:, :-1][inside] = self.first[raw[inside]]
         done, sizes = np.zeros((len(words), width), dtype="<u4"), np.zeros(len(words), dtype=np.int64)
         rows = np.arange(len(words))
-        rank = self.ranks(parts[:, :-1], parts[:, 1:])
+        rank = np.full((len(words), width), _NONE, dtype=np.int32)
+        rank[:, :-1] = np.where(inside[:, 1:], self.first_ranks[raw[:, :-1] << 8 | raw[:, 1:]], _NONE)
         while len(rows):
             best = rank.argmin(axis=1)
             least = rank[np.arange(len(rows)), best]
@@ -134,10 +146,6 @@ class Codec:
             lengths = lengths - 1
             column = column[:-1]
             rank = np.take_along_axis(rank, column + (column > best[:, None]), axis=1)
-            if not rank.shape[1]:
-                rank = np.full((len(rows), 1), _NONE)
-                parts = np.column_stack([parts, np.full(len(rows), -1)])
-                continue
             here = np.minimum(best, rank.shape[1] - 1)
             rank[at, here] = self.ranks(parts[at, here], parts[at, here + 1])
             before = np.maximum(best - 1, 0)
@@ -169,21 +177,47 @@ class Codec:
                     heapq.heappush(heap, (s, a))
         return np.array([p for p in parts if p >= 0], dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Merge the words not yet known and keep them."""
-        short: dict[str, bytes] = {}
+    def merged(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words."""
+        out, short = {}, []
         for word in words:
-            if word in self.words:
-                continue
-            raw = word.encode()
-            if len(raw) <= SHORT:
-                short[word] = raw
+            if len(word) <= SHORT:
+                short.append(word)
             else:
-                self.words[word] = self.merge_long(raw)
-        by_length = sorted(short, key=lambda w: len(short[w]))
-        for k in range(0, len(by_length), 20_000):
-            block = by_length[k:k + 20_000]
-            self.words.update(zip(block, self.merge([short[w] for w in block]), strict=True))
+                out[word] = self.merge_long(word)
+        short.sort(key=len)
+        for k in range(0, len(short), 20_000):
+            block = short[k:k + 20_000]
+            out.update(zip(block, self.merge(block), strict=True))
+        return out
+
+    def learn(self, words: set[str], pieces: set[str]) -> None:
+        """Ids of words, and of pieces that follow a space each, into the caches.
+
+        A piece of letters, with or without a mark at its end, needs no pattern.
+        """
+        letters, tailed, cut = set(), [], {}
+        for piece in pieces:
+            if piece.isalpha():
+                letters.add(piece)
+            elif piece[-1:] in _MARKS and (core := piece[:-1]).isalpha():
+                tailed.append((piece, core))
+                letters.add(core)
+            else:
+                cut[piece] = self.pattern.findall(" " + piece)
+        words = words.union(_MARKS, *cut.values())
+        fresh = {" " + p: p for p in letters if p not in self.pieces}
+        merged = self.merged({w.encode() for w in itertools.chain(fresh, (w for w in words if w not in self.words))})
+        for word, piece in fresh.items():
+            self.pieces[piece] = merged[word.encode()]
+        for word in words:
+            if word not in self.words:
+                self.words[word] = merged[word.encode()]
+        word = self.words.__getitem__
+        for piece, parts in cut.items():
+            self.pieces[piece] = b"".join(map(word, parts))
+        for piece, core in tailed:
+            self.pieces[piece] = self.pieces[core] + word(piece[-1])
 
     # -- texts -------------------------------------------------------------
 
@@ -205,45 +239,60 @@ class Codec:
             if start < len(part):
                 yield part[start:]
 
-    def plan(self, segment: str) -> tuple[list[str], list[str]]:
-        """Words of a segment's irregular front, and its pieces that follow a space each."""
+    def plan(self, segment: str) -> tuple[list[str], str | None]:
+        """Words of a segment's irregular front, and the rest, whose pieces follow a space each."""
         if _ODD_SPACE.search(segment):
             if segment[0] != " " or _ODD_SPACE.search(segment, 1):
-                return self.pattern.findall(segment), []
-            return [], segment[1:].split(" ")
-        head, *pieces = segment.split(" ")
-        return self.pattern.findall(head), pieces
+                return self.pattern.findall(segment), None
+            return [], segment[1:]
+        head, space, rest = segment.partition(" ")
+        return self.pattern.findall(head), rest if space else None
 
     def encode_group(self, group: list[list]) -> Iterator[bytes]:
-        """Ids of texts given as lists of id bytes and (words, pieces)."""
+        """Ids of texts given as lists of id bytes and (words, rest).
+
+        All rests are split and numbered by Arrow; only distinct pieces are looked up, and their
+        ids are gathered by number.
+        """
         planned = [s for text in group for s in text if not isinstance(s, bytes)]
-        fresh = set(itertools.chain.from_iterable(p for _, p in planned)).difference(self.pieces)
-        cut = {piece: self.pattern.findall(" " + piece) for piece in fresh}
-        self.learn({w for words, _ in planned for w in words} | set(itertools.chain.from_iterable(cut.values())))
+        split = pc.split_pattern(pa.array([rest for _, rest in planned], type=pa.large_string()), " ")
+        pieces = pc.list_flatten(split).dictionary_encode()
+        distinct, number = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        self.learn({w for words, _ in planned for w in words}, {p for p in distinct if p not in self.pieces})
         word = self.words.__getitem__
-        for piece, words in cut.items():
-            self.pieces[piece] = b"".join(map(word, words))
-        known = self.pieces.__getitem__
+        held = list(map(self.pieces.__getitem__, distinct))
+        sizes = np.array(list(map(len, held)), dtype=np.int64) // 4
+        ids, first = np.frombuffer(b"".join(held), dtype="<u4"), np.cumsum(sizes) - sizes
+        sizes = sizes[number]
+        ends = np.cumsum(sizes)
+        raw = ids[np.repeat(first[number] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
+        spans = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
         for text in group:
-            yield b"".join(s if isinstance(s, bytes) else b"".join(map(word, s[0])) + b"".join(map(known, s[1]))
-                           for s in text)
-        for name in ("words", "pieces"):  # beyond the bound the older half goes
-            cache = getattr(self, name)
-            if len(cache) > CACHE_WORDS:
-                setattr(self, name, dict(itertools.islice(cache.items(), len(cache) // 2, None)))
+            parts = []
+            for s in text:
+                if isinstance(s, bytes):
+                    parts.append(s)
+                else:
+                    a, b = next(spans)
+                    parts += [*map(word, s[0]), raw[a:b]]
+            yield b"".join(parts)
+        if len(self.pieces) > CACHE_WORDS:  # what this group needed stays, with it all that is frequent
+            self.pieces = dict(zip(distinct, held, strict=True))
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of every text; the new words of about ``GROUP_PIECES`` pieces are merged together.
+        """Ids of every text; about ``GROUP`` characters are worked on together.
 
         A text of more segments than a group holds passes through several groups.
         """
         group, size, front = [[]], 0, b""
         for text in texts:
             for segment in self.segments(text or ""):
-                item = segment if isinstance(segment, bytes) else self.plan(segment)
-                group[-1].append(item)
-                size += 1 if isinstance(item, bytes) else len(item[0]) + len(item[1])
-                if size >= GROUP_PIECES:
+                group[-1].append(segment if isinstance(segment, bytes) else self.plan(segment))
+                size += len(segment)
+                if size >= GROUP:
                     *whole, last = self.encode_group(group)
                     if whole:
                         yield front + whole[0]

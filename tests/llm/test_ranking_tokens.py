@@ -54,7 +54,7 @@ def test_rank_array_and_heap_equal_the_library(library, monkeypatch, short):
 
 
 def test_small_groups_segments_and_caches(library, monkeypatch):
-    for name, value in (("CACHE_WORDS", 5), ("GROUP_PIECES", 3), ("SEGMENT", 7), ("RUN", 2)):
+    for name, value in (("CACHE_WORDS", 5), ("GROUP", 15), ("SEGMENT", 7), ("RUN", 2)):
         monkeypatch.setattr(bpe, name, value)
     texts = ["the cat, sat  on \n the mat", "", "a cat a mat! the<|endoftext|>x", "   ", "word", "a b \n \nc d  e f g h "] * 3
     agrees(bpe.Codec(PATH), library, texts)
