@@ -3,11 +3,12 @@
 Every key is added, multiplied, squared and multiplied again modulo three
 different primes.  All intermediate values stay below 2**62, so any engine with
 64-bit integers gives the same number.  ``mixed`` builds the column expression,
-``mixed_sql`` its SQL twin; text keys enter through 28 bits of their MD5.
+``mixed_sql`` its SQL twin, ``mixed_array`` that of numpy arrays; text keys enter through 28 bits of their MD5.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +45,15 @@ def mixed_sql(seed: int | str, *keys: str) -> str:
     return x
 
 
+def mixed_array(seed: int, *keys: int | np.ndarray) -> np.ndarray:
+    """The same hash of 64-bit integers and arrays of them."""
+    x = np.int64(seed)
+    for key in keys:
+        x = ((x + np.asarray(key, dtype=np.int64) % SPACE) * 48271 + 7) % P1
+        x = (x * x % P2 * 40692 + 17) % P3
+    return x
+
+
 def below(fraction: float) -> int:
     """Hashes under this bound make up the given fraction."""
     return int(fraction * SPACE)

@@ -18,13 +18,19 @@ One level for *all* trees and nodes at once:
 5. best split per node by a partial-aggregated ``min(struct(...))``: lowest
    weighted impurity, ties to the smallest variable then threshold;
 6. samples of split nodes look up the chosen variable (semi-join reduced X)
-   and move to child ``2n`` (allele <= threshold) or ``2n + 1``.
+   and move to the left (allele <= threshold) or right child.
 
-Nodes use heap numbering (root 1).  A node is a leaf when no candidate
-variable exists, the best gain is <= ``min_gain`` or the optional ``max_depth``
-is reached; without one trees grow until no node gains.  Heap numbers have room
-for ``MAX_PATH`` levels; a tree that would need more is reported as an error,
-never cut.
+A node is known by its tree, its depth and its smallest sample, which no other
+node of that tree and depth holds; ``parent`` (the name of the node above) and
+``side`` link the levels, so trees may be of any depth.  A node is a leaf when no
+candidate variable exists, the best gain is <= ``min_gain`` or the optional
+``max_depth`` is reached; without one trees grow until no node gains.
+
+Nodes whose samples hold at most ``local_cells`` cells are set aside on the way
+down and finished in one grouped stage at the end (``subtree.py``): their cells
+are brought together by node, and each task grows whole subtrees by the same
+rules.  The bound counts cells, so a group's memory does not depend on the
+cohort; how deep the levels above must go does.
 
 X is partitioned once per fit and carried by the model for prediction.  Forests
 whose state would exceed the broadcast bound are grown in batches of trees that
@@ -37,14 +43,19 @@ import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allelo.functions.hashing import below, mixed
-from allelo.session import checkpoint_partitioned, pinned
+from allelo.operators import subtree
+from allelo.session import checkpoint_partitioned, pinned, scratch_path
 
 BROADCAST_ROWS = 2_000_000
-MAX_PATH = 61
+LOCAL_CELLS = 200_000
+#: rows that walk down one subtree together
+WALK_ROWS = 100_000
 
 
 @dataclass
@@ -56,11 +67,16 @@ class ForestParams:
     bootstrap: bool = True
     impurity: str = "gini"               # or "entropy"
     seed: int = 17
+    local_cells: int = LOCAL_CELLS       # cells of a node below which one task grows its whole subtree
+
+
+NODE_COLUMNS = """tree long, depth long, node long, parent long, side long, variable long, threshold double,
+  majority long, gain double, impurity double, size long, part_depth long, part long"""
 
 
 @dataclass
 class ForestModel:
-    nodes: DataFrame        # tree, node, depth, variable, threshold, majority, gain, impurity, size
+    nodes: DataFrame        # NODE_COLUMNS; part_depth and part name the subtree root where one task grew it, else -1
     n_trees: int
     n_labels: int
     bag: DataFrame          # tree, sample_index, w
@@ -122,7 +138,8 @@ def _node_totals(state: DataFrame, labels: DataFrame, n_labels: int, kind: str)
     sl = _with_labels(state, labels)
     tots = [F.sum(F.when(F.col("label") == l, F.col("w")).otherwise(0)).cast("bigint").alias(f"t{l}")
             for l in range(n_labels)]
-    t = sl.groupBy("tree", "node").agg(*tots)
+    links = [c for c in ("parent", "side") if c in sl.columns]  # of one value in a node
+    t = sl.groupBy("tree", "node", *links).agg(*tots)
     tcols = [F.col(f"t{l}") for l in range(n_labels)]
     size = sum(tcols[1:], tcols[0])
     majority = F.array_max(F.array(*[F.struct(F.col(f"t{l}").alias("c"), F.lit(l).alias("l"))
@@ -194,20 +211,18 @@ def best_splits(x: DataFrame, state: DataFrame, labels: DataFrame, totals: DataF
                        F.col("b.threshold").alias("threshold"), F.col("b.weighted").alias("weighted"))
 
 
-def _route(x: DataFrame, state: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
-    """Move samples of split nodes to their children (missing cell = dosage 0).
+def _route(x: DataFrame, state: DataFrame, chosen_rows: int) -> DataFrame:
+    """Rows that stand in split nodes, with the side they go to (missing cell = dosage 0).
 
-    The chosen variables of a level number at most its ``n_splits`` split nodes;
-    only those variables' cells are read from X (semi-join reduction).
+    ``state`` carries the ``variable`` and ``threshold`` of its node.  Only the
+    chosen variables' cells are read from X (semi-join reduction).
     """
-    sv = state.join(splits.select("tree", "node", "variable", "threshold"), ["tree", "node"])
-    chosen = splits.select(F.col("variable").alias("variant_index")).distinct()
-    xv = x.join(_small(chosen, n_splits), "variant_index", "left_semi") \
+    chosen = state.select(F.col("variable").alias("variant_index")).distinct()
+    xv = x.join(_small(chosen, chosen_rows), "variant_index", "left_semi") \
         .select(F.col("variant_index").alias("variable"), "sample_index", "allele")
-    routed = sv.join(xv, ["variable", "sample_index"], "left")
-    go_right = (F.coalesce(F.col("allele"), F.lit(0.0)) > F.col("threshold")).cast("bigint")
-    carried = [c for c in state.columns if c not in ("tree", "sample_index", "node")]
-    return routed.select("tree", "sample_index", (F.col("node") * 2 + go_right).alias("node"), *carried)
+    routed = state.join(xv, ["variable", "sample_index"], "left")
+    side = (F.coalesce(F.col("allele"), F.lit(0.0)) > F.col("threshold")).cast("bigint")
+    return routed.withColumn("side", side).drop("variable", "threshold", "allele")
 
 
 def root_state(labels: DataFrame) -> DataFrame:
@@ -238,80 +253,180 @@ def fit(cells: DataFrame, labels: DataFrame, n_labels: int, params: ForestParams
         bag = bootstrap(labels.select("sample_index"), n, params.n_trees, params.seed, params.bootstrap)
     bag = bag.select("tree", "sample_index", F.col("w").cast("bigint").alias("w")).checkpoint()
     batch = trees_per_batch or max(1, BROADCAST_ROWS // max(n, 1))
-    levels = []
+    per_sample = x.groupBy("sample_index").agg(F.count(F.lit(1)).alias("cells"))
+    roots = (bag.join(labels, "sample_index").join(per_sample, "sample_index", "left")
+             .select("tree", "sample_index", "w", "label", F.coalesce("cells", F.lit(0)).alias("cells"),
+                     F.lit(-1).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("side")))
+    grown = scratch_path(x.sparkSession, "forest")
     for start in range(0, params.n_trees, batch):
-        part = bag if batch >= params.n_trees else \
-            bag.where((F.col("tree") >= start) & (F.col("tree") < start + batch))
-        levels += _grow(x, labels, part, n_labels, params, frac, n * min(batch, params.n_trees - start))
-    nodes = levels[0]
-    for lv in levels[1:]:
-        nodes = nodes.unionByName(lv)
+        part = roots if batch >= params.n_trees else \
+            roots.where((F.col("tree") >= start) & (F.col("tree") < start + batch))
+        _grow(x, part, n_labels, params, frac, f"{grown}/state-{start}", f"{grown}/nodes/batch={start}")
+    nodes = x.sparkSession.read.schema(NODE_COLUMNS).parquet(f"{grown}/nodes").drop("batch", "level")
     return ForestModel(nodes=nodes, n_trees=params.n_trees, n_labels=n_labels, bag=bag, x=x)
 
 
-def _grow(x: DataFrame, labels: DataFrame, bag: DataFrame, n_labels: int, params: ForestParams, frac: float,
-          state_rows: int) -> list[DataFrame]:
-    """The node tables of every level of the bag's trees."""
-    # the state carries each sample's label, joined once, so levels never re-join the labels
-    state = pinned(bag.join(labels, "sample_index").select(
-        "tree", "sample_index", F.lit(1).cast("bigint").alias("node"), "w", "label"), "state")
-    levels, n_nodes = [], params.n_trees
+def _named(rows: DataFrame) -> DataFrame:
+    """State rows with the name of their node, its smallest sample, and its cells (``mass``)."""
+    from pyspark.sql import Window
+
+    here = Window.partitionBy("tree", "parent", "side")
+    return rows.withColumn("node", F.min("sample_index").over(here)).withColumn("mass", F.sum("cells").over(here))
+
+
+STATE_COLUMNS = """tree long, sample_index long, w long, label int, cells long, parent long, side long, node long,
+  mass long"""
+
+
+def _grow(x: DataFrame, roots: DataFrame, n_labels: int, params: ForestParams, frac: float, states: str,
+          nodes: str) -> None:
+    """Write the nodes of the trees that start with ``roots``: a table a level, then the finished subtrees.
+
+    The state carries each sample's label, joined once, so levels never re-join the labels.
+    """
+    spark = x.sparkSession
+    small = F.col("mass") <= params.local_cells
+    rows = roots
     for depth in itertools.count():
-        totals = _node_totals(state, labels, n_labels, params.impurity).persist()
+        _named(rows).select(*[f.name for f in _schema(spark, STATE_COLUMNS)]).write.parquet(f"{states}/depth={depth}")
+        state = spark.read.schema(STATE_COLUMNS).parquet(f"{states}/depth={depth}")
+        left = state.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~small).alias("large")).first()
+        if not left["large"]:
+            break
+        large = state.where(~small)
+        totals = _node_totals(large, None, n_labels, params.impurity)
         if depth != params.max_depth:
-            best = best_splits(x, state, labels, totals, n_labels, frac, params.seed + 7919 * (depth + 1),
-                               params.impurity, state_rows, n_nodes)
+            best = best_splits(x, large, None, totals, n_labels, frac, params.seed + 7919 * (depth + 1),
+                               params.impurity, left["large"], left["large"])
             level = totals.join(best, ["tree", "node"], "left")
-            gain = F.col("impurity") - F.col("weighted")
-            split = F.col("variable").isNotNull() & (gain > params.min_gain)
         else:
             level = totals.select("*", F.lit(None).cast("bigint").alias("variable"),
-                                  F.lit(None).cast("double").alias("threshold"),
-                                  F.lit(None).cast("double").alias("weighted"))
-            gain = F.lit(0.0)
-            split = F.lit(False)
-        level = pinned(level.select(
-            "tree", "node", F.lit(depth).alias("depth"),
-            F.when(split, F.col("variable")).otherwise(F.lit(-1)).cast("bigint").alias("variable"),
-            F.when(split, F.col("threshold")).otherwise(F.lit(0.0)).alias("threshold"),
-            F.col("majority").cast("bigint").alias("majority"),
-            F.when(split, gain).otherwise(F.lit(0.0)).alias("gain"),
-            "impurity", "size"), "level")
-        totals.unpersist()
-        levels.append(level)
-        splits = level.where(F.col("variable") >= 0)
-        n_splits = splits.count()
-        if not n_splits:
-            return levels
-        if depth == MAX_PATH:
-            raise ValueError(f"a tree needs more than {MAX_PATH} levels; set max_depth")
-        n_nodes = 2 * n_splits
-        state = pinned(_route(x, state, splits, n_splits), "state")
+                                  F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("weighted"))
+        gain = F.col("impurity") - F.col("weighted")
+        split = F.coalesce(F.col("variable").isNotNull() & (gain > params.min_gain), F.lit(False))
+        level.select("tree", F.lit(depth).cast("bigint").alias("depth"), "node", "parent", "side",
+                     F.when(split, F.col("variable")).otherwise(F.lit(-1)).cast("bigint").alias("variable"),
+                     F.when(split, F.col("threshold")).otherwise(F.lit(0.0)).alias("threshold"),
+                     F.col("majority").cast("bigint").alias("majority"),
+                     F.when(split, gain).otherwise(F.lit(0.0)).alias("gain"), "impurity", "size",
+                     F.lit(-1).cast("bigint").alias("part_depth"), F.lit(-1).cast("bigint").alias("part")
+                     ).write.parquet(f"{nodes}/level={depth}")
+        splits = spark.read.schema(NODE_COLUMNS).parquet(f"{nodes}/level={depth}").where(F.col("variable") >= 0)
+        moving = large.drop("parent", "side", "mass").join(
+            _small(splits.select("tree", "node", "variable", "threshold"), left["large"]), ["tree", "node"])
+        rows = _route(x, moving, left["large"]).withColumnRenamed("node", "parent")
+    rows = spark.read.schema(f"{STATE_COLUMNS}, depth long").parquet(states).where(small)
+    rules = subtree.Rules(n_labels, frac, params.seed, params.impurity, params.min_gain, params.max_depth)
+    _finish(x, rows, rules).write.parquet(f"{nodes}/level=subtrees")
+
+
+def _schema(spark, ddl: str):
+    return spark.createDataFrame([], ddl).schema
+
+
+def _finish(x: DataFrame, rows: DataFrame, rules: subtree.Rules) -> DataFrame:
+    """The whole subtrees of the nodes in ``rows``: their cells meet by node, at most ``local_cells`` a group."""
+    key = ["tree", "depth", "node"]
+    held = x.join(rows.select(*key, "sample_index"), "sample_index")
+    brought = held.select(*key, "sample_index", F.col("variant_index").cast("bigint").alias("variable"), "allele",
+                          *[F.lit(None).cast(t).alias(c) for c, t in (("w", "long"), ("label", "int"), ("parent", "long"),
+                                                                      ("side", "long"))])
+    brought = brought.unionByName(rows.select(*key, "sample_index", F.lit(None).cast("long").alias("variable"),
+                                              F.lit(None).cast("double").alias("allele"), "w", "label", "parent", "side"))
+
+    def run(group: pa.Table) -> pa.Table:
+        is_cell = group["variable"].is_valid().to_numpy()
+        column = {c: group[c].to_numpy(zero_copy_only=False) for c in group.column_names}
+        sample = column["sample_index"][~is_cell]
+        order = np.argsort(sample)
+        sample = sample[order]
+        weight, label = (column[c][~is_cell][order].astype(np.int64) for c in ("w", "label"))
+        parent, side = (int(column[c][~is_cell][0]) for c in ("parent", "side"))
+        tree, depth, node = (int(column[c][0]) for c in key)
+        levels = list(subtree.grow(rules, tree, depth, parent, side, sample, weight, label,
+                                   np.searchsorted(sample, column["sample_index"][is_cell]),
+                                   column["variable"][is_cell].astype(np.int64), column["allele"][is_cell].astype(float)))
+        out = {f: np.concatenate([lv[f] for lv in levels]) for f in subtree.NODE_FIELDS}
+        n = len(out["node"])
+        out |= {"tree": np.full(n, tree), "part_depth": np.full(n, depth), "part": np.full(n, node)}
+        return pa.table({c: pa.array(out[c], type=t) for c, t in arrow.items()})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = {f.name: to_arrow_type(f.dataType) for f in _schema(x.sparkSession, NODE_COLUMNS)}
+    return brought.groupBy(*key).applyInArrow(run, NODE_COLUMNS)
 
 
 def predict_trees(nodes: DataFrame, x: DataFrame, start: DataFrame) -> DataFrame:
     """M9: route ``start(tree, sample_index)`` rows down each tree -> ``(tree, sample_index, prediction)``.
 
-    Goes on until every row stands in a leaf.  Per level only the split variables of that level are looked up in X
-    (semi-join reduced), never whole vectors.
+    Rows walk the upper levels together, one level a step; per level only its split
+    variables are looked up in X (semi-join reduced), never whole vectors.  Rows that
+    reach the root of a finished subtree walk the rest of it in one grouped stage.
     """
-    state = start.select("tree", "sample_index", F.lit(1).cast("bigint").alias("node"), F.lit(1).alias("w"))
-    outs = []
-    while True:
-        at = state.join(nodes.select("tree", "node", "variable", "threshold", "majority"), ["tree", "node"])
-        at = pinned(at, "walk")
-        outs.append(at.where(F.col("variable") < 0).select("tree", "sample_index",
-                                                           F.col("majority").alias("prediction")))
-        splits = at.where(F.col("variable") >= 0)
-        taken = splits.select("tree", "node", "variable", "threshold").distinct()
-        n_taken = taken.count()
-        if not n_taken:
+    spark = x.sparkSession
+    path = scratch_path(spark, "walk")
+    steps = nodes.where((F.col("part") < 0) | ((F.col("depth") == F.col("part_depth")) & (F.col("node") == F.col("part"))))
+    steps = pinned(steps.select("tree", "depth", "node", "parent", "side", "variable", "threshold", "majority", "part"),
+                   "steps")
+    columns = "tree long, sample_index long, node long, variable long, threshold double, majority long, part long"
+    state = start.select("tree", "sample_index", F.lit(-1).cast("bigint").alias("parent"),
+                         F.lit(0).cast("bigint").alias("side"))
+    for depth in itertools.count():
+        here = steps.where(F.col("depth") == depth).drop("depth")
+        at = state.join(here, ["tree", "parent", "side"]).drop("parent", "side")
+        at.write.parquet(f"{path}/depth={depth}")
+        at = spark.read.schema(columns).parquet(f"{path}/depth={depth}")
+        going = at.where((F.col("part") < 0) & (F.col("variable") >= 0))
+        n = going.count()
+        if not n:
             break
-        state = _route(x, splits.select("tree", "sample_index", "node", "w"), taken, n_taken)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        state = _route(x, going.drop("majority", "part"), n).withColumnRenamed("node", "parent")
+    arrived = spark.read.schema(f"{columns}, depth long").parquet(path)
+    leaves = arrived.where((F.col("part") < 0) & (F.col("variable") < 0))
+    below_ = _walk_subtrees(nodes.where(F.col("part") >= 0), x, arrived.where(F.col("part") >= 0).select(
+        "tree", F.col("depth").alias("part_depth"), F.col("node").alias("part"), "sample_index"))
+    return leaves.select("tree", "sample_index", F.col("majority").alias("prediction")).unionByName(below_)
+
+
+def _walk_subtrees(nodes: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
+    """Predictions of ``rows(tree, part_depth, part, sample_index)``, each group's subtree in one task.
+
+    A subtree is bounded; many rows at one are dealt over several copies of it.
+    """
+    key = ["tree", "part_depth", "part"]
+    copies = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(WALK_ROWS)).alias("copies"))
+    rows = rows.join(copies, key).withColumn("copy", F.pmod(F.xxhash64("sample_index"), F.col("copies"))).drop("copies")
+    trees = nodes.join(copies, key).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    trees = trees.select(*key, "copy", "depth", "node", "parent", "side", "variable", "threshold", "majority")
+    used = nodes.where(F.col("variable") >= 0).select(*key, F.col("variable").alias("variant_index")).distinct()
+    cells = x.join(used.select("variant_index").distinct(), "variant_index", "left_semi")
+    needed = cells.join(rows, "sample_index").join(used, [*key, "variant_index"])
+    brought = rows.select(*key, "copy", "sample_index", F.lit(None).cast("long").alias("variable"),
+                          F.lit(None).cast("double").alias("allele")).unionByName(
+        needed.select(*key, "copy", "sample_index", F.col("variant_index").cast("bigint").alias("variable"), "allele"))
+
+    def run(tree: pa.Table, part: pa.Table) -> pa.Table:
+        links = {}
+        for d, node, parent, side, *rest in zip(*[tree[c].to_pylist() for c in (
+                "depth", "node", "parent", "side", "variable", "threshold", "majority")], strict=True):
+            links[d, parent, side] = (d, node, *rest)
+        root = links[min(links)] if links else None  # the only node of the least depth
+        held: dict[int, dict[int, float]] = {}
+        for sample, variable, allele in zip(*[part[c].to_pylist() for c in ("sample_index", "variable", "allele")],
+                                            strict=True):
+            cells = held.setdefault(sample, {})
+            if variable is not None:
+                cells[variable] = allele
+        found = [subtree.walk(links, root, cells) for cells in held.values()]
+        number = part["tree"][0].as_py() if held else 0
+        return pa.table({"tree": pa.array([number] * len(held), type=pa.int64()),
+                         "sample_index": pa.array(list(held), type=pa.int64()),
+                         "prediction": pa.array(found, type=pa.int64())})
+
+    group = [*key, "copy"]
+    return trees.groupBy(*group).cogroup(brought.groupBy(*group)).applyInArrow(
+        run, "tree long, sample_index long, prediction long")
 
 
 def forest_predict(model: ForestModel, x: DataFrame, samples: DataFrame) -> DataFrame:
@@ -378,15 +493,12 @@ def importance(nodes: DataFrame, n_trees: int, by: tuple[str, ...] = ()) -> Data
 
     ``by=("tree",)`` gives the importances of every tree in one aggregate.
     """
-    split = nodes.where(F.col("variable") >= 0).select(
-        "tree", "node", "variable", "size", "impurity",
-        (F.col("node") * 2).alias("ln"), (F.col("node") * 2 + 1).alias("rn"))
-    left = nodes.select("tree", F.col("node").alias("ln"), F.col("size").alias("ls"), F.col("impurity").alias("li"))
-    right = nodes.select("tree", F.col("node").alias("rn"), F.col("size").alias("rs"), F.col("impurity").alias("ri"))
-    root = nodes.where(F.col("node") == 1).select("tree", F.col("size").alias("root_size"))
-    j = split.join(left, ["tree", "ln"]).join(right, ["tree", "rn"]).join(root, "tree")
-    contrib = (F.col("size") * F.col("impurity") - (F.col("ls") * F.col("li") + F.col("rs") * F.col("ri"))) \
-        / F.col("root_size")
+    children = nodes.where(F.col("depth") > 0).groupBy(
+        "tree", (F.col("depth") - 1).alias("depth"), F.col("parent").alias("node")).agg(
+        F.sum(F.col("size") * F.col("impurity")).alias("below"))
+    root = nodes.where(F.col("depth") == 0).select("tree", F.col("size").alias("root_size"))
+    j = nodes.where(F.col("variable") >= 0).join(children, ["tree", "depth", "node"]).join(root, "tree")
+    contrib = (F.col("size") * F.col("impurity") - F.col("below")) / F.col("root_size")
     return j.groupBy(*by, "variable").agg((F.sum(contrib) / F.lit(float(n_trees))).alias("importance"),
                                      F.count(F.lit(1)).alias("n_splits"))
 

@@ -10,8 +10,15 @@ by ``variant_index`` too, so
 * the update step ``X join assignment`` (cohort-sized, broadcast) followed by
   ``groupBy(variant_index)`` needs no exchange either.
 
-Only ``k``-sized vectors (cluster sizes, |c|^2) reach the driver.  Ties in the
-nearest centre resolve to the smallest cluster id after rounding distances to
+One round is one job over X: the centres of an assignment and the products of
+every sample with them.  What a round needs besides follows from these products,
+as a centre is the mean of its members: its squared norm is the mean product of
+its members with it, and its product with the centre before is the mean of the
+members' products with that one.  So the centres are never kept between rounds,
+and the centre shift, which ends the rounds, costs one aggregate over the samples.
+
+Only ``k``-sized vectors (cluster sizes, norms, shifts) reach the driver.  Ties in
+the nearest centre resolve to the smallest cluster id after rounding distances to
 9 decimals.  An empty cluster gets an all-zero centre, as in the original.
 """
 
@@ -19,11 +26,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allelo.session import checkpoint_partitioned
+from allelo.session import checkpoint_partitioned, pinned
 
 # cohort-sized tables up to this many rows are broadcast explicitly
 BROADCAST_ROWS = 2_000_000
@@ -33,7 +39,8 @@ BROADCAST_ROWS = 2_000_000
 class KMeansResult:
     centres: DataFrame      # variant_index, c ARRAY<DOUBLE>  (k coordinates)
     assignment: DataFrame   # subject_index, cluster, distance
-    iterations: int
+    iterations: int         # rounds until no centre moved by more than the tolerance, or the most allowed
+    shift: float            # the last round's largest centre shift
 
 
 def prepare(long_idx: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -72,76 +79,88 @@ def squared_norms(x: DataFrame) -> DataFrame:
     return x.groupBy("subject_index").agg(F.sum(F.col("allele") * F.col("allele")).alias("x2"))
 
 
+def products(x: DataFrame, centres: DataFrame, samples: DataFrame, k: int) -> DataFrame:
+    """``samples`` with ``dot``, the product of each with every centre (0 for all-zero samples)."""
+    dot = (x.join(centres, "variant_index").groupBy("subject_index")
+           .agg(F.array(*[F.sum(F.col("allele") * F.col("c")[j]) for j in range(k)]).alias("dot")))
+    zeros = F.array(*[F.lit(0.0)] * k)
+    return samples.join(dot, "subject_index", "left").withColumn("dot", F.coalesce("dot", zeros))
+
+
+def nearest(norms: list[float]) -> Column:
+    """``struct(d, cluster)`` of the nearest centre, from ``x2``, ``dot`` and the centres' squared norms."""
+    return F.array_min(F.array(*[
+        F.struct(F.round(F.col("x2") - 2.0 * F.col("dot")[j] + F.lit(c2), 9).alias("d"),
+                 F.lit(j).cast("bigint").alias("cluster")) for j, c2 in enumerate(norms)]))
+
+
+def centre_norms(centres: DataFrame, k: int) -> list[float]:
+    row = centres.agg(*[F.sum(F.col("c")[j] * F.col("c")[j]).alias(f"c{j}") for j in range(k)]).first()
+    return [float(v or 0.0) for v in row]
+
+
 def assign(x: DataFrame, centres: DataFrame, subjects: DataFrame, k: int, n_subjects: int,
            x2: DataFrame | None = None) -> DataFrame:
     """Nearest centre per subject.
 
     ``subjects(subject_index)`` lists every sample (all-zero ones included).
     """
-    c2 = centres.agg(*[F.sum(F.col("c")[j] * F.col("c")[j]).alias(f"c{j}") for j in range(k)]).first()
-    c2 = [float(c2[j] or 0.0) for j in range(k)]
     x2 = squared_norms(x) if x2 is None else x2
-    dot = (x.join(centres, "variant_index")
-           .groupBy("subject_index")
-           .agg(F.array(*[F.sum(F.col("allele") * F.col("c")[j]) for j in range(k)]).alias("dot")))
-    per = subjects.join(x2, "subject_index", "left").join(dot, "subject_index", "left")
-    dists = F.array(*[
-        F.struct(F.round(F.coalesce(F.col("x2"), F.lit(0.0)) - 2.0 * F.coalesce(F.col("dot")[j], F.lit(0.0))
-                         + F.lit(c2[j]), 9).alias("d"), F.lit(j).cast("bigint").alias("cluster"))
-        for j in range(k)])
-    best = F.array_min(dists)
-    return per.select("subject_index", best["cluster"].alias("cluster"), best["d"].alias("distance"))
+    samples = subjects.join(x2, "subject_index", "left").withColumn("x2", F.coalesce("x2", F.lit(0.0)))
+    best = nearest(centre_norms(centres, k))
+    return products(x, centres, samples, k).select("subject_index", best["cluster"].alias("cluster"),
+                                                   best["d"].alias("distance"))
 
 
 def update(x: DataFrame, assignment: DataFrame, k: int, n_subjects: int) -> tuple[DataFrame, list[int]]:
     """New centres = mean of member vectors (zeros included via the cluster size)."""
-    sizes_row = assignment.agg(*[F.sum((F.col("cluster") == j).cast("bigint")).alias(f"n{j}")
-                                 for j in range(k)]).first()
-    sizes = [int(sizes_row[j] or 0) for j in range(k)]
+    sizes = [n for n, _ in _members(assignment.withColumn("dot", F.array(*[F.lit(0.0)] * k)), k)]
+    return _means(x, assignment, sizes, n_subjects), sizes
+
+
+def _means(x: DataFrame, assignment: DataFrame, sizes: list[int], n_subjects: int) -> DataFrame:
     members = x.join(_small(assignment.select("subject_index", "cluster"), n_subjects), "subject_index")
-    coords = [(F.sum(F.when(F.col("cluster") == j, F.col("allele")).otherwise(0.0)) / F.lit(float(sizes[j])))
-              if sizes[j] > 0 else F.lit(0.0) for j in range(k)]
-    return members.groupBy("variant_index").agg(F.array(*coords).alias("c")), sizes
+    coords = [(F.sum(F.when(F.col("cluster") == j, F.col("allele")).otherwise(0.0)) / F.lit(float(n)))
+              if n > 0 else F.lit(0.0) for j, n in enumerate(sizes)]
+    return members.groupBy("variant_index").agg(F.array(*coords).alias("c"))
 
 
-def _shift(old: DataFrame, new: DataFrame, k: int) -> list[float]:
-    j = old.select("variant_index", F.col("c").alias("o")).join(
-        new.select("variant_index", F.col("c").alias("n")), "variant_index", "full")
-    zero = F.array(*[F.lit(0.0)] * k)
-    j = j.select(F.coalesce("o", zero).alias("o"), F.coalesce("n", zero).alias("n"))
-    row = j.agg(*[F.sum(F.pow(F.col("n")[i] - F.col("o")[i], 2)).alias(f"s{i}") for i in range(k)]).first()
-    return [float(row[i] or 0.0) ** 0.5 for i in range(k)]
+def _members(rows: DataFrame, k: int) -> list[tuple[int, float]]:
+    """Per cluster: its size and the mean product of its members with centre ``j`` of ``dot``."""
+    in_j = [F.col("cluster") == j for j in range(k)]
+    row = rows.agg(*[F.count_if(c).alias(f"n{j}") for j, c in enumerate(in_j)],
+                   *[F.sum(F.when(c, F.col("dot")[j])).alias(f"s{j}") for j, c in enumerate(in_j)]).first()
+    return [(row[j], float(row[k + j]) / row[j] if row[j] else 0.0) for j in range(k)]
 
 
-def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int,
-        init_centres: DataFrame | None = None, tol: float | None = None) -> KMeansResult:
-    """M3 (fixed rounds) / M5 (warm start + tolerance): wide k-means.
+def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int | None = None,
+        init_centres: DataFrame | None = None, tol: float = 1e-3) -> KMeansResult:
+    """M3 / M5: wide k-means until no centre moves by more than ``tol``, or for ``iterations`` rounds at most.
 
     ``subjects(subject_index)`` must hold every sample; ``init_centres`` is an
-    optional wide centre table ``(variant_index, c)`` to continue from.
+    optional wide centre table ``(variant_index, c)`` to continue from.  A
+    tolerance below 0 asks for exactly ``iterations`` rounds.
     """
+    if iterations is None and tol < 0:
+        raise ValueError("a number of rounds or a tolerance must end the rounds")
     x = prepare(long_idx)
-    subjects = subjects.select("subject_index")
     n = subjects.count()
-    x2 = squared_norms(x).checkpoint()
-    centres = (init_centres if init_centres is not None else initial_centres(x, k)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    done = 0
-    for _ in range(iterations):
-        assignment = assign(x, centres, subjects, k, n, x2).checkpoint()
-        new_centres, _sizes = update(x, assignment, k, n)
-        new_centres = new_centres.persist(StorageLevel.MEMORY_AND_DISK)
-        done += 1
-        if tol is not None:
-            moved = _shift(centres, new_centres, k)
-            centres.unpersist()
-            centres = new_centres
-            if max(moved) <= tol:
-                break
-        else:
-            centres.unpersist()
-            centres = new_centres
-    final = centres.checkpoint()
-    centres.unpersist()
-    assignment = assign(x, final, subjects, k, n, x2)
-    return KMeansResult(centres=final, assignment=assignment, iterations=done)
+    samples = subjects.select("subject_index").join(squared_norms(x), "subject_index", "left") \
+        .withColumn("x2", F.coalesce("x2", F.lit(0.0)))
+    centres = pinned(init_centres if init_centres is not None else initial_centres(x, k), "centres")
+    rows = pinned(products(x, centres, samples, k), "products")
+    norms = centre_norms(centres, k)
+    done, moved = 0, float("inf")
+    while done != iterations and moved > tol:
+        best = nearest(norms)
+        assignment = rows.select("subject_index", "x2", best["cluster"].alias("cluster"), "dot")
+        mean_old = _members(assignment, k)
+        centres = _means(x, assignment, [size for size, _ in mean_old], n)
+        rows = pinned(products(x, centres, assignment.drop("dot"), k), "products")
+        fresh = [mean for _, mean in _members(rows, k)]
+        moved = max(max(new - 2.0 * old + before, 0.0) ** 0.5
+                    for new, (_, old), before in zip(fresh, mean_old, norms, strict=True))
+        norms, done = fresh, done + 1
+    best = nearest(norms)
+    assignment = rows.select("subject_index", best["cluster"].alias("cluster"), best["d"].alias("distance"))
+    return KMeansResult(centres=centres, assignment=assignment, iterations=done, shift=moved)

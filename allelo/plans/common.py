@@ -60,32 +60,45 @@ select cast(n as bigint) n,
 from ari_e"""
 
 
-def with_ctes(parts: list[str]) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
+def with_ctes(parts: list[str], recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
-def kmeans_sql(source: str, k: int, rounds: int, c0_sql: list[str] | None = None) -> list[str]:
-    """CTEs for ``rounds`` wide k-means updates followed by a final assignment ``a{rounds}``.
+KMEANS_TOL = 1e-3
 
-    ``c0_sql`` optionally replaces the initial centres (CTEs ending in ``c0(cl, vi, c)``).
-    """
-    parts = sql_indexed(source) + [
-        "x2 AS (select si, sum(allele * allele) x2 from x group by si)",
-        f"ks AS (select range cl from range({k}))",
-    ] + (c0_sql if c0_sql else [f"c0 AS (select si cl, vi, allele c from x where si < {k})"])
-    for r in range(rounds + 1):
-        parts.append(f"""a{r} AS (select si, cl, dist from (
-  select s.si, ks.cl,
-         round(coalesce(x2.x2, 0) - 2 * coalesce(d.dot, 0) + coalesce(q.c2, 0), 9) dist,
-         row_number() over (partition by s.si order by
-             round(coalesce(x2.x2, 0) - 2 * coalesce(d.dot, 0) + coalesce(q.c2, 0), 9), ks.cl) rn
+
+def _nearest_sql(centres: str) -> str:
+    """``(si, cl, dist)``: nearest centre of every subject, for centres ``(cl, vi, c)``."""
+    dist = "round(coalesce(x2.x2, 0) - 2 * coalesce(d.dot, 0) + coalesce(q.c2, 0), 9)"
+    return f"""(select si, cl, dist from (
+  select s.si, ks.cl, {dist} dist, row_number() over (partition by s.si order by {dist}, ks.cl) rn
   from subj s cross join ks
   left join x2 on x2.si = s.si
-  left join (select x.si, c.cl, sum(x.allele * c.c) dot from x join c{r} c using (vi) group by x.si, c.cl) d
+  left join (select x.si, c.cl, sum(x.allele * c.c) dot from x join {centres} c using (vi) group by x.si, c.cl) d
          on d.si = s.si and d.cl = ks.cl
-  left join (select cl, sum(c * c) c2 from c{r} group by cl) q on q.cl = ks.cl) t where rn = 1)""")
-        if r < rounds:
-            parts.append(f"sz{r} AS (select cl, count(*) n from a{r} group by cl)")
-            parts.append(f"c{r + 1} AS (select a.cl, x.vi, sum(x.allele) / max(sz.n) c from x join a{r} a "
-                         f"using (si) join sz{r} sz on sz.cl = a.cl group by a.cl, x.vi)")
-    return parts
+  left join (select cl, sum(c * c) c2 from {centres} group by cl) q on q.cl = ks.cl) t where rn = 1)"""
+
+
+def kmeans_sql(source: str, k: int, rounds: bool = True, c0_sql: list[str] | None = None) -> list[str]:
+    """CTEs for wide k-means until no centre moves by more than the tolerance: the final assignment ``a(si, cl, dist)``.
+
+    The recursion carries the centres of a round and how far they moved; ``ended(rounds)`` is their
+    number.  Without ``rounds`` the assignment is that to the initial centres.  ``c0_sql`` optionally
+    replaces these (CTEs ending in ``c0(cl, vi, c)``).  Needs ``WITH RECURSIVE``.
+    """
+    parts = [p.replace("x AS (", "x AS MATERIALIZED (") if p.startswith("x AS (") else p for p in sql_indexed(source)] + [
+        "x2 AS MATERIALIZED (select si, sum(allele * allele) x2 from x group by si)",
+        f"ks AS (select range cl from range({k}))",
+    ] + (c0_sql if c0_sql else [f"c0 AS (select si cl, vi, allele c from x where si < {k})"])
+    if not rounds:
+        return parts + [f"a AS {_nearest_sql('c0')}"]
+    return parts + [f"""cen AS (select cast(0 as bigint) r, cl, vi, c, cast('infinity' as double) moved from c0
+  union all (with near as {_nearest_sql('cen')}, sz as (select cl, count(*) n from near group by cl),
+    fresh as (select a.cl, x.vi, sum(x.allele) / max(sz.n) c from x join near a using (si) join sz on sz.cl = a.cl group by a.cl, x.vi),
+    far as (select max(d) moved from (select cl, sqrt(sum((coalesce(f.c, 0) - coalesce(o.c, 0)) * (coalesce(f.c, 0) - coalesce(o.c, 0)))) d
+      from fresh f full join (select cl, vi, c from cen) o using (cl, vi) group by cl) g)
+  select (select max(r) from cen) + 1, fresh.cl, fresh.vi, fresh.c, far.moved from fresh, far
+  where (select max(moved) from cen) > {KMEANS_TOL}))""",
+                    "ended AS (select max(r) rounds from cen)",
+                    "c_last AS MATERIALIZED (select cl, vi, c from cen, ended where r = rounds)",
+                    f"a AS MATERIALIZED {_nearest_sql('c_last')}"]

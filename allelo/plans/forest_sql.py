@@ -70,13 +70,8 @@ def level_sql(d: int, L: int, kind: str, max_depth: int, p: str = "") -> list[st
     return parts
 
 
-def forest_sql(L: int, kind: str, levels: int, trees: int, bag: str, seed: int, fraction: float) -> list[str]:
-    """A random forest unrolled by level, all trees at once; result CTEs ``nodes`` and ``walk{d}``.
-
-    ``bag`` gives ``(tree, si, w)``.  A variable is tried in a node if its hash under the
-    level's seed lies below ``fraction``.  ``levels`` must reach the deepest leaf: nodes still
-    impure there come out as leaves and would differ from trees grown to the end.
-    """
+def _splits_sql(source: str, L: int, kind: str, seed: int, fraction: float) -> str:
+    """Node listing of every (tree, depth, node) in ``source``: totals, best split, gain."""
     tl = [f"t{l}" for l in range(L)]
     size = "(" + " + ".join(tl) + ")"
     maj = "case " + " ".join(
@@ -85,50 +80,65 @@ def forest_sql(L: int, kind: str, levels: int, trees: int, bag: str, seed: int,
     tot = ", ".join(f"cast(sum(case when label = {l} then w else 0 end) as bigint) t{l}" for l in range(L))
     cnt = ", ".join(f"cast(sum(case when label = {l} then s.w else 0 end) as bigint) c{l}" for l in range(L))
     zero = ", ".join(f"any_value(t.t{l}) - sum(nz.c{l}) c{l}" for l in range(L))
-    cum = ", ".join(f"sum(c{l}) over (partition by tree, node, vi order by allele "
+    cum = ", ".join(f"sum(c{l}) over (partition by tree, depth, node, vi order by allele "
                     f"rows between unbounded preceding and current row) l{l}" for l in range(L))
     ll, rr = [f"l{l}" for l in range(L)], [f"(t{l} - l{l})" for l in range(L)]
     nl = "(" + " + ".join(ll) + ")"
     nr = f"(size - {nl})"
     weighted = f"(({impurity_sql(ll, nl, kind)}) * {nl} + ({impurity_sql(rr, nr, kind)}) * {nr}) / cast(size as double)"
     split = "bs.vi is not null and tt.imp - bs.weighted > 1e-12"
-    parts = [f"bag AS MATERIALIZED ({bag})",
-             "s0 AS MATERIALIZED (select tree, si, cast(1 as bigint) node, w from bag)"]
-    for d in range(levels):
-        pick = f"{mixed_sql(seed + 7919 * (d + 1), 's.tree', 's.node', 'x.vi')} < {below(fraction)}" if fraction < 1 else "true"
-        parts += [
-            f"tt{d} AS MATERIALIZED (select *, {size} size, {maj} majority, {impurity_sql(tl, size, kind)} imp from "
-            f"(select tree, node, {tot} from s{d} join lab using (si) group by tree, node) q)",
-            f"nz{d} AS MATERIALIZED (select s.tree, s.node, x.vi, x.allele, {cnt} from s{d} s join lab using (si) "
-            f"join x using (si) where {pick} group by s.tree, s.node, x.vi, x.allele)",
-            f"sc{d} AS MATERIALIZED (select tree, node, vi, allele threshold, {weighted} weighted from (select tree, node, vi, "
-            f"allele, {cum} from (select * from nz{d} union all select nz.tree, nz.node, nz.vi, cast(0.0 as double) allele, "
-            f"{zero} from nz{d} nz join tt{d} t using (tree, node) group by nz.tree, nz.node, nz.vi) u) c "
-            f"join tt{d} using (tree, node) where {nr} > 0 and {nl} > 0)",
-            f"nd{d} AS MATERIALIZED (select tt.tree, tt.node, cast({d} as bigint) depth, "
-            f"case when {split} then bs.vi else -1 end variable, case when {split} then bs.threshold else 0.0 end threshold, "
-            f"cast(tt.majority as bigint) majority, case when {split} then tt.imp - bs.weighted else 0.0 end gain, "
-            f"tt.imp impurity, tt.size from tt{d} tt left join (select * from (select *, row_number() over "
-            f"(partition by tree, node order by round(weighted, 12), vi, threshold) rn from sc{d}) q where rn = 1) bs "
-            f"using (tree, node))",
-            f"s{d + 1} AS MATERIALIZED (select s.tree, s.si, 2 * s.node + case when coalesce(x.allele, 0) > n.threshold "
-            f"then 1 else 0 end node, s.w from s{d} s join nd{d} n on n.tree = s.tree and n.node = s.node and n.variable >= 0 "
-            f"left join x on x.si = s.si and x.vi = n.variable)"]
-    parts.append("nodes AS MATERIALIZED (" + " union all ".join(f"select * from nd{d}" for d in range(levels)) + ")")
-    return parts
+    pick = f"{mixed_sql(f'({seed} + 7919 * (s.depth + 1))', 's.tree', 's.node', 'x.vi')} < {below(fraction)}" \
+        if fraction < 1 else "true"
+    return f"""(with tt as (select *, {size} size, {maj} majority, {impurity_sql(tl, size, kind)} imp from
+    (select tree, depth, node, parent, side, {tot} from {source} join lab using (si) group by all) q),
+  nz as (select s.tree, s.depth, s.node, x.vi, x.allele, {cnt} from {source} s join lab using (si) join x using (si)
+    where {pick} group by s.tree, s.depth, s.node, x.vi, x.allele),
+  sc as (select tree, depth, node, vi, allele threshold, {weighted} weighted from (
+    select tree, depth, node, vi, allele, {cum} from (select * from nz union all
+      select nz.tree, nz.depth, nz.node, nz.vi, cast(0.0 as double) allele, {zero}
+      from nz join tt t using (tree, depth, node) group by nz.tree, nz.depth, nz.node, nz.vi) u) c
+    join tt using (tree, depth, node) where {nr} > 0 and {nl} > 0)
+  select tt.tree, tt.depth, tt.node, tt.parent, tt.side, case when {split} then bs.vi else -1 end variable,
+    case when {split} then bs.threshold else 0.0 end threshold, cast(tt.majority as bigint) majority,
+    case when {split} then tt.imp - bs.weighted else 0.0 end gain, tt.imp impurity, tt.size
+  from tt left join (select * from (select *, row_number() over (partition by tree, depth, node
+    order by round(weighted, 12), vi, threshold) rn from sc) q where rn = 1) bs using (tree, depth, node))"""
+
 
+def forest_sql(L: int, kind: str, bag: str, seed: int, fraction: float) -> list[str]:
+    """Trees grown until no node gains, by recursion over levels; result CTE ``nodes``.
 
-def walk_sql(levels: int, start: str) -> list[str]:
+    ``bag`` gives ``(tree, si, w)``.  A node is named by its smallest sample; ``parent`` and
+    ``side`` link it to the level above.  A variable is tried in a node if its hash under the
+    level's seed lies below ``fraction``.
+    """
+    splits = _splits_sql("state", L, kind, seed, fraction)
+    return [f"bag AS MATERIALIZED ({bag})",
+            f"""state AS (select tree, si, w, cast(0 as bigint) depth, cast(-1 as bigint) parent, cast(0 as bigint) side,
+    min(si) over (partition by tree) node from bag
+  union all select tree, si, w, depth + 1, node, go, min(si) over (partition by tree, node, go) from (
+    select s.*, cast(coalesce(x.allele, 0) > n.threshold as bigint) go from state s join {splits} n
+    on n.tree = s.tree and n.node = s.node and n.variable >= 0
+    left join x on x.si = s.si and x.vi = n.variable) q)""",
+            f"nodes AS MATERIALIZED ({splits})"]
+
+
+def walk_sql(start: str) -> list[str]:
     """Rows of ``start(tree, si)`` walked down ``nodes``; result CTE ``pred(tree, si, prediction)``."""
-    parts = [f"p0 AS MATERIALIZED (select tree, si, cast(1 as bigint) node from ({start}) q)"]
-    for d in range(levels):
-        parts += [f"q{d} AS MATERIALIZED (select p.*, n.variable, n.threshold, n.majority from p{d} p join nodes n "
-                  "on n.tree = p.tree and n.node = p.node)",
-                  f"p{d + 1} AS MATERIALIZED (select q.tree, q.si, 2 * q.node + case when coalesce(x.allele, 0) > q.threshold "
-                  f"then 1 else 0 end node from q{d} q left join x on x.si = q.si and x.vi = q.variable where q.variable >= 0)"]
-    parts.append("pred AS MATERIALIZED (" + " union all ".join(
-        f"select tree, si, majority prediction from q{d} where variable < 0" for d in range(levels)) + ")")
-    return parts
+    node = "n.depth, n.node, n.variable, n.threshold, n.majority"
+    return [f"""walk AS (select p.tree, p.si, {node} from ({start}) p join nodes n on n.tree = p.tree and n.depth = 0
+  union all select w.tree, w.si, {node} from walk w left join x on x.si = w.si and x.vi = w.variable
+  join nodes n on n.tree = w.tree and n.depth = w.depth + 1 and n.parent = w.node
+    and n.side = cast(coalesce(x.allele, 0) > w.threshold as bigint) where w.variable >= 0)""",
+            "pred AS MATERIALIZED (select tree, si, majority prediction from walk where variable < 0)"]
+
+
+def importance_sql() -> str:
+    """CTE ``imp(tree, variable, importance, n_splits)`` of every tree."""
+    return """imp AS (select p.tree, p.variable, sum((p.size * p.impurity - c.below) / root.size) importance, count(*) n_splits
+  from nodes p join (select tree, depth - 1 depth, parent node, sum(size * impurity) below from nodes where depth > 0
+    group by 1, 2, 3) c using (tree, depth, node) join nodes root on root.tree = p.tree and root.depth = 0
+  where p.variable >= 0 group by p.tree, p.variable)"""
 
 
 def bootstrap_sql(trees: int, seed: int) -> str:

@@ -8,7 +8,7 @@ from allelo import fixtures
 from allelo.operators import kmeans as km
 from allelo.operators import matrix as mx
 _tile = mx.tile_for
-from allelo.plans.common import subject_index, indexed, kmeans_sql, sql_indexed, with_ctes
+from allelo.plans.common import KMEANS_TOL, subject_index, indexed, kmeans_sql, sql_indexed, with_ctes
 from allelo.plans.registry import register, report
 from allelo.session import scratch_path
 from allelo.sources import tables_io as tio
@@ -96,8 +96,8 @@ def q_subject_dict_io(spark, sf_dir):
     return report(spark.read.schema("subject_id STRING, subject_index BIGINT").csv(path))
 
 
-@register("assignments_io", with_ctes(kmeans_sql("planted", 5, 0)) +
-          "select subject_id subject, cast(cl as bigint) cluster from a0 join subj using (si)")
+@register("assignments_io", with_ctes(kmeans_sql("planted", 5, rounds=False)) +
+          "select subject_id subject, cast(cl as bigint) cluster from a join subj using (si)")
 def q_assignments_io(spark, sf_dir):
     """Cluster assignment CSV sink / source."""
     long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
@@ -148,13 +148,13 @@ def q_gram_export(spark, sf_dir):
                            F.size(F.filter("v", lambda s: s != 0)).alias("nonzero")))
 
 
-@register("cluster_members", with_ctes(kmeans_sql("planted", 5, 2)) + """select cast(cl as bigint) cluster,
+@register("cluster_members", with_ctes(kmeans_sql("planted", 5), True) + """select cast(cl as bigint) cluster,
   'Cluster Id : ' || cast(cl as varchar) || '-------> Samples : ' || string_agg(subject_id, ',' order by si) line
-  from a2 join subj using (si) group by cl""")
+  from a join subj using (si) group by cl""")
 def q_cluster_members(spark, sf_dir):
     """Cluster membership listing, one line a cluster."""
     long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
-    res = km.fit(x, subjects, 5, 2)
+    res = km.fit(x, subjects, 5, tol=KMEANS_TOL)
     a = res.assignment.join(subjects, "subject_index")
     lines = tio.cluster_member_lines(a)
     return report(lines.select("cluster", "line"))
@@ -175,12 +175,12 @@ def q_json_export(spark, sf_dir):
                               F.aggregate("calls", F.lit(0.0), lambda a, c: a + c["allele"]).alias("total")))
 
 
-@register("sif_export", with_ctes(kmeans_sql("planted", 5, 2)) + """select subject_id source, 'in_cluster' relation,
-  'C' || cast(cl as varchar) target from a2 join subj using (si)""")
+@register("sif_export", with_ctes(kmeans_sql("planted", 5), True) + """select subject_id source, 'in_cluster' relation,
+  'C' || cast(cl as varchar) target from a join subj using (si)""")
 def q_sif_export(spark, sf_dir):
     """Predictions as a SIF edge list (source, relation, target), written as text and parsed back."""
     long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
-    res = km.fit(x, subjects, 5, 2)
+    res = km.fit(x, subjects, 5, tol=KMEANS_TOL)
     a = res.assignment.join(subjects, "subject_index").select(
         "subject_id", F.lit("in_cluster").alias("rel"), F.concat(F.lit("C"), F.col("cluster").cast("string")).alias("c"))
     path = scratch_path(spark, "sif")

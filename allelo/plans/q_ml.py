@@ -14,7 +14,6 @@ from allelo.plans.registry import register, report
 from allelo.tables import load
 
 N_LABELS_SQL = 5          # region table: five super-populations
-LEVELS_SQL = 24           # levels the oracles unroll; trees grow until no node gains
 LAB_SQL = """lab AS (select si, label from subj join panel on panel.sample = subj.subject_id join
   (select super_pop, row_number() over (order by super_pop) - 1 label from (select distinct super_pop from panel) t) l
   using (super_pop))"""
@@ -68,7 +67,7 @@ def _best_all(spark, sf_dir, kind):
     cells, labels, L, variants = _inputs(spark, sf_dir)
     model = fr.fit(cells, labels, L, fr.ForestParams(n_trees=1, mtry_fraction=1.0, max_depth=1, bootstrap=False,
                                                      impurity=kind))
-    root = model.nodes.where(F.col("node") == 1)
+    root = model.nodes.where(F.col("depth") == 0)
     return report(root.select("variable", "threshold", "majority", "gain", "impurity", "size"))
 
 
@@ -90,20 +89,19 @@ def _tree(spark, sf_dir):
     return model, labels, variants
 
 
-TREE_CTES = _base_sql() + fsql.forest_sql(N_LABELS_SQL, "gini", LEVELS_SQL, 1, "select 0 tree, si, 1 w from lab", 0, 1.0)
-TREE_SQL = with_ctes(TREE_CTES)
+TREE_CTES = _base_sql() + fsql.forest_sql(N_LABELS_SQL, "gini", "select 0 tree, si, 1 w from lab", 0, 1.0)
 
 
-@register("tree_nodes", TREE_SQL + """select node, depth, variable, threshold, majority, round(gain, 6) gain,
+@register("tree_nodes", with_ctes(TREE_CTES, True) + """select depth, node, parent, side, variable, threshold, majority, round(gain, 6) gain,
   round(impurity, 6) impurity, size from nodes""")
 def q_tree_nodes(spark, sf_dir):
     """Wide decision tree grown to the end (all variables tried, no bootstrap); the node listing."""
     model, *_ = _tree(spark, sf_dir)
-    return report(model.nodes.select("node", "depth", "variable", "threshold", "majority", "gain", "impurity",
-                                     "size"))
+    return report(model.nodes.select("depth", "node", "parent", "side", "variable", "threshold", "majority", "gain",
+                                     "impurity", "size"))
 
 
-@register("tree_predict", with_ctes(TREE_CTES + fsql.walk_sql(LEVELS_SQL, "select 0 tree, si from lab")) +
+@register("tree_predict", with_ctes(TREE_CTES + fsql.walk_sql("select 0 tree, si from lab"), True) +
           "select subject_id, prediction from pred join subj using (si)")
 def q_tree_predict(spark, sf_dir):
     """M9: route every sample down the tree, looking up only split variables."""
@@ -115,13 +113,7 @@ def q_tree_predict(spark, sf_dir):
     return report(out.select("subject_id", F.col("prediction").cast("bigint").alias("prediction")))
 
 
-IMP_SQL = """imp AS (select p.variable, sum((p.size * p.impurity - (l.size * l.impurity + r.size * r.impurity))
-    / (select size from nodes where node = 1)) importance, count(*) n_splits
-  from nodes p join nodes l on l.node = 2 * p.node join nodes r on r.node = 2 * p.node + 1
-  where p.variable >= 0 group by p.variable)"""
-
-
-@register("importance", with_ctes(TREE_CTES + [IMP_SQL]) +
+@register("importance", with_ctes(TREE_CTES + [fsql.importance_sql()], True) +
           "select variable, round(importance, 6) importance, n_splits from imp")
 def q_importance(spark, sf_dir):
     """Gini variable importance of the grown tree."""
@@ -129,7 +121,7 @@ def q_importance(spark, sf_dir):
     return report(fr.importance(model.nodes, 1))
 
 
-@register("importance_top", with_ctes(TREE_CTES + [IMP_SQL]) +
+@register("importance_top", with_ctes(TREE_CTES + [fsql.importance_sql()], True) +
           """select variant_key, round(importance, 6) importance from (
   select variable, importance, row_number() over (order by round(importance, 9) desc, variable) rk from imp) t
   join var on var.vi = t.variable where rk <= 5""")
@@ -166,12 +158,12 @@ KEYED_SQL = [fixtures.F8_SQL, "subj AS MATERIALIZED (select subject_id, row_numb
 
 def random_forest_sql(trees: int, seed: int) -> list[str]:
     """The seeded forest over variant keys: CTEs ``bag`` and ``nodes``."""
-    return KEYED_SQL + fsql.forest_sql(N_LABELS_SQL, "gini", LEVELS_SQL, trees, fsql.bootstrap_sql(trees, seed), seed,
-                                       FOREST_MTRY)
+    return KEYED_SQL + fsql.forest_sql(N_LABELS_SQL, "gini", fsql.bootstrap_sql(trees, seed), seed, FOREST_MTRY)
 
 
-NODES_SELECT = """select cast(tree as bigint) tree, node, depth, variable, threshold, majority, round(gain, 6) gain,
+NODES_SELECT = """select cast(tree as bigint) tree, depth, node, parent, side, variable, threshold, majority, round(gain, 6) gain,
   round(impurity, 6) impurity, size from nodes"""
+NODE_LISTING = ("tree", "depth", "node", "parent", "side", "variable", "threshold", "majority", "gain", "impurity", "size")
 EVERY_SQL = f"select tree, si from lab, range({FOREST_TREES}) t(tree)"
 
 
@@ -181,18 +173,18 @@ def _forest(spark, sf_dir):
     return fr.fit(cells, labels, L, params), labels
 
 
-@register("forest_nodes", with_ctes(random_forest_sql(FOREST_TREES, FOREST_SEED)) + NODES_SELECT)
+@register("forest_nodes", with_ctes(random_forest_sql(FOREST_TREES, FOREST_SEED), True) + NODES_SELECT)
 def q_forest_nodes(spark, sf_dir):
     """5-tree wide random forest (bootstrap, 30% variables per node) grown to the end; node listing."""
     model, _ = _forest(spark, sf_dir)
-    return report(model.nodes)
+    return report(model.nodes.select(*NODE_LISTING))
 
 
 @register("oob_error", with_ctes(random_forest_sql(FOREST_TREES, FOREST_SEED) + fsql.walk_sql(
-    LEVELS_SQL, EVERY_SQL + " where not exists (select 1 from bag b where b.tree = t.tree and b.si = lab.si)") + [
+    EVERY_SQL + " where not exists (select 1 from bag b where b.tree = t.tree and b.si = lab.si)") + [
     f"cum AS (select t.tree, p.si, p.prediction, count(*) cv from pred p join range({FOREST_TREES}) t(tree) "
     "on p.tree <= t.tree group by 1, 2, 3)",
-    "top AS (select tree, si, arg_max(prediction, cv * 100 + prediction) vote from cum group by tree, si)"]) + f"""
+    "top AS (select tree, si, arg_max(prediction, cv * 100 + prediction) vote from cum group by tree, si)"], True) + f"""
 select cast(t.tree as bigint) tree, round(avg(case when v.vote is null then null when v.vote <> lab.label then 1.0 else 0.0 end), 6) error,
   count(v.vote) n_voted, round(avg(case when coalesce(v.vote, {N_LABELS_SQL - 1}) <> lab.label then 1.0 else 0.0 end), 6) error_all
 from range({FOREST_TREES}) t(tree) cross join lab left join top v on v.tree = t.tree and v.si = lab.si group by t.tree""")
@@ -203,7 +195,7 @@ def q_oob_error(spark, sf_dir):
     return report(per_tree)
 
 
-@register("forest_predict", with_ctes(random_forest_sql(FOREST_TREES, FOREST_SEED) + fsql.walk_sql(LEVELS_SQL, EVERY_SQL)) + """
+@register("forest_predict", with_ctes(random_forest_sql(FOREST_TREES, FOREST_SEED) + fsql.walk_sql(EVERY_SQL), True) + """
 select cast(si as bigint) sample_index, cast(vote as bigint) vote, cast(n_votes as bigint) n_votes, cast(label as bigint) label
 from (select si, arg_max(prediction, n * 100 + prediction) vote, sum(n) n_votes from
   (select si, prediction, count(*) n from pred group by 1, 2) c group by si) v join lab using (si)""")
@@ -244,7 +236,7 @@ def q_oob_samples(spark, sf_dir):
 
 BAG_TREES = 3
 BAG_SQL = KEYED_SQL + fsql.forest_sql(
-    N_LABELS_SQL, "gini", LEVELS_SQL, BAG_TREES,
+    N_LABELS_SQL, "gini",
     f"select tree, si, 1 + (si + tree) % 3 w from lab, range({BAG_TREES}) t(tree)", 0, 1.0)
 
 
@@ -260,17 +252,16 @@ def _bag_forest(spark, sf_dir):
     return fr.fit(cells, labels, L, params, bag=bag), labels
 
 
-@register("forest_given_bag", with_ctes(BAG_SQL) + NODES_SELECT)
+@register("forest_given_bag", with_ctes(BAG_SQL, True) + NODES_SELECT)
 def q_forest_given_bag(spark, sf_dir):
     """3-tree wide forest grown level-wise from a given bag (sample multiplicities)."""
     model, labels = _bag_forest(spark, sf_dir)
-    return report(model.nodes.select("tree", "node", "depth", "variable", "threshold", "majority", "gain",
-                                     "impurity", "size"))
+    return report(model.nodes.select(*NODE_LISTING))
 
 
 @register("forest_vote", with_ctes(BAG_SQL + fsql.walk_sql(
-    LEVELS_SQL, f"select tree, si from lab, range({BAG_TREES}) t(tree)") + [
-    "c AS (select si, prediction, count(*) n from pred group by si, prediction)"]) + """
+    f"select tree, si from lab, range({BAG_TREES}) t(tree)") + [
+    "c AS (select si, prediction, count(*) n from pred group by si, prediction)"], True) + """
 select subject_id, cast(arg_max(prediction, n * 10 + prediction) as bigint) vote, cast(sum(n) as bigint) n_votes
 from c join subj using (si) group by subject_id""")
 def q_forest_vote(spark, sf_dir):

@@ -9,7 +9,7 @@ from allelo.functions import genotype as gt
 from allelo.functions import vocab
 from allelo.operators import metrics
 from allelo.operators.indexing import class_index, dense_index, running_removed
-from allelo.plans.common import subject_index, indexed, sql_ari, sql_indexed, with_ctes
+from allelo.plans.common import KMEANS_TOL, subject_index, indexed, kmeans_sql, sql_ari, sql_indexed, with_ctes
 from allelo.plans.registry import register, report
 from allelo.session import scratch_path
 from allelo.sources import panel as pn
@@ -353,15 +353,14 @@ def q_dictionaries(spark, sf_dir):
                         F.count_distinct("individual", "msi_status", "bmi", "bmi_cat").alias("n_persons")))
 
 
-@register("ari_eval", with_ctes(__import__("allelo.plans.common", fromlist=["kmeans_sql"]).kmeans_sql(
-    "planted", 5, 2) + [fixtures.F2_SQL, PARTIAL_SQL]) + "," + sql_ari(
-    "select pp.super_pop a, cast(a2.cl as bigint) b, count(*) n from a2 join subj using (si) "
+@register("ari_eval", with_ctes(kmeans_sql("planted", 5) + [fixtures.F2_SQL, PARTIAL_SQL], True) + "," + sql_ari(
+    "select pp.super_pop a, cast(a.cl as bigint) b, count(*) n from a join subj using (si) "
     "join pp on pp.sample = subj.subject_id group by 1, 2"))
 def q_ari_eval(spark, sf_dir):
     """Cluster assignments written as CSV, read back, kept for known people, scored by ARI."""
     from allelo.operators import kmeans as km
     long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
-    res = km.fit(x, subjects, 5, 2)
+    res = km.fit(x, subjects, 5, tol=KMEANS_TOL)
     path = tio.write_csv(res.assignment.join(subjects, "subject_index").select("subject_id", "cluster"),
                          scratch_path(spark, "assign"))
     a = tio.read_assignments(spark, path)

@@ -14,7 +14,8 @@ from allelo.operators import select as sel
 from allelo.operators.indexing import class_index, dense_index
 from allelo.functions.hashing import below, mixed_sql, text_key_sql
 from allelo.plans import tall
-from allelo.plans.common import indexed, kmeans_sql, with_ctes
+from allelo.plans.common import KMEANS_TOL, indexed, kmeans_sql, with_ctes
+from allelo.plans.forest_sql import importance_sql
 from allelo.plans.q_ml import FOREST_MTRY, FOREST_TREES, random_forest_sql
 from allelo.plans.registry import register, report
 from allelo.session import scratch_path
@@ -205,10 +206,10 @@ WARM_C0 = [fixtures.F2_SQL, """lab AS (select si, label from subj join panel on
   join (select label, count(*) n from lab group by label) n on n.label = l.label group by l.label, x.vi)"""]
 
 
-@register("kmeans_warm", with_ctes(kmeans_sql("planted", 5, 1, WARM_C0)) +
-          "select subject_id, cast(cl as bigint) cluster, round(dist, 6) distance from a1 join subj using (si)")
+@register("kmeans_warm", with_ctes(kmeans_sql("planted", 5, c0_sql=WARM_C0), True) +
+          "select subject_id, cast(cl as bigint) cluster, round(dist, 6) distance, rounds from a join subj using (si), ended")
 def q_kmeans_warm(spark, sf_dir):
-    """M5: k-means warm-started from per-region mean centres, tolerance 1e-3, at most 1 round."""
+    """M5: k-means warm-started from per-region mean centres, until the tolerance of 1e-3 stops it."""
     cells, labels, variants, subjects = _labelled(spark, sf_dir)
     x = cells.select(F.col("sample_index").alias("subject_index"), "variant_index", "allele")
     n_lab = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -217,20 +218,21 @@ def q_kmeans_warm(spark, sf_dir):
                  .join(n_lab, "label")
                  .select(F.col("label").cast("bigint").alias("cluster"), "variant_index",
                          (F.col("s") / F.col("n")).alias("c")))
-    res = km.fit(x, subjects, 5, 1, init_centres=km.centres_from_long(init_long, 5), tol=1e-3)
-    out = res.assignment.join(subjects, "subject_index").select("subject_id", "cluster", "distance")
+    res = km.fit(x, subjects, 5, init_centres=km.centres_from_long(init_long, 5), tol=KMEANS_TOL)
+    out = res.assignment.join(subjects, "subject_index").select("subject_id", "cluster", "distance",
+                                                                F.lit(res.iterations).alias("rounds"))
     return report(out)
 
 
-@register("cluster_vs_panel", with_ctes(kmeans_sql("planted", 5, 2) + [fixtures.F2_SQL]) + """select
-  subj.subject_id, cast(a2.cl as bigint) cluster, panel.super_pop, cast(l.label as bigint) label
-  from a2 join subj using (si) join panel on panel.sample = subj.subject_id
+@register("cluster_vs_panel", with_ctes(kmeans_sql("planted", 5) + [fixtures.F2_SQL], True) + """select
+  subj.subject_id, cast(a.cl as bigint) cluster, panel.super_pop, cast(l.label as bigint) label
+  from a join subj using (si) join panel on panel.sample = subj.subject_id
   join (select super_pop, row_number() over (order by super_pop) - 1 label
         from (select distinct super_pop from panel) t) l using (super_pop)""")
 def q_cluster_vs_panel(spark, sf_dir):
     """Predictions joined to the panel by individual and to the label dictionary."""
     long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
-    res = km.fit(x, subjects, 5, 2)
+    res = km.fit(x, subjects, 5, tol=KMEANS_TOL)
     p = fixtures.panel(spark, sf_dir)
     lab = class_index(p, "super_pop", "label")
     out = (res.assignment.join(subjects, "subject_index")
@@ -239,14 +241,14 @@ def q_cluster_vs_panel(spark, sf_dir):
     return report(out)
 
 
-@register("cluster_populations", with_ctes(kmeans_sql("planted", 5, 2) + [fixtures.F2_SQL]) + """select
+@register("cluster_populations", with_ctes(kmeans_sql("planted", 5) + [fixtures.F2_SQL], True) + """select
   cast(cl as bigint) cluster, string_agg(pop || ':' || cast(n as varchar), ',' order by pop) populations from (
-  select a2.cl, panel.pop, count(*) n from a2 join subj using (si) join panel on panel.sample = subj.subject_id
-  group by a2.cl, panel.pop) t group by cl""")
+  select a.cl, panel.pop, count(*) n from a join subj using (si) join panel on panel.sample = subj.subject_id
+  group by a.cl, panel.pop) t group by cl""")
 def q_cluster_populations(spark, sf_dir):
     """Cluster members mapped to pedigree populations, counted per (cluster, population)."""
     long, subjects, variants, x = indexed(spark, sf_dir, "planted", dense_variants=False)
-    res = km.fit(x, subjects, 5, 2)
+    res = km.fit(x, subjects, 5, tol=KMEANS_TOL)
     p = fixtures.panel(spark, sf_dir).select(F.col("sample").alias("subject_id"), "pop")
     c = (res.assignment.join(subjects, "subject_index").join(p, "subject_id")
          .groupBy("cluster", "pop").agg(F.count(F.lit(1)).alias("n")))
@@ -260,11 +262,7 @@ def q_cluster_populations(spark, sf_dir):
 STABLE_TOP, STABLE_SEED = 5, 21
 
 
-@register("importance_stability", with_ctes(random_forest_sql(FOREST_TREES, STABLE_SEED) + ["""imp AS (
-  select p.tree, p.variable, sum((p.size * p.impurity - (l.size * l.impurity + r.size * r.impurity)) / root.size) importance
-  from nodes p join nodes l on l.tree = p.tree and l.node = 2 * p.node
-  join nodes r on r.tree = p.tree and r.node = 2 * p.node + 1 join nodes root on root.tree = p.tree and root.node = 1
-  where p.variable >= 0 group by p.tree, p.variable)"""]) + f"""
+@register("importance_stability", with_ctes(random_forest_sql(FOREST_TREES, STABLE_SEED) + [importance_sql()], True) + f"""
 select variable, count(*) n_models, round(sum(importance), 6) total_importance from (
   select *, row_number() over (partition by tree order by round(importance, 9) desc, variable) rk from imp) t
 where rk <= {STABLE_TOP} group by variable""")

@@ -86,8 +86,9 @@ def checkpoint_partitioned(df, partitions: int, *cols: str):
     Under adaptive execution the checkpointed relation reports an unknown
     partitioning, so every later join/aggregation on ``cols`` would shuffle
     the data again.  Planning this one materialisation non-adaptively lets the
-    checkpoint record ``hashpartitioning(cols, partitions)``; iterative
-    operators then join and aggregate on ``cols`` without an exchange of it.
+    checkpoint record ``hashpartitioning(cols, partitions)`` and the order;
+    iterative operators then join and aggregate on ``cols`` without an exchange
+    or a sort of it.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -95,6 +96,6 @@ def checkpoint_partitioned(df, partitions: int, *cols: str):
     before = spark.conf.get(key)
     spark.conf.set(key, "false")
     try:
-        return df.repartition(partitions, *cols).checkpoint()
+        return df.repartition(partitions, *cols).sortWithinPartitions(*cols).checkpoint()
     finally:
         spark.conf.set(key, before)

@@ -96,12 +96,12 @@ def test_group_filter_counts(spark):
 def test_importance_golden_tree(spark):
     # seven hand-written nodes in three trees
     nodes = spark.createDataFrame([
-        (0, 1, 40, 0.0, 1, 0.24, 0.50, 100), (0, 2, 80, 1.0, 0, 0.1667, 0.30, 60),
-        (0, 3, -1, 0.0, 1, 0.00, 0.20, 40), (0, 4, -1, 0.0, 0, 0.00, 0.15, 40),
-        (0, 5, -1, 0.0, 1, 0.00, 0.10, 20), (1, 1, -1, 0.0, 0, 0.00, 0.40, 100),
-        (2, 1, -1, 0.0, 1, 0.00, 0.45, 100)],
-        "tree long, node long, variable long, threshold double, majority long, gain double, impurity double, "
-        "size long")
+        (0, 0, 0, -1, 0, 40, 0.0, 1, 0.24, 0.50, 100), (0, 1, 0, 0, 0, 80, 1.0, 0, 0.1667, 0.30, 60),
+        (0, 1, 3, 0, 1, -1, 0.0, 1, 0.00, 0.20, 40), (0, 2, 0, 0, 0, -1, 0.0, 0, 0.00, 0.15, 40),
+        (0, 2, 5, 0, 1, -1, 0.0, 1, 0.00, 0.10, 20), (1, 0, 0, -1, 0, -1, 0.0, 0, 0.00, 0.40, 100),
+        (2, 0, 0, -1, 0, -1, 0.0, 1, 0.00, 0.45, 100)],
+        "tree long, depth long, node long, parent long, side long, variable long, threshold double, majority long, "
+        "gain double, impurity double, size long")
     imp = {r.variable: r.importance for r in forest.importance(nodes, 3).collect()}
     assert imp[40] == pytest.approx(0.08)
     assert imp[80] == pytest.approx(0.0333333, abs=1e-6)

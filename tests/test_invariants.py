@@ -1,5 +1,6 @@
 """Invariants of the randomised (hash-seeded) operators and algorithm properties."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from allelo.operators import forest, kmeans, sampling
@@ -68,10 +69,10 @@ def test_forest_invariants(spark):
     model = forest.fit(cells, labels, 3, forest.ForestParams(n_trees=3, mtry_fraction=0.5, max_depth=4, seed=5))
     nodes = model.nodes.collect()
     assert all(r.gain >= 0 for r in nodes)
-    by = {(r.tree, r.node): r for r in nodes}
-    for (t, n), r in by.items():
+    below = {(r.tree, r.depth, r.parent, r.side): r for r in nodes}
+    for r in nodes:
         if r.variable >= 0:   # split nodes have both children whose sizes add up
-            assert by[(t, 2 * n)].size + by[(t, 2 * n + 1)].size == r.size
+            assert sum(below[r.tree, r.depth + 1, r.node, side].size for side in (0, 1)) == r.size
     n = labels.count()
     trees = labels.select("sample_index", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("tree"))
     oob = trees.join(model.bag, ["tree", "sample_index"], "left_anti")
@@ -151,7 +152,7 @@ def test_forest_batches_equal_single_fit(spark):
     p = forest.ForestParams(n_trees=4, mtry_fraction=0.5, max_depth=3, seed=9)
     one = forest.fit(cells, labels, 2, p).nodes
     two = forest.fit(cells, labels, 2, p, trees_per_batch=2).nodes
-    cols = ["tree", "node", "variable", "threshold", "majority", "size"]
+    cols = ["tree", "depth", "node", "variable", "threshold", "majority", "size"]
     assert one.select(cols).exceptAll(two.select(cols)).count() == 0
     assert two.select(cols).exceptAll(one.select(cols)).count() == 0
 
@@ -168,3 +169,33 @@ def test_oob_original_definition_bounds(spark):
     assert all(0.0 <= r.error_all <= 1.0 for r in rows)
     s = summary.first()
     assert 0.0 <= s.original_forest_error <= 1.0
+
+
+@pytest.mark.parametrize(("kind", "max_depth"), [("gini", None), ("entropy", None), ("gini", 3)])
+def test_subtrees_of_one_task_equal_levels(spark, kind, max_depth):
+    subjects, x = _cells(spark)
+    cells = x.select(F.col("subject_index").alias("sample_index"), "variant_index", "allele")
+    labels = subjects.select(F.col("subject_index").alias("sample_index"),
+                             (F.col("subject_index") * 7 % 3).cast("int").alias("label"))
+    got = []
+    for bound in (0, 40, 10**9):  # levels only, both, subtrees only
+        p = forest.ForestParams(n_trees=3, mtry_fraction=0.5, seed=4, impurity=kind, max_depth=max_depth, local_cells=bound)
+        model = forest.fit(cells, labels, 3, p)
+        votes = forest.predict_trees(model.nodes, model.x, model.bag.select("tree", "sample_index"))
+        got.append((sorted((r.tree, r.depth, r.node, r.parent, r.side, r.variable, r.threshold, r.majority, r.size,
+                            round(r.gain, 9), round(r.impurity, 9)) for r in model.nodes.collect()),
+                    sorted(map(tuple, votes.collect()))))
+    assert got[0] == got[1] == got[2]
+
+
+def test_a_chain_deeper_than_a_path_number(spark):
+    # variable v is carried by sample v alone, and labels alternate: every split peels off one sample
+    n = 150
+    cells = spark.range(n).select(F.col("id").alias("sample_index"), F.col("id").alias("variant_index"),
+                                  F.lit(1.0).alias("allele"))
+    labels = spark.range(n).select(F.col("id").alias("sample_index"), (F.col("id") % 2).cast("int").alias("label"))
+    p = forest.ForestParams(n_trees=1, mtry_fraction=1.0, bootstrap=False, local_cells=n - 2)
+    model = forest.fit(cells, labels, 2, p)
+    assert model.nodes.agg(F.max("depth")).first()[0] > 61
+    votes = forest.predict_trees(model.nodes, model.x, model.bag.select("tree", "sample_index"))
+    assert votes.join(labels, "sample_index").where("prediction = label").count() == n

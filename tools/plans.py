@@ -42,7 +42,7 @@ def main(sf_dir: str) -> None:
     n = labels.count()
     bag = fr.bootstrap(labels, n, 3, 1).checkpoint()
     st = bag.join(labels, "sample_index").select(
-        "tree", "sample_index", F.lit(1).cast("bigint").alias("node"), "w", "label").checkpoint()
+        "tree", "sample_index", F.lit(0).cast("bigint").alias("node"), "w", "label").checkpoint()
     tot = fr._node_totals(st, labels, 5, "gini").persist()
     sections = {
         "k-means distance step (X join centres -> n x k sums)": km.assign(xp, c, subjects.select("subject_index"),
