@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from allelo.functions.hashing import below, mixed
 from allelo.operators import subtree
-from allelo.session import checkpoint_partitioned, pinned, scratch_path
+from allelo.session import checkpoint_partitioned, discard, pinned, scratch_path
 
 BROADCAST_ROWS = 2_000_000
 LOCAL_CELLS = 200_000
@@ -318,6 +318,7 @@ def _grow(x: DataFrame, roots: DataFrame, n_labels: int, params: ForestParams, f
     rows = spark.read.schema(f"{STATE_COLUMNS}, depth long").parquet(states).where(small)
     rules = subtree.Rules(n_labels, frac, params.seed, params.impurity, params.min_gain, params.max_depth)
     _finish(x, rows, rules).write.parquet(f"{nodes}/level=subtrees")
+    discard(spark, states)
 
 
 def _schema(spark, ddl: str):
@@ -357,7 +358,16 @@ def _finish(x: DataFrame, rows: DataFrame, rules: subtree.Rules) -> DataFrame:
     return brought.groupBy(*key).applyInArrow(run, NODE_COLUMNS)
 
 
-def predict_trees(nodes: DataFrame, x: DataFrame, start: DataFrame) -> DataFrame:
+def pruned(nodes: DataFrame, max_depth: int) -> DataFrame:
+    """The trees cut at a depth: what stood there becomes a leaf, as if they had been grown no deeper."""
+    leaf = F.col("depth") == max_depth
+    return (nodes.where(F.col("depth") <= max_depth)
+            .withColumn("variable", F.when(leaf, F.lit(-1)).otherwise(F.col("variable")).cast("bigint"))
+            .withColumn("threshold", F.when(leaf, F.lit(0.0)).otherwise(F.col("threshold")))
+            .withColumn("gain", F.when(leaf, F.lit(0.0)).otherwise(F.col("gain"))))
+
+
+def predict_trees(nodes: DataFrame, x: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """M9: route ``start(tree, sample_index)`` rows down each tree -> ``(tree, sample_index, prediction)``.
 
     Rows walk the upper levels together, one level a step; per level only its split
@@ -366,6 +376,7 @@ def predict_trees(nodes: DataFrame, x: DataFrame, start: DataFrame) -> DataFrame
     """
     spark = x.sparkSession
     path = scratch_path(spark, "walk")
+    nodes = nodes if max_depth is None else pruned(nodes, max_depth)
     steps = nodes.where((F.col("part") < 0) | ((F.col("depth") == F.col("part_depth")) & (F.col("node") == F.col("part"))))
     steps = pinned(steps.select("tree", "depth", "node", "parent", "side", "variable", "threshold", "majority", "part"),
                    "steps")

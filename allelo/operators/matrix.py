@@ -8,9 +8,15 @@ into one unbounded row; ``size`` carries the full vector length.
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelo.functions.hashing import SPACE, mixed
 from allelo.operators.indexing import subject_dictionary, variant_dictionary
 
 DEFAULT_BLOCK = 4096
@@ -108,72 +114,95 @@ def burden(long: DataFrame, subject_col: str = "subject_id", value: str = "allel
 # Gram matrix (A8) and column cosine similarity
 # ---------------------------------------------------------------------------
 
-def _gram_tiles(tile: int, chunk: int):
-    """mapInPandas body: dense products of variant chunks for each subject-tile pair.
+CHUNK = 1024          # variants multiplied at once
+EMIT_ROWS = 128       # accumulator rows of one output batch
+
 
-    Works on one partition (sized by the partition count) at a time; memory is
-    one ``tile x tile`` accumulator plus a ``chunk x tile`` block per side.
+def _products(tile: int):
+    """mapInArrow body: cells sorted by (ti, tj, variant) stream into one dense accumulator a tile pair.
+
+    Memory is one ``tile x tile`` accumulator, two ``CHUNK x tile`` blocks, one
+    input batch and the cells of one variant, however many cells the partition has.
     """
+    def emit(pair, acc):
+        held = np.flatnonzero(acc.any(axis=1))
+        for at in range(0, len(held), EMIT_ROWS):
+            r = held[at: at + EMIT_ROWS]
+            offsets = pa.array(np.arange(len(r) + 1, dtype=np.int32) * tile)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(r), pair[0], dtype=np.int32)), pa.array(np.full(len(r), pair[1], dtype=np.int32)),
+                 pa.array(r.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(acc[r].ravel()))],
+                names=["ti", "tj", "r", "g"])
+
+    def add(acc, pair, subject, variant, allele):
+        column = np.cumsum(np.r_[False, variant[1:] != variant[:-1]])
+        left, right = subject // tile == pair[0], subject // tile == pair[1]
+        for start in range(0, int(column[-1]) + 1, CHUNK):
+            a, b = np.searchsorted(column, [start, start + CHUNK])
+            blocks = []
+            for side, t in ((left, pair[0]), (right, pair[1])):
+                block = np.zeros((int(column[b - 1]) - start + 1, tile))
+                here = np.flatnonzero(side[a:b]) + a
+                block[column[here] - start, subject[here] - t * tile] = allele[here]
+                blocks.append(block)
+            acc += blocks[0].T @ blocks[1]
+
     def run(batches):
-        import numpy as np
-        import pandas as pd
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        for (ti, tj), grp in pdf.groupby(["ti", "tj"], sort=False):
-            v = grp["variant_index"].to_numpy()
-            s = grp["subject_index"].to_numpy()
-            a = grp["allele"].to_numpy(dtype=np.float64)
-            t = grp["t"].to_numpy()
-            uv, vloc = np.unique(v, return_inverse=True)
-            acc = np.zeros((tile, tile), dtype=np.float64)
-            for start in range(0, len(uv), chunk):
-                m = (vloc >= start) & (vloc < start + chunk)
-                xi = np.zeros((min(chunk, len(uv) - start), tile))
-                mi = m & (t == ti)
-                xi[vloc[mi] - start, s[mi] - ti * tile] = a[mi]
-                if ti == tj:
-                    xj = xi
-                else:
-                    xj = np.zeros_like(xi)
-                    mj = m & (t == tj)
-                    xj[vloc[mj] - start, s[mj] - tj * tile] = a[mj]
-                acc += xi.T @ xj
-            ii, jj = np.nonzero(acc)
-            gi, gj = ii + ti * tile, jj + tj * tile
-            keep = gi <= gj
-            yield pd.DataFrame({"i": gi[keep].astype("int64"), "j": gj[keep].astype("int64"),
-                                "g": acc[ii[keep], jj[keep]]})
+        pair, acc, rest = None, np.zeros((tile, tile)), None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                columns = [c.to_numpy() for c in batch.columns]
+                columns = columns if rest is None else [np.concatenate(c) for c in zip(rest, columns, strict=True)]
+                if not len(columns[0]):
+                    continue
+                new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]]))
+                cut = int(new[-1]) + 1 if len(new) else 0  # the last variant may go on
+                rest, columns = [c[cut:] for c in columns], [c[:cut] for c in columns]
+            else:
+                columns, rest = rest, None
+            if columns is None or not len(columns[0]):
+                continue
+            ti, tj, variant, subject, allele = columns
+            starts = np.flatnonzero(np.r_[True, (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])])
+            for a, b in zip(starts, [*starts[1:], len(ti)], strict=True):
+                if pair != (int(ti[a]), int(tj[a])):
+                    if pair is not None:
+                        yield from emit(pair, acc)
+                        acc[:] = 0.0
+                    pair = int(ti[a]), int(tj[a])
+                add(acc, pair, subject[a:b], variant[a:b], allele[a:b])
+        if pair is not None:
+            yield from emit(pair, acc)
+
     return run
 
 
-def gram(long_idx: DataFrame, n_subjects: int, tile: int = 2048, chunk: int = 4096,
-         partitions: int | None = None) -> DataFrame:
+def gram(long_idx: DataFrame, n_subjects: int, tile: int = 2048, partitions: int | None = None) -> DataFrame:
     """``G[i, j] = sum_v a_iv * a_jv`` over subjects, upper triangle, non-zero entries.
 
     Block matrix product: subjects are cut into tiles; each cell is copied to
-    the ``n_tiles`` tile pairs it takes part in, cells are hash-partitioned by
-    (tile pair, variant) and every task multiplies dense variant-chunk x tile
-    blocks with numpy; partial tiles are summed by a shuffle on (i, j).  No
-    per-variant list of subject pairs is ever materialised as rows.
+    the ``n_tiles`` tile pairs it takes part in, dealt by (tile pair, variant slab),
+    sorted, and streamed into the pair's dense accumulator.  Dense tile rows are
+    shuffled, one a slab, and added up; there are just enough slabs for every
+    partition to have work.  No per-variant list of subject pairs is ever
+    materialised as rows.
     """
     spark = long_idx.sparkSession
     n_tiles = max(1, -(-int(n_subjects) // tile))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slabs = max(1, -(-parts // (n_tiles * (n_tiles + 1) // 2)))
     t = (F.col("subject_index") / F.lit(tile)).cast("int")
-    cells = long_idx.select("subject_index", "variant_index", F.col("allele").cast("double").alias("allele"),
-                            t.alias("t"))
-    if n_tiles > 1:
-        other = F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))
-        cells = cells.select("*", other.alias("o")) \
-            .select("subject_index", "variant_index", "allele", "t",
-                    F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"))
-    else:
-        cells = cells.withColumn("ti", F.lit(0)).withColumn("tj", F.lit(0))
-    parts_df = cells.repartition(parts, "ti", "tj", "variant_index")
-    partial = parts_df.mapInPandas(_gram_tiles(tile, chunk), "i long, j long, g double")
-    return partial.groupBy("i", "j").agg(F.sum("g").alias("g"))
+    cells = long_idx.select("subject_index", "variant_index", F.col("allele").cast("double").alias("allele"), t.alias("t"),
+                            F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("o"))
+    cells = cells.select(F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), "variant_index", "subject_index",
+                         "allele", F.pmod(F.xxhash64("variant_index"), F.lit(slabs)).alias("slab"))
+    dealt = cells.repartition(parts, "ti", "tj", "slab").sortWithinPartitions("ti", "tj", "variant_index").drop("slab")
+    partial = dealt.mapInArrow(_products(tile), "ti int, tj int, r int, g array<double>")
+    total = F.aggregate("gs", F.array_repeat(F.lit(0.0), tile), lambda acc, g: F.zip_with(acc, g, lambda a, b: a + b))
+    rows = partial.groupBy("ti", "tj", "r").agg(F.collect_list("g").alias("gs"))  # at most a row a slab
+    cells = rows.select("ti", "tj", "r", F.posexplode(total).alias("c", "g")).where(F.col("g") != 0)
+    return (cells.select((F.col("ti") * tile + F.col("r")).cast("bigint").alias("i"),
+                         (F.col("tj") * tile + F.col("c")).cast("bigint").alias("j"), "g").where("i <= j"))
 
 
 def tile_for(n_subjects: int, cap: int = 2048) -> int:
@@ -181,10 +210,42 @@ def tile_for(n_subjects: int, cap: int = 2048) -> int:
     return int(min(cap, max(64, -(-int(n_subjects) // 2))))
 
 
-def cosine_similarity(gram_df: DataFrame) -> DataFrame:
-    """``G[i,j] / sqrt(G[i,i] * G[j,j])`` from an upper-triangular Gram table."""
-    diag = gram_df.where(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.col("g").alias("d"))
-    di = diag.select(F.col("k").alias("i"), F.col("d").alias("di"))
-    dj = diag.select(F.col("k").alias("j"), F.col("d").alias("dj"))
-    return (gram_df.join(di, "i").join(dj, "j")
+def squares(long_idx: DataFrame) -> DataFrame:
+    """``(subject_index, d)``: squared length of every subject's column."""
+    return long_idx.groupBy("subject_index").agg(F.sum(F.col("allele") * F.col("allele")).alias("d"))
+
+
+def cosine_similarity(long_idx: DataFrame, n_subjects: int, tile: int | None = None) -> DataFrame:
+    """``(i, j, cosine)`` of all pairs with a common variant, ``i <= j``; lengths come from the cells."""
+    g = gram(long_idx, n_subjects, tile or tile_for(n_subjects))
+    d = squares(long_idx)
+    return (g.join(d.select(F.col("subject_index").alias("i"), F.col("d").alias("di")), "i")
+            .join(d.select(F.col("subject_index").alias("j"), F.col("d").alias("dj")), "j")
             .select("i", "j", (F.col("g") / F.sqrt(F.col("di") * F.col("dj"))).alias("cosine")))
+
+
+def sampling_scale(n_subjects: int, threshold: float) -> float:
+    """Square root of the oversampling factor ``10 ln(n) / threshold`` of the sampled similarities."""
+    return math.sqrt(10.0 * math.log(max(n_subjects, 2)) / threshold)
+
+
+def sampled_cosine(long_idx: DataFrame, n_subjects: int, threshold: float, seed: int = 0,
+                   tile: int | None = None) -> DataFrame:
+    """D1, sampled: ``(i, j, cosine)`` estimates for ``i < j`` by sampling cells by their column's length.
+
+    With ``s`` from ``sampling_scale``, a cell of a column of length ``l`` stays with
+    probability ``min(1, s / l)`` and is divided by ``min(s, l)``; either way the ratio of the
+    two is ``1 / l``, so products of what stays estimate cosines without bias.  Long columns,
+    whose pairs cost most, are thinned most.  Similarities above ``threshold`` are estimated
+    with small relative error; callers leave out those below it.  The draw is a seeded hash of
+    (variant, subject), so every pair of cells is drawn independently and SQL can repeat it.
+    """
+    s = F.lit(sampling_scale(n_subjects, threshold))
+    length = squares(long_idx).select("subject_index", F.sqrt("d").alias("l"))
+    side = F.broadcast(length) if n_subjects <= SUBJECT_BROADCAST_ROWS else length
+    chance = F.least(F.lit(1.0), s / F.col("l"))
+    kept = long_idx.join(side, "subject_index").where(
+        mixed(seed, F.col("variant_index"), F.col("subject_index")) < chance * SPACE)
+    scaled = kept.select("subject_index", "variant_index", (F.col("allele") / F.least(s, F.col("l"))).alias("allele"))
+    return (gram(scaled, n_subjects, tile or tile_for(n_subjects)).where("i < j")
+            .select("i", "j", F.col("g").alias("cosine")))

@@ -26,33 +26,34 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
               .withColumn("col_total", F.sum("n").over(Window.partitionBy(b))))
 
 
-def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
-    """ARI of two labelings; one row ``(n, ari)``.
+def adjusted_rand_index(df: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """ARI of two labelings; one row ``(n, ari)``, or one for each group of ``by``.
 
     ``(index - expected) / (mean(sumA, sumB) - expected)`` with
     ``expected = sumA * sumB / C(n, 2)``; all pair counts are doubles.  A
     degenerate input whose denominator is 0 (e.g. both labelings constant)
     is defined as 1.0.
     """
-    ct = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    ct = (ct.withColumn("_ra", F.row_number().over(Window.partitionBy(a).orderBy(b)))
-            .withColumn("_rb", F.row_number().over(Window.partitionBy(b).orderBy(a)))
-            .withColumn("_ma", F.sum("n").over(Window.partitionBy(a)))
-            .withColumn("_mb", F.sum("n").over(Window.partitionBy(b))))
-    s = ct.agg(F.sum("n").alias("n"),
-               F.sum(_pairs(F.col("n"))).alias("idx"),
-               F.sum(F.when(F.col("_ra") == 1, _pairs(F.col("_ma")))).alias("sa"),
-               F.sum(F.when(F.col("_rb") == 1, _pairs(F.col("_mb")))).alias("sb"))
-    expected = F.col("sa") * F.col("sb") / _pairs(F.col("n"))
+    ct = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
+    of_a, of_b = Window.partitionBy(*by, a), Window.partitionBy(*by, b)
+    ct = (ct.withColumn("_ra", F.row_number().over(of_a.orderBy(b)))
+            .withColumn("_rb", F.row_number().over(of_b.orderBy(a)))
+            .withColumn("_ma", F.sum("n").over(of_a))
+            .withColumn("_mb", F.sum("n").over(of_b)))
+    s = ct.groupBy(*by).agg(F.sum("n").alias("n"),
+                            F.sum(_pairs(F.col("n"))).alias("idx"),
+                            F.sum(F.when(F.col("_ra") == 1, _pairs(F.col("_ma")))).alias("sa"),
+                            F.sum(F.when(F.col("_rb") == 1, _pairs(F.col("_mb")))).alias("sb"))
+    expected = F.when(F.col("n") > 1, F.col("sa") * F.col("sb") / _pairs(F.greatest("n", F.lit(2)))).otherwise(0.0)
     denom = (F.col("sa") + F.col("sb")) / 2.0 - expected
-    ari = F.when(denom == 0, F.lit(1.0)).otherwise((F.col("idx") - expected) / denom)
-    return s.select(F.col("n").cast("bigint").alias("n"), ari.alias("ari"))
+    ari = F.when(denom == 0, F.lit(1.0)).otherwise((F.col("idx") - expected) / F.nullif(denom, F.lit(0.0)))
+    return s.select(*by, F.col("n").cast("bigint").alias("n"), ari.alias("ari"))
 
 
-def classification_error(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Fraction of mismatches; one row ``(n, error)``."""
-    return df.agg(F.count(F.lit(1)).alias("n"),
-                  F.avg((F.col(label) != F.col(prediction)).cast("double")).alias("error"))
+def classification_error(df: DataFrame, label: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Fraction of mismatches; one row ``(n, error)``, or one for each group of ``by``."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                               F.avg((F.col(label) != F.col(prediction)).cast("double")).alias("error"))
 
 
 def gini(df: DataFrame, group_cols: list[str], label: str, weight: str | None = None) -> DataFrame:
@@ -75,21 +76,22 @@ def majority_vote(votes: DataFrame, key_cols: list[str], label: str) -> DataFram
                                     F.sum("_v").alias("n_votes"))
 
 
-def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Confusion cells ``(label, prediction, n)``."""
-    return df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
+def confusion(df: DataFrame, label: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Confusion cells ``(label, prediction, n)``, for each group of ``by``."""
+    return df.groupBy(*by, label, prediction).agg(F.count(F.lit(1)).alias("n"))
 
 
-def precision_recall(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Per-class precision / recall / F1 (pairs passed in the correct order)."""
-    cells = confusion(df, label, prediction)
-    actual = cells.groupBy(F.col(label).alias("cls")).agg(F.sum("n").alias("actual"))
-    predicted = cells.groupBy(F.col(prediction).alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = cells.where(F.col(label) == F.col(prediction)).select(F.col(label).alias("cls"), F.col("n").alias("tp"))
-    j = actual.join(predicted, "cls", "full").join(tp, "cls", "left").fillna(0, ["actual", "predicted", "tp"])
+def precision_recall(df: DataFrame, label: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per-class precision / recall / F1 (pairs passed in the correct order), for each group of ``by``."""
+    cells = confusion(df, label, prediction, by)
+    key = [*by, "cls"]
+    actual = cells.groupBy(*by, F.col(label).alias("cls")).agg(F.sum("n").alias("actual"))
+    predicted = cells.groupBy(*by, F.col(prediction).alias("cls")).agg(F.sum("n").alias("predicted"))
+    tp = cells.where(F.col(label) == F.col(prediction)).select(*by, F.col(label).alias("cls"), F.col("n").alias("tp"))
+    j = actual.join(predicted, key, "full").join(tp, key, "left").fillna(0, ["actual", "predicted", "tp"])
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     r = F.when(F.col("actual") > 0, F.col("tp") / F.col("actual")).otherwise(0.0)
-    return j.select("cls", F.col("tp").cast("bigint").alias("tp"), F.col("actual").cast("bigint").alias("actual"),
+    return j.select(*key, F.col("tp").cast("bigint").alias("tp"), F.col("actual").cast("bigint").alias("actual"),
                     F.col("predicted").cast("bigint").alias("predicted"), p.alias("precision"), r.alias("recall"),
                     F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 

@@ -108,21 +108,25 @@ def q_assignments_io(spark, sf_dir):
     return report(tio.read_assignments(spark, path))
 
 
-@register("wide_export", with_ctes(sql_indexed()) + """select vi variant_index, count(*) nnz,
-  cast(sum(allele) as bigint) total from x group by vi""")
-def q_wide_export(spark, sf_dir):
-    """Labelled wide-matrix export (label line + one int line per variant), re-read and summarised."""
-    long, subjects, variants, x = indexed(spark, sf_dir)
-    n = subjects.count()
-    labels = subjects.select(F.col("subject_index").alias("sample_index"),
-                             (F.col("subject_index") % 5).alias("label"))
-    cells = x.select(F.col("subject_index").alias("sample_index"), "variant_index", "allele")
-    lab, body = tio.wide_export_lines(cells, labels, n)
+def _exported(spark, sf_dir):
+    """F8 written as a labelled wide matrix; the folders of the label line and of the rows."""
+    from allelo.plans.q_ml import _inputs
+
+    cells, labels, _, _ = _inputs(spark, sf_dir)
+    lab, body = tio.wide_export_lines(cells, labels, labels.count())
     path = scratch_path(spark, "export")
     lab.write.text(f"{path}/labels")
     body.select(F.concat_ws(":", F.col("variant_index").cast("string"), "value").alias("value")).write.text(
         f"{path}/rows")
-    back = spark.read.text(f"{path}/rows").select(F.split("value", ":").alias("p"))
+    return f"{path}/labels", f"{path}/rows"
+
+
+@register("wide_export", with_ctes(sql_indexed("planted")) + """select vi variant_index, count(*) nnz,
+  cast(sum(allele) as bigint) total from x group by vi""")
+def q_wide_export(spark, sf_dir):
+    """Labelled wide-matrix export (label line + one int line per variant); the rows re-read and summarised."""
+    _, rows = _exported(spark, sf_dir)
+    back = spark.read.text(rows).select(F.split("value", ":").alias("p"))
     vals = back.select(F.col("p")[0].cast("bigint").alias("variant_index"),
                        F.split(F.col("p")[1], ",").alias("v"))
     summ = vals.select("variant_index", F.aggregate(F.transform("v", lambda s: s.cast("int")), F.lit(0),
@@ -131,6 +135,16 @@ def q_wide_export(spark, sf_dir):
     return report(summ)
 
 
+@register("wide_export_labels", with_ctes(sql_indexed("planted") + [fixtures.F2_SQL]) + """select si sample_index, label
+  from subj join panel on panel.sample = subj.subject_id join (select super_pop, row_number() over (order by super_pop) - 1 label
+  from (select distinct super_pop from panel) t) l using (super_pop)""")
+def q_wide_export_labels(spark, sf_dir):
+    """The label line of the export, read back: the label of every sample in order."""
+    labels, _ = _exported(spark, sf_dir)
+    back = spark.read.text(labels).select(F.posexplode(F.split("value", ",")).alias("sample_index", "label"))
+    return report(back.select("sample_index", F.col("label").cast("bigint").alias("label")))
+
+
 @register("gram_export", with_ctes(sql_indexed()) + """, g AS (select a.si i, b.si j, sum(a.allele * b.allele) g
   from x a join x b on a.vi = b.vi group by a.si, b.si)
 select i row_index, cast(sum(g) as bigint) row_sum, count(*) nonzero from g group by i""")

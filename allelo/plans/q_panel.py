@@ -289,22 +289,6 @@ def q_drop_unlabelled(spark, sf_dir):
     return report(out)
 
 
-PROJECT_SET = ["NATION_3", "NATION_8", "NATION_13", "NATION_18", "NATION_23"]
-
-
-@register("project_samples", with_ctes(sql_indexed() + [fixtures.F2_SQL, f"""keep AS (
-  select si, row_number() over (order by si) - 1 ni from subj join panel on panel.sample = subj.subject_id
-  where pop in ({",".join(f"'{x}'" for x in PROJECT_SET)}))"""]) +
-    "select x.vi variant_index, keep.ni sample_index, x.allele from x join keep using (si)")
-def q_project_samples(spark, sf_dir):
-    """P20: column projector: keep samples of a set (semi join) and re-index them."""
-    long, subjects, variants, x = indexed(spark, sf_dir)
-    p = fixtures.panel(spark, sf_dir).where(F.col("pop").isin(PROJECT_SET)).select(F.col("sample").alias("subject_id"))
-    kept = subjects.join(p, "subject_id", "left_semi")
-    new_idx = dense_index(kept.select("subject_index"), ["subject_index"], "sample_index")
-    return report(x.join(new_idx, "subject_index").select("variant_index", "sample_index", "allele"))
-
-
 @register("label_ordinal", with_ctes([fixtures.F2_SQL]) + """select sample, super_pop,
   dense_rank() over (order by super_pop) - 1 label_index from panel""")
 def q_label_ordinal(spark, sf_dir):

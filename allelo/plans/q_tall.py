@@ -12,7 +12,7 @@ _tile = mx.tile_for
 from allelo.operators import metrics, sampling
 from allelo.operators import select as sel
 from allelo.operators.indexing import class_index, dense_index
-from allelo.functions.hashing import below, mixed_sql, text_key_sql
+from allelo.functions.hashing import SPACE, below, mixed_sql, text_key_sql
 from allelo.plans import tall
 from allelo.plans.common import KMEANS_TOL, indexed, kmeans_sql, with_ctes
 from allelo.plans.forest_sql import importance_sql
@@ -106,27 +106,25 @@ def q_rf_tall(spark, sf_dir):
     return report(_errors(model.transform(test), train))
 
 
-@register("rf_reg", with_ctes(REGIONS_SQL + ["""y AS (select subject_id, try_cast(weight as double) /
-  ((try_cast(height as double) / 100) * (try_cast(height as double) / 100)) y from sub join panel on panel.sample = subject_id
-  where try_cast(weight as double) is not null and try_cast(height as double) is not null)"""]) + f"""
-select (select count(*) from y where {_split_sql(7, 0.8)} = 0) n_train, count(*) n_test, round(sqrt(avg(
-  (y - (select avg(y) from y where {_split_sql(7, 0.8)} = 0)) * (y - (select avg(y) from y where {_split_sql(7, 0.8)} = 0)))), 6)
-  mean_rmse, cast(1 as bigint) bounded from y where {_split_sql(7, 0.8)} = 1""")
+@register("rf_reg", with_ctes(REGIONS_SQL) + f"""
+select (select count(*) from sub where {_split_sql(7, 0.8)} = 0) n_train, count(*) n_test, round(sqrt(avg(
+  (label - (select avg(label) from sub where {_split_sql(7, 0.8)} = 0)) * (label - (select avg(label) from sub where {_split_sql(7, 0.8)} = 0)))), 6)
+  mean_rmse, cast(1 as bigint) fits, cast(1 as bigint) holds from sub where {_split_sql(7, 0.8)} = 1""")
 def q_rf_reg(spark, sf_dir):
-    """Tall random-forest regressor of BMI, trained on 80%; its test error against the training mean's."""
-    from allelo.functions.genotype import bmi, sentinel_double
-    p = fixtures.panel(spark, sf_dir)
-    b = p.select(F.col("sample").alias("subject_id"),
-                 bmi(sentinel_double("height", fixtures.NOT_AVAILABLE),
-                     sentinel_double("weight", fixtures.NOT_AVAILABLE)).alias("y")).where("y > 0")
-    train, test = (d.join(b, "subject_id") for d in _split(spark, sf_dir))
-    model = tall.rf_regressor(train, n_trees=20, max_depth=4, seed=3)
+    """Tall random-forest regressor of a numeric trait (the region's code), trained on 80%.
+
+    It must fit (training error at most 0.9 of the mean's) and hold (test error at most 1.2 of the training mean's).
+    """
+    train, test = (d.withColumn("y", F.col("label").cast("double")) for d in _split(spark, sf_dir))
+    model = tall.rf_regressor(train, n_trees=50, max_depth=8, seed=3)
     mean = train.agg(F.avg("y")).first()[0]
-    pred = model.transform(test)
     rmse = lambda c: F.sqrt(F.avg((F.col("y") - c) * (F.col("y") - c)))
-    return report(pred.agg(F.lit(train.count()).alias("n_train"), F.count(F.lit(1)).alias("n_test"),
-                           rmse(F.lit(mean)).alias("mean_rmse"),
-                           (rmse(F.col("prediction")) <= 1.5 * rmse(F.lit(mean))).cast("bigint").alias("bounded")))
+    ratio = rmse(F.col("prediction")) / F.nullif(rmse(F.lit(mean)), F.lit(0.0))
+    fitted = model.transform(train).agg(F.count(F.lit(1)).alias("n_train"),
+                                        (F.coalesce(ratio, F.lit(0.0)) <= 0.9).cast("bigint").alias("fits"))
+    held = model.transform(test).agg(F.count(F.lit(1)).alias("n_test"), rmse(F.lit(mean)).alias("mean_rmse"),
+                                     (F.coalesce(ratio, F.lit(0.0)) <= 1.2).cast("bigint").alias("holds"))
+    return report(fitted.crossJoin(held))  # one row each
 
 
 @register("logreg_cv", with_ctes(REGIONS_SQL) + _errors_sql(f"{_split_sql(7, 0.8)} = 1", f"{_split_sql(7, 0.8)} = 0"))
@@ -137,56 +135,31 @@ def q_logreg_cv(spark, sf_dir):
     return report(_errors(cv.transform(test), train))
 
 
+@register("logreg_optimum", with_ctes(REGIONS_SQL) + """select cast(label as bigint) label, count(*) n,
+  round(count(*) / cast((select count(*) from sub) as double), 4) mean_probability, cast(0.0 as double) gradient
+from sub group by label""")
+def q_logreg_optimum(spark, sf_dir):
+    """The fitted regression against the optimum: classes' mean probabilities are their shares, the gradient is 0."""
+    data, _, feats = _tall(spark, sf_dir)
+    cells, _, _, _ = _labelled(spark, sf_dir)
+    cells = cells.join(feats, "variant_index").select("sample_index", "feature", "allele")
+    out = tall.logreg_optimum(data, cells, 0.01, scratch_path(spark, "logreg"))
+    return report(out.select(F.col("cls").alias("label"), "n", F.round("mean_probability", 4).alias("mean_probability"),
+                             F.round("gradient", 3).alias("gradient")))
+
+
 @register("rf_importance", with_ctes([fixtures.F8_SQL]) + """select count(distinct variant_key) n_features,
   cast(1.0 as double) total, cast(1 as bigint) named from planted""")
 def q_rf_importance(spark, sf_dir):
     """Tall RF feature importances, named by variant: they cover all features and add up to 1."""
     data, d, feats = _tall(spark, sf_dir)
     model = tall.rf_classifier(data, n_trees=20, max_depth=5, seed=3)
-    imp = tall.named_importances(model.stages[-1].featureImportances, feats.select("feature", "variant_index"))
+    imp = tall.saved_importances(model.stages[-1], scratch_path(spark, "importances"),
+                                 feats.select("feature", "variant_index"))
     return report(imp.agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total"),
                           (F.count("variant_index") == d).cast("bigint").alias("named")))
 
 
-@register("rf_repeated", with_ctes(REGIONS_SQL) + " union all ".join(
-    f"select cast({r} as bigint) run_id, n_test, majority_error, (select count(*) from sub where {_split_sql(100 + r, 0.75)} = 0) "
-    f"n_train from ({_errors_sql(f'{_split_sql(100 + r, 0.75)} = 1', f'{_split_sql(100 + r, 0.75)} = 0')}) r{r}"
-    for r in range(5)))
-def q_rf_repeated(spark, sf_dir):
-    """Seeded 75/25 splits -> train, predict; every run's sizes and the majority's test error."""
-    data, _, _ = _tall(spark, sf_dir)
-    out = None
-    for run in range(5):
-        s = sampling.split_hash(data, "subject_id", [0.75, 0.25], seed=100 + run)
-        train = s.where("split = 0")
-        model = tall.rf_classifier(train, n_trees=30, max_depth=5, subset="onethird", seed=run)
-        row = (_errors(model.transform(s.where("split = 1")), train).drop("better").withColumn("run_id", F.lit(run))
-               .withColumn("n_train", F.lit(train.count())))
-        out = row if out is None else out.unionByName(row)
-    return report(out)
-
-
-@register("cv_ari", with_ctes(REGIONS_SQL) + f"""select fold, count(*) n, cast(1 as bigint) scored from (
-  select cast((row_number() over (order by {mixed_sql(5, text_key_sql('subject_id'))}, subject_id) - 1) % 10 as bigint) fold
-  from sub) t group by fold""")
-def q_cv_ari(spark, sf_dir):
-    """10-fold cross-validation of logistic regression; ARI and error over all held-out predictions."""
-    data, _, _ = _tall(spark, sf_dir)
-    f = sampling.folds(data.select("subject_id"), "subject_id", 10, seed=5)
-    d = data.join(f, "subject_id").checkpoint()
-    preds = None
-    for k in range(10):
-        train, test = sampling.train_test(d, "fold", k)
-        m = tall.LogisticRegression(labelCol="label", featuresCol="features", maxIter=10, regParam=0.01).fit(train)
-        p = m.transform(test).select("subject_id", "fold", "label", "prediction")
-        preds = p if preds is None else preds.unionByName(p)
-    preds = preds.checkpoint()
-    error = metrics.classification_error(preds, "label", "prediction").first()["error"]
-    ari = metrics.adjusted_rand_index(preds, "label", "prediction").first()["ari"]
-    return report(preds.groupBy("fold").agg(F.count("prediction").alias("n"),
-                                            F.lit(int(0 <= error < 0.8 and ari > 0)).alias("scored")))
-
-
 @register("model_io", with_ctes(REGIONS_SQL) + "select subject_id, cast(1 as bigint) agrees from sub")
 def q_model_io(spark, sf_dir):
     """Save a fitted pipeline model, reload it and compare both models' predictions of every subject."""
@@ -275,28 +248,43 @@ def q_importance_stability(spark, sf_dir):
     return report(fr.importance_stability(per_tree, STABLE_TOP))
 
 
-def _cosine_sql(name: str, cells: str) -> list[str]:
-    return [f"g_{name} AS (select a.si i, b.si j, sum(a.allele * b.allele) g from ({cells}) a join ({cells}) b "
-            "on a.vi = b.vi and a.si <= b.si group by a.si, b.si)",
-            f"c_{name} AS (select g.i, g.j, g.g / sqrt(p.g * q.g) cosine from g_{name} g join g_{name} p "
-            f"on p.i = g.i and p.j = g.i join g_{name} q on q.i = g.j and q.j = g.j)"]
+SIMILAR, SAMPLE_SEED = 0.1, 13
+SAMPLED_SQL = [fixtures.F1_SQL,
+               "subj AS (select subject_id, row_number() over (order by subject_id) - 1 si "
+               "from (select distinct subject_id from flat) d)",
+               "x AS MATERIALIZED (select si, variant_key vi, allele from flat join subj using (subject_id))",
+               f"scale AS (select sqrt(10.0 * ln(cast(greatest(count(*), 2) as double)) / {SIMILAR}) s from subj)",
+               "len AS (select si, sqrt(sum(allele * allele)) l from x group by si)",
+               f"""kept AS MATERIALIZED (select x.si, x.vi, allele / least(s, l) a from x join len using (si), scale
+  where {mixed_sql(SAMPLE_SEED, 'x.vi', 'x.si')} < least(1.0, s / l) * {SPACE})""",
+               """estimate AS (select p.si i, q.si j, sum(p.a * q.a) cosine from kept p join kept q on p.vi = q.vi and p.si < q.si
+  group by p.si, q.si)""",
+               """exact AS (select p.si i, q.si j, sum(p.allele * q.allele) / any_value(lp.l * lq.l) cosine from x p
+  join x q on p.vi = q.vi and p.si < q.si join len lp on lp.si = p.si join len lq on lq.si = q.si group by p.si, q.si)"""]
 
 
-@register("cosine_mae", with_ctes([fixtures.F1_SQL, "subj AS (select subject_id, row_number() over (order by subject_id) - 1 si "
-                                   "from (select distinct subject_id from flat) d)",
-                                   "x AS (select si, variant_key vi, allele from flat join subj using (subject_id))"]
-                                  + _cosine_sql("exact", "select * from x")
-                                  + _cosine_sql("part", f"select * from x where {mixed_sql(13, 'vi')} < {below(0.5)}")) + """
-select round(avg(abs(e.cosine - coalesce(p.cosine, 0))), 6) mae, count(*) n_pairs
-from c_exact e left join c_part p using (i, j)""")
-def q_cosine_mae(spark, sf_dir):
-    """Sampled (variant-subsampled, rescaled) cosine similarities vs exact; mean absolute error."""
+def _cosines(spark, sf_dir):
     long, subjects, variants, x = indexed(spark, sf_dir, dense_variants=False)
     n = subjects.count()
-    exact = mx.cosine_similarity(mx.gram(x, n, tile=_tile(n)))
-    sampled_x = sampling.sample_variants(x, "variant_index", 0.5, seed=13)
-    approx = mx.cosine_similarity(mx.gram(sampled_x, n, tile=_tile(n))).withColumnRenamed("cosine", "approx")
-    j = exact.join(approx, ["i", "j"], "left").fillna(0.0, ["approx"])
+    return x, n, mx.sampled_cosine(x, n, SIMILAR, SAMPLE_SEED)
+
+
+@register("cosine_sampled", with_ctes(SAMPLED_SQL) + f"""select i, j, round(cosine, 6) cosine from estimate
+  where round(cosine, 9) >= {SIMILAR}""")
+def q_cosine_sampled(spark, sf_dir):
+    """Estimated cosine similarities at or above the threshold, by cells sampled by their column's length."""
+    _, _, estimate = _cosines(spark, sf_dir)
+    return report(estimate.where(F.round("cosine", 9) >= SIMILAR))
+
+
+@register("cosine_mae", with_ctes(SAMPLED_SQL) + """
+select round(avg(abs(e.cosine - coalesce(p.cosine, 0))), 6) mae, count(*) n_pairs
+from exact e left join estimate p using (i, j)""")
+def q_cosine_mae(spark, sf_dir):
+    """Mean absolute error of the sampled similarities against the exact ones (no estimate: 0)."""
+    x, n, estimate = _cosines(spark, sf_dir)
+    exact = mx.cosine_similarity(x, n).where("i < j")
+    j = exact.join(estimate.withColumnRenamed("cosine", "approx"), ["i", "j"], "left").fillna(0.0, ["approx"])
     return report(j.agg(F.avg(F.abs(F.col("cosine") - F.col("approx"))).alias("mae"),
                         F.count(F.lit(1)).alias("n_pairs")))
 

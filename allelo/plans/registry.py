@@ -49,4 +49,4 @@ def report(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from allelo.plans import (q_core, q_io, q_metrics, q_ml, q_panel, q_tall)  # noqa: F401
+    from allelo.plans import (q_core, q_io, q_metrics, q_ml, q_panel, q_tall, q_valid)  # noqa: F401

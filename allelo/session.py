@@ -80,6 +80,12 @@ def pinned(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing refers to any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpoint_partitioned(df, partitions: int, *cols: str):
     """Hash-partition ``df`` by ``cols`` and checkpoint it *keeping* that partitioning.
 

@@ -159,8 +159,9 @@ def wide_export_lines(long_idx: DataFrame, labels: DataFrame, n_samples: int) ->
 
 def gram_lines(gram_df: DataFrame, n: int) -> DataFrame:
     """Dense rows of a symmetric Gram matrix from its upper triangle, one line per row."""
-    full = gram_df.unionByName(gram_df.where(F.col("i") != F.col("j"))
-                               .select(F.col("j").alias("i"), F.col("i").alias("j"), "g"))
+    entry = lambda a, b: F.struct(F.col(a).alias("i"), F.col(b).alias("j"), F.col("g"))
+    both = F.when(F.col("i") == F.col("j"), F.array(entry("i", "j"))).otherwise(F.array(entry("i", "j"), entry("j", "i")))
+    full = gram_df.select(F.explode(both).alias("x")).select("x.*")
     per = full.groupBy("i").agg(F.array_sort(F.collect_list(F.struct(
         F.col("j").alias("i"), F.col("g").cast("bigint").cast("string").alias("v")))).alias("e"))
     return per.select("i", dense_text("e", n, "0").alias("value"))

@@ -22,8 +22,7 @@ def vcf_stream(spark: SparkSession, body_dir: str, header_path: str, out_dir: st
     Returns the ``StreamingQuery``; use ``trigger(availableNow=True)``-style
     draining via ``processAllAvailable()`` in tests.
     """
-    samples = vcf.read_samples(vcf.read_lines(spark, header_path))
-    n = samples.count()
+    samples, n = vcf.read_samples(spark, header_path)
     s = F.broadcast(samples) if n <= vcf.SAMPLE_BROADCAST_ROWS else samples
     lines = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(body_dir)
 
