@@ -10,9 +10,10 @@ that is the same wherever a window occurs:
 1. sample: a window's anchor is the leftmost of its ``K``-byte strings with the
    smallest hash.  Equal windows have equal anchors at equal distances.  The
    windows of one anchor form a run, about one in 18 bytes;
-2. anchors meet by hash.  Runs with equal content are settled at once: all but
-   the smallest document's are repeats.  Runs whose anchor no other document
-   holds cannot repeat;
+2. anchors meet by hash: one exchange, sorted by anchor, run and document, that a task
+   reads as a stream.  Runs with equal content are settled at once: all but the
+   smallest document's are repeats.  Runs whose anchor no other document holds cannot
+   repeat.  A task holds the runs that the smallest document has of one anchor;
 3. what is left, one occurrence of every differing run of a shared anchor, is
    dealt in shards by anchor.  A shard is sorted by the bytes from the anchor on
    (the sampled suffixes; Spark's external sort, spilling to disk), then the
@@ -24,6 +25,12 @@ that is the same wherever a window occurs:
    needed.  The queue keeps ``QUEUE_ROWS`` tuples in memory, so a shard may be
    far larger than memory.
 
+Anchors that would fill a good part of a task (more than one in ``HOT_SHARE`` rows of a
+partition's share, by a first pass over one in ``SAMPLE`` documents) are split: in step 2
+by the run's hash, and in step 3 their windows are dealt one by one, by 128-bit hashes,
+and meet in an aggregate that combines in each task.  Which way an anchor goes changes
+no result.
+
 Defined results: null text is empty; texts shorter than a window stay whole;
 rows with a null id stay whole and repeat nothing; rows that share an id do not
 repeat each other, each has its own result; an empty table gives no rows; extra
@@ -48,10 +55,11 @@ WINDOW = LENGTH - K + 1  # anchors a window can choose from; also the inductions
 PIECE = 1 << 19  # bytes handled at a time
 QUEUE_ROWS = 400_000
 BLOCK_ROWS = 100_000
+#: documents of which one shows which anchors are hot; rows of a partition of which more than one makes it so
+SAMPLE, HOT_SHARE, HOT_LEAST = 32, 8, 8
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_TAG_BITS = 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -145,19 +153,26 @@ def _joined(parts):
             np.array([at for _, at, _ in parts], dtype=np.int64), ends - lengths, ends)
 
 
-# a run in one number: 31 bits of the anchor's place, 6 of windows left of it, 6 of windows less one, 20 of the text's tag
-def pack(anchor, left, more, tag):
-    return anchor << 32 | left << 26 | more << 20 | tag
+# a run in one number: the anchor's place, 6 bits of windows left of it, 6 of windows less one
+def pack(anchor, left, more):
+    return anchor << 12 | left << 6 | more
 
 
 def unpack(packed):
-    return packed >> 32, packed >> 26 & 63, packed >> 20 & 63, packed & (1 << _TAG_BITS) - 1
+    return packed >> 12, packed >> 6 & 63, packed & 63
+
 
+def _text_hash(text: str = "text"):
+    return F.xxhash64(F.col(f"`{text}`"))
 
-def _tagged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, tag, text``; the tag tells rows with one id and different texts apart."""
-    tag = F.pmod(F.xxhash64("text"), F.lit(1 << _TAG_BITS))
-    return narrow(docs, doc_id=doc_id, text=text).select("doc_id", tag.alias("tag"), "text")
+
+def _tag(docs: DataFrame, doc_id: str, text: str):
+    """A column that tells rows with one id and different texts apart: 0 where no id has two texts."""
+    several = (docs.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`"))
+               .agg(F.min(_text_hash(text)).alias("low"), F.max(_text_hash(text)).alias("high"),
+                    F.count_if(F.col(f"`{text}`").isNull()).alias("nulls"), F.count(F.lit(1)).alias("rows"))
+               .where("low < high or (nulls > 0 and nulls < rows)"))
+    return _text_hash(text) if several.limit(1).count() else F.lit(0).cast("long")
 
 
 def _raw(column: pa.Array) -> list[bytes]:
@@ -165,7 +180,7 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 
 def _runs_of(tagged: DataFrame) -> DataFrame:
-    """``h, f, doc, run`` of every run of windows."""
+    """``h, f, doc, tag, run`` of every run of windows."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -174,58 +189,141 @@ def _runs_of(tagged: DataFrame) -> DataFrame:
                 who = owner[piece]
                 place = anchor - starts[piece] + offset[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(docs[who]),
-                     pa.array(pack(place, anchor - first, last - first, tags[who]))], names=["h", "f", "doc", "run"])
+                    [pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(docs[who]), pa.array(tags[who]),
+                     pa.array(pack(place, anchor - first, last - first))], names=["h", "f", "doc", "tag", "run"])
+
+    return tagged.where("doc_id is not null").mapInArrow(run, "h long, f long, doc long, tag long, run long")
 
-    return tagged.where("doc_id is not null").mapInArrow(run, "h long, f long, doc long, run long")
+
+def _hot(tagged: DataFrame, parts: int) -> DataFrame:
+    """``hot, salts``: anchors with more than a ``HOT_SHARE``-th of a partition's share of all runs.
+
+    At most ``HOT_SHARE`` for each partition can be, so the table is bounded.
+    """
+    some = _runs_of(tagged.where(F.pmod(F.xxhash64("doc_id", "tag", F.lit(17)), F.lit(SAMPLE)) == 0)).select("h")
+    counts = some.groupBy("h").count()
+    least = max(some.count() / (parts * HOT_SHARE), float(HOT_LEAST))
+    return counts.where(F.col("count") > least).select(
+        F.col("h").alias("hot"), F.ceil(F.col("count") / F.lit(least)).alias("salts"))
 
 
-def _compare(found: DataFrame) -> DataFrame:
-    """``open, doc, run`` of all runs: settled repeats (false) and runs to compare (true).
+class _Anchor:
+    """The anchor that a stream of sorted runs stands in: its last class, and rows that wait for a second document."""
+
+    def __init__(self, h: int, salt: int, f: int, least: int, low: int, high: int, waiting: list):
+        self.key, self.f, self.least, self.low, self.high, self.waiting = (h, salt), f, least, low, high, waiting
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by anchor, content and document: settled repeats, and what is left to compare.
+
+    A run waits only while all of its anchor's classes have the same smallest document.
+    """
+    names = ["open", "hot", "doc", "tag", "run"]
+    at: _Anchor | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        salt, h, f, doc = (batch.column(i).to_numpy() for i in range(4))
+        new_anchor = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+        new_class = new_anchor | np.r_[True, f[1:] != f[:-1]]
+        starts = np.flatnonzero(new_class)
+        least = doc[starts].copy()
+        same = at is not None and at.key == (h[0], salt[0])
+        if same and at.f == f[0]:
+            least[0] = at.least
+        groups = np.flatnonzero(new_anchor[starts])
+        low, high = np.minimum.reduceat(least, groups), np.maximum.reduceat(least, groups)
+        if same:
+            low[0], high[0] = min(low[0], at.low), max(high[0], at.high)
+        group = np.cumsum(new_anchor) - 1
+        repeat = doc > least[np.cumsum(new_class) - 1]
+        several = (low < high)[group] | (salt > 0)  # the parts of a split anchor cannot tell: all is compared
+        out = repeat | several
+        rest = batch.select(["doc", "tag", "run"])
+        if out.any():
+            kept = rest.filter(pa.array(out))
+            yield pa.RecordBatch.from_arrays([pa.array(~repeat[out]), pa.array(salt[out] > 0), *kept.columns], names=names)
+        waiting = at.waiting if same else []
+        if same and waiting and several[0]:
+            for rows in waiting:
+                n = rows.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, dtype=bool)), pa.array(np.zeros(n, dtype=bool)),
+                                                  *rows.columns], names=names)
+            waiting = []
+        if len(groups) > 1:
+            waiting = []
+        last = (group == group[-1]) & ~out
+        if last.any():
+            waiting = [*waiting, rest.filter(pa.array(last))]
+        at = _Anchor(h[-1], salt[-1], f[-1], least[-1], low[-1], high[-1], waiting)
+
+
+def _compare(found: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+    """``open, hot, doc, tag, run`` of all runs: settled repeats (not open) and runs to compare.
 
     Settled: a smaller document has the same run.  To compare: the smallest
     document's occurrences of every run, where an anchor has several runs and documents.
-    Both come from aggregates that combine in each task; runs stream past the
-    smallest document of their class, so no task holds the rows of an anchor.
     """
-    classes = found.groupBy("h", "f").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    several = (classes.groupBy("h").agg(F.min("least").alias("low"), F.max("least").alias("high"))
-               .where("low < high").select(F.col("h").alias("shared")))
-    wanted = (classes.join(several, F.col("h") == F.col("shared"), "left")
-              .select(F.col("h").alias("class_h"), F.col("f").alias("class_f"), "least", "most",
-                      F.col("shared").isNotNull().alias("several"))
-              .where("several or least < most"))
-    return (found.join(wanted, (F.col("h") == F.col("class_h")) & (F.col("f") == F.col("class_f")))
-            .where("several or doc > least")
-            .select((F.col("several") & (F.col("doc") == F.col("least"))).alias("open"), "doc", "run"))
-
-
-def _around(tagged: DataFrame, compare: DataFrame) -> DataFrame:
-    """``right, left, doc, run``: the bytes from the anchor on and, backwards, those before it."""
-    listed = (compare.groupBy(F.col("doc").alias("d"), F.col("run").bitwiseAND((1 << _TAG_BITS) - 1).alias("t"))
-              .agg(F.collect_list("run").alias("runs")))
+    salt = F.when(F.col("hot").isNotNull(), 1 + F.pmod(F.col("f"), F.col("salts"))).otherwise(F.lit(0))
+    dealt = (found.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")  # HOT_SHARE rows a partition at most
+             .select(salt.cast("int").alias("salt"), "h", "f", "doc", "tag", "run"))
+    return (dealt.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "f", "doc")
+            .mapInArrow(_settle, "open boolean, hot boolean, doc long, tag long, run long"))
+
+
+def _with_text(tagged: DataFrame, compare: DataFrame) -> DataFrame:
+    """``doc_id, tag, text, runs`` of the texts with runs to compare."""
+    listed = (compare.groupBy(F.col("doc").alias("d"), F.col("tag").alias("t"))
+              .agg(F.collect_list(F.struct("run", "hot")).alias("runs")))
+    return tagged.join(listed, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t"))).select(
+        "doc_id", "tag", "text", "runs")
 
+
+def _around(texts: DataFrame) -> DataFrame:
+    """``right, left, doc, tag, run, window``: the bytes from the anchor on and, backwards, those before it.
+
+    For a run of a hot anchor: a row for each window, with the hash of its bytes in ``window`` and
+    its start in ``run``.  Rows alike in id and text give the same tuples.
+    """
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, packed in zip(batch.column(0).to_pylist(), _raw(batch.column(1)),
-                                         batch.column(2).to_pylist(), strict=True):
-                right, left = [], []
+            for doc, tag, text, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                              _raw(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                right, left, place, window = [], [], [], []
                 for p in packed:
-                    a, before, more, _ = unpack(p)
-                    right.append(text[a: a - before + more + LENGTH])
-                    left.append(text[a - before: a][::-1])
+                    a, before, more = unpack(p["run"])
+                    first = a - before
+                    if p["hot"]:
+                        for start in range(first, first + more + 1):
+                            right.append(None)
+                            left.append(None)
+                            place.append(start)
+                            window.append(hashlib.blake2b(text[start: start + LENGTH], digest_size=16).digest())
+                    else:
+                        right.append(text[a: first + more + LENGTH])
+                        left.append(text[first: a][::-1])
+                        place.append(p["run"])
+                        window.append(None)
+                n = len(place)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(right, type=pa.binary()), pa.array(left, type=pa.binary()),
-                     pa.array([doc] * len(packed), type=pa.int64()), pa.array(packed, type=pa.int64())],
-                    names=["right", "left", "doc", "run"])
+                     pa.array([doc] * n, type=pa.int64()), pa.array([tag] * n, type=pa.int64()),
+                     pa.array(place, type=pa.int64()), pa.array(window, type=pa.binary())],
+                    names=["right", "left", "doc", "tag", "run", "window"])
 
-    joined = tagged.join(listed, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")))
-    # rows alike in id and text give the same tuples
-    one = joined.select("doc_id", "text", "runs")
-    return one.mapInArrow(run, "right binary, left binary, doc long, run long")
+    return texts.mapInArrow(run, "right binary, left binary, doc long, tag long, run long, window binary")
 
 
-TUPLE = np.dtype([("left", "u1", WINDOW), ("doc", "i8"), ("run", "i8"), ("low", "u1"), ("high", "u1"), ("lcp", "u1")])
+def _windows(around: DataFrame) -> DataFrame:
+    """``doc, tag, start``: windows of hot anchors that a smaller document holds."""
+    rows = around.where("window is not null").select("window", "doc", "tag", F.col("run").alias("start"))
+    least = (rows.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+             .select(F.col("window").alias("w"), "low"))
+    return rows.join(least, F.col("window") == F.col("w")).where("doc > low").select("doc", "tag", "start")
+
+
+TUPLE = np.dtype([("left", "u1", WINDOW), ("doc", "i8"), ("tag", "i8"), ("run", "i8"), ("low", "u1"), ("high", "u1"), ("lcp", "u1")])
 
 
 class Queue:
@@ -385,8 +483,8 @@ def first_order(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         right, left = _grid(batch.column(0), LENGTH), _grid(batch.column(1), WINDOW)
         rows = np.zeros(n, dtype=TUPLE)
         rows["left"] = left
-        rows["doc"], rows["run"] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        _, high, more, _ = unpack(rows["run"])
+        rows["doc"], rows["tag"], rows["run"] = (batch.column(i).to_numpy() for i in (2, 3, 4))
+        _, high, more = unpack(rows["run"])
         rows["high"], rows["low"] = high, high - more
         shifted = np.concatenate([right[:1] if previous is None else previous, right[:-1]])
         differ = shifted != right
@@ -410,36 +508,40 @@ def _shards(around: DataFrame) -> DataFrame:
         for distance in range(WINDOW):
             queue = Queue() if distance + 1 < WINDOW else None
             for rows in induce(blocks, distance, queue):
-                anchor, _, _, tag = unpack(rows["run"])
+                anchor, _, _ = unpack(rows["run"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["doc"].copy()), pa.array(tag), pa.array(anchor - distance)],
+                    [pa.array(rows["doc"].copy()), pa.array(rows["tag"].copy()), pa.array(anchor - distance)],
                     names=["doc", "tag", "start"])
             if queue is not None:
                 blocks = queue.drain()
 
-    return (around.repartition(F.substring("right", 1, K)).sortWithinPartitions("right")
+    tuples = around.where("window is null").select("right", "left", "doc", "tag", "run")
+    return (tuples.repartition(F.substring("right", 1, K)).sortWithinPartitions("right")
             .mapInArrow(run, "doc long, tag long, start long"))
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, tag, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, tag, spans array<long>``: repeated strings as ``start << 32 | length``, overlapping and unsorted."""
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    tagged = _tagged(docs, doc_id, text)
-    compared = scratch.write(_compare(_runs_of(tagged)), "compared")
-    found = scratch.write(_shards(_around(tagged, compared.where("open").select("doc", "run"))), "found")
-    anchor, left, more, tag = unpack_columns()
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "suffixes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), tag.alias("tag"), F.col(f"`{text}`").alias("text"))
+    hot = scratch.write(_hot(tagged, parts), "hot")
+    compared = scratch.write(_compare(_runs_of(tagged), hot, parts), "compared")
+    scratch.release()
+    around = scratch.write(_around(_with_text(tagged, compared.where("open"))), "around")
+    scratch.release()
+    found = scratch.write(_shards(around).unionByName(_windows(around)), "found")
+    scratch.drop("around", "hot")
+    scratch.release()
+    run = F.col("run")
+    anchor, left, more = F.shiftright(run, 12), F.shiftright(run, 6).bitwiseAND(63), run.bitwiseAND(63)
     settled = compared.where("not open").select(
-        "doc", tag.alias("tag"), (F.shiftleft(anchor - left, 32) + more + LENGTH).alias("span"))
+        "doc", "tag", (F.shiftleft(anchor - left, 32) + more + LENGTH).alias("span"))
     partial = found.select("doc", "tag", (F.shiftleft("start", 32) + LENGTH).alias("span"))
     return settled.unionByName(partial).groupBy("doc", "tag").agg(F.collect_list("span").alias("spans"))
 
 
-def unpack_columns():
-    run = F.col("run")
-    return (F.shiftright(run, 32), F.shiftright(run, 26).bitwiseAND(63), F.shiftright(run, 20).bitwiseAND(63),
-            run.bitwiseAND((1 << _TAG_BITS) - 1))
-
-
 def merged(packed: list[int] | None) -> list[tuple[int, int]]:
     """Maximal runs (start, end) of packed spans; touching ones are one run."""
     out: list[list[int]] = []
@@ -463,9 +565,9 @@ def cut(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """All columns of ``docs`` and ``_spans``."""
-    found = spans(docs, doc_id, text).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"),
-                                             F.col("spans").alias("_spans"))
-    tag = F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1 << _TAG_BITS))
+    tag = _tag(docs, doc_id, text)
+    found = spans(docs, tag, doc_id, text).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"),
+                                                  F.col("spans").alias("_spans"))
     return (docs.join(found, (F.col(f"`{doc_id}`") == F.col("_doc")) & (tag == F.col("_tag")), "left")
             .drop("_doc", "_tag"))
 

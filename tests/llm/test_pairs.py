@@ -147,6 +147,22 @@ def test_removed_bytes_equal_all_windows(spark, seed):
     assert sorted((tuple(r) for r in suffixes.report(docs).collect()), key=str) == brute_removed(rows)
 
 
+def test_hot_anchors_give_the_same_bytes(spark, monkeypatch):
+    for name, value in (("SAMPLE", 1), ("HOT_SHARE", 10**6), ("HOT_LEAST", 4)):
+        monkeypatch.setattr(suffixes, name, value)
+    rows = passages(4, 120) + [(200, "-" * 4000), (201, "x" + "-" * 300 + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in suffixes.report(docs).collect()), key=str) == brute_removed(rows)
+
+
+def test_many_texts_of_one_id(spark):
+    rng = random.Random(8)
+    own = ["".join(rng.choice("abcd ") for _ in range(150)) for _ in range(40)]
+    rows = [(7, t) for t in own] + [(9, "q" + t[20:]) for t in own] + [(9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in suffixes.report(docs).collect()), key=str) == brute_removed(rows)
+
+
 def test_removed_bytes_of_odd_rows(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     rows += [(20, "p" * 60 + rows[0][1]), (20, rows[0][1]), (21, "\x00" * 120), (22, "\x00" * 49 + "b" + "\x00" * 70)]
@@ -196,7 +212,7 @@ def test_induction_marks_equal_windows_whatever_spills(monkeypatch, rows, block)
         buffer = np.frombuffer(t, dtype=np.uint8)
         _, anchor, first, last, _, _ = suffixes.runs(buffer, np.array([0]), np.array([len(t)]))
         for a, lo, hi in zip(anchor.tolist(), first.tolist(), last.tolist(), strict=True):
-            tuples.append((t[a:hi + 50], t[lo:a][::-1], d, suffixes.pack(a, a - lo, hi - lo, 0)))
+            tuples.append((t[a:hi + 50], t[lo:a][::-1], d, 0, suffixes.pack(a, a - lo, hi - lo)))
             windows += [(t[s:s + 50], d, s) for s in range(lo, hi + 1)]
     tuples.sort()
     least = {}
@@ -205,13 +221,14 @@ def test_induction_marks_equal_windows_whatever_spills(monkeypatch, rows, block)
     want = sorted((d, s) for w, d, s in windows if least[w] < d)
     batches = [pa.RecordBatch.from_arrays(
         [pa.array([x[i] for x in tuples[k:k + 11]], type=t) for i, t in
-         enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["right", "left", "doc", "run"])
+         enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
+        names=["right", "left", "doc", "tag", "run"])
         for k in range(0, len(tuples), 11)]
     blocks, got = suffixes.first_order(iter(batches)), []
     for distance in range(suffixes.WINDOW):
         queue = suffixes.Queue(rows) if distance + 1 < suffixes.WINDOW else None
         for found in suffixes.induce(blocks, distance, queue):
-            got += [(d, r - distance) for d, r in zip(found["doc"].tolist(), (found["run"] >> 32).tolist(), strict=True)]
+            got += [(d, r - distance) for d, r in zip(found["doc"].tolist(), (found["run"] >> 12).tolist(), strict=True)]
         if queue is not None:
             blocks = queue.drain()
     assert sorted(got) == want and want
@@ -351,13 +368,21 @@ def test_large_leaves_and_many_queries_are_split(spark, monkeypatch):
     assert same >= 0.95 * 20 * len(want)
 
 
-def test_runs_of_an_anchor_need_not_meet(spark):
+@pytest.mark.parametrize(("hot", "batch"), [([], 10_000), ([], 3), ([(1, 3)], 10_000), ([(1, 2), (3, 2)], 2)])
+def test_runs_are_settled_in_a_stream(spark, hot, batch):
     """Rows of one anchor in any order and partition, a hot run among them, give the same verdicts."""
     rows = [(1, 10, 5, 100), (1, 10, 3, 101), (1, 11, 4, 102), (2, 20, 1, 103), (2, 20, 1, 104), (3, 30, 2, 105)]
     rows += [(1, 10, 9, 200 + i) for i in range(3000)] + [(4, 40, 7, 1), (4, 41, 7, 2), (1, 11, 4, 106)]
     random.Random(5).shuffle(rows)
-    met = spark.createDataFrame(rows, "h long, f long, doc long, run long").repartition(7)
-    got = sorted((r["open"], r["doc"], r["run"]) for r in suffixes._compare(met).collect())
+    met = spark.createDataFrame([(*r[:3], 0, r[3]) for r in rows], "h long, f long, doc long, tag long, run long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        split = spark.createDataFrame(hot, "hot long, salts long")
+        got = sorted((r["open"], r["doc"], r["run"]) for r in suffixes._compare(met.repartition(7), split, 8).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if (3, 2) in hot:  # a split anchor is compared even where one document holds it
+        assert got.pop(got.index((True, 2, 105)))
     want = [(False, 5, 100), (True, 3, 101), (True, 4, 102), (True, 4, 106)] + [(False, 9, 200 + i) for i in range(3000)]
     assert got == sorted(want)
 
