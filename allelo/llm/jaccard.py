@@ -14,7 +14,7 @@ with at most ``slack`` empty subsets leaves those out, which keeps the
 guarantee; others keep them.  With ``e`` empty subsets a set shares at least
 ``1 + slack - e`` signatures with a linked one; classes that share fewer are out.
 
-Copies with equal sets are one class from the start.  Signatures that two or
+Copies with equal sets are one class from the start: a task signs a class once.  Signatures that two or
 more classes share give candidates, and only connectivity is asked for:
 
 1. every class is compared with the smallest class of each signature it holds,
@@ -59,6 +59,7 @@ _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS: dict[bytes, int] = {}
 _WORDS_MOST = 200_000
+SEEN_MOST = 1_000_000  # classes that a task remembers having signed; more only cost repeated rows
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -173,43 +174,44 @@ def sketch(s: np.ndarray) -> np.ndarray:
 _LONGS = pa.list_(pa.int64())
 
 
-def _members(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """``doc_id, n, c, sketch, least`` of every document."""
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ns, cs, sketches, least = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, size)
-                ns.append(len(s))
-                cs.append(class_of(s) if len(s) else None)
-                sketches.append(sketch(s) if len(s) else np.zeros(0, dtype=np.int64))
-                least.append(signatures(s, numerator, denominator)[1] if len(s) else [0, 0])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, type=pa.int64()), pa.array(cs, type=pa.int64()), _lists(sketches),
-                 pa.array(least, type=pa.list_(pa.int32()))], names=["doc_id", "n", "c", "sketch", "least"])
-        _WORDS.clear()  # a worker serves other operators after this task
-
-    return docs.mapInArrow(run, "doc_id long, n long, c long, sketch array<long>, least array<int>")
+def _signed(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """``doc_id, t, n, c, sketch, least, sigs`` of every row of ``docs(doc_id, t, text)``, its text shingled once.
 
+    A class that a task has signed before comes without sketch and signatures again, so a
+    large group of copies has about as many signed rows as there are tasks.
+    """
+    none = np.zeros(0, dtype=np.int64)
 
-def _signed(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """``sig, c``: the signatures of every document."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 500):
-                sigs, cs = [], []
-                for text in texts[at: at + 500]:
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                ns, cs, sketches, least, sigs = [], [], [], [], []
+                for text in batch.column(2).to_pylist():
                     s = shingle_set(text, size)
-                    if len(s):
-                        sigs.append(signatures(s, numerator, denominator)[0].view(np.int64))
-                        cs.append(np.full(len(sigs[-1]), class_of(s), dtype=np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(cs))],
-                                                     names=["sig", "c"])
-        _WORDS.clear()
+                    c = class_of(s) if len(s) else None
+                    ns.append(len(s))
+                    cs.append(c)
+                    if c is None or c in seen:
+                        sketches.append(none)
+                        least.append([0, 0])
+                        sigs.append(none)
+                        continue
+                    if len(seen) >= SEEN_MOST:
+                        seen.clear()
+                    seen.add(c)
+                    sig, enough = signatures(s, numerator, denominator)
+                    sketches.append(sketch(s))
+                    least.append(enough)
+                    sigs.append(sig.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(ns, type=pa.int64()), pa.array(cs, type=pa.int64()),
+                     _lists(sketches), pa.array(least, type=pa.list_(pa.int32())), _lists(sigs)],
+                    names=["doc_id", "t", "n", "c", "sketch", "least", "sigs"])
+        _WORDS.clear()  # a worker serves other operators after this task
 
-    return docs.select("text").mapInArrow(run, "sig long, c long")
+    return docs.mapInArrow(
+        run, "doc_id long, t long, n long, c long, sketch array<long>, least array<int>, sigs array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -226,7 +228,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
             cs, items = [], []
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, size)
-                if len(s) and class_of(s) == c:  # another text under the same id is another class
+                if len(s) and class_of(s) == c:  # another text of the same hash is another class
                     cs.append(c)
                     items.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cs, type=pa.int64()), _lists(items)], names=["c", "items"])
@@ -244,16 +246,18 @@ class Join:
 
     def __init__(self, docs: DataFrame, size: int = SHINGLE, numerator: int = NUMERATOR,
                  denominator: int = DENOMINATOR, doc_id: str = "doc_id", text: str = "text"):
-        self.docs = narrow(docs, doc_id=doc_id, text=text)
+        self.docs = narrow(docs, doc_id=doc_id, text=text).select("doc_id", F.xxhash64("text").alias("t"), "text")
         self.size, self.num, self.den = size, numerator, denominator
         self.scratch = Scratch(docs.sparkSession, "jaccard")
 
     def classes(self) -> DataFrame:
         """``doc_id, n, c, component``: the class of every document, and the component's smallest doc_id."""
         scratch = self.scratch
-        every = scratch.write(_members(self.docs, self.size, self.num, self.den), "members")
+        signed = scratch.write(_signed(self.docs, self.size, self.num, self.den), "signed")
+        every = scratch.write(signed.drop("sigs"), "members")
         members = every.select("doc_id", "n", "c")
-        held = scratch.write(self.held(_signed(self.docs, self.size, self.num, self.den)), "held")
+        held = scratch.write(self.held(signed.select(F.explode("sigs").alias("sig"), "c")), "held")
+        scratch.drop("signed")
         scratch.release()
         shared = scratch.write(self.shared(held, every), "shared")
         about = scratch.write(self.about(every, shared), "about")
@@ -283,18 +287,19 @@ class Join:
                 .where("low < high").select("sig", "c", "low"))
 
     def about(self, every: DataFrame, shared: DataFrame) -> DataFrame:
-        """``c, n, doc_id, s0..``: a document and the sketch of every class with candidates."""
+        """``c, n, doc_id, t, s0..``: a document, its text's hash and the sketch of every class with candidates."""
         wanted = shared.select("c").distinct()
-        one = every.join(wanted, "c", "left_semi").groupBy("c").agg(
-            F.min_by(F.struct("doc_id", "n", "sketch"), F.coalesce(F.col("doc_id"), F.lit(1 << 62))).alias("x"))
-        return one.select("c", "x.n", "x.doc_id", *[F.col("x.sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+        one = every.where(F.size("sketch") > 0).join(wanted, "c", "left_semi").groupBy("c").agg(
+            F.min_by(F.struct("doc_id", "t", "n", "sketch"), F.coalesce(F.col("doc_id"), F.lit(1 << 62))).alias("x"))
+        return one.select("c", "x.n", "x.doc_id", "x.t", *[F.col("x.sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
 
     def sets(self, about: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """``c, items`` of the classes in ``pairs``, from one document's text each."""
         wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-        ids = self.scratch.write(about.join(wanted, "c", "left_semi").select("c", F.col("doc_id").alias("id")),
-                                 f"ids{name}")
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("c", "text")
+        ids = self.scratch.write(about.join(wanted, "c", "left_semi").select(
+            "c", F.col("doc_id").alias("id"), F.col("t").alias("hash")), f"ids{name}")
+        # the hash tells texts of one id, or of none, apart
+        texts = self.docs.join(ids, (F.col("t") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("c", "text")
         return _sets(texts, self.size).dropDuplicates(["c"])
 
     def near(self, left: str, right: str, words: list[str]) -> Column:
@@ -333,7 +338,7 @@ class Join:
 
     def verified(self, pairs: DataFrame, about: DataFrame, name: str) -> DataFrame:
         """The pairs ``a, b`` that link: the sketches first, then the whole sets."""
-        facts = about.drop("doc_id")
+        facts = about.drop("doc_id", "t")
         close = (pairs.join(facts.withColumnRenamed("c", "a").alias("x"), "a")
                  .join(facts.withColumnRenamed("c", "b").alias("y"), "b").where(self.near("x", "y", [f"s{i}" for i in range(SKETCH)]))
                  .select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")))

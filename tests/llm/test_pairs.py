@@ -122,6 +122,26 @@ def brute_removed(rows):
     return sorted(out, key=str)
 
 
+def test_copies_and_null_ids_at_scale(spark):
+    """A large group of exact copies over many tasks, near copies of it, and many texts without an id."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    base = [rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) + str(rng.randrange(50)) for _ in range(120)]
+    near = base[:60] + ["changed"] + base[61:]
+    copies = spark.range(0, 20_000, 1, 16).select(F.col("id").alias("doc_id"), F.lit(" ".join(base)).alias("text"))
+    other = [(50_000, " ".join(near)), (50_001, " ".join(rng.sample(base, 120)))]
+    other += [(None, " ".join(rng.choice(base) + str(k % 7) for _ in range(40))) for k in range(300)]
+    other += [(None, " ".join(near)), (None, None), (7, " ".join(near[1:]))]
+    docs = copies.unionByName(spark.createDataFrame(other, "doc_id long, text string"))
+    rows = jaccard.join(docs).collect()
+    assert len(rows) == 20_000 + len(other)
+    assert {r["component"] for r in rows if r["n"] and r["doc_id"] is not None and r["doc_id"] != 50_001} == {0}
+    assert [r["component"] for r in rows if r["doc_id"] == 50_001] == [50_001]
+    unnamed = [r for r in rows if r["doc_id"] is None]
+    assert len(unnamed) == 302 and sum(r["component"] == 0 for r in unnamed) == 1
+
+
 def passages(seed, n):
     """Documents sharing passages around 50 bytes long, with hot passages, runs of one letter and periods."""
     rng = random.Random(seed)
