@@ -38,16 +38,16 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from allelo.llm.common import arrow_map, narrow
+from allelo.llm.common import arrow_map, ids_by_number, narrow
 
 #: bytes up to which a word is merged in the rank array
 SHORT = 64
 #: words and pieces a worker keeps
 CACHE_WORDS = 400_000
 #: characters worked on together and of a segment, ids decoded together
-GROUP, SEGMENT, RUN = 2 << 20, 1 << 20, 1 << 20
+GROUP, SEGMENT, RUN = 4 << 20, 1 << 20, 1 << 20
 #: rows that a task handles at once
-ROWS = 500
+ROWS = 1500
 
 #: fixed value: the pattern of byte-level pre-tokenizers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -256,18 +256,15 @@ class Codec:
         """
         planned = [s for text in group for s in text if not isinstance(s, bytes)]
         split = pc.split_pattern(pa.array([rest for _, rest in planned], type=pa.large_string()), " ")
-        pieces = pc.list_flatten(split).dictionary_encode()
-        distinct, number = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-        self.learn({w for words, _ in planned for w in words}, {p for p in distinct if p not in self.pieces})
-        word = self.words.__getitem__
-        held = list(map(self.pieces.__getitem__, distinct))
-        sizes = np.array(list(map(len, held)), dtype=np.int64) // 4
-        ids, first = np.frombuffer(b"".join(held), dtype="<u4"), np.cumsum(sizes) - sizes
-        sizes = sizes[number]
-        ends = np.cumsum(sizes)
-        raw = ids[np.repeat(first[number] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        cuts = np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
-        spans = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        distinct, held = [], []
+
+        def lookup(pieces: list[str]) -> list[bytes]:
+            self.learn({w for words, _ in planned for w in words}, {p for p in pieces if p not in self.pieces})
+            distinct[:], held[:] = pieces, map(self.pieces.__getitem__, pieces)
+            return held
+
+        raw, cuts = ids_by_number(split, lookup)
+        word, spans = self.words.__getitem__, iter(itertools.pairwise(cuts))
         for text in group:
             parts = []
             for s in text:

@@ -66,6 +66,26 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return simple[type(kind)]
 
 
+def ids_by_number(words: pa.Array, lookup: Callable[[list[str]], list[bytes]]) -> tuple[bytes, list[int]]:
+    """Ids of the words of all lists, one after the other, and where each list starts and the last ends, in bytes.
+
+    Arrow numbers the words, ``lookup`` gives the ids (little-endian, 32 bits) of each distinct
+    one, and these are gathered by number: repeated words cost no lookups.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    encoded = pc.list_flatten(words).dictionary_encode()
+    number, held = encoded.indices.to_numpy(), lookup(encoded.dictionary.to_pylist())
+    sizes = np.array(list(map(len, held)), dtype=np.int64) // 4
+    ids, first = np.frombuffer(b"".join(held), dtype="<u4"), np.cumsum(sizes) - sizes
+    sizes = sizes[number]
+    ends = np.cumsum(sizes)
+    raw = ids[np.repeat(first[number] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    offsets = words.offsets.to_numpy()
+    return raw, (4 * np.r_[0, ends][offsets - offsets[0]]).tolist()
+
+
 class Scratch:
     """Parquet tables below ``spark.checkpoint.dir``: the lineage cuts of one operator run.
 

@@ -34,16 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelo.llm.common import Scratch, arrow_map, narrow
+from allelo.llm.common import Scratch, arrow_map, ids_by_number, narrow
 
 CAPACITY = 2048
 END_ID = 0
 RANGE_ROWS = 100_000
 CACHE_WORDS = 600_000
-GROUP_WORDS = 200_000
+GROUP = 12 << 20  # characters whose words are looked up together
 
 # white space of the tokenizer and of str.split() differ in these; from U+0300 on normal forms matter
 _ODD = re.compile("[\x1c-\x1fİ̀-\U0010ffff]")
@@ -77,7 +78,7 @@ class WordCache:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}  # white space at a text's ends leaves empty words
         # lower-case words of letters need no normaliser and no splitting pattern, only the bytes' characters
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -88,10 +89,8 @@ class WordCache:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Add words to the cache; beyond its bound the older half goes first."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2, None))
-        letters, tailed = set(), []
+        """Add words to the cache."""
+        letters, tailed, other = set(), [], []
         for word in words:
             if word.isalpha():
                 letters.add(word)
@@ -99,7 +98,9 @@ class WordCache:
                 tailed.append((word, core, word[len(core):]))
                 letters.add(core)
             else:
-                self.known[word] = self.encode(word)
+                other.append(word)
+        for word, coded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(coded.ids, dtype="<u4").tobytes()
         fresh = [w for w in letters if w not in self.known]
         ids = self.run_of(fresh)
         ends, raw, at = 4 * (np.flatnonzero(self.ends[ids]) + 1), ids.tobytes(), 0
@@ -121,25 +122,33 @@ class WordCache:
         return np.array(ids, dtype="<u4")
 
     def many(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of every text; the new words of about ``GROUP_WORDS`` words are learned together."""
+        """Ids of every text; the words of about ``GROUP`` characters are looked up together, each once."""
         group, size = [], 0
         for text in texts:
-            words = None if odd(text) else text.lower().split()
-            group.append((text, words, list(map(self.known.get, words or ()))))
-            size += len(words or ())
-            if size >= GROUP_WORDS:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
                 yield from self.of(group)
                 group, size = [], 0
         yield from self.of(group)
 
-    def of(self, group: list[tuple[str, list[str] | None, list[bytes | None]]]) -> Iterator[bytes]:
-        gaps = [[i for i, ids in enumerate(found) if ids is None] for _, _, found in group]
-        if fresh := {words[i] for (_, words, _), missing in zip(group, gaps, strict=True) for i in missing}:
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [not odd(text) for text in texts]
+        lowered = [text.lower() for text, p in zip(texts, plain, strict=True) if p]
+        raw, cuts = ids_by_number(pc.utf8_split_whitespace(pa.array(lowered, type=pa.large_string())), self.ids_of)
+        spans = itertools.pairwise(cuts)
+        for text, p in zip(texts, plain, strict=True):
+            a, b = next(spans) if p else (0, 0)
+            yield raw[a:b] if p else self.encode(text)
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; beyond the cache's bound only these stay, with them all that is frequent."""
+        if fresh := {w for w in words if w not in self.known}:
             self.learn(fresh)
-        for (text, words, found), missing in zip(group, gaps, strict=True):
-            for i in missing:
-                found[i] = self.known[words[i]]
-            yield self.encode(text) if words is None else b"".join(found)
+        held = list(map(self.known.__getitem__, words))
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""} | dict(zip(words, held, strict=True))
+        return held
 
 
 def _worker(path: str) -> WordCache:

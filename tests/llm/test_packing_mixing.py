@@ -52,7 +52,7 @@ def test_word_cache_equals_the_tokenizer(words):
 
 def test_word_cache_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 5)
-    monkeypatch.setattr(packing, "GROUP_WORDS", 3)
+    monkeypatch.setattr(packing, "GROUP", 20)
     cache = packing.WordCache(PATH)
     texts = ["the cat, sat on", "the mat and the hat", "a cat a mat! the", "the the the"] * 3
     plain = [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
