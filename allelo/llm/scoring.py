@@ -6,7 +6,7 @@ mean difference of their losses per token: positive scores read like the target.
 
 The shared vocabulary is every word that all documents hold ``LEAST`` times or
 more, so it grows with the corpus; rarer words are one unknown word.  Every
-bigram counts.  Words go by 64-bit ids, and the vocabulary's ids travel with the
+bigram counts.  Words are told apart by 64-bit hashes; those of the vocabulary travel with the
 tasks, 8 bytes a word.  The ``HOT`` most frequent words (ties: the smaller word)
 and the unknown word only decide where counting is done:
 
@@ -18,7 +18,10 @@ and the unknown word only decide where counting is done:
    so it counts them and scores the entries at once; sums go back by document.
    A cold word is rarer than the ``HOT`` most frequent, so no bucket is hot.
 
-Entries travel as packed blocks of many.  There are as many buckets as the
+A cold word goes by its place among the sorted hashes of the vocabulary, 32 bits; buckets are
+ranges of places.  Entries travel as packed blocks of many, in the order of their documents, so
+that what repeats within a document costs little; sums go back in blocks too, as whole multiples of
+``2 ** -SUM_BITS``, so that their order does not matter.  There are as many buckets as the
 corpus's tokens need.  A caller may cut the vocabulary to ``size`` words; then
 nothing is dealt.
 
@@ -50,6 +53,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +66,13 @@ BROADCAST_IDS = 5_000_000  # labelled ids sent to every executor at most; none i
 MASS = 8.0
 START, UNKNOWN = 0, 1  # ids before the words': what stands before a document, and every other word
 FLUSH_WORDS = 300_000  # distinct words that a counting task holds at most
-GROUP_TOKENS = 200_000  # tokens that are handled at a time
+GROUP_BYTES = 2 << 20  # text that is handled at a time
 FLUSH_ENTRIES = 1_000_000  # entries that a dealing task holds at most
 BUCKET_TOKENS = 250_000  # tokens of the corpus for each bucket
-COLD = 1 << 62  # ids from here on are cold words'
 AFTER = 1 << 12  # an entry's other word is the hot word after its cold word; else the word before it
+COLD = 1 << 13  # ids from here on are cold words', by their place in the vocabulary
+SUM_BITS = 24
+ROW_BITS = 40  # bits of a document's number within its task
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -95,8 +101,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def cold_id(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") % COLD | COLD
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1
 
 
 def vocabulary(texts: DataFrame, size: int | None, hot: int, least: int) -> tuple[list[bytes], np.ndarray]:
@@ -111,7 +117,7 @@ def vocabulary(texts: DataFrame, size: int | None, hot: int, least: int) -> tupl
     def run(batches) -> Iterator[pa.RecordBatch]:
         skip = set(first)
         for batch in batches:
-            ids = [cold_id(w) for w in batch.column(0).to_pylist() if w not in skip]
+            ids = [word_hash(w) for w in batch.column(0).to_pylist() if w not in skip]
             yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64())], names=["id"])
 
     ids = counts.select("word").mapInArrow(run, "id long").toArrow().column("id").to_numpy()
@@ -129,12 +135,12 @@ class Ids(dict):
     def __missing__(self, word: bytes) -> int:
         if not len(self.known):
             return UNKNOWN
-        h = cold_id(word)
+        h = word_hash(word)
         at = int(self.known.searchsorted(h))
-        h = h if at < len(self.known) and self.known[at] == h else UNKNOWN
+        found = COLD + at if at < len(self.known) and self.known[at] == h else UNKNOWN
         if len(self) < self.most:
-            self[word] = h
-        return h
+            self[word] = found
+        return found
 
 
 class Counts:
@@ -156,9 +162,29 @@ def previous(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([[START], ids[:-1]])
 
 
-def encode(text: str | None, index: Ids) -> np.ndarray:
-    """Ids of the text's words."""
-    return np.array([index[w] for w in words(text)], dtype=np.int64)
+_BLANKS = bytes(32 if chr(c).isspace() and c < 128 and c not in (28, 29, 30, 31) else x for c, x in enumerate(_LOWER))
+
+
+def encode(texts: list[str | None], index: Ids) -> list[np.ndarray]:
+    """Ids of every text's words; Arrow numbers the words, so each distinct one is looked up once."""
+    raw = [(t or "").encode("utf-8", "replace").translate(_BLANKS) for t in texts]
+    split = pc.split_pattern(pa.array(raw, type=pa.large_binary()), " ")
+    encoded = pc.list_flatten(split).dictionary_encode()
+    known = np.array([index[w] if w else -1 for w in encoded.dictionary.to_pylist()], dtype=np.int64)
+    ids = known[encoded.indices.to_numpy()] if len(known) else np.zeros(0, dtype=np.int64)
+    real = ids >= 0  # blanks in a row leave empty words
+    offsets = split.offsets.to_numpy()
+    return np.split(ids[real], np.r_[0, np.cumsum(real)][offsets[1:-1] - offsets[0]])
+
+
+def groups_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``GROUP_BYTES`` of text in the first column that holds text."""
+    text = next(c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type))
+    sizes = np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(float))
+    part = np.cumsum(sizes) // GROUP_BYTES
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(int(a), int(b - a))
 
 
 def gather(texts: DataFrame, vocab: list[bytes], known: np.ndarray) -> DataFrame:
@@ -169,12 +195,13 @@ def gather(texts: DataFrame, vocab: list[bytes], known: np.ndarray) -> DataFrame
         index, cold = Ids({w: i + 2 for i, w in enumerate(vocab)}, shared.value), len(vocab) + 2
         every, target = Counts(cold + 1), Counts(cold + 1)
         for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.minimum(encode(text, index), cold)
-                if len(ids):
-                    every.add(ids)
-                    if good:
-                        target.add(ids)
+            for group in groups_of(batch):
+                for ids, good in zip(encode(group.column(0).to_pylist(), index), group.column(1).to_pylist(), strict=True):
+                    if len(ids):
+                        ids = np.minimum(ids, cold)
+                        every.add(ids)
+                        if good:
+                            target.add(ids)
         for kind, name in enumerate(("words", "contexts", "pairs")):
             a, b = getattr(every, name), getattr(target, name)
             at = np.flatnonzero(a)
@@ -253,32 +280,38 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-ENTRY = [("word", "i8"), ("other", "i8"), ("uid", "i8"), ("n", "i4"), ("k", "i4"), ("kw", "i4"), ("flags", "u1")]
+ENTRY = [("uid", "u4"), ("word", "u4"), ("other", "u4"), ("n", "u4"), ("k", "u4"), ("kw", "u4"), ("flags", "u1")]
+SUM = [("uid", "u4"), ("target", "i8"), ("background", "i8")]
 GOOD, LAST = 1, 2  # flags: the target counted the document; the cold word is its last
 
 
-def packed(columns: list[np.ndarray]) -> bytes:
-    """Entries in one block: each column's bytes by their place in the number, compressed."""
+def packed(columns: list[np.ndarray], kinds: list[tuple]) -> bytes:
+    """Rows sorted by their first column in one block: each column's bytes by their place in the number, compressed.
+
+    The first column is stored as steps from row to row.
+    """
+    columns = [np.diff(columns[0], prepend=0), *columns[1:]]
     raw = b"".join(np.ascontiguousarray(c, dtype=t).view("u1").reshape(len(c), -1).T.tobytes()
-                   for c, (_, t) in zip(columns, ENTRY, strict=True))
+                   for c, (_, t) in zip(columns, kinds, strict=True))
     return pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, rows: int) -> list[np.ndarray]:
-    widths = [np.dtype(t).itemsize for _, t in ENTRY]
+def unpacked(data: bytes, rows: int, kinds: list[tuple]) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for _, t in kinds]
     raw = np.frombuffer(pa.decompress(data, rows * sum(widths), codec="zstd", asbytes=True), dtype="u1")
     out, at = [], 0
-    for width, (_, t) in zip(widths, ENTRY, strict=True):
-        out.append(np.ascontiguousarray(raw[at: at + rows * width].reshape(width, rows).T).view(t).ravel())
+    for width, (_, t) in zip(widths, kinds, strict=True):
+        column = np.ascontiguousarray(raw[at: at + rows * width].reshape(width, rows).T).view(t).ravel()
+        out.append(column.astype(np.int64))
         at += rows * width
-    return out
+    return [np.cumsum(out[0]), *out[1:]]
 
 
 def of_group(m: Models, docs: list[tuple[int, np.ndarray, bool]]):
     """(target, background) sums of the hot part of each document, and the entries of the rest."""
     n = np.array([len(ids) for _, ids, _ in docs])
     if not n.sum():
-        return np.zeros((2, len(docs))), [np.zeros(0, dtype=t) for _, t in ENTRY]
+        return np.zeros((2, len(docs))), [np.zeros(0, dtype=np.int64) for _ in ENTRY]
     uid, good = np.array([u for u, _, _ in docs]), np.array([g for _, _, g in docs]).astype(np.int64)
     word = np.concatenate([ids for _, ids, _ in docs])
     before = np.concatenate([previous(ids) if len(ids) else ids for _, ids, _ in docs])
@@ -312,14 +345,14 @@ def of_group(m: Models, docs: list[tuple[int, np.ndarray, bool]]):
     after = w < COLD  # the hot word after a cold one; else the cold word after any
     key = np.where(after, v, w)
     flags = good[at] * GOOD + (ends[at] == key) * LAST
-    return sums, [c[~hot] for c in (key, np.where(after, w + AFTER, v), uid[at], n[at], k, kw, flags)]
+    return sums, [c[~hot] for c in (uid[at], key, np.where(after, w + AFTER, v), n[at], k, kw, flags)]
 
 
-def of_bucket(m: Models, word, other, uid, n, k, kw, flags) -> tuple[np.ndarray, np.ndarray]:
+def of_bucket(m: Models, uid, word, other, n, k, kw, flags) -> tuple[np.ndarray, np.ndarray]:
     """(document, (target, background) sums) of a bucket that holds every entry of its words."""
     order, pair = groups(word, other)
     word, other, uid, n, k, kw, flags = (c[order] for c in (word, other, uid, n, k, kw, flags))
-    n, k, kw, good = n.astype(np.int64), k.astype(np.int64), kw.astype(np.int64), (flags & GOOD).astype(np.int64)
+    good = flags & GOOD
     cold = np.cumsum(np.concatenate([[False], word[1:] != word[:-1]]))
     after = (other >= AFTER) & (other < COLD)
     total = lambda at, x: np.bincount(at, x).astype(np.int64)  # noqa: E731  counts are whole and below 2 ** 53
@@ -342,7 +375,30 @@ def of_bucket(m: Models, word, other, uid, n, k, kw, flags) -> tuple[np.ndarray,
     return docs, np.stack([np.bincount(at, x, minlength=len(docs)) for x in both])
 
 
-DEALT = ["bucket int, rows int, data binary", "uid long, doc_id long, n_tokens long, target double, background double"]
+BLOCKS = "bucket int, part long, rows int, data binary, uid long, doc_id long, n_tokens long, target long, background long"
+_NAMES = [c.strip().split()[0] for c in BLOCKS.split(",")]
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 5]
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """A batch of ``BLOCKS`` with nulls in the columns that are not given."""
+    return pa.RecordBatch.from_arrays(
+        [columns[c].cast(t) if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], type=t) if c in columns
+         else pa.nulls(n, t) for c, t in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
+
+
+def _fixed(sums: np.ndarray) -> np.ndarray:
+    """Sums as whole multiples of ``2 ** -SUM_BITS``."""
+    return np.rint(sums * (1 << SUM_BITS)).astype(np.int64)
+
+
+def _blocks(columns: list[np.ndarray], by: np.ndarray, kinds: list[tuple]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(first place, end, value of ``by``, data) of the rows of each value, sorted by their first column."""
+    order = np.lexsort((columns[0], by))
+    columns, by = [c[order] for c in columns], by[order]
+    first = np.flatnonzero(np.diff(by, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)], strict=True):
+        yield a, b, int(by[a]), packed([c[a:b] for c in columns], kinds)
 
 
 def score(texts: DataFrame, models: Models, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -350,80 +406,97 @@ def score(texts: DataFrame, models: Models, bucket_tokens: int = BUCKET_TOKENS)
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(models)  # the hot words' counts and 8 bytes a word
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), models.n // (4 * bucket_tokens) + 1)
-    buckets = 4 * parts
+    buckets, cold_words = 4 * parts, max(len(models.known), 1)
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
         """A row for each document, and blocks of entries by bucket."""
-        m, row, held, entries = shared.value, TaskContext.get().partitionId() << 40, [], 0
+        m, part, row, held, entries = shared.value, TaskContext.get().partitionId(), 0, [], 0
         index = Ids(m.index, m.known)
-        for batch in batches:
-            group, size, start = [], 0, 0
-            bodies, goods = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, (body, good) in enumerate(zip(bodies, goods, strict=True)):
-                group.append((row, encode(body, index), good))
-                row, size = row + 1, size + len(group[-1][1])
-                if size >= GROUP_TOKENS or i + 1 == len(bodies):
-                    sums, more = of_group(m, group)
-                    yield documents(batch.column(0).slice(start, len(group)), group, sums)
-                    held.append(more)
-                    entries += len(more[0])
-                    group, size, start = [], 0, i + 1
-                    if entries >= FLUSH_ENTRIES:
-                        yield from blocks(held)
-                        held, entries = [], 0
+        for whole in batches:
+            for batch in groups_of(whole):
+                group = [(row + i, ids, good) for i, (ids, good) in enumerate(zip(
+                    encode(batch.column(1).to_pylist(), index), batch.column(2).to_pylist(), strict=True))]
+                row += len(group)
+                sums, more = of_group(m, group)
+                fixed = _fixed(sums)
+                yield _rows(len(group), bucket=[g[0] % buckets for g in group], part=[part] * len(group),
+                            uid=[g[0] for g in group], doc_id=batch.column(0), n_tokens=[len(g[1]) for g in group],
+                            target=fixed[0], background=fixed[1])
+                held.append(more)
+                entries += len(more[0])
+                if entries >= FLUSH_ENTRIES:
+                    yield entries_of(held, part)
+                    held, entries = [], 0
         if entries:
-            yield from blocks(held)
+            yield entries_of(held, part)
 
-    def documents(keys: pa.Array, group: list, sums: np.ndarray) -> pa.RecordBatch:
-        uid = np.array([u for u, _, _ in group])
-        nulls = [pa.nulls(len(group), t) for t in (pa.int32(), pa.binary())]
-        return pa.RecordBatch.from_arrays(
-            [pa.array((uid % buckets).astype(np.int32)), *nulls, pa.array(uid), keys,
-             pa.array([len(ids) for _, ids, _ in group], type=pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
-            names=["bucket", "rows", "data", "uid", "doc_id", "n_tokens", "target", "background"])
-
-    def blocks(held: list) -> Iterator[pa.RecordBatch]:
+    def entries_of(held: list, part: int) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        bucket = columns[0] % buckets
-        order = np.argsort(bucket, kind="stable")
-        columns, bucket = [c[order] for c in columns], bucket[order]
-        first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = np.append(first[1:], len(bucket))
-        data = [packed([c[a:b] for c in columns]) for a, b in zip(first, ends, strict=True)]
-        nulls = [pa.nulls(len(first), t) for t in (pa.int64(),) * 3 + (pa.float64(),) * 2]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[first].astype(np.int32)), pa.array((ends - first).astype(np.int32)),
-             pa.array(data, type=pa.binary()), *nulls],
-            names=["bucket", "rows", "data", "uid", "doc_id", "n_tokens", "target", "background"])
+        out = list(_blocks(columns, (columns[1] - COLD) * buckets // cold_words, ENTRY))
+        return _rows(len(out), bucket=[x[2] for x in out], part=[part] * len(out), rows=[x[1] - x[0] for x in out],
+                     data=[x[3] for x in out])
 
     def settle(batches) -> Iterator[pa.RecordBatch]:
-        """Rows of documents as they are, and the sums of each bucket's entries."""
+        """Rows of documents as they are, and blocks of the sums of each bucket's entries by their documents' task."""
         m, held, at = shared.value, [], None
         for batch in batches:
-            plain = batch.filter(batch.column(2).is_null())
+            plain = batch.filter(batch.column("data").is_null())
             if plain.num_rows:
-                yield plain.select(["uid", "doc_id", "n_tokens", "target", "background"])
-            full = batch.filter(batch.column(2).is_valid())
-            for bucket, rows, data in zip(*[full.column(i).to_pylist() for i in range(3)], strict=True):
+                yield plain
+            full = batch.filter(batch.column("data").is_valid())
+            for bucket, part, rows, data in zip(*[full.column(i).to_pylist() for i in range(4)], strict=True):
                 if held and bucket != at:
                     yield sums_of(m, held)
                     held = []
                 at = bucket
-                held.append((data, rows))
+                uid, *rest = unpacked(data, rows, ENTRY)
+                held.append([(part << ROW_BITS) + uid, *rest])
         if held:
             yield sums_of(m, held)
 
     def sums_of(m: Models, held: list) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*[unpacked(*x) for x in held], strict=True)]
-        docs, (target, background) = of_bucket(m, *columns)
-        nulls = [pa.nulls(len(docs), pa.int64())] * 2
-        return pa.RecordBatch.from_arrays([pa.array(docs), *nulls, pa.array(target), pa.array(background)],
-                                          names=["uid", "doc_id", "n_tokens", "target", "background"])
-
-    dealt = texts.select("doc_id", "text", "target").mapInArrow(deal, ", ".join(DEALT))
-    sums = (dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, DEALT[1])
-            .groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-                                F.sum("target").alias("target"), F.sum("background").alias("background")))
+        docs, sums = of_bucket(m, *[np.concatenate(c) for c in zip(*held, strict=True)])
+        part, row = docs >> ROW_BITS, docs & (1 << ROW_BITS) - 1
+        out = list(_blocks([row, *_fixed(sums)], part, SUM))
+        return _rows(len(out), part=[x[2] for x in out], rows=[x[1] - x[0] for x in out], data=[x[3] for x in out])
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        """The documents of each dealing task with all their sums."""
+        at, rows, blocks = None, [], []
+        for batch in batches:
+            ends = np.flatnonzero(np.diff(batch.column("part").to_numpy())) + 1
+            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+                one = batch.slice(a, b - a)
+                if not one.num_rows:
+                    continue
+                if at is not None and one.column("part")[0].as_py() != at:
+                    yield total(rows, blocks)
+                    rows, blocks = [], []
+                at = one.column("part")[0].as_py()
+                rows.append(one.filter(one.column("data").is_null()).select(_NAMES[4:]))
+                full = one.filter(one.column("data").is_valid())
+                blocks += zip(full.column("data").to_pylist(), full.column("rows").to_pylist(), strict=True)
+        if at is not None:
+            yield total(rows, blocks)
+
+    def total(rows: list, blocks: list) -> pa.RecordBatch:
+        docs = pa.Table.from_batches(rows).combine_chunks()
+        uid = docs["uid"].to_numpy()
+        place = np.zeros(int(uid.max(initial=-1)) + 1, dtype=np.int64)
+        place[uid] = np.arange(len(uid))
+        sums = [docs[c].to_numpy().copy() for c in ("target", "background")]
+        for data, n in blocks:
+            row, *more = unpacked(data, n, SUM)
+            for s, x in zip(sums, more, strict=True):
+                s[place[row]] += x  # a document stands once in a block
+        return pa.RecordBatch.from_arrays(
+            [docs["doc_id"].combine_chunks(), docs["n_tokens"].combine_chunks(),
+             *[pa.array(s / (1 << SUM_BITS)) for s in sums]], names=["doc_id", "n_tokens", "target", "background"])
+
+    dealt = texts.select("doc_id", "text", "target").mapInArrow(deal, BLOCKS)
+    settled = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, BLOCKS)
+    sums = settled.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+        add, "doc_id long, n_tokens long, target double, background double")
     loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
     return sums.select("doc_id", "n_tokens", loss("target").alias("target_loss"),
                        loss("background").alias("background_loss")).withColumn(
