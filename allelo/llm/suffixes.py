@@ -25,7 +25,8 @@ that is the same wherever a window occurs:
    needed.  The queue keeps ``QUEUE_ROWS`` tuples in memory, so a shard may be
    far larger than memory.
 
-Anchors that would fill a good part of a task (more than one in ``HOT_SHARE`` rows of a
+A task settles what it can before the exchange, so a large group of copies sends its anchors
+about one row a task.  Anchors that would fill a good part of a task (more than one in ``HOT_SHARE`` rows of a
 partition's share, by a first pass over one in ``SAMPLE`` documents) are split: in step 2
 by the run's hash, and in step 3 their windows are dealt one by one, by 128-bit hashes,
 and meet in an aggregate that combines in each task.  Which way an anchor goes changes
@@ -55,6 +56,7 @@ WINDOW = LENGTH - K + 1  # anchors a window can choose from; also the inductions
 PIECE = 1 << 19  # bytes handled at a time
 QUEUE_ROWS = 400_000
 BLOCK_ROWS = 100_000
+RUNS_AT_ONCE = 500_000  # runs of a task among which repeats are settled before they are dealt
 #: documents of which one shows which anchors are hot; rows of a partition of which more than one makes it so
 SAMPLE, HOT_SHARE, HOT_LEAST = 32, 8, 8
 
@@ -179,20 +181,44 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _repeated(h: np.ndarray, f: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True for the runs of which these rows hold one of a smaller document."""
+    order = np.lexsort((doc, f, h))
+    h, f, doc = h[order], f[order], doc[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (f[1:] != f[:-1])]
+    least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = doc > least
+    return out
+
+
 def _runs_of(tagged: DataFrame) -> DataFrame:
-    """``h, f, doc, tag, run`` of every run of windows."""
+    """``h, f, doc, tag, run, done`` of every run of windows; ``done``: a smaller document of the same batch has it."""
+    names = ["h", "f", "doc", "tag", "run", "done"]
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held, size = [], 0
             for buffer, owner, offset, starts, ends in pieces_of(_raw(batch.column(2))):
                 piece, anchor, first, last, h, f = runs(buffer, starts, ends)
                 who = owner[piece]
                 place = anchor - starts[piece] + offset[piece]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(docs[who]), pa.array(tags[who]),
-                     pa.array(pack(place, anchor - first, last - first))], names=["h", "f", "doc", "tag", "run"])
+                held.append((h.view(np.int64), f.view(np.int64), docs[who], tags[who],
+                             pack(place, anchor - first, last - first)))
+                size += len(h)
+                if size >= RUNS_AT_ONCE:
+                    yield settled_here(held)
+                    held, size = [], 0
+            if held:
+                yield settled_here(held)
+
+    def settled_here(held) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(_repeated(*columns[:3]))], names=names)
 
-    return tagged.where("doc_id is not null").mapInArrow(run, "h long, f long, doc long, tag long, run long")
+    return tagged.where("doc_id is not null").mapInArrow(
+        run, "h long, f long, doc long, tag long, run long, done boolean")
 
 
 def _hot(tagged: DataFrame, parts: int) -> DataFrame:
@@ -237,7 +263,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if same:
             low[0], high[0] = min(low[0], at.low), max(high[0], at.high)
         group = np.cumsum(new_anchor) - 1
-        repeat = doc > least[np.cumsum(new_class) - 1]
+        repeat = (doc > least[np.cumsum(new_class) - 1]) | (salt < 0)
         several = (low < high)[group] | (salt > 0)  # the parts of a split anchor cannot tell: all is compared
         out = repeat | several
         rest = batch.select(["doc", "tag", "run"])
@@ -265,9 +291,12 @@ def _compare(found: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
     Settled: a smaller document has the same run.  To compare: the smallest
     document's occurrences of every run, where an anchor has several runs and documents.
     """
-    salt = F.when(F.col("hot").isNotNull(), 1 + F.pmod(F.col("f"), F.col("salts"))).otherwise(F.lit(0))
+    salt = (F.when(F.col("done"), F.lit(-1)).when(F.col("hot").isNotNull(), 1 + F.pmod(F.col("f"), F.col("salts")))
+            .otherwise(F.lit(0)))
+    # repeats that a task has settled itself need not meet their anchor: they are spread
+    anywhere = F.when(F.col("done"), F.xxhash64("doc", "run")).otherwise(F.col("h"))
     dealt = (found.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")  # HOT_SHARE rows a partition at most
-             .select(salt.cast("int").alias("salt"), "h", "f", "doc", "tag", "run"))
+             .select(salt.cast("int").alias("salt"), anywhere.alias("h"), "f", "doc", "tag", "run"))
     return (dealt.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "f", "doc")
             .mapInArrow(_settle, "open boolean, hot boolean, doc long, tag long, run long"))
 
