@@ -14,7 +14,7 @@ from allelo.session import checkpoint_dir, scratch_path
 
 #: rows of one output Arrow batch; bounds what a task holds besides its input batch
 OUT_ROWS = 20_000
-MAX_GROUPS = 1000
+FEW_GROUPS = 1000
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
@@ -126,19 +126,21 @@ def bounded_sample(df: DataFrame, group: str, key: str, most: int, seed: int = 7
     """At most ``most`` rows of each group, with the smallest seeded hashes of ``key``.
 
     Groups are counted first and rows beyond a hash threshold, set for somewhat
-    more than ``most`` rows, dropped in the scan: what meets to be ranked is in
-    proportion to ``most``, however large a group is.  Groups are few (``MAX_GROUPS``).
+    more than ``most`` rows, dropped before rows meet to be ranked: what meets is in
+    proportion to ``most``, however large a group is.  The thresholds of up to
+    ``FEW_GROUPS`` large groups go into the scan; those of more are joined.
     """
     from pyspark.sql import Window
 
-    counts = df.groupBy(group).count().limit(MAX_GROUPS + 1).collect()
-    if len(counts) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to sample from by {group}")
-    large = {r[group]: (1.2 * most + 100) / r["count"] for r in counts
-             if r[group] is not None and r["count"] > 1.2 * most + 100}
+    counts = df.groupBy(group).count().where((F.col("count") > 1.2 * most + 100) & F.col(group).isNotNull()) \
+        .select(F.col(group).alias("_g"), ((1.2 * most + 100) / F.col("count")).alias("_limit"))
     share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     out = df.withColumn("_h", share)
-    if large:
+    large = {r["_g"]: r["_limit"] for r in counts.limit(FEW_GROUPS + 1).collect()}
+    if len(large) > FEW_GROUPS:
+        out = out.join(counts, F.col(group) == F.col("_g"), "left").where(
+            F.col("_h") <= F.coalesce("_limit", F.lit(1.0))).drop("_g", "_limit")
+    elif large:
         limits = F.create_map(*[F.lit(x) for pair in sorted(large.items()) for x in pair])
         out = out.where(F.col("_h") <= F.coalesce(F.element_at(limits, F.col(group)), F.lit(1.0)))
     first = Window.partitionBy(group).orderBy("_h", key)

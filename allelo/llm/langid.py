@@ -3,12 +3,14 @@
 For every language a suffix automaton is built over labelled text.  A document
 is parsed greedily against it: each phrase is the longest prefix of the rest
 that occurs in the training text.  ``c`` phrases over ``n`` characters estimate
-the cross entropy as ``c * log2(N) / n`` bits a character (``N``: length of the
-training text); the language with the fewest normalised phrases wins, ties go
-to the smaller code.
+the cross entropy as ``c * (log2(N) + log2(A)) / n`` bits a character: a phrase is a place
+in the training text of ``N`` characters and the character, one of ``A``, that ends the
+match (``N`` is at least the root of the longest training text's length).  The language with the
+fewest normalised phrases wins, ties go to the smaller code.
 
 The training text is a bounded sample (``sample_docs`` documents and
-``sample_chars`` characters a language), chosen by a seeded hash among
+``sample_chars`` characters a language, ``all_chars`` in all languages together),
+seeded pieces from anywhere in documents chosen by a seeded hash among
 labelled documents outside the held-out fold.  The automata are rebuilt in each
 Python worker from that text and turned into one transition table, so the
 greedy parse of many documents runs in lockstep, one character a step.  A phrase
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from allelo.llm.common import arrow_map, bounded_sample, held_out, narrow
 
-SAMPLE_DOCS, SAMPLE_CHARS = 60, 40_000
-MAX_LANGUAGES = 256
+#: documents a language learns from, characters of a language, and of all languages together
+SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS = 60, 40_000, 800_000
 BLOCK = 4096
 #: characters scored in lockstep at a time; bounds a task's memory
 GROUP_CHARS = 4_000_000
@@ -85,6 +87,7 @@ class Parser:
         width = len(letters) + 2
         self.width = width
         tables, self.roots, self.bits = [], [], []
+        least = max(math.sqrt(max(map(len, training.values()))), 2.0)
         base = 0
         for lang in self.langs:
             nxt = suffix_automaton(training[lang])
@@ -100,7 +103,9 @@ class Parser:
                     row[code[c]] = (base + target) * 2 * width
             tables.append(table)
             self.roots.append(base * width)
-            self.bits.append(math.log2(max(len(training[lang]), 2)))
+            # a phrase costs a place in the training text and the character that ends the match; the floor keeps
+            # a language of a few labelled letters, where every phrase is a letter, from winning unlike texts
+            self.bits.append(math.log2(max(len(training[lang]), least)) + math.log2(width))
             base += len(nxt)
         # an entry is 2 * width * state + (1 where a phrase ends)
         self.table = np.concatenate(tables).reshape(-1)
@@ -169,19 +174,31 @@ def _parser(training: dict[str, str]) -> Parser:
     return _CACHE[key]
 
 
-def training_text(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text per language: a bounded sample outside the held-out fold."""
+def training_text(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
+                  all_chars: int = ALL_CHARS) -> dict[str, str]:
+    """Labelled text per language: a bounded sample outside the held-out fold.
+
+    At most ``sample_docs`` documents a language, chosen by a seeded hash; of each a piece that
+    starts at a seeded place anywhere in it.  A language gets ``sample_chars`` characters, or its
+    part of ``all_chars`` where there are many languages; if its pieces have more in all, every
+    one is shortened alike.
+    """
     learnable = (narrow(docs, doc_id="doc_id", text="text", lang="lang")
                  .where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike("\\p{L}"))
                  .where(~held_out(F.col("doc_id"))))
-    cut = learnable.select("doc_id", "lang", F.substring("text", 1, 2 * sample_chars // sample_docs).alias("text"))
+    piece = 2 * sample_chars // sample_docs
+    start = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id")), F.greatest(F.length("text") - piece, F.lit(0)) + 1) + 1
+    cut = learnable.select("doc_id", "lang", F.col("text").substr(start.cast("int"), F.lit(piece)).alias("text"))
     rows = bounded_sample(cut, "lang", "doc_id", sample_docs).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         texts.setdefault(r["lang"], []).append(normalise(r["text"]))
-    if len(texts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(texts)} languages; the parser's table is bounded to {MAX_LANGUAGES}")
-    return {lang: "".join(parts)[:sample_chars] for lang, parts in texts.items()}
+    most = min(sample_chars, all_chars // max(len(texts), 1))
+    out = {}
+    for lang, parts in texts.items():
+        share = min(1.0, most / sum(map(len, parts)))
+        out[lang] = "".join(p[:max(int(len(p) * share), 1)] for p in parts)
+    return {lang: text for lang, text in out.items() if text.strip()}
 
 
 def identify(docs: DataFrame, training: dict[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
