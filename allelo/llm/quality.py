@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from allelo.llm.common import arrow_map, bounded_sample, narrow
 
-#: most documents of a quality class that the CRF is fitted on, and most lines of one of them
-SAMPLE, SAMPLE_LINES = 1000, 60
+#: most documents of a quality class that the CRF is fitted on, all lines of each
+SAMPLE = 1000
+#: lines of a chain when it is fitted; a longer document is fitted as several
+CHAIN_LINES = 256
 SHARE = 0.5
 SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
 FEATURES = ("bias", "short", "few words", "symbols", "many symbols", "upper", "mostly upper", "exclaims",
@@ -132,41 +134,51 @@ def fit_chain(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: f
     Classes weigh alike, documents of a class weigh alike; L2 pulls towards the prior.
     """
     chain = Chain()
-    y = np.array([label for _, label in sequences], dtype=int)
-    sizes = np.bincount(y, minlength=2) if len(y) else np.zeros(2)
+    sizes = np.bincount([label for _, label in sequences], minlength=2) if sequences else np.zeros(2)
     if sizes.min() == 0:
         return chain
-    lengths = np.array([len(x) for x, _ in sequences])
-    mask = np.arange(lengths.max())[None, :] < lengths[:, None]
-    x = np.zeros((*mask.shape, len(FEATURES)))
-    for i, (f, _) in enumerate(sequences):
-        x[i, : len(f)] = f
-    weight = 0.5 / sizes[y] / lengths
-    observed = np.zeros((len(y), 2, 2))
-    observed[np.arange(len(y)), y, y] = lengths - 1
+    groups: dict[int, list] = {}  # chains by their length, rounded up to a power of two
+    for x, label in sequences:
+        for at in range(0, len(x), CHAIN_LINES):
+            part = x[at: at + CHAIN_LINES]
+            groups.setdefault(1 << (len(part) - 1).bit_length(), []).append((part, label, 0.5 / sizes[label] / len(x)))
+    batches = [_batch(length, parts) for length, parts in sorted(groups.items())]
     start = chain.transitions.copy()
     for _ in range(rounds):
-        p, pairs = batch_marginals(chain, x, mask)
-        miss = ((y == 1)[:, None] * mask - p) * weight[:, None]
-        gw = np.einsum("nl,nlf->f", miss, x)
-        gt = (weight[:, None, None] * (observed - pairs)).sum(axis=0)
+        gw, gt = np.zeros(len(FEATURES)), np.zeros((2, 2))
+        for x, mask, y, weight, observed in batches:
+            p, pairs = batch_marginals(chain, x, mask)
+            miss = ((y == 1)[:, None] * mask - p) * weight[:, None]
+            gw += np.einsum("nl,nlf->f", miss, x)
+            gt += (weight[:, None, None] * (observed - pairs)).sum(axis=0)
         chain.weights = chain.weights + rate * 8 * (gw - l2 * (chain.weights - PRIOR))
         chain.transitions = chain.transitions + rate * (gt - l2 * (chain.transitions - start))
     return chain
 
 
+def _batch(length: int, parts: list[tuple[np.ndarray, int, float]]) -> tuple[np.ndarray, ...]:
+    """Chains of up to ``length`` lines as arrays: features, real lines, labels, weights, observed transitions."""
+    lengths = np.array([len(x) for x, _, _ in parts])
+    y, weight = np.array([label for _, label, _ in parts]), np.array([w for _, _, w in parts])
+    mask = np.arange(length)[None, :] < lengths[:, None]
+    x = np.zeros((*mask.shape, len(FEATURES)))
+    for i, (f, _, _) in enumerate(parts):
+        x[i, : len(f)] = f
+    observed = np.zeros((len(y), 2, 2))
+    observed[np.arange(len(y)), y, y] = lengths - 1
+    return x, mask, y, weight, observed
+
+
 def training_sequences(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, int]]:
-    """Line features of at most ``sample`` labelled documents a class, chosen by a seeded hash."""
+    """Features of all lines of at most ``sample`` labelled documents a class, chosen by a seeded hash."""
     known = narrow(labels, doc_id="doc_id", quality="quality").where("quality in (0, 1) and doc_id is not null")
     chosen = bounded_sample(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), "quality", "doc_id", sample)
     texts = narrow(docs, doc_id="doc_id", text="text").where(F.length("text") > 0)
     rows = (texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
-            .groupBy("doc_id", "quality").agg(F.min(F.slice(F.split("text", "\n"), 1, SAMPLE_LINES)).alias("lines"))
-            .select("quality", "lines").collect())
+            .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text").collect())
     out = []
-    for quality, lines in sorted((r["quality"], r["lines"]) for r in rows):
-        kept = [line.encode("utf-8", "replace") for line in lines if line.strip(" \t\n\r\x0b\x0c")]
-        if kept:
+    for quality, text in sorted((r["quality"], r["text"]) for r in rows):
+        if kept := lines_of(text.encode("utf-8", "replace")):
             out.append((features(kept), 1 - quality))
     return out
 
