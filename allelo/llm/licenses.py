@@ -4,8 +4,12 @@ A text block is one line of a document; a line of more than ``BLOCK`` words
 gives overlapping blocks of ``BLOCK`` words, one every ``BLOCK / 2``, so a
 notice stays whole and a long line does not match by its length.  The same
 blocks over the whole word sequence of a document find notices that run over
-line ends: such a block counts for a template of more than ``SHORT`` words where
-it holds more of it than every line's block within its reach.  A block
+line ends: such a block counts where it holds more of the template than every
+line's block within its reach.  A template of up to ``SHORT`` distinct tokens says
+little as a set: it matches where its words stand one after the other, over line
+ends too.  Templates that share most of their tokens (a license's versions, a
+license and its variant) are a family: where blocks of a family overlap, only the
+template that holds the greatest share, then the most tokens, is reported.  A block
 matches a template when it holds at least ``containment`` of the template's
 distinct tokens.  Tokens are
 ordered globally by their frequency over all documents (rare first).  The join
@@ -43,25 +47,67 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Wording of common license notices, one label each.
+# Wording of common license notices with their labels.
 TEMPLATES = [
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "you may not use this file except in compliance with the license"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is "
+                 "distributed on an as is basis without warranties or conditions of any kind"),
     ("mit", "released under the mit license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("all-rights-reserved", "all rights reserved"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("apache-2", "you may not use this file except in compliance with the license"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+              "promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+            "hereby granted"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the "
+            "gnu general public license"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the "
+              "gnu general public license as published by the free software foundation either version 2 of the license "
+              "or at your option any later version"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the "
-              "gnu general public license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution share alike license"),
+              "gnu general public license as published by the free software foundation either version 3 of the license "
+              "or at your option any later version"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the "
+             "gnu lesser general public license"),
+    ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the "
+                 "gnu lesser general public license as published by the free software foundation either version 2 1 of "
+                 "the license or at your option any later version"),
+    ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the "
+               "gnu lesser general public license as published by the free software foundation either version 3 of "
+               "the license or at your option any later version"),
+    ("lgpl-2.1", "this work is licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the "
+               "gnu affero general public license as published by the free software foundation either version 3 of "
+               "the license or at your option any later version"),
+    ("agpl-3", "this work is licensed under the gnu affero general public license version 3"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public "
+              "license 2 0"),
+    ("boost-1", "distributed under the boost software license version 1 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights "
+            "to this work"),
     ("cc-by", "this work is licensed under a creative commons attribution license"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution share alike license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 "
+                    "international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 "
+                    "international license"),
+    ("all-rights-reserved", "all rights reserved"),
 ]
 
 CONTAINMENT = 0.8
 BLOCK = 64
-SHORT = 3  # templates of so few words match within a line only
+SHORT = 3  # templates of so few tokens match word after word
 
 # lower-cases A-Z; keeps 0-9, a-z and all non-ASCII bytes; everything else separates words
 _CLASS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122
@@ -97,7 +143,11 @@ def prepare(frequency: dict[bytes, int], templates=None, containment: float = CO
         tokens = sorted(set(words(body).split()), key=lambda t: (frequency.get(t, 0), t))
         need = math.ceil(containment * len(tokens) - 1e-9)
         out.append({"label": label, "tokens": tokens, "need": need,
-                    "prefix": frozenset(tokens[: len(tokens) - need + 1])})
+                    "prefix": frozenset(tokens[: len(tokens) - need + 1]),
+                    "phrase": b" ".join(words(body).split()) if len(tokens) <= SHORT else None})
+    for t in out:
+        t["family"] = frozenset(j for j, u in enumerate(out) if u["label"] != t["label"] and len(
+            set(t["tokens"]) & set(u["tokens"])) >= containment * min(len(t["tokens"]), len(u["tokens"])))
     return out
 
 
@@ -112,26 +162,31 @@ def overlap(tokens: list[bytes], block: set[bytes], need: int) -> int:
     return len(tokens) - missed
 
 
-def matches(flat: bytes, everything: set[bytes], prepared: list[dict], rare: frozenset) -> Iterator[tuple]:
-    """(block, template index, containment) of every block at the threshold."""
+def matches(flat: bytes, everything: set[bytes], prepared: list[dict], rare: frozenset) -> list[tuple]:
+    """(block, template index, containment) of every block at the threshold, the best of a family."""
     if rare.isdisjoint(everything):
-        return
+        return []
     chances = [(i, t) for i, t in enumerate(prepared) if not t["prefix"].isdisjoint(everything)
                and overlap(t["tokens"], everything, t["need"])]
-    if not chances:
-        return
     found: list[tuple[int, int, int, float]] = []  # (first word, end, template, containment)
-    for at, line in blocks_of(flat):
-        for i, share in held(set(line), chances):
-            found.append((at, at + len(line), i, share))
-            yield at, i, share
-    chances = [(i, t) for i, t in chances if len(t["tokens"]) > SHORT]
-    if not chances or b"\n" not in flat:
-        return
-    for at, block in blocks_of(flat.replace(b"\n", b" ")):
-        for i, share in held(set(block), chances):
-            if all(share > s for a, b, j, s in found if j == i and a < at + len(block) and at < b):
-                yield at, i, share
+    sequence = b" ".join(flat.split()) if any(t["phrase"] for _, t in chances) else b""
+    for i, t in chances:
+        if t["phrase"]:
+            found += [(at, at + t["phrase"].count(b" ") + 1, i, 1.0) for at in places(sequence, t["phrase"])]
+    chances = [(i, t) for i, t in chances if not t["phrase"]]
+    if chances:
+        for at, line in blocks_of(flat):
+            found += [(at, at + len(line), i, share) for i, share in held(set(line), chances)]
+        if b"\n" in flat:
+            lines = list(found)
+            for at, block in blocks_of(flat.replace(b"\n", b" ")):
+                for i, share in held(set(block), chances):
+                    if all(share > s for a, b, j, s in lines if j == i and a < at + len(block) and at < b):
+                        found.append((at, at + len(block), i, share))
+    rank = lambda h: (h[3], len(prepared[h[2]]["tokens"]))
+    return [(a, i, s) for a, b, i, s in found
+            if not any(h[2] in prepared[i]["family"] and h[0] < b and a < h[1] and rank(h) > (s, len(prepared[i]["tokens"]))
+                       for h in found)]
 
 
 def held(block: set[bytes], chances: list[tuple[int, dict]]) -> Iterator[tuple[int, float]]:

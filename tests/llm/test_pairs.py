@@ -282,7 +282,15 @@ def test_url_rules_and_odd_rows(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule), texts[r["page_id"]]
         assert r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
     assert urls.judge(pages.where("false")).count() == 0
-    assert {r["verdict"] for r in out if r["page_id"] in (0, 1, 2)} == {"block"}
+    assert {r["verdict"] for r in out if r["page_id"] == 0} == {"block"}
+    # every other text is scored, with or without a host
+    accepted, rejected, threshold = urls.fit(urls.decided(pages))
+    for r in out:
+        url = texts[r["page_id"]]
+        if url is not None:
+            assert r["score"] == pytest.approx(accepted.mean(url) - rejected.mean(url))
+            if plain_rule(url)[3] is None:
+                assert r["verdict"] == ("allow" if r["score"] >= threshold else "block")
 
 
 def test_markov_probabilities_add_up_and_back_off():
@@ -394,7 +402,8 @@ def test_runs_are_settled_in_a_stream(spark, hot, batch):
     rows = [(1, 10, 5, 100), (1, 10, 3, 101), (1, 11, 4, 102), (2, 20, 1, 103), (2, 20, 1, 104), (3, 30, 2, 105)]
     rows += [(1, 10, 9, 200 + i) for i in range(3000)] + [(4, 40, 7, 1), (4, 41, 7, 2), (1, 11, 4, 106)]
     random.Random(5).shuffle(rows)
-    met = spark.createDataFrame([(*r[:3], 0, r[3]) for r in rows], "h long, f long, doc long, tag long, run long")
+    met = spark.createDataFrame([(*r[:3], 0, r[3], r[2] == 9 and r[3] % 2 == 0) for r in rows],
+                                "h long, f long, doc long, tag long, run long, done boolean")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         split = spark.createDataFrame(hot, "hot long, salts long")

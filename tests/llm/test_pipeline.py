@@ -1,6 +1,7 @@
 """The pipeline's stages, one after the other, against brute-force versions."""
 
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -83,6 +84,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
 
     pieces = [r.asDict() for r in docs.collect()]
     used = check_places(pieces, 2048)
+    assert all(zlib.crc32(p["ids"]) == p["ids_crc32"] and len(p["ids"]) == 4 * p["length"] for p in pieces)
     assert used <= -(-sum(p["length"] for p in pieces) // 2048) + 2
     assert Counter(p["doc_id"] for p in pieces if p["piece"] == 0) == Counter(r[0] for r in seen[3])
 

@@ -64,6 +64,27 @@ def test_langid_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_a_language_of_two_letters_takes_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    training = langid.training_text(docs)
+    assert max(map(len, training.values())) <= langid.SAMPLE_CHARS
+    stray = langid.identify(docs, training | {"xx": "ok "})
+    plain = langid.identify(docs, training).withColumnRenamed("lang_pred", "plain")
+    both = stray.join(plain.select("doc_id", "plain"), "doc_id").where("plain != 'und'")
+    assert both.where("lang_pred = 'xx'").count() == 0
+    assert both.where("lang_pred = plain").count() >= 0.99 * both.count()
+
+
+def test_training_takes_pieces_from_anywhere_and_many_languages(spark):
+    rows = [(d, "start " * 400 + f"w{'abcdefghij'[d % 10]}nd " * 400, "en") for d in range(200)]
+    rows += [(1000 + k, f"mot{'abcdefgh'[k % 8]} langue", f"l{k:04d}") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = langid.training_text(docs, all_chars=40_000)
+    assert len(training) > 1000 and sum(map(len, training.values())) <= 2 * 40_000
+    long = langid.training_text(docs.where("lang = 'en'"))["en"]
+    assert "start" in long and "nd" in long and len(long) <= langid.SAMPLE_CHARS
+
+
 def test_langid_odd_rows(odd_docs, no_docs):
     training = langid.training_text(odd_docs)
     out = [tuple(r) for r in langid.identify(odd_docs, training).collect()]
@@ -175,23 +196,84 @@ def test_license_base_and_join_by_brute_force(spark, odd_docs):
     got = [tuple(r) for r in licenses.report(licenses.scan(docs)).collect()]
     rows = docs.collect()
     assert sorted(map(str, (r[:6] for r in got))) == sorted(str((r["doc_id"], *license_base(r["text"]))) for r in rows)
-    prepared = licenses.prepare(licenses.token_frequencies(docs))
-    want = {}
     for r in rows:
-        flat, hits = licenses.words(r["text"]), []
-        for at, block in licenses.blocks_of(flat):
-            for t in prepared:
-                share = len(set(block) & set(t["tokens"])) / len(t["tokens"])
-                if share >= licenses.CONTAINMENT:
-                    hits.append((at, t["label"], share))
-        want.setdefault(r["doc_id"], []).append(sorted(hits))
-    for r in scanned:
-        assert sorted(zip(r["blocks"], r["block_labels"], r["block_scores"], strict=True)) in want[r["doc_id"]]
+        want = plain_license_hits(r["text"])
+        mine = [sorted(zip(x["blocks"], x["block_labels"], x["block_scores"], strict=True)) for x in scanned
+                if x["doc_id"] == r["doc_id"]]
+        assert want in mine, r["doc_id"]
     labels = {r[0]: r[6] for r in got}
-    assert labels[103] == "gpl-3" and labels[104] == "all-rights-reserved" and labels[102] == ""
+    assert labels[103] == "gpl-3" and labels[104] == labels[102] == "all-rights-reserved"
     assert "apache-2" in labels[101] and "cc-by-nc" in labels[101]
 
 
+def plain_license_hits(text):
+    """(block, label, share) of every template, by all windows, with the best of a family where windows overlap."""
+    lines = [LICENSE_WORD.findall(x) for x in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split("\n")]
+    ws = [w for line in lines for w in line]
+    windows, at = [], 0
+    for line in lines:
+        windows += [(at + k, line[k:k + 64]) for k in range(0, max(len(line) - 32, 1), 32) if line]
+        at += len(line)
+    whole = [(k, ws[k:k + 64]) for k in range(0, max(len(ws) - 32, 1), 32) if ws] if len(lines) > 1 else []
+    sets = [set(body.split()) for _, body in licenses.TEMPLATES]
+    hits = []
+    for i, (label, body) in enumerate(licenses.TEMPLATES):
+        if len(sets[i]) <= 3:
+            words = body.split()
+            hits += [(k, k + len(words), i, 1.0) for k in range(len(ws)) if ws[k:k + len(words)] == words]
+            continue
+        share = lambda block: len(sets[i] & set(block)) / len(sets[i])
+        mine = [(k, k + len(block), i, share(block)) for k, block in windows if share(block) >= 0.8]
+        hits += mine
+        hits += [(k, k + len(block), i, share(block)) for k, block in whole if share(block) >= 0.8 and not any(
+            a < k + len(block) and k < b and s >= share(block) for a, b, _, s in mine)]
+
+    def beaten(x):
+        return any(a < x[1] and x[0] < b and licenses.TEMPLATES[j][0] != licenses.TEMPLATES[x[2]][0]
+                   and len(sets[j] & sets[x[2]]) >= 0.8 * min(len(sets[j]), len(sets[x[2]]))
+                   and (s, len(sets[j])) > (x[3], len(sets[x[2]])) for a, b, j, s in hits)
+
+    return sorted((x[0], licenses.TEMPLATES[x[2]][0], x[3]) for x in hits if not beaten(x))
+
+
+LGPL = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.")
+GPL = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+       "Public License as published by the Free Software Foundation, either version {} of the License, or (at your "
+       "option) any later version.")
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    (LGPL, "lgpl-2.1"), (GPL.format(3), "gpl-3"), (GPL.format(2), "gpl-2"), (GPL.split(" as published")[0], "gpl"),
+    (GPL.format(3).replace("GNU General", "GNU Affero General"), "agpl-3"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution Share Alike License", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+     "cc-by-nc-nd"),
+    ("All\nrights\nreserved", "all-rights-reserved"), ("All the rights are reserved", ""), ("rights reserved all", ""),
+    ("Redistribution and use in source are permitted", ""), ("the general public may use this program", "")])
+def test_nested_templates_and_near_misses(spark, text, labels):
+    docs = spark.createDataFrame([(1, text), (2, "\n".join(text.split(" ")))], "doc_id long, text string")
+    assert {r["labels"] for r in licenses.report(licenses.scan(docs)).collect()} == {labels}
+
+
+def test_quality_learns_from_every_line(spark):
+    """Lines beyond any prefix count: boilerplate at the end of long documents is learned."""
+    bad = "\n".join(["plain words that say little at all"] * 300 + ["<<| $$ ## | && % |>>"] * 300)
+    docs = spark.createDataFrame([(d, bad if d % 2 else "plain words that say little at all\n" * 600) for d in range(8)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1 - d % 2) for d in range(8)], "doc_id long, quality int")
+    sequences = quality.training_sequences(docs, labels)
+    assert sorted(len(x) for x, _ in sequences) == [600] * 8
+    chain = quality.fit(docs, labels)
+    symbols = quality.FEATURES.index("many symbols")
+    assert chain.weights[symbols] > quality.PRIOR[symbols] - 1e-9
+    whole = quality.fit_chain(sequences)
+    assert np.allclose(chain.weights, whole.weights)
+
+
 def test_license_empty(no_docs):
     assert licenses.scan(no_docs).count() == 0
 
@@ -313,7 +395,7 @@ def test_scores_of_the_whole_vocabulary_by_brute_force(spark, odd_docs, hot, lea
     assert len(got) == len(want)
     by = lambda r: (str(r[0]), r[1], -1.0 if r[2] is None else round(r[2], 5))
     for a, b in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
-        assert a[:2] == b[:2] and list(a[2:]) == pytest.approx(list(b[2:]), abs=1e-9)
+        assert a[:2] == b[:2] and list(a[2:]) == pytest.approx(list(b[2:]), abs=1e-6)
 
 
 def test_license_notices_over_line_ends(spark):
@@ -325,9 +407,5 @@ def test_license_notices_over_line_ends(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = {r["doc_id"]: r["labels"] for r in licenses.report(licenses.scan(docs)).collect()}
     for key, text in rows:
-        ws = LICENSE_WORD.findall(text.lower())
-        windows = [set(ws[i:i + 64]) for i in range(0, len(ws), 32)]
-        want = {label for label, body in licenses.TEMPLATES for w in windows
-                if len(w & set(body.split())) >= 0.8 * len(set(body.split()))}
-        assert labels[key] == ",".join(sorted(want))
-    assert labels == {1: "bsd", 2: "gpl-3", 3: "bsd,gpl-3", 4: "gpl-3", 5: ""}
+        assert labels[key] == ",".join(sorted({label for _, label, _ in plain_license_hits(text)}))
+    assert labels == {1: "bsd", 2: "gpl", 3: "bsd,gpl", 4: "gpl", 5: ""}
