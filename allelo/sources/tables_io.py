@@ -48,13 +48,15 @@ def mutation_features(events: DataFrame, keep_msi: str = "MSS") -> DataFrame:
     """Per (person, gene) mutation counts with gene index and metadata.
 
     Counting is a partial+final hash aggregate; the gene dictionary (distinct
-    genes coded in name order) and the person table are joined after.
+    genes coded in name order) and the person table are joined after.  Of several
+    metadata rows of a person the smallest counts.
     """
     from allelo.operators.indexing import class_index
 
     counts = events.groupBy("individual", "gene").agg(F.count(F.lit(1)).alias("n"))
     genes = class_index(events, "gene", "gene_index")   # a gene vocabulary is bounded (~2e4 names)
-    persons = events.select("individual", "msi_status", "bmi", "bmi_cat").dropDuplicates(["individual"])
+    persons = events.groupBy("individual").agg(F.min(F.struct("msi_status", "bmi", "bmi_cat")).alias("p")) \
+        .select("individual", "p.*")
     return (counts.join(genes, "gene").join(persons, "individual")
             .where(F.col("msi_status") == keep_msi)
             .select("individual", "gene", "gene_index", "n", "bmi", "bmi_cat"))
