@@ -59,6 +59,7 @@ _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS: dict[bytes, int] = {}
 _WORDS_MOST = 200_000
+BROADCAST_IDS = 500_000  # classes (24 bytes each) that travel to the texts; more meet them in a shuffle
 SEEN_MOST = 1_000_000  # classes that a task remembers having signed; more only cost repeated rows
 
 
@@ -298,8 +299,9 @@ class Join:
         wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
         ids = self.scratch.write(about.join(wanted, "c", "left_semi").select(
             "c", F.col("doc_id").alias("id"), F.col("t").alias("hash")), f"ids{name}")
+        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         # the hash tells texts of one id, or of none, apart
-        texts = self.docs.join(ids, (F.col("t") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("c", "text")
+        texts = self.docs.join(side, (F.col("t") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("c", "text")
         return _sets(texts, self.size).dropDuplicates(["c"])
 
     def near(self, left: str, right: str, words: list[str]) -> Column:
