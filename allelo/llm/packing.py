@@ -44,7 +44,7 @@ CAPACITY = 2048
 END_ID = 0
 RANGE_ROWS = 100_000
 CACHE_WORDS = 600_000
-GROUP = 12 << 20  # characters whose words are looked up together
+GROUP = 6 << 20  # characters whose words are looked up together
 
 # white space of the tokenizer and of str.split() differ in these; from U+0300 on normal forms matter
 _ODD = re.compile("[\x1c-\x1fİ̀-\U0010ffff]")
