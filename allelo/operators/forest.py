@@ -53,7 +53,7 @@ from allelo.operators import subtree
 from allelo.session import checkpoint_partitioned, discard, pinned, scratch_path
 
 BROADCAST_ROWS = 2_000_000
-LOCAL_CELLS = 200_000
+LOCAL_CELLS = 300_000
 #: rows that walk down one subtree together
 WALK_ROWS = 100_000
 
