@@ -136,33 +136,42 @@ def parts_of(band: int, numerator: int, denominator: int) -> tuple[int, int, np.
     return slack, cuts, (np.arange(pieces, dtype=object) * (1 << 64) // pieces).astype(np.uint64)
 
 
-def signatures(s: np.ndarray, numerator: int = NUMERATOR,
-               denominator: int = DENOMINATOR) -> tuple[np.ndarray, list[int]]:
+def _subsets(s: np.ndarray, numerator: int, denominator: int) -> Iterator[tuple]:
+    """Under each of a set's bands: (band, slack, pieces a part, piece ends in the set, subsets that are not empty)."""
+    own = int(np.searchsorted(bands(numerator, denominator), len(s)))
+    for band in sorted({own, max(own - 1, 0)}):
+        slack, cuts, ends = parts_of(band, numerator, denominator)
+        at = np.append(np.searchsorted(s, ends), len(s))
+        count = np.diff(at).reshape(-1, cuts)
+        yield band, slack, cuts, at, ((count.sum(axis=1)[:, None] - count) > 0).reshape(-1)
+
+
+def shared_least(s: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> list[int]:
+    """How many signatures of an even and of an odd band a linked set shares at least (0: no such band)."""
+    least = [0, 0]
+    for band, slack, _, _, full in _subsets(s, numerator, denominator):
+        least[band & 1] = max(1 + slack - (len(full) - int(full.sum())), 1)
+    return least
+
+
+def signatures(s: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> np.ndarray:
     """The PartEnum signatures of a non-empty set (sorted 64-bit hashes), under its two bands.
 
-    A signature's lowest bit is its band's parity.  Second: how many signatures of
-    an even and of an odd band a linked set shares at least (0: no such band).
+    A signature's lowest bit is its band's parity.
     """
-    own = int(np.searchsorted(bands(numerator, denominator), len(s)))
     sums = np.zeros(len(s) + 1, dtype=np.uint64)
     np.cumsum(mix(s + _U(0xA0761D6478BD642F)), out=sums[1:])
-    out, least = [], [0, 0]
-    for band in {own, max(own - 1, 0)}:
-        slack, cuts, ends = parts_of(band, numerator, denominator)
-        at = np.append(np.searchsorted(s, ends), len(s))
+    out = []
+    for band, slack, cuts, at, full in _subsets(s, numerator, denominator):
         content = (sums[at[1:]] - sums[at[:-1]]).reshape(-1, cuts)
-        count = np.diff(at).reshape(-1, cuts)
         # every subset of a part's pieces that leaves one piece out
         subsets = (content.sum(axis=1, dtype=np.uint64)[:, None] - content).reshape(-1)
-        full = ((count.sum(axis=1)[:, None] - count) > 0).reshape(-1)
-        empty = len(full) - int(full.sum())
-        least[band & 1] = max(1 + slack - empty, 1)
-        if empty > slack:
-            full[:] = True
+        if len(full) - int(full.sum()) > slack:
+            full = np.ones(len(full), dtype=bool)
         name = np.flatnonzero(full).astype(np.uint64)
         sig = mix(subsets[full] * _U(0xE7037ED1A0B428DB) + name * _U(0x8EBC6AF09C88C6E3) + _U(band + 1))
         out.append(sig & ~_U(1) | _U(band & 1))
-    return np.concatenate(out), least
+    return np.concatenate(out)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -175,44 +184,65 @@ def sketch(s: np.ndarray) -> np.ndarray:
 _LONGS = pa.list_(pa.int64())
 
 
-def _signed(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """``doc_id, t, n, c, sketch, least, sigs`` of every row of ``docs(doc_id, t, text)``, its text shingled once.
+def _fresh(texts: list, size: int, seen: set[int]) -> Iterator[tuple[np.ndarray, int | None, bool]]:
+    """(set, class, whether this task meets the class for the first time) of every text."""
+    for text in texts:
+        s = shingle_set(text, size)
+        c = class_of(s) if len(s) else None
+        first = c is not None and c not in seen
+        if first:
+            if len(seen) >= SEEN_MOST:
+                seen.clear()
+            seen.add(c)
+        yield s, c, first
+
 
-    A class that a task has signed before comes without sketch and signatures again, so a
-    large group of copies has about as many signed rows as there are tasks.
+def _members(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """``doc_id, t, n, c, sketch, least`` of every row of ``docs(doc_id, t, text)``.
+
+    A class that a task has met before comes without sketch again.
     """
     none = np.zeros(0, dtype=np.int64)
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            ns, cs, sketches, least = [], [], [], []
+            for s, c, first in _fresh(batch.column(2).to_pylist(), size, seen):
+                ns.append(len(s))
+                cs.append(c)
+                sketches.append(sketch(s) if first else none)
+                least.append(shared_least(s, numerator, denominator) if first else [0, 0])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ns, type=pa.int64()), pa.array(cs, type=pa.int64()),
+                 _lists(sketches), pa.array(least, type=pa.list_(pa.int32()))],
+                names=["doc_id", "t", "n", "c", "sketch", "least"])
+        _WORDS.clear()  # a worker serves other operators after this task
+
+    return docs.mapInArrow(run, "doc_id long, t long, n long, c long, sketch array<long>, least array<int>")
+
+
+def _signed(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """``sig, c``: the signatures of every class that a task holds, once.
+
+    A large group of copies so has about as many signed rows as there are tasks.  Signatures go
+    straight into the exchange: written first, they would take as much disk again.
+    """
     def run(batches) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
             for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
-                ns, cs, sketches, least, sigs = [], [], [], [], []
-                for text in batch.column(2).to_pylist():
-                    s = shingle_set(text, size)
-                    c = class_of(s) if len(s) else None
-                    ns.append(len(s))
-                    cs.append(c)
-                    if c is None or c in seen:
-                        sketches.append(none)
-                        least.append([0, 0])
-                        sigs.append(none)
-                        continue
-                    if len(seen) >= SEEN_MOST:
-                        seen.clear()
-                    seen.add(c)
-                    sig, enough = signatures(s, numerator, denominator)
-                    sketches.append(sketch(s))
-                    least.append(enough)
-                    sigs.append(sig.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(ns, type=pa.int64()), pa.array(cs, type=pa.int64()),
-                     _lists(sketches), pa.array(least, type=pa.list_(pa.int32())), _lists(sigs)],
-                    names=["doc_id", "t", "n", "c", "sketch", "least", "sigs"])
-        _WORDS.clear()  # a worker serves other operators after this task
+                sigs, cs = [], []
+                for s, c, first in _fresh(batch.column(0).to_pylist(), size, seen):
+                    if first:
+                        sigs.append(signatures(s, numerator, denominator).view(np.int64))
+                        cs.append(np.full(len(sigs[-1]), c, dtype=np.int64))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(cs))],
+                                                     names=["sig", "c"])
+        _WORDS.clear()
 
-    return docs.mapInArrow(
-        run, "doc_id long, t long, n long, c long, sketch array<long>, least array<int>, sigs array<long>")
+    return docs.select("text").mapInArrow(run, "sig long, c long")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -254,11 +284,9 @@ class Join:
     def classes(self) -> DataFrame:
         """``doc_id, n, c, component``: the class of every document, and the component's smallest doc_id."""
         scratch = self.scratch
-        signed = scratch.write(_signed(self.docs, self.size, self.num, self.den), "signed")
-        every = scratch.write(signed.drop("sigs"), "members")
+        every = scratch.write(_members(self.docs, self.size, self.num, self.den), "members")
         members = every.select("doc_id", "n", "c")
-        held = scratch.write(self.held(signed.select(F.explode("sigs").alias("sig"), "c")), "held")
-        scratch.drop("signed")
+        held = scratch.write(self.held(_signed(self.docs, self.size, self.num, self.den)), "held")
         scratch.release()
         shared = scratch.write(self.shared(held, every), "shared")
         about = scratch.write(self.about(every, shared), "about")

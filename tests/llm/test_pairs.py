@@ -91,7 +91,8 @@ def test_linked_sets_share_a_signature(num):
         other = np.unique(np.concatenate([less, rng.integers(0, 2**63, int(rng.integers(0, most + 1)), dtype=np.uint64)]))
         both = len(np.intersect1d(base, other))
         if 100 * both >= num * (len(base) + len(other) - both):
-            (a, x), (b, y) = (jaccard.signatures(s, num, 100) for s in (base, other))
+            a, b = (jaccard.signatures(s, num, 100) for s in (base, other))
+            x, y = (jaccard.shared_least(s, num, 100) for s in (base, other))
             both_have = np.intersect1d(a, b).astype(np.int64)
             assert any(x[p] and y[p] and (both_have & 1 == p).sum() >= max(x[p], y[p]) for p in (0, 1))
             x, y = jaccard.sketch(base), jaccard.sketch(other)
