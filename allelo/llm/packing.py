@@ -43,7 +43,8 @@ from allelo.llm.common import Scratch, arrow_map, ids_by_number, narrow
 CAPACITY = 2048
 END_ID = 0
 RANGE_ROWS = 100_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
+ROWS_WITH_IDS = 500  # rows that a task handles at once where pieces carry their ids
 GROUP = 6 << 20  # characters whose words are looked up together
 
 # white space of the tokenizer and of str.split() differ in these; from U+0300 on normal forms matter
@@ -171,7 +172,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
                 yield (key, n, at // 4, len(cut) // 4, zlib.crc32(cut), *([cut] if with_ids else []))
 
     return arrow_map(narrow(docs, doc_id=doc_id, text=text), run,
-                     "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+                     "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids,
+                     ROWS_WITH_IDS if with_ids else None)
 
 
 _SWEEP = "tag string, seq long, gap long, item long, length long, range int, rank long"
