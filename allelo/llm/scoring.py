@@ -151,11 +151,11 @@ class Counts:
         self.words, self.contexts = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
         self.pairs = np.zeros(size * size, dtype=np.int64)
 
-    def add(self, ids: np.ndarray) -> None:
-        before = previous(ids)
+    def add(self, ids: np.ndarray, before: np.ndarray) -> None:
+        """Count words that stand after the words ``before``."""
         self.words += np.bincount(ids, minlength=self.size)
         self.contexts += np.bincount(before, minlength=self.size)
-        np.add.at(self.pairs, before * self.size + ids, 1)
+        self.pairs += np.bincount(before * self.size + ids, minlength=self.size * self.size)
 
 
 def previous(ids: np.ndarray) -> np.ndarray:
@@ -196,12 +196,16 @@ def gather(texts: DataFrame, vocab: list[bytes], known: np.ndarray) -> DataFrame
         every, target = Counts(cold + 1), Counts(cold + 1)
         for batch in batches:
             for group in groups_of(batch):
-                for ids, good in zip(encode(group.column(0).to_pylist(), index), group.column(1).to_pylist(), strict=True):
-                    if len(ids):
-                        ids = np.minimum(ids, cold)
-                        every.add(ids)
-                        if good:
-                            target.add(ids)
+                docs = encode(group.column(0).to_pylist(), index)
+                sizes = np.array([len(ids) for ids in docs])
+                if not sizes.sum():
+                    continue
+                ids = np.minimum(np.concatenate(docs), cold)
+                before = previous(ids)
+                before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+                good = np.repeat(group.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
+                every.add(ids, before)
+                target.add(ids[good], before[good])
         for kind, name in enumerate(("words", "contexts", "pairs")):
             a, b = getattr(every, name), getattr(target, name)
             at = np.flatnonzero(a)
