@@ -180,3 +180,41 @@ def test_importances_from_saved_nodes_equal_the_models(spark):
     got = tall.saved_importances(model, tempfile.mkdtemp(prefix="allelo-imp-"), feats)
     want = model.featureImportances.toArray()
     assert {r.feature: r.importance for r in got.collect()} == pytest.approx(dict(enumerate(want.tolist())))
+
+
+def test_vcf_calls_as_runs_equal_a_plain_parser(spark):
+    from allelo.sources import vcf as v
+
+    rng = np.random.default_rng(8)
+    kinds = ["0|0"] * 9 + ["0/0", "0|0:27", "0/0:3:x", "0|1", "1/1:9", "./.", "0", "", "0|0|1", "0|01", "10|0", "1|2"]
+    rows = [["0|0"] * 200, ["0|0"] * 64 + ["0|0:5"] + ["0|0"] * 65 + ["1|1"], ["0|1"] + ["0|0"] * 129, ["0|0"] * 63 + ["0|01"], []]
+    rows += [list(np.repeat(rng.choice(kinds, 30), rng.integers(1, 90, 30))) for _ in range(12)]
+    fixed = lambda i: [str(i % 3), str(i * 100), "0|0", "A", "C", ".", "PASS", ".", "0|0" if i == 2 else "GT"]
+    lines = spark.createDataFrame([("\t".join(fixed(i) + r),) for i, r in enumerate(rows)] + [("#c",), ("",)], "value string")
+    want = [(str(i % 3), i * 100, k, gt) for i, r in enumerate(rows) for k, gt in enumerate(r)]
+    got = [(r.contig, r.pos, r.sample_pos, r.gt) for r in v.parse_cells(lines, keep_zero=True).collect()]
+    assert sorted(got) == sorted(want)
+    dose = lambda gt: (lambda c: int(c[0]) + int(c[2]) if len(c) == 3 and c[0].isdigit() and c[1] in "|/" and c[2].isdigit() else 0)(
+        gt.split(":")[0])
+    called = [(r.pos, r.sample_pos, r.allele) for r in v.parse_cells(lines).collect()]
+    assert sorted(called) == sorted((p, k, float(dose(gt))) for _, p, k, gt in want if dose(gt))
+    assert v.call_runs(lines, keep_zero=True).where("pos = 0").count() == 1  # 200 calls, one row
+
+
+def test_dense_text_is_written_compressed(spark, monkeypatch):
+    """The text of a cohort is samples x variants: what lies on disk must follow the calls instead."""
+    import glob
+
+    from allelo.plans import q_core, q_io
+
+    root = tempfile.mkdtemp(prefix="allelo-dense-")
+    for module in (q_core, q_io):
+        monkeypatch.setattr(module, "scratch_path", lambda s, name: f"{root}/{name}")
+    sf = "/root/testdata/sf0.01"
+    cells = q_core.q_vcf_lines(spark, sf).count()
+    q_io.q_wide_export(spark, sf).count()
+    for folder, text in (("vcf/body", 4 * 100 * 2000), ("export/rows", 2 * 100 * 2000)):
+        files = glob.glob(f"{root}/{folder}/part-*")
+        assert files and all(f.endswith(".gz") for f in files)
+        assert sum(map(os.path.getsize, files)) < text / 3
+    assert cells > 0
