@@ -218,3 +218,26 @@ def test_dense_text_is_written_compressed(spark, monkeypatch):
         assert files and all(f.endswith(".gz") for f in files)
         assert sum(map(os.path.getsize, files)) < text / 3
     assert cells > 0
+
+
+@pytest.mark.parametrize("fraction", [0.4, 1.0])
+def test_large_nodes_that_keep_their_counts_grow_the_same_subtree(monkeypatch, fraction):
+    from allelo.operators import subtree
+
+    rng = np.random.default_rng(12)
+    samples, variables, carriers = 120, 300, 6   # few carriers a variable: a tree like a chain
+    sample = np.concatenate([rng.choice(samples, carriers, replace=False) for _ in range(variables)])
+    variable, allele = np.repeat(np.arange(variables) * 7, carriers), rng.integers(1, 4, variables * carriers).astype(float)
+    weight, label, ids = rng.integers(0, 3, samples), rng.integers(0, 4, samples), np.arange(samples) * 3
+    counted = []
+    first = subtree.Counts.__init__
+    monkeypatch.setattr(subtree.Counts, "__init__", lambda self, pair, *a: (counted.append(len(pair)), first(self, pair, *a))[1])
+    grown = []
+    for large in (10**9, 1, 200):
+        monkeypatch.setattr(subtree, "LARGE", large)
+        rules = subtree.Rules(4, fraction, 3, "gini", 1e-12, None)
+        levels = subtree.grow(rules, 0, 0, -1, 0, ids, weight, label, sample, variable, allele)
+        grown.append([[lv[f].tolist() for f in subtree.NODE_FIELDS] for lv in levels])
+    assert grown[0] == grown[1] == grown[2] and len(grown[0]) > 10
+    # with counts kept, a level counts the cells that leave a large node, not those that stay
+    assert sum(counted) < len(sample) * len(grown[0])
