@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from allelo.llm import jaccard, neighbours, queries, suffixes, urls
 
@@ -421,3 +422,20 @@ def test_text_of_one_byte(spark):
     rows = [(1, "-" * 4000), (2, "x" + "-" * 3000 + "y"), (3, "-" * 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in suffixes.report(docs).collect()), key=str) == brute_removed(rows)
+
+
+def test_url_models_count_every_labelled_url(spark):
+    pages = spark.range(44_000).select(F.col("id").alias("page_id"), F.concat(
+        F.when(F.col("id") % 2 == 0, "http://a.org/x").otherwise("http://a.com/de/"), F.col("id")).alias("url"))
+    labelled = urls.decided(pages)
+    rows = labelled.select("url", "by_rule", (F.crc32(F.col("url").cast("binary")) % 5 == 0).alias("held")).collect()
+    of = lambda v, held: sorted(r["url"] for r in rows if r["by_rule"] == v and r["held"] == held)
+    accepted, rejected, threshold = urls.fit(labelled)
+    for model, verdict in ((accepted, "allow"), (rejected, "block")):
+        whole = urls.Markov(of(verdict, False))
+        assert model.seen == pytest.approx(whole.seen) and model.back == pytest.approx(whole.back)
+    score = [(round(accepted.mean(u) - rejected.mean(u), 4), v == "allow") for v in ("allow", "block") for u in of(v, True)]
+    assert threshold == pytest.approx(urls.calibrate(score))
+    # a bounded model holds the contexts seen most often, each with the counts of all urls
+    small, _, _ = urls.fit(labelled, contexts=40)
+    assert 0 < len(small.back) <= 40 and set(small.back) < set(accepted.back) and small.back[""] == accepted.back[""]
