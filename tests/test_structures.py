@@ -199,6 +199,8 @@ def test_vcf_calls_as_runs_equal_a_plain_parser(spark):
     called = [(r.pos, r.sample_pos, r.allele) for r in v.parse_cells(lines).collect()]
     assert sorted(called) == sorted((p, k, float(dose(gt))) for _, p, k, gt in want if dose(gt))
     assert v.call_runs(lines, keep_zero=True).where("pos = 0").count() == 1  # 200 calls, one row
+    odd = spark.createDataFrame([("\t".join(["1", "A"] + ["."] * 7 + ["0|1"]),)], "value string")
+    assert [r.allele for r in v.parse_cells(odd).select("allele").collect()] == [1.0]  # nobody asked for the position
 
 
 def test_dense_text_is_written_compressed(spark, monkeypatch):
