@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelo.llm import jaccard, neighbours, queries, suffixes, urls
+from allelo.llm.common import Scratch
 
 
 def shingles(text, size):
@@ -439,3 +441,20 @@ def test_url_models_count_every_labelled_url(spark):
     # a bounded model holds the contexts seen most often, each with the counts of all urls
     small, _, _ = urls.fit(labelled, contexts=40)
     assert 0 < len(small.back) <= 40 and set(small.back) < set(accepted.back) and small.back[""] == accepted.back[""]
+
+
+def test_scratch_write_leaves_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(key)
+    wide = spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    counts = Scratch(spark, "test").write(wide, "counts")
+    deadline = time.monotonic() + 10
+    while shuffles() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert counts.count() == 10 and spark.conf.get(key) == setting
