@@ -41,6 +41,7 @@ class KMeansResult:
     assignment: DataFrame   # subject_index, cluster, distance
     iterations: int         # rounds until no centre moved by more than the tolerance, or the most allowed
     shift: float            # the last round's largest centre shift
+    x: DataFrame | None = None  # the partitioned cells it was fitted on
 
 
 def prepare(long_idx: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -163,4 +164,4 @@ def fit(long_idx: DataFrame, subjects: DataFrame, k: int, iterations: int | None
         norms, done = fresh, done + 1
     best = nearest(norms)
     assignment = rows.select("subject_index", best["cluster"].alias("cluster"), best["d"].alias("distance"))
-    return KMeansResult(centres=centres, assignment=assignment, iterations=done, shift=moved)
+    return KMeansResult(centres=centres, assignment=assignment, iterations=done, shift=moved, x=x)

@@ -143,6 +143,9 @@ def test_kmeans_stops_by_its_tolerance_or_its_rounds(spark):
     assert res.iterations == rounds > 1 and res.shift <= 1e-3
     near = np.round(((x[:, None] - centres) ** 2).sum(axis=2), 9).argmin(axis=1)
     assert {r.subject_index: r.cluster for r in res.assignment.collect()} == dict(enumerate(near.tolist()))
+    again = kmeans.assign(res.x, res.centres, subjects, 4, subjects.count())  # on the cells that the fit has partitioned
+    assert sorted((r.subject_index, r.cluster) for r in again.collect()) \
+        == sorted((r.subject_index, r.cluster) for r in res.assignment.collect())
     assert kmeans.fit(cells, subjects, 4, iterations=1).iterations == 1
     assert kmeans.fit(cells, subjects, 4, iterations=rounds + 2, tol=-1.0).iterations == rounds + 2
     with pytest.raises(ValueError):
