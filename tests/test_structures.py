@@ -106,6 +106,20 @@ def test_a_tree_cut_at_a_depth_is_one_grown_no_deeper(spark):
         == sorted(map(tuple, shallow.nodes.select(*columns).collect()))
 
 
+@pytest.mark.parametrize("local", [0, 400])
+def test_one_walk_gives_the_votes_of_every_depth(spark, local):
+    cells, labels = _labelled(spark)
+    parts = validation.fold_parts(labels.select("sample_index", (F.col("sample_index") % 3).alias("fold")), 3).checkpoint()
+    params = forest.ForestParams(n_trees=2, mtry_fraction=0.5, seed=6, max_depth=4, local_cells=local)
+    model = validation.fit_parts(cells, labels, parts, 3, 3, params, forest.prepare_cells(cells))
+    together = validation.held_out_depths(model, labels, parts, 2, (1, 2, 4)).collect()
+    columns = ["part", "sample_index", "label", "prediction"]
+    for depth in (1, 2, 4):
+        alone = validation.held_out(model, labels, parts, 2, depth).select(*columns)
+        assert sorted(tuple(r[c] for c in columns) for r in together if r.max_depth == depth) \
+            == sorted(map(tuple, alone.collect()))
+
+
 def test_saved_models_come_back_and_others_are_refused(spark):
     cells, labels = _labelled(spark)
     params = forest.ForestParams(n_trees=3, mtry_fraction=0.5, seed=2)
