@@ -50,6 +50,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -132,14 +133,22 @@ class Ids(dict):
         super().__init__(index)
         self.known, self.most = known, len(index) + FLUSH_WORDS
 
-    def __missing__(self, word: bytes) -> int:
-        if not len(self.known):
-            return UNKNOWN
-        h = word_hash(word)
-        at = int(self.known.searchsorted(h))
-        found = COLD + at if at < len(self.known) and self.known[at] == h else UNKNOWN
-        if len(self) < self.most:
-            self[word] = found
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Ids of distinct words, -1 of the empty one; those not met before are looked up at once."""
+        found = np.fromiter(map(self.get, words, repeat(-2)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(found == -2)
+        if not len(new):
+            return found
+        fresh = [words[i] for i in new.tolist()]
+        ids = np.full(len(new), UNKNOWN)
+        if len(self.known):
+            hashes = np.fromiter(map(word_hash, fresh), dtype=np.int64, count=len(fresh))
+            at = np.minimum(self.known.searchsorted(hashes), len(self.known) - 1)
+            ids = np.where(self.known[at] == hashes, COLD + at, UNKNOWN)
+        ids[[not w for w in fresh]] = -1
+        found[new] = ids
+        room = max(self.most - len(self), 0)
+        self.update(zip(fresh[:room], ids[:room].tolist()))
         return found
 
 
@@ -170,7 +179,7 @@ def encode(texts: list[str | None], index: Ids) -> list[np.ndarray]:
     raw = [(t or "").encode("utf-8", "replace").translate(_BLANKS) for t in texts]
     split = pc.split_pattern(pa.array(raw, type=pa.large_binary()), " ")
     encoded = pc.list_flatten(split).dictionary_encode()
-    known = np.array([index[w] if w else -1 for w in encoded.dictionary.to_pylist()], dtype=np.int64)
+    known = index.of(encoded.dictionary.to_numpy(zero_copy_only=False).tolist())
     ids = known[encoded.indices.to_numpy()] if len(known) else np.zeros(0, dtype=np.int64)
     real = ids >= 0  # blanks in a row leave empty words
     offsets = split.offsets.to_numpy()
@@ -274,16 +283,48 @@ def fit(texts: DataFrame, size: int | None = None, hot: int = HOT, least: int =
     return Models(vocab, known, *models)
 
 
+def joined(*keys: np.ndarray) -> tuple[np.ndarray, list[int]] | None:
+    """Whole numbers from 0 on as one, the first key highest, and the bits of each; None if 63 do not hold them."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    if sum(bits) > 63:
+        return None
+    out = keys[0].astype(np.int64)
+    for key, b in zip(keys[1:], bits[1:], strict=True):
+        out = out << b | key
+    return out, bits
+
+
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by the keys, the first most, and in that order the number of each place's group)."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
+    n = len(keys[0])
+    one = joined(*[k - k.min() if n else k for k in keys], np.arange(n))
+    if one is None:
+        order = np.lexsort(keys[::-1])
+    else:  # a sort of numbers that end in their place is many times faster
+        order = np.sort(one[0]) & (1 << one[1][-1]) - 1
+    new = np.zeros(n, dtype=bool)
     for key in keys:
         key = key[order]
         new[1:] |= key[1:] != key[:-1]
     return order, np.cumsum(new)
 
 
+def counted(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the distinct combinations of keys from 0 on, sorted, the first key most, and how often each occurs)."""
+    one = joined(*keys)
+    if one is None:
+        order, group = groups(*keys)
+        first = order[np.flatnonzero(np.diff(group, prepend=-1))]
+        return [k[first] for k in keys], np.bincount(group)
+    every = np.sort(one[0])
+    start = np.flatnonzero(np.diff(every, prepend=-1))
+    left, out = every[start], []
+    for b in reversed(one[1]):
+        out.append(left & (1 << b) - 1)
+        left = left >> b
+    return out[::-1], np.diff(start, append=len(every))
+
+
 ENTRY = [("uid", "u4"), ("word", "u4"), ("other", "u4"), ("n", "u4"), ("k", "u4"), ("kw", "u4"), ("flags", "u1")]
 SUM = [("uid", "u4"), ("target", "i8"), ("background", "i8")]
 GOOD, LAST = 1, 2  # flags: the target counted the document; the cold word is its last
@@ -327,17 +368,11 @@ def of_group(m: Models, docs: list[tuple[int, np.ndarray, bool]]):
         for i in (0, 1):
             sums[i] += np.bincount(at, logs[i], minlength=len(docs))
 
-    order, group = groups(doc, before)  # hot contexts
-    first = order[np.flatnonzero(np.diff(group, prepend=-1))]
-    k = np.bincount(group)
-    hot = before[first] < COLD
-    at, v, k = doc[first][hot], before[first][hot], k[hot]
+    hot = before < COLD
+    (at, v), k = counted(doc[hot], before[hot])  # hot contexts
     add(at, m.context_logs(k, good[at], b.contexts[v], t.contexts[v]))
 
-    order, group = groups(doc, word, before)  # distinct bigrams
-    start = np.flatnonzero(np.diff(group, prepend=-1))
-    first, k = order[start], np.bincount(group)
-    at, w, v = doc[first], word[first], before[first]
+    (at, w, v), k = counted(doc, word, before)  # distinct bigrams
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (w[1:] != w[:-1])])
     same = np.cumsum(new) - 1
     kw = np.bincount(same, k).astype(np.int64)[same]
@@ -366,15 +401,16 @@ def of_bucket(m: Models, uid, word, other, n, k, kw, flags) -> tuple[np.ndarray,
     own, target_own = (np.where(after, x.words[hot], y[cold]) for x, y in ((m.background, c_word), (m.target, t_word)))
     logs = -m.pair_logs(n, k, kw, good, own, c_pair, target_own, t_pair)
 
+    docs, place = np.unique(uid, return_inverse=True)
     at = np.flatnonzero(~after)  # every document of a cold word has an entry of what stands before it
-    order, group = groups(cold[at], uid[at])
+    order, group = groups(cold[at], place[at])
     first = at[order[np.flatnonzero(np.diff(group, prepend=-1))]]
     last = (flags[first] & LAST) // LAST
     contexts, t_contexts = ((x - np.bincount(cold[first], last * y, minlength=len(x)).astype(np.int64))[cold[first]]
                             for x, y in ((c_word, 1), (t_word, good[first])))
     more = m.context_logs(kw[first] - last, good[first], contexts, t_contexts)
 
-    docs, at = np.unique(np.concatenate([uid, uid[first]]), return_inverse=True)
+    at = np.concatenate([place, place[first]])
     both = np.concatenate([logs, more], axis=1)
     return docs, np.stack([np.bincount(at, x, minlength=len(docs)) for x in both])
 
@@ -398,7 +434,7 @@ def _fixed(sums: np.ndarray) -> np.ndarray:
 
 def _blocks(columns: list[np.ndarray], by: np.ndarray, kinds: list[tuple]) -> Iterator[tuple[int, int, int, bytes]]:
     """(first place, end, value of ``by``, data) of the rows of each value, sorted by their first column."""
-    order = np.lexsort((columns[0], by))
+    order = groups(by, columns[0])[0]
     columns, by = [c[order] for c in columns], by[order]
     first = np.flatnonzero(np.diff(by, prepend=-1))
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)], strict=True):

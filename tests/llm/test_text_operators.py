@@ -409,3 +409,32 @@ def test_license_notices_over_line_ends(spark):
     for key, text in rows:
         assert labels[key] == ",".join(sorted({label for _, label, _ in plain_license_hits(text)}))
     assert labels == {1: "bsd", 2: "gpl", 3: "bsd,gpl", 4: "gpl", 5: ""}
+
+
+def test_scoring_sorts_one_number_and_looks_new_words_up_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    for high in (50, 2**40):  # keys that fit one number together, and keys that do not
+        keys = [rng.integers(0, high, 3000) // (high // 50) * (high // 50) for _ in range(3)]
+        order, group = scoring.groups(*keys)
+        want = np.lexsort(keys[::-1])
+        assert (order == want).all() and group[-1] == len(set(zip(*keys))) - 1
+        found, n = scoring.counted(*keys)
+        assert dict(zip(zip(*[k.tolist() for k in found]), n.tolist())) == Counter(zip(*[k.tolist() for k in keys]))
+    assert [len(x) for x in scoring.groups(np.zeros(0, "i8"))] == [0, 0] and not len(scoring.counted(np.zeros(0, "i8"))[1])
+
+    known = np.unique([scoring.word_hash(b"w%d" % i) for i in range(40)])
+    texts = ["a  w1 w2 a b" + chr(10) + "w1", None, "", "w39 w40 A"]
+    ids = scoring.encode(texts, scoring.Ids({b"a": 2}, known))
+    place = {b"w%d" % i: scoring.COLD + int(known.searchsorted(scoring.word_hash(b"w%d" % i))) for i in range(40)}
+    assert [i.tolist() for i in ids] == [[{b"a": 2}.get(w, place.get(w, 1)) for w in scoring.words(t)] for t in texts]
+    few = scoring.Ids({b"a": 2}, known)
+    few.most = 3  # a full cache only looks up again
+    assert [i.tolist() for _ in range(2) for i in scoring.encode(texts, few)][4:] == [i.tolist() for i in ids]
+
+    monkeypatch.setattr(np, "lexsort", None)  # 4 to 8 times the time of a sort of whole numbers
+    counts = scoring.Counts(4)
+    for held in (counts.words, counts.contexts, counts.pairs):
+        held += 100
+    models = scoring.Models([b"a"], known, counts, counts)
+    sums, entries = scoring.of_group(models, [(i, x, True) for i, x in enumerate(ids)])
+    assert sums.shape == (2, 4) and len(entries[0]) == 4 + 2
