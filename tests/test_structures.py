@@ -34,6 +34,37 @@ def test_gram_is_streamed_whatever_the_batches(spark, monkeypatch, tile, batch,
     assert got == {(i, j): want[i, j] for i, j in itertools.combinations_with_replacement(range(len(dense)), 2) if want[i, j]}
 
 
+def test_gram_copies_and_multiplies_only_what_meets(spark):
+    # rare variants lie in few tiles, one is carried by everyone: single products and dense blocks
+    rng = np.random.default_rng(4)
+    n, tile = 200, 32
+    dense = np.zeros((n, 120))
+    for v in range(119):
+        dense[(v + rng.choice(6, 3, replace=False)) % n, v] = rng.integers(1, 3, 3)
+    dense[:, 119] = 1.0
+    dense[40:80] = 0
+    rows = [(int(i), int(v), float(dense[i, v])) for i, v in zip(*np.nonzero(dense), strict=True)]
+    g = mx.gram(spark.createDataFrame(rows, "subject_index long, variant_index long, allele double"), n, tile=tile, partitions=2)
+    want = dense @ dense.T
+    assert {(r.i, r.j): r.g for r in g.collect()} == {(i, j): want[i, j] for i, j in zip(*np.nonzero(np.triu(want)), strict=True)}
+
+    sent = []
+
+    def counted(batches):
+        for batch in batches:
+            sent.append(batch.num_rows)
+            yield batch
+
+    import pyarrow as pa
+
+    pair = [np.repeat(np.int32(0), 6), np.repeat(np.int32(1), 6), np.arange(6) // 2, np.tile([3, 1500], 3), np.arange(1.0, 7.0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in pair], names=["ti", "tj", "variant_index", "subject_index", "allele"])
+    out = list(counted(mx._products(1024)(iter([batch]))))
+    assert sent == [1]
+    # one row with one entry, not a row of the whole tile
+    assert out[0].to_pydict() == {"ti": [0], "tj": [1], "r": [3], "cs": [[476]], "g": [[2.0 + 12.0 + 30.0]]}
+
+
 def test_exact_cosines_use_one_product(spark):
     dense, cells = _random_cells(spark)
     df = mx.cosine_similarity(cells, len(dense))
