@@ -291,3 +291,60 @@ def test_large_nodes_that_keep_their_counts_grow_the_same_subtree(monkeypatch, f
     assert grown[0] == grown[1] == grown[2] and len(grown[0]) > 10
     # with counts kept, a level counts the cells that leave a large node, not those that stay
     assert sum(counted) < len(sample) * len(grown[0])
+
+
+def test_equal_right_sides_are_scored_once_and_follow_what_leaves():
+    from allelo.operators import subtree
+
+    rng = np.random.default_rng(5)
+    samples, variables, carriers = 90, 2000, 3
+    sample = np.concatenate([rng.choice(samples, carriers, replace=False) for _ in range(variables)])
+    variable, allele = np.repeat(np.arange(variables) * 3, carriers), rng.integers(1, 3, variables * carriers).astype(float)
+    label, weight = rng.integers(0, 3, samples), rng.integers(1, 3, samples)
+    cells = subtree._Cells(sample, variable, allele, samples)
+
+    def counts(of):
+        at = np.flatnonzero(np.isin(cells.sample, of))
+        s = cells.sample[at]
+        return subtree.Counts(cells.pair[at], label[s], weight[s], 3, cells.pair_variable)
+
+    node, here = counts(np.arange(samples)), np.arange(samples)
+    for depth, gone in enumerate((rng.choice(samples, 12, replace=False), np.arange(samples // 2), np.arange(60, samples))):
+        for fraction in (1.0, 0.2, 0.001):
+            rules = subtree.Rules(3, fraction, 3, "gini", 1e-12, None)
+            totals = subtree.sums(np.zeros(len(here), dtype=np.int64), label[here], weight[here], 1, 3)
+            best = [c.best(cells.pair_allele, totals[0], float(subtree.impurity(totals, "gini")[0]), rules, depth, 2, 7)
+                    for c in (node, counts(here))]
+            assert best[0] == best[1] and (best[0] is not None or fraction < 0.01)
+        assert (node.members > 0).sum() < len(node.pair) / 4
+        gone = np.intersect1d(gone, here)
+        node.take_off(counts(gone))
+        here = np.setdiff1d(here, gone)
+
+
+@pytest.mark.parametrize("carriers", [4, 60])
+def test_samples_walk_a_subtree_together(carriers):
+    from allelo.operators import subtree
+
+    rng = np.random.default_rng(8)
+    samples, variables = 120, 150
+    sample = np.concatenate([rng.choice(samples, carriers, replace=False) for _ in range(variables)])
+    variable, allele = np.repeat(np.arange(variables), carriers), rng.integers(1, 4, variables * carriers).astype(float)
+    rules = subtree.Rules(4, 0.5, 3, "gini", 1e-12, None)
+    levels = list(subtree.grow(rules, 1, 2, 5, 1, np.arange(samples), np.ones(samples, dtype=np.int64),
+                               rng.integers(0, 4, samples), sample, variable, allele))
+    nodes = {f: np.concatenate([lv[f] for lv in levels]) for f in subtree.NODE_FIELDS}
+    held = {(s, v): a for s, v, a in zip(sample.tolist(), variable.tolist(), allele.tolist(), strict=True)}
+    child = {(int(d), int(p), int(s)): i for i, (d, p, s) in enumerate(zip(nodes["depth"], nodes["parent"], nodes["side"], strict=True))}
+
+    def plain(s, cut):
+        i = child[2, 5, 1]
+        while nodes["variable"][i] >= 0 and nodes["depth"][i] != cut:
+            side = int(held.get((s, int(nodes["variable"][i])), 0.0) > nodes["threshold"][i])
+            i = child[int(nodes["depth"][i]) + 1, int(nodes["node"][i]), side]
+        return nodes["majority"][i]
+
+    found = subtree.walk(nodes, samples, sample, variable, allele, (1, 2, 4, None))
+    assert set(found) == {2, 4, None} and len(levels) > 5
+    for cut, got in found.items():
+        assert got.tolist() == [plain(s, cut) for s in range(samples)]
